@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from tallygrid.llm.bitplanes import op1_bit_plane_ids
+from tallygrid.llm.imatch import op3_imatch_fingerprints
 from tallygrid.llm.lines import OP9_SQL, op9_line_dedup
 from tallygrid.llm.mixing import OP4_SQL, op4_fair_queue_mix
 from tallygrid.llm.packing import op2_mixture_packing
 from tallygrid.llm.sharding import op10_lookup_shards
 from tallygrid.llm.simhash import op5_simhash_components
 from tallygrid.llm.topk import OP8_SQL, op8_maxscore_topk
+from tallygrid.llm.toxicity import op7_restored_toxicity
+from tallygrid.llm.urlfilter import OP6_SQL, op6_cascade_verdicts
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bit_plane_ids, op2_mixture_packing, op4_fair_queue_mix, op5_simhash_components, op8_maxscore_topk, op9_line_dedup, op10_lookup_shards)
+    for f in (
+        op1_bit_plane_ids, op2_mixture_packing, op3_imatch_fingerprints, op4_fair_queue_mix, op5_simhash_components,
+        op6_cascade_verdicts, op7_restored_toxicity, op8_maxscore_topk, op9_line_dedup, op10_lookup_shards,
+    )
 }
-ORACLE_SQL: dict[str, str] = {"op4_fair_queue_mix": OP4_SQL, "op8_maxscore_topk": OP8_SQL, "op9_line_dedup": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_fair_queue_mix": OP4_SQL, "op6_cascade_verdicts": OP6_SQL, "op8_maxscore_topk": OP8_SQL, "op9_line_dedup": OP9_SQL}
