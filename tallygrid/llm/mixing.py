@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallygrid.llm.shared import WORD, read_table, text_key, written
+from tallygrid.llm.shared import SPACE, WORD, read_table, written
 
 #: Rows in one bucket of a running sum, about.
 BUCKET_ROWS = 2000
@@ -16,6 +16,11 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A hash of all columns, so that rows that differ in any of them differ in it."""
+    return F.xxhash64(*[F.col(c) for c in docs.columns])
+
+
 def source_targets(sizes: DataFrame, budget_share: float, weights: tuple[float, ...], max_repeats: float) -> DataFrame:
     """Targets of sources (skey, source, source_size): adds weight and target.
 
@@ -47,7 +52,7 @@ def fair_mix(docs: DataFrame, budget_share: float = 1.5, weights: tuple[float, .
     virtual time 1 for every source at once, and a copy in service then is cut to the words served (the fluid limit
     of fair queueing), so a source's words miss its target by less than one. Repeats come as epochs 0, 1, ...
 
-    Returns doc_id, skey, place (unique with skey), source_size, target, size, epoch, words (served), virtual_finish and
+    Returns doc_id, tie (a hash of the whole row), skey, place (unique with skey), source_size, target, size, epoch, words (served), virtual_finish and
     position (words of the mix before it). The first copy of every document is there, with no words if the mix takes none.
     Running sums go through buckets of about ``BUCKET_ROWS`` rows by hash and by virtual time, so a hot source is spread.
     Null text has no words, a null source is one source, repeated rows are separate documents, an empty table gives no rows.
@@ -56,7 +61,7 @@ def fair_mix(docs: DataFrame, budget_share: float = 1.5, weights: tuple[float, .
     digits = _hex_digits(rows)
     place = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")))
     narrow = written(
-        docs.select("doc_id", "source", word_count().alias("size"), F.coalesce(text_key(), F.lit(0)).alias("tie"))
+        docs.select("doc_id", "source", word_count().alias("size"), row_key(docs).alias("tie"))
         .withColumn("skey", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
         .withColumn("draw", place).withColumn("bucket", F.substring("draw", 1, digits)),
         "sizes",
@@ -69,13 +74,13 @@ def fair_mix(docs: DataFrame, budget_share: float = 1.5, weights: tuple[float, .
     order = ("draw", "doc_id", "tie")
     inside = Window.partitionBy("skey", "bucket").orderBy(*order)
     queued = narrow.join(bases, ["skey", "bucket"]).select(
-        "doc_id", "skey", "source_size", "target", "size",
+        "doc_id", "tie", "skey", "source_size", "target", "size",
         (F.col("base") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("start"),
         F.concat("bucket", F.lpad(F.row_number().over(inside).cast("string"), 10, "0")).alias("place"),
     )
     starts = F.array(*[F.struct(F.lit(k).alias("epoch"), (F.col("start") + k * F.col("source_size")).alias("start")) for k in range(max_repeats)])
     copies = queued.withColumn("copy", F.explode(starts)).select(
-        "doc_id", "skey", "place", "source_size", "target", "size", "copy.epoch", F.col("copy.start").alias("start"),
+        "doc_id", "tie", "skey", "place", "source_size", "target", "size", "copy.epoch", F.col("copy.start").alias("start"),
         F.greatest(F.lit(0).cast("long"), F.least("size", F.floor("target") - F.col("copy.start"))).alias("words"),
     ).filter("epoch = 0 OR words > 0")
     copies = copies.withColumn("virtual_finish", F.when(F.col("target") > 0, (F.col("start") + F.col("words")) / F.col("target")))
@@ -97,6 +102,18 @@ def document_shares(mix: DataFrame) -> DataFrame:
     ).drop("skey", "place")
 
 
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself: the columns of ``docs``, a row per served copy, globally sorted by position; a copy cut by the budget has its first words only."""
+    served = fair_mix(docs, **how).filter("words > 0").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("position", "words", "size")).alias("__copies"))
+    rows = docs.withColumn("__tie", row_key(docs)).dropDuplicates(["doc_id", "__tie"])
+    served = served.select(F.col("doc_id").alias("__doc"), F.col("tie").alias("__t"), "__copies")
+    both = rows.join(served, rows["doc_id"].eqNullSafe(served["__doc"]) & (rows["__tie"] == served["__t"]))
+    each = both.select(*docs.columns, F.explode("__copies").alias("__copy"))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"{SPACE}*{WORD}"), F.lit(0)), F.lit(1), F.col("__copy.words").cast("int")), "")
+    each = each.withColumn("text", F.when(F.col("__copy.words") < F.col("__copy.size"), cut).otherwise(F.col("text")))
+    return each.withColumn("__at", F.col("__copy.position")).drop("__copy").repartitionByRange("__at").sortWithinPartitions("__at").drop("__at")
+
+
 def op4_fair_queue_mix(spark, sf_dir: str) -> DataFrame:
     """``documents`` mixed at weights 3, 1, 2 to 150 % of all words, no document more than twice."""
     return document_shares(fair_mix(read_table(spark, sf_dir, "documents")))
