@@ -10,9 +10,9 @@ from tallygrid.llm.shared import read_table, text_key
 BUCKET_ROWS, MAX_BUCKETS = 500, 50_000
 #: The band: terms in at least MIN_SHARE and at most MAX_SHARE of all documents.
 MIN_SHARE, MAX_SHARE = 0.0005, 0.2
-#: Subset sizes as shares of the lexicon, 1 / 2^e, and how many random subsets of each.
-EXPONENTS, COPIES = (2, 3, 4, 5, 6), 4
-SUBSETS = len(EXPONENTS) * COPIES
+#: A random subset k holds a term with probability 1 / 2^e, e = EXPONENTS[k]. Large subsets tell copies with few changes from others, small ones still agree when half of a text is new.
+EXPONENTS = (5,) * 8 + (6,) * 10 + (7,) * 16 + (8,) * 16 + (9,) * 12
+SUBSETS = len(EXPONENTS)
 
 
 def _text() -> Column:
@@ -35,7 +35,7 @@ def lexicon(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float = MA
     kept = found.filter((F.col("df") >= min_share * n) & (F.col("df") <= max(max_share * n, 1)))
     bits = [
         F.when(F.xxhash64(F.col("term"), F.lit(f"subset {k}")).bitwiseAND(F.lit((1 << e) - 1)) == 0, F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
-        for k, e in enumerate(e for e in EXPONENTS for _ in range(COPIES))
+        for k, e in enumerate(EXPONENTS)
     ]
     mask = bits[0]
     for b in bits[1:]:
