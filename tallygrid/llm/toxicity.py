@@ -173,7 +173,11 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = LABELLED_ROWS) ->
     """
     chosen = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # copies of one text would pass its rare words off as evidence: of documents with the same least long word one teaches
+    long_words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.char_length(w) >= 8)
+    least = F.array_min(F.transform(long_words, lambda w: F.xxhash64(w)))
+    sample = sample.withColumn("least", F.coalesce(least, F.xxhash64("text"))).dropDuplicates(["least", "toxic"]).select("text", "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = (Counter(), Counter())
