@@ -1,29 +1,27 @@
-"""Whole-text encoding with a public tokenizer, memoised by chunk and by piece."""
+"""Whole-text encoding with a public tokenizer, memoised by piece."""
 
 from __future__ import annotations
 
 import json
 import os
 import re
-import unicodedata
+from array import array
 
 import numpy as np
 
-#: Chunks, and as many pieces, that one Python worker remembers; a memory is emptied when full.
-REMEMBERED = 250_000
-#: Longer chunks are encoded without being remembered.
-LONGEST_REMEMBERED = 64
+#: Pieces that one Python worker remembers (about 200 bytes each); the memory is emptied when full.
+REMEMBERED = 600_000
 
 # The letters and numbers below U+0250; a chunk with any other character goes to the tokenizer itself.
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
 _PLAIN = re.compile("[ \n!-~¡-ɏ]*")
-_ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+_ENDINGS = "'(?:s|t|re|ve|m|ll|d)"
 #: Piece patterns of the two kinds of vocabulary file, over those characters.
 _BYTE_LEVEL = re.compile(rf"{_ENDINGS}| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
 _LOWER_WORDS = re.compile(rf"{_ENDINGS}|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\0]")
 
-_encoders: dict[str, "ChunkEncoder"] = {}
+_encoders: dict[str, "PieceEncoder"] = {}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -33,14 +31,14 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
 
 
-class ChunkEncoder:
+class PieceEncoder:
     """Encodes whole texts to little-endian ids; equal to one ``encode`` call per text.
 
-    Both kinds of public vocabulary split text into pieces before merging, and no piece crosses a
-    single space that stands between two other characters except as its first character. So a text
-    is cut there; each distinct chunk is cut into pieces once, each distinct piece merged once by the
-    tokenizer's model, and the ids are looked up from then on. Texts where the cut is unsafe (runs of
-    white space, strings of added tokens) and chunks beyond Latin letters go to the tokenizer whole.
+    Both kinds of public vocabulary cut text into pieces and merge within each. Over the characters below U+0250 the
+    cut is one regular expression here; each distinct piece is merged once by the tokenizer's own model, and its ids
+    are looked up from then on. A text with other characters is first cut at single spaces between other
+    characters, which no piece crosses, and chunks that hold such characters go to the tokenizer itself, as do texts where
+    that cut is unsafe (runs of white space, strings of added tokens).
     """
 
     def __init__(self, path: str) -> None:
@@ -48,65 +46,50 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.bare = Tokenizer(self.whole.model)
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.added = [x.content for x in self.whole.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
-            kind = json.load(f)
-        self.lower = bool(kind["normalizer"])
-        self.pieces = _LOWER_WORDS if self.lower else _BYTE_LEVEL
+            self.lower = bool(json.load(f)["normalizer"])
+        self.pattern = _LOWER_WORDS if self.lower else _BYTE_LEVEL
         self.letters = _byte_letters()
-        self.chunks: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, tokenizer, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.dtype).tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.dtype).tobytes() for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode(self, chunks: list[str]) -> dict[str, bytes]:
-        plain, cut = _PLAIN.fullmatch, {}
-        other = []
-        for chunk in chunks:
-            if plain(chunk):
-                cut[chunk] = self.pieces.findall(unicodedata.normalize("NFC", chunk).lower() if self.lower else chunk)
-            else:
-                other.append(chunk)
-        missing = list({p for pieces in cut.values() for p in pieces}.difference(self.known))
-        letters = self.letters
-        merged = self._ids(self.bare, [p.encode().decode("latin-1").translate(letters) for p in missing])
-        known = self.known
-        known.update(zip(missing, merged, strict=True))
-        out = {chunk: b"".join([known[p] for p in pieces]) for chunk, pieces in cut.items()}
-        out.update(zip(other, self._ids(self.whole, other), strict=True))
-        if len(known) > REMEMBERED:
-            known.clear()
-        return out
+    def _learn(self, pieces: set[str]) -> None:
+        known, letters, merge, code = self.known, self.letters, self.whole.model.tokenize, self.code
+        for p in pieces.difference(known):
+            known[p] = array(code, [t.id for t in merge(p.encode().decode("latin-1").translate(letters))]).tobytes()
 
-    def _safe(self, text: str) -> bool:
-        return not (
-            "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " "
-            or _OTHER_SPACE.search(text) or any(x in text for x in self.added)
-        )
+    def _plain(self, text: str) -> bytes:
+        pieces = self.pattern.findall(text.lower() if self.lower else text)
+        self._learn(set(pieces))
+        return b"".join(map(self.known.__getitem__, pieces))
+
+    def _cut(self, text: str) -> list[str]:
+        if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _OTHER_SPACE.search(text):
+            return [text]
+        return text.replace(" ", "\0 ").split("\0")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """One buffer of ids of ``self.dtype`` per text."""
-        cut: list = [text.replace(" ", "\0 ").split("\0") if self._safe(text) else None for text in texts]
-        known = self.chunks
-        missing = list({c for chunks in cut if chunks for c in chunks}.difference(known))
-        own = self._encode(missing)
-        known.update(own)
-        odd = iter(self._ids(self.whole, [t for t, chunks in zip(texts, cut, strict=True) if chunks is None]))
-        out = [next(odd) if chunks is None else b"".join(map(known.__getitem__, chunks)) for chunks in cut]
-        if len(known) > REMEMBERED:
-            known.clear()
-        else:
-            for c in own:
-                if len(c) > LONGEST_REMEMBERED:
-                    del known[c]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        out = []
+        for text in texts:
+            if any(x in text for x in self.added):
+                out.append(self._whole([text])[0])
+            elif _PLAIN.fullmatch(text):
+                out.append(self._plain(text))
+            else:
+                out.append(b"".join([self._plain(c) if _PLAIN.fullmatch(c) else self._whole([c])[0] for c in self._cut(text)]))
         return out
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str) -> PieceEncoder:
     """The worker's encoder for a vocabulary file."""
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
+        _encoders[path] = PieceEncoder(path)
     return _encoders[path]
