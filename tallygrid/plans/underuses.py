@@ -47,7 +47,7 @@ def a10_counter_rates(s, f):
 
 def a11_job_statistics(s, f):
     names = F.create_map(*[F.lit(x) for x in ("click", "sm_occupancy", "view", "memory_rss", "purchase", "core_usage_total", "error", "power_usage", "signup", "memory_usage", "login", "gpu_utilization")])
-    x = t.samples(s, f).withColumn("metric", F.coalesce(names[F.col("metric")], F.lit("other"))).withColumn("value", F.when(F.col("metric") == "core_usage_total", F.col("value") * 1e12).when(F.col("metric") == "memory_rss", F.col("value") * 2**20).otherwise(F.col("value"))).withColumnRenamed("job_id", "job_db_id")
+    x = t.samples(s, f).withColumn("metric", F.coalesce(names[F.col("metric")], F.lit("other"))).withColumn("value", F.when(F.col("metric") == "core_usage_total", F.col("value") * 1e10).when(F.col("metric") == "memory_rss", F.col("value") * 2**20).otherwise(F.col("value"))).withColumnRenamed("job_id", "job_db_id")
     jobs = x.select("job_db_id").distinct().withColumn("allocated_mem", F.when(F.col("job_db_id") % 10 == 3, F.lit(0)).otherwise(F.col("job_db_id") + 1))
     return r3(sm.job_statistics(x, jobs), "mean", "std", "q05", "q25", "median", "q75", "max")
 
@@ -192,7 +192,7 @@ pool AS (
   SELECT job_id AS job_db_id, CASE metric WHEN 'click' THEN 'gpu_sm_occupancy' WHEN 'view' THEN 'system_memory' WHEN 'error' THEN 'gpu_power' WHEN 'signup' THEN 'gpu_memory' WHEN 'login' THEN 'gpu_utilization' END AS name,
          CASE WHEN metric = 'view' THEN CASE WHEN job_id % 10 = 3 THEN NULL ELSE value / (job_id + 1) END WHEN metric = 'error' THEN value ELSE value * 0.01 END AS value
   FROM samples WHERE NOT isnan(value) AND value < 140737488355328
-  UNION ALL SELECT job_id, 'cpu_utilization', value * 1000 FROM rates WHERE metric = 'purchase')"""
+  UNION ALL SELECT job_id, 'cpu_utilization', value * 10 FROM rates WHERE metric = 'purchase')"""
 TOPS = """
 tops AS (SELECT *, CASE WHEN cost = 0 THEN 1.0 ELSE least(1.0, 1 - waste / cost) END AS occupancy, row_number() OVER (PARTITION BY user_id ORDER BY waste DESC, job_db_id) AS worst FROM rows_of)"""
 
