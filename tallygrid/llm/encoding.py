@@ -12,9 +12,9 @@ import numpy as np
 #: Pieces that one Python worker remembers (about 200 bytes each); the memory is emptied when full.
 REMEMBERED = 600_000
 
-# The letters and numbers below U+0250; a chunk with any other character goes to the tokenizer itself.
-_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
-_PLAIN = re.compile("[ \n!-~¡-ɏ]*")
+# The letters and numbers up to U+017F, whose lower case stays among them; a chunk with any other character goes to the tokenizer itself.
+_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾"
+_PLAIN = re.compile("[ \n!-~¡-ſ]*")
 _ENDINGS = "'(?:s|t|re|ve|m|ll|d)"
 #: Piece patterns of the two kinds of vocabulary file, over those characters.
 _BYTE_LEVEL = re.compile(rf"{_ENDINGS}| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
@@ -34,7 +34,7 @@ def _byte_letters() -> dict[int, str]:
 class PieceEncoder:
     """Encodes whole texts to little-endian ids; equal to one ``encode`` call per text.
 
-    Both kinds of public vocabulary cut text into pieces and merge within each. Over the characters below U+0250 the
+    Both kinds of public vocabulary cut text into pieces and merge within each. Over the characters up to U+017F the
     cut is one regular expression here; each distinct piece is merged once by the tokenizer's own model, and its ids
     are looked up from then on. A text with other characters is first cut at single spaces between other
     characters, which no piece crosses, and chunks that hold such characters go to the tokenizer itself, as do texts where
