@@ -16,7 +16,7 @@ from tallygrid.llm.shared import read_table
 #: At most so many labelled rows teach the classifier, chosen by a hash of their ids.
 LABELLED_ROWS = 20_000
 #: A feature counts if it is in so many toxic documents, and so large a share of the documents with it is toxic.
-MIN_TOXIC, MIN_PRECISION = 5, 0.7
+MIN_TOXIC, MIN_PRECISION = 6, 0.75
 #: Features kept at most, by evidence.
 MAX_FEATURES = 20_000
 #: Tokens that one Python worker remembers.
@@ -164,6 +164,15 @@ def _fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(4))
 
 
+def _own_evidence(feature: str, counts: dict[str, tuple[int, int]]) -> bool:
+    """Whether a beginning of words is precise beyond its strongest longer feature: "lose" tells nothing that "loser" doesn't."""
+    if feature.endswith("$"):
+        return True
+    toxic, clean = counts[feature]
+    a, b = max((counts[g] for g in counts if len(g) > len(feature) and g.startswith(feature)), default=(0, 0))
+    return (toxic - a) / (toxic - a + max(0, clean - b) + 1) >= MIN_PRECISION
+
+
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = LABELLED_ROWS) -> Scorer:
     """A scorer from documents (doc_id, text) and labels (doc_id, toxic 0/1; others are ignored).
 
@@ -193,7 +202,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = LABELLED_ROWS) ->
     share = F.col("toxic") / (F.col("toxic") + F.col("clean") + 1)
     useful = counted.filter((F.col("feature") != "#") & (F.col("toxic") >= MIN_TOXIC) & (share >= MIN_PRECISION))
     kept = useful.orderBy(F.col("toxic").desc(), "feature").limit(MAX_FEATURES).collect()  # bounded by MAX_FEATURES
-    precision = {r["feature"]: r["toxic"] / (r["toxic"] + r["clean"] + 1) for r in kept}
+    counts = {r["feature"]: (r["toxic"], r["clean"]) for r in kept}
+    precision = {f: a / (a + b + 1) for f, (a, b) in counts.items() if _own_evidence(f, counts)}
     lm = language_model(gram_counts(docs), {r["feature"][:-1]: float(r["toxic"]) for r in kept if r["feature"].endswith("$")})
     return Scorer(precision, 0.02, lm)
 
