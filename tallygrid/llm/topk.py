@@ -12,12 +12,14 @@ from tallygrid.llm.shared import read_table
 
 #: Rows of a shard and of a block of queries: a task holds one of each.
 SHARD_ROWS, BLOCK_ROWS = 8192, 1024
+#: Components beyond this size are held at it.
+_LARGEST = 1 << 53
 #: Dimensions traversed between two looks at the bounds.
 STEP = 16
 
 
-def maxscore(shard: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-    """The best ``k`` (query_id, vec_id, score) per query within a shard, ties to smaller ids, own row left out.
+def maxscore(shard: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> Iterator[tuple[int, int, int, int]]:
+    """The best ``k`` (query_id, vec_id, score in two parts: high x 2^62 + low) per query within a shard, ties to smaller ids, own row left out.
 
     Dimensions are a query's terms, a shard's columns their postings. A term's bound is the most that it adds to any
     score in the shard. In order of bounds, the leading terms are essential: while the bounds of the rest could still lift
@@ -47,20 +49,20 @@ def maxscore(shard: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids:
             rows, score = rows[keep], score[keep]
         best = np.lexsort((ids[rows], -score.astype(np.float64) if exact else np.array([-int(s) for s in score], object)))[:k]
         for i in best:
-            yield query_id, int(ids[rows[i]]), max(-(2**63), min(2**63 - 1, int(score[i])))
+            yield query_id, int(ids[rows[i]]), *divmod(int(score[i]), 1 << 62)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256) -> DataFrame:
     """The ``k`` rows of ``vectors`` (vec_id, embedding) with the highest integer inner product for each of ``queries`` (same columns).
 
     Components become floor(scale x component). Rows whose vector is null, or holds null or non-finite components, take no part, nor do
-    null ids; vectors of unlike lengths are never compared; a row with the query's own id is no candidate. Scores beyond a long are held at its ends.
+    null ids; vectors of unlike lengths are never compared; a row with the query's own id is no candidate. Ranks follow exact scores; a score beyond a long is shown as its end, a component beyond 2^53 counts as that.
 
     Shards of ``SHARD_ROWS`` vectors meet blocks of ``BLOCK_ROWS`` queries by a key of (block, shard): the query set is stated and a
     task holds one block and one shard. Each returns k rows per query (:func:`maxscore`), merged by rank.
     """
     def whole(df: DataFrame) -> DataFrame:
-        numbers = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * F.lit(float(scale))))
+        numbers = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.greatest(F.least(F.floor(x * F.lit(float(scale))), F.lit(_LARGEST)), F.lit(-_LARGEST)))
         fine = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         return df.filter(fine).select(F.col("vec_id").cast("long").alias("vec_id"), numbers.alias("v"), F.size("embedding").alias("dim"))
 
@@ -81,13 +83,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256)
             else:
                 m, q = np.zeros((len(ids), 1), np.int64), np.zeros((len(query_ids), 1), np.int64)
             found = list(maxscore(m, ids, q, query_ids, k))
-        cols = zip(*found, strict=True) if found else ((), (), ())
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), (pa.array(c, pa.int64()) for c in cols), strict=True)))
+        cols = zip(*found, strict=True) if found else ((), (), (), ())
+        return pa.table(dict(zip(("query_id", "vec_id", "high", "low"), (pa.array(c, pa.int64()) for c in cols), strict=True)))
 
     keys = ["shard", "block", "dim"]
-    local = shards.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return local.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    local = shards.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, high long, low long")
+    best = Window.partitionBy("query_id").orderBy(F.col("high").desc(), F.col("low").desc(), "vec_id")
+    score = F.when(F.col("high") > 1, F.lit(2**63 - 1)).when(F.col("high") < -2, F.lit(-(2**63))).otherwise(F.col("high") * F.lit(1 << 62) + F.col("low"))
+    return local.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
 
 
 def op8_maxscore_topk(spark, sf_dir: str) -> DataFrame:
