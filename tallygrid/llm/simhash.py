@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,16 +39,22 @@ def _fingerprint(text: bytes, width: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp long) of whole texts: A-Z lower-cased, shingles of ``width`` words, XXH64 of each. Null text has no words."""
+def length_band(text: bytes, ratio: float) -> int:
+    """Texts whose word counts differ by less than ``ratio`` are in the same band or in neighbouring ones."""
+    return int(math.log(len(text.split()) + 1) / math.log(ratio))
+
+
+def fingerprints(docs: DataFrame, width: int = 3, ratio: float | None = None) -> DataFrame:
+    """(doc_id, fp long, band int) of whole texts: A-Z lower-cased, shingles of ``width`` words, XXH64 of each. Null text has no words. The band of word counts is 0 without ``ratio``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             fps = np.fromiter((_fingerprint(t.as_py() or b"", width) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            bands = [length_band(t.as_py() or b"", ratio) if ratio else 0 for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), pa.array(bands, pa.int32())], names=["doc_id", "fp", "band"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, band int")
 
 
 def _counts(fp: Column) -> Column:
@@ -67,19 +74,21 @@ def _blocks(radius: int) -> list[range]:
     return [range(32 * k // n, 32 * (k + 1) // n) for k in range(n)]
 
 
-def near_pairs(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """(u, v) of distinct fingerprints ``fps`` (fp) with at most ``radius`` differing bits; each pair at least once.
+def near_pairs(fps: DataFrame, radius: int = 3, banded: bool = False) -> DataFrame:
+    """(u, v) of distinct fingerprints ``fps`` (fp; or distinct fp, band) with at most ``radius`` differing bits; each pair at least once.
 
     Bits that differ change the counts of their segments by no more, so Manhattan distance between count vectors is a lower
     bound. If it is at most ``radius`` over all segments, it is at most 1 over one of radius/2 + 1 blocks of them.
     A grid has a cell per block and vector of counts in it; every fingerprint stands in its own cell and asks its own
     cell and those with one count higher (a lower one is the other's higher one). Rows that meet are compared exactly in
     the join's condition: no pair that is not a link leaves it. All links are found; nothing is capped.
+    If ``banded``, fingerprints link only if their bands are equal or neighbours; the band is then a part of the cell.
     """
     def masked(counts: Column, block: range) -> Column:
         return counts.bitwiseAND(_long(sum(3 << (2 * s) for s in block)))
 
-    counted = fps.select("fp", _counts(F.col("fp")).alias("c"))
+    band = F.col("band") if banded else F.lit(0).alias("band")
+    counted = fps.select("fp", _counts(F.col("fp")).alias("c"), band)
     own, asks = [], []
     for k, block in enumerate(_blocks(radius)):
         cell = masked(F.col("c"), block)
@@ -89,24 +98,27 @@ def near_pairs(fps: DataFrame, radius: int = 3) -> DataFrame:
             field = F.shiftrightunsigned("c", 2 * s).bitwiseAND(F.lit(3))
             higher = cell.bitwiseXOR(F.when(field == 0, _long(1 << (2 * s))).otherwise(_long(3 << (2 * s))))
             asks.append(F.when(field < 2, F.struct(F.lit(k).alias("block"), higher.alias("cell"), F.lit(1).alias("step"))))
-    base = counted.select(F.col("fp").alias("v"), F.inline(F.array(*own)))
-    ask = counted.select(F.col("fp").alias("u"), F.explode(F.array_compact(F.array(*asks))).alias("a")).select("u", "a.*")
+    base = counted.select(F.col("fp").alias("v"), "band", F.inline(F.array(*own)))
+    around = F.explode(F.array(*[F.col("band") + k for k in ((-1, 0, 1) if banded else (0,))])).alias("band")
+    ask = counted.select("fp", "c", around).select(F.col("fp").alias("u"), "band", F.explode(F.array_compact(F.array(*asks))).alias("a")).select("u", "band", "a.*")
     b, a = base.alias("b"), ask.alias("a")
     near = F.bit_count(F.col("a.u").bitwiseXOR(F.col("b.v"))) <= radius
     once = (F.col("a.step") == 1) | (F.col("a.u") < F.col("b.v"))
-    return a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.cell") == F.col("b.cell")) & once & near).select("u", "v")
+    return a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.band") == F.col("b.band")) & once & near).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, ratio: float | None = None) -> DataFrame:
     """A row per document (doc_id, text): doc_id, fp, component_id, the smallest doc_id that links of at most ``radius`` bits reach.
 
     Equal fingerprints become one node before any join, so groups of copies cost one row; links are found between
-    distinct fingerprints only and each keeps its exact distance check. Null and empty texts share fingerprint zero. Repeated rows stay;
+    distinct fingerprints only and each keeps its exact distance check. With ``ratio``, word counts of linked texts are in
+    equal or neighbouring bands of that ratio (:func:`length_band`): texts that share most shingles are about as long. Null and empty texts share fingerprint zero. Repeated rows stay;
     a null doc_id keeps its row and never names a component unless all of it is null.
     """
-    each = written(fingerprints(docs, width), "fingerprints")
+    each = written(fingerprints(docs, width, ratio), "fingerprints")
     distinct = written(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(near_pairs(distinct.select("fp"), radius))
+    nodes = each.select("fp", "band").distinct() if ratio else distinct.select("fp")
+    roots = components(near_pairs(nodes, radius, banded=bool(ratio)))
     labelled = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     names = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     known = labelled.join(names, "root").select(F.col("fp").alias("k"), "component_id")

@@ -272,7 +272,8 @@ def brute_fingerprint(text, width):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(fps, radius):
+def brute_components(fps, radius, bands=None):
+    """Roots of fingerprints; with bands (fp -> set of them) links need equal or neighbouring ones."""
     parent = {f: f for f in set(fps)}
 
     def find(x):
@@ -281,7 +282,7 @@ def brute_components(fps, radius):
         return x
 
     for a, b in combinations(parent, 2):
-        if (a ^ b).bit_count() <= radius:
+        if (a ^ b).bit_count() <= radius and (bands is None or any(abs(x - y) <= 1 for x in bands[a] for y in bands[b])):
             parent[find(a)] = find(b)
     return {f: find(f) for f in parent}
 

@@ -1,6 +1,7 @@
 """The pipeline against brute force, and stage by stage on odd input."""
 
-from collections import Counter
+import math
+from collections import Counter, defaultdict
 
 import pyarrow.parquet as pq
 import pytest
@@ -23,7 +24,10 @@ def test_stages_keep_what_they_should(spark, tmp_path):
     scorer = toxicity.learn(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     assert clean == {r["doc_id"] for r in rows(toxicity.score(docs, scorer)) if r["score"] < corpus_pipeline.TOXIC}
     before = {r["doc_id"]: r["text"] for r in rows(inputs["SimHash near-dedup"])}
-    roots = brute_components([brute_fingerprint(t, 5) for t in before.values()], corpus_pipeline.NEAR_BITS)
+    bands = defaultdict(set)
+    for t in before.values():
+        bands[brute_fingerprint(t, 5)].add(int(math.log(len(t.encode().split()) + 1) / math.log(corpus_pipeline.NEAR_LENGTH)))
+    roots = brute_components(bands, corpus_pipeline.NEAR_BITS, bands)
     least = {}
     for i in sorted(before):
         least.setdefault(roots[brute_fingerprint(before[i], 5)], i)
