@@ -25,40 +25,29 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float = MAX_SHARE) -> DataFrame:
-    """(term, mask): the terms whose inverse document frequency is within the band, counted over all documents.
+    """(term, subset): the terms whose inverse document frequency is within the band, in each random subset that has them.
 
-    ln(1 / max_share) <= ln(N / df) <= ln(1 / min_share). Bit k of mask tells whether random subset k has the term.
-    Its size is bounded whatever the corpus: at most (mean distinct terms per document) / min_share terms reach that frequency.
+    ln(1 / max_share) <= ln(N / df) <= ln(1 / min_share), counted over all documents. Its size is bounded whatever the corpus:
+    at most (mean distinct terms per document) / min_share terms reach that frequency, and a term is in 0.6 subsets on average.
     """
     n = docs.count()
     found = docs.select(F.explode(terms(_text())).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     kept = found.filter((F.col("df") >= min_share * n) & (F.col("df") <= max(max_share * n, 1)))
-    bits = [
-        F.when(F.xxhash64(F.col("term"), F.lit(f"subset {k}")).bitwiseAND(F.lit((1 << e) - 1)) == 0, F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
-        for k, e in enumerate(EXPONENTS)
-    ]
-    mask = bits[0]
-    for b in bits[1:]:
-        mask = mask.bitwiseOR(b)
-    return kept.select("term", mask.alias("mask")).filter("mask <> 0")
+    drawn = [F.when(F.xxhash64(F.col("term"), F.lit(f"subset {k}")).bitwiseAND(F.lit((1 << e) - 1)) == 0, F.lit(k)) for k, e in enumerate(EXPONENTS)]
+    # tied to df, so that no filter on the subsets moves below the aggregation and hashes each occurrence
+    return kept.select("term", F.explode(F.when(F.col("df") > 0, F.array_compact(F.array(*drawn)))).alias("subset"))
 
 
-def _subset_hashes(found: Column, text: Column) -> Column:
-    """A hash per subset of the sorted terms in it, '' where it has none; a text without any is known by its whole hash."""
-    def one(k: int) -> Column:
-        own = F.transform(F.filter(found, lambda x: x["mask"].bitwiseAND(F.lit(1 << k).cast("long")) != 0), lambda x: x["term"])
-        return F.when(F.size(own) > 0, F.substring(F.lower(F.lpad(F.hex(F.xxhash64(own)), 16, "0")), 1, 8)).otherwise(F.lit(""))
-
-    whole = F.lower(F.lpad(F.hex(F.xxhash64(text)), 16, "0"))
-    return F.when(F.size(found) > 0, F.array(*map(one, range(SUBSETS)))).otherwise(F.array(whole))
+def _hex(x: Column) -> Column:
+    return F.lower(F.lpad(F.hex(x), 16, "0"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal hashes among the subsets that have terms in either document."""
-    both = F.arrays_zip(a.alias("a"), b.alias("b"))
-    used = F.filter(both, lambda x: (F.coalesce(x["a"], F.lit("")) != "") | (F.coalesce(x["b"], F.lit("")) != ""))
-    same = F.filter(used, lambda x: F.coalesce(x["a"] == x["b"], F.lit(False)))
-    return F.when(F.size(used) > 0, F.size(same) / F.size(used)).otherwise(F.lit(1.0))
+    """Share of equal hashes among the subsets that have terms in either document; parts are "subset=hash"."""
+    def names(parts: Column) -> Column:
+        return F.transform(parts, lambda x: F.split_part(x, F.lit("="), F.lit(1)))
+
+    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(names(a), names(b)))
 
 
 def _with_neighbours(docs: DataFrame) -> DataFrame:
@@ -111,31 +100,30 @@ def fingerprint_edits(docs: DataFrame, min_share: float = MIN_SHARE, max_share:
     rows = _with_neighbours(docs).withColumn("rn", F.row_number().over(order)).withColumn("next", F.lag("text").over(order))
     edited = F.when(F.col("ghost") == 0, F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next"), F.lit(1), half)))
     rows = rows.withColumn("edited", edited).drop("next")
-    tagged = F.concat(
-        F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("of"))),
-        F.transform(terms(F.col("text")), lambda t: F.struct(t.alias("term"), F.lit(1).alias("of"))),
-        F.coalesce(F.transform(terms(F.col("edited")), lambda t: F.struct(t.alias("term"), F.lit(2).alias("of"))), F.array()),
-    )
-    whole = rows.select(
-        "bucket", "rn", "ghost", "doc_id", F.char_length("text").cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("t"), F.xxhash64("edited").alias("e"), F.inline(tagged),
-    )
-    known = words.unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(0).cast("long").alias("mask")))
-    pair = F.struct("term", "mask")
-    gathered = whole.join(F.broadcast(known), "term").groupBy("bucket", "rn").agg(
-        *[F.first(F.col(c)).alias(c) for c in ("ghost", "doc_id", "n_chars", "edited_sha256", "t", "e")],
-        F.sort_array(F.collect_list(F.when(F.col("of") == 1, pair))).alias("own"),
-        F.sort_array(F.collect_list(F.when(F.col("of") == 2, pair))).alias("new"),
-    )
-    line = Window.partitionBy("bucket").orderBy("rn")
-    hashed = gathered.select("bucket", "rn", "ghost", "doc_id", "n_chars", "edited_sha256", _subset_hashes(F.col("own"), F.col("t")).alias("a"), _subset_hashes(F.col("new"), F.col("e")).alias("b"))
-    hashed = hashed.withColumn("c", F.lag("a").over(line)).filter("ghost = 0")
+    about = F.struct("ghost", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("t"), F.xxhash64("edited").alias("e"))
+    kind = "struct<ghost:int,doc_id:bigint,n_chars:bigint,edited_sha256:string,t:bigint,e:bigint>"
+
+    def tagged(text: Column, of: int) -> Column:
+        return F.transform(terms(text), lambda t: F.struct(t.alias("term"), F.lit(of).alias("of"), F.lit(None).cast(kind).alias("about")))
 
-    def shown(x: str) -> Column:
-        return F.array_join(F.transform(F.col(x), lambda h: F.when(h == "", F.lit("-")).otherwise(h)), ".")
+    # one row of each document says what it is, the others are narrow: a term of the text (1) or of the edited text (2)
+    own = F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("of"), about.cast(kind).alias("about")))
+    each = rows.select("bucket", "rn", F.inline(F.concat(own, tagged(F.col("text"), 1), F.coalesce(tagged(F.col("edited"), 2), F.slice(own, 1, 0)))))
+    known = words.unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(-1).alias("subset")))
+    hashed = each.join(F.broadcast(known), "term").groupBy("bucket", "rn", "of", "subset").agg(
+        F.xxhash64(F.sort_array(F.collect_list("term"))).alias("h"), F.max("about").alias("about"))
+    part = F.concat(F.lpad(F.col("subset").cast("string"), 2, "0"), F.lit("="), F.substring(_hex(F.col("h")), 1, 8))
+    gathered = hashed.groupBy("bucket", "rn").agg(
+        F.max("about").alias("x"), *[F.sort_array(F.collect_list(F.when(F.col("of") == k, part))).alias(c) for k, c in ((1, "a"), (2, "b"))])
 
-    return hashed.select(
-        "doc_id", "n_chars", "edited_sha256", shown("a").alias("fingerprint"), shown("b").alias("edited_fingerprint"),
+    def known_by(parts: str, whole: str) -> Column:  # a text without terms in any subset is known by its whole hash
+        return F.when(F.size(parts) > 0, F.col(parts)).otherwise(F.array(F.concat(F.lit("*="), _hex(F.col(whole))))).alias(parts)
+
+    line = Window.partitionBy("bucket").orderBy("rn")
+    done = gathered.select("bucket", "rn", "x.*", "a", "b").select("bucket", "rn", "ghost", "doc_id", "n_chars", "edited_sha256", known_by("a", "t"), known_by("b", "e"))
+    done = done.withColumn("c", F.lag("a").over(line)).filter("ghost = 0")
+    return done.select(
+        "doc_id", "n_chars", "edited_sha256", F.array_join("a", ".").alias("fingerprint"), F.array_join("b", ".").alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"),
     )
 
