@@ -123,9 +123,12 @@ def jobs_table(jobs: DataFrame, stats: DataFrame, weights: DataFrame, lo: dateti
         return with_statistic(df, stats, "gpu_sm_occupancy").withColumn("waste", F.col("rgu_hours") * (1 - F.col("gpu_sm_occupancy_mean")))
 
     order = [F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_last(), F.col("job_db_id")]
-    if key == "waste":
-        return measured(runs).orderBy(*order).offset(offset).limit(limit)
-    return measured(runs.orderBy(*order).offset(offset).limit(limit)).orderBy(*order)
+
+    def page(df: DataFrame) -> DataFrame:  # a top-k of offset + limit rows, then its tail: Spark's offset after a sort doesn't keep the order everywhere
+        top = df.orderBy(*order).limit(offset + limit)
+        return top.withColumn("__at", F.row_number().over(Window.orderBy(*order))).filter(F.col("__at") > offset).drop("__at")
+
+    return page(measured(runs)).orderBy(*order) if key == "waste" else measured(page(runs)).orderBy(*order)
 
 
 def keyset_page(jobs: DataFrame, after: tuple[int, datetime | None] | None = None, limit: int = 100) -> DataFrame:

@@ -64,6 +64,11 @@ def cost_columns() -> dict[str, Column]:
     }
 
 
+#: What the derived columns take from joined tables.
+_COST_NEEDS = {
+    "allocated_rgu": {"rgu"}, "requested_rgu": {"rgu"}, "allocated_drac_rgu": {"drac_rgu"}, "requested_drac_rgu": {"drac_rgu"}, "cpu_waste": {"cpu_utilization_mean"},
+    "gpu_cost": {"drac_rgu"}, "gpu_waste": {"drac_rgu", "gpu_sm_occupancy_mean"}, "gpu_overbilling": {"drac_rgu"},
+}
 _NEEDS = {"users": {"display_name", "email"}, "clusters": {"cluster_name", "domain"}}
 
 
@@ -76,10 +81,8 @@ def job_series(jobs: DataFrame, stats: DataFrame, weights: DataFrame, users: Dat
     if unknown := set(asked) - set(known):
         raise ValueError(f"unknown columns: {sorted(unknown)}")
     need = set(asked)
-    if need & derived.keys():
-        need |= {"rgu", "drac_rgu"} & ({"rgu"} if all("drac" not in c and "gpu_" not in c for c in need & derived.keys()) else {"rgu", "drac_rgu"})
-        need |= {"cpu_utilization_mean"} if "cpu_waste" in need else set()
-        need |= {"gpu_sm_occupancy_mean"} if "gpu_waste" in need else set()
+    for name in need & derived.keys():
+        need = need | _COST_NEEDS.get(name, set())
     out = jobs
     if need & {"rgu", "drac_rgu"}:
         out = with_weights(out, F.broadcast(weights))
