@@ -94,9 +94,9 @@ def time_vs_limit(jobs: DataFrame, lo: datetime, hi: datetime, bins: int = 100)
     """Counts by log-scaled bins of (elapsed time or wait, time limit) for jobs submitted in the window that have a limit and started."""
     s = seconds(F.col("submit_time"))
     picked = jobs.filter((s >= epoch(lo)) & (s < epoch(hi)) & F.col("time_limit").isNotNull() & F.col("start_time").isNotNull()).select(
-        F.col("elapsed_time").alias("elapsed"), (seconds(F.col("start_time")) - s).alias("wait"), F.col("time_limit").cast("double").alias("limit"))
-    tops = picked.agg(*[F.greatest(F.max(c), F.lit(1e-9)).alias(f"top_{c}") for c in ("elapsed", "wait", "limit")])
-    both = picked.join(F.broadcast(tops))  # one row of maxima
+        F.col("elapsed_time").alias("elapsed"), (seconds(F.col("start_time")) - s).alias("wait"), F.col("time_limit").cast("double").alias("limit"), F.lit(1).alias("one"))
+    tops = picked.agg(*[F.greatest(F.max(c), F.lit(1e-9)).alias(f"top_{c}") for c in ("elapsed", "wait", "limit")]).withColumn("one", F.lit(1))
+    both = picked.join(F.broadcast(tops), "one")  # one row of maxima
 
     def log_bin(c: str):
         return F.least(F.greatest(F.floor(F.log10(F.col(c) + 1) * bins / F.log10(F.col(f"top_{c}") + 1)), F.lit(0)), F.lit(bins - 1)).cast("int")

@@ -20,8 +20,8 @@ def time_frames(jobs: DataFrame, columns: list[str] = (), start: datetime | None
     s, e = seconds(F.col("start_time")), seconds(F.col("end_time"))
     lo = F.lit(epoch(start)) if start else F.min(s)
     hi = F.lit(epoch(end)) if end else F.max(e)
-    bounds = jobs.agg(F.max(lo).alias("__lo") if start else lo.alias("__lo"), F.max(hi).alias("__hi") if end else hi.alias("__hi"))
-    each = jobs.filter(s.isNotNull() & e.isNotNull()).withColumn("__s", s).withColumn("__e", e).join(F.broadcast(bounds))
+    bounds = jobs.agg(F.max(lo).alias("__lo") if start else lo.alias("__lo"), F.max(hi).alias("__hi") if end else hi.alias("__hi")).withColumn("__one", F.lit(1))
+    each = jobs.filter(s.isNotNull() & e.isNotNull()).withColumn("__s", s).withColumn("__e", e).withColumn("__one", F.lit(1)).join(F.broadcast(bounds), "__one")
     first = F.greatest(F.floor((F.col("__s") - F.col("__lo")) / size_s), F.lit(0))
     last = F.least(F.ceil((F.col("__e") - F.col("__lo")) / size_s) - 1, F.floor((F.col("__hi") - F.col("__lo")) / size_s))
     each = each.withColumn("__first", first).withColumn("__last", last).filter("__first <= __last").withColumn("__k", F.explode(F.sequence("__first", "__last")))
