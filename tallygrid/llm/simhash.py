@@ -75,20 +75,21 @@ def _blocks(radius: int) -> list[range]:
 
 
 def near_pairs(fps: DataFrame, radius: int = 3, banded: bool = False) -> DataFrame:
-    """(u, v) of distinct fingerprints ``fps`` (fp; or distinct fp, band) with at most ``radius`` differing bits; each pair at least once.
+    """(u, v) of distinct fingerprints ``fps`` (fp; with bands fp, band; with components so far root) with at most ``radius`` differing bits; each pair at least once.
 
     Bits that differ change the counts of their segments by no more, so Manhattan distance between count vectors is a lower
     bound. If it is at most ``radius`` over all segments, it is at most 1 over one of radius/2 + 1 blocks of them.
     A grid has a cell per block and vector of counts in it; every fingerprint stands in its own cell and asks its own
     cell and those with one count higher (a lower one is the other's higher one). Rows that meet are compared exactly in
     the join's condition: no pair that is not a link leaves it. All links are found; nothing is capped.
-    If ``banded``, fingerprints link only if their bands are equal or neighbours; the band is then a part of the cell.
+    With a column root, pairs of one root are left out and (u, v) are the roots. If ``banded``, fingerprints link only if their bands are equal or neighbours; the band is then a part of the cell.
     """
     def masked(counts: Column, block: range) -> Column:
         return counts.bitwiseAND(_long(sum(3 << (2 * s) for s in block)))
 
     band = F.col("band") if banded else F.lit(0).alias("band")
-    counted = fps.select("fp", _counts(F.col("fp")).alias("c"), band)
+    root = F.col("root") if "root" in fps.columns else F.col("fp").alias("root")
+    counted = fps.select("fp", _counts(F.col("fp")).alias("c"), band, root)
     own, asks = [], []
     for k, block in enumerate(_blocks(radius)):
         cell = masked(F.col("c"), block)
@@ -98,13 +99,13 @@ def near_pairs(fps: DataFrame, radius: int = 3, banded: bool = False) -> DataFra
             field = F.shiftrightunsigned("c", 2 * s).bitwiseAND(F.lit(3))
             higher = cell.bitwiseXOR(F.when(field == 0, _long(1 << (2 * s))).otherwise(_long(3 << (2 * s))))
             asks.append(F.when(field < 2, F.struct(F.lit(k).alias("block"), higher.alias("cell"), F.lit(1).alias("step"))))
-    base = counted.select(F.col("fp").alias("v"), "band", F.inline(F.array(*own)))
+    base = counted.select(F.col("fp").alias("v"), "band", "root", F.inline(F.array(*own)))
     around = F.explode(F.array(*[F.col("band") + k for k in ((-1, 0, 1) if banded else (0,))])).alias("band")
-    ask = counted.select("fp", "c", around).select(F.col("fp").alias("u"), "band", F.explode(F.array_compact(F.array(*asks))).alias("a")).select("u", "band", "a.*")
+    ask = counted.select("fp", "c", "root", around).select(F.col("fp").alias("u"), "band", "root", F.explode(F.array_compact(F.array(*asks))).alias("a")).select("u", "band", "root", "a.*")
     b, a = base.alias("b"), ask.alias("a")
     near = F.bit_count(F.col("a.u").bitwiseXOR(F.col("b.v"))) <= radius
     once = (F.col("a.step") == 1) | (F.col("a.u") < F.col("b.v"))
-    return a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.band") == F.col("b.band")) & once & near).select("u", "v")
+    return a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.band") == F.col("b.band")) & once & near & (F.col("a.root") != F.col("b.root"))).select(F.col("a.root").alias("u"), F.col("b.root").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, ratio: float | None = None) -> DataFrame:
@@ -118,9 +119,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, ratio: flo
     each = written(fingerprints(docs, width, ratio), "fingerprints")
     distinct = written(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     nodes = each.select("fp", "band").distinct() if ratio else distinct.select("fp")
-    roots = components(near_pairs(nodes, radius, banded=bool(ratio)))
-    labelled = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    names = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
+    nodes = nodes.withColumn("root", F.col("fp"))
+    # wide links come last and only between what closer ones have left apart: a dense group is joined by few pairs, and no link is lost
+    for step in [*range(3, radius, 2), radius]:
+        found = components(near_pairs(nodes, step, banded=bool(ratio)).distinct()).select(F.col("node").alias("old"), F.col("root").alias("new"))
+        nodes = written(nodes.join(found, nodes["root"] == found["old"], "left").withColumn("root", F.coalesce("new", "root")).drop("old", "new"), "nodes")
+    roots = nodes.select(F.col("fp").alias("node"), "root").distinct()
+    labelled = written(distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "first", "root"), "labelled")
+    names = written(labelled.groupBy("root").agg(F.min("first").alias("component_id")), "names")  # tables of their own leave the joins free to split hot keys
     known = labelled.join(names, "root").select(F.col("fp").alias("k"), "component_id")
     return each.join(known, F.col("fp") == F.col("k")).select("doc_id", "fp", "component_id")
 
