@@ -10,6 +10,8 @@ STATS = ["gpu_utilization", "gpu_sm_occupancy", "gpu_memory", "system_memory", "
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables; all times are UTC, so the session's zone is set to it."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
