@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallygrid.llm.shared import read_table
+from tallygrid.llm.shared import read_table, written
 
 MIN_CHARS, MIN_DOCS = 20, 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,6 +42,7 @@ def line_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
         .groupBy("h", "g").agg(F.count("*").alias("n"), F.max("doc_id").alias("kept_in"))
         .filter((F.col("n") >= min_docs) & F.col("kept_in").isNotNull())
     )
+    survivors = written(survivors, "survivors")  # as a table of its own it leaves the join free to split hot keys
     dropped = lines.join(survivors.drop("n"), ["h", "g"]).filter(~F.col("doc_id").eqNullSafe(F.col("kept_in")))
     words = (
         dropped.select("doc_id", "row_key", "pos").repartition("doc_id", "row_key")
