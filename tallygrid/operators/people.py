@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -210,10 +211,13 @@ def remap_owners(fact: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
     return fact.join(m, F.col(column) == F.col("__old"), "left").withColumn(column, F.coalesce("new_id", column)).drop("__old", "new_id")
 
 
-def supervisor_levels(persons: DataFrame, supervisors: DataFrame, rounds: int = 20) -> DataFrame:
-    """(id, level): 0 without supervisors among ``persons``, else after all of them; those in or behind a cycle come last, together (level -1)."""
+def supervisor_levels(persons: DataFrame, supervisors: DataFrame) -> DataFrame:
+    """(id, level): 0 without supervisors among ``persons``, else after all of them; those in or behind a cycle come last, together (level -1).
+
+    A round per level, until no person is free: as many as the longest chain of supervisors.
+    """
     left, links, out = persons.select("id"), supervisors.select(F.col("user_id").alias("id"), "supervisor").join(persons.select(F.col("id").alias("supervisor")), "supervisor", "left_semi"), None
-    for level in range(rounds):
+    for level in count():
         free = left.join(links.select("id"), "id", "left_anti").checkpoint()
         if free.isEmpty():
             break
@@ -234,20 +238,42 @@ def letter_counts(name: Column) -> Column:
     return F.array(*[F.char_length(plain) - F.char_length(F.replace(plain, F.lit(c), F.lit(""))) for c in _ALPHABET])
 
 
+def near_vectors(left: DataFrame, right: DataFrame, threshold: int) -> DataFrame:
+    """(c, d, distance) of the vectors ``left`` (c) and ``right`` (d), each distinct, whose absolute differences sum to ``threshold`` or less.
+
+    Over one of threshold / 2 + 1 blocks of letters such vectors differ by 1 at most. A grid has a cell per block and counts in it; every right
+    vector stands in its own cell, every left one asks its own and those with one count higher or lower. The distance is a condition of the join.
+    """
+    n = threshold // 2 + 1
+
+    def cells(counts: str, moved: bool) -> Column:
+        def of(k: int) -> Column:
+            own = F.filter(counts, lambda x, i: i % n == k)
+            letters = F.sequence(F.lit(0), F.size(own) - 1)
+            near = F.flatten(F.transform(F.array(F.lit(-1), F.lit(1)), lambda step: F.transform(letters, lambda j: F.transform(own, lambda x, i: x + F.when(i == j, step).otherwise(0)))))
+            return F.transform(F.concat(F.array(own), near) if moved else F.array(own), lambda cell: F.struct(F.lit(k).alias("block"), cell.alias("cell")))
+
+        return F.inline(F.concat(*[of(k) for k in range(n)]))
+
+    a, b = left.select("c", cells("c", True)), right.select("d", cells("d", False))
+    distance = F.aggregate(F.zip_with("c", "d", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    met = a.join(b, (a["block"] == b["block"]) & (a["cell"] == b["cell"]) & (distance <= threshold))
+    return met.select("c", "d").distinct().withColumn("distance", distance)
+
+
 def match_names(left: DataFrame, right: DataFrame, threshold: int, nearest: int = 10) -> DataFrame:
     """Persons (id, name, email) of two lists: equal email first; of the rest those with exactly one name within ``threshold`` by letter counts among the ten nearest.
 
-    Names meet only if their lengths differ by no more than the threshold, a lower bound of the distance: an equi-join on length with the shorter side's bands repeated.
+    Names of equal letter counts are one vector before any join (see :func:`near_vectors`), with the number of its persons and the least id, so no pair of persons is made.
     """
-    e = left.filter("email <> ''").join(right.filter("email <> ''").select(F.col("id").alias("other"), F.lower("email").alias("e")), F.lower("email") == F.col("e")).groupBy("id").agg(F.min("other").alias("other")).withColumn("by", F.lit("email"))
-    l = left.join(e.select("id"), "id", "left_anti").select("id", "name", letter_counts(F.col("name")).alias("c"), F.char_length("name").alias("n"))
-    r = right.join(e.select(F.col("other").alias("id")), "id", "left_anti").select(F.col("id").alias("other"), F.col("name").alias("other_name"), letter_counts(F.col("name")).alias("d"), F.explode(F.sequence(F.char_length("name") - threshold, F.char_length("name") + threshold)).alias("n"))
-    distance = F.aggregate(F.zip_with("c", "d", lambda a, b: F.abs(a - b)), F.lit(0), lambda s, x: s + x)
-    close = l.join(r, "n").withColumn("distance", distance).filter(F.col("distance") <= threshold)
-    w = Window.partitionBy("id").orderBy("distance", "other")
-    top = close.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= nearest)
-    one = top.groupBy("id").agg(F.count("*").alias("k"), F.min("other").alias("other")).filter("k = 1").select("id", "other", F.lit("name").alias("by"))
-    return e.unionByName(one)
+    by_email = right.filter("email <> ''").groupBy(F.lower("email").alias("e")).agg(F.min("id").alias("other"))
+    e = left.filter("email <> ''").join(by_email, F.lower("email") == F.col("e")).groupBy("id").agg(F.min("other").alias("other")).withColumn("by", F.lit("email"))
+    l = left.join(e.select("id"), "id", "left_anti").filter("name IS NOT NULL").select("id", letter_counts(F.col("name")).alias("c"))
+    r = right.join(e.select(F.col("other").alias("id")), "id", "left_anti").filter("name IS NOT NULL").select("id", letter_counts(F.col("name")).alias("d"))
+    r = r.groupBy("d").agg(F.count("*").alias("k"), F.min("id").alias("other"))
+    near = near_vectors(l.select("c").distinct(), r.select("d"), threshold).join(r, "d").groupBy("c").agg(F.sum("k").alias("k"), F.min(F.struct("distance", "other")).alias("first"))
+    one = l.join(near.filter(F.least("k", F.lit(nearest)) == 1), "c").groupBy("id").agg(F.count("*").alias("rows"), F.min("first.other").alias("other")).filter("rows = 1")
+    return e.unionByName(one.select("id", "other", F.lit("name").alias("by")))
 
 
 def unmatched(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:

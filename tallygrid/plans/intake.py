@@ -90,13 +90,13 @@ def j12_merge_persons(s, f):
 
 def j13_supervisor_levels(s, f):
     checkpoint_dir(s)
-    persons = t.users(s, f).filter("id < 400")
+    persons = t.users(s, f)
     links = _supervisors(s, f).filter("pos = 2 AND user_id > 1").unionByName(s.sql("SELECT CAST(id AS bigint) AS user_id, CAST(NULL AS timestamp) AS valid_from, CAST(NULL AS timestamp) AS valid_to, 1 AS pos, CAST(id + 1 AS bigint) AS supervisor FROM range(390, 391)"), allowMissingColumns=True)
     return p.supervisor_levels(persons, links)
 
 
 def _two_lists(s, f):
-    left = t.table(s, f, "customer").filter("c_custkey < 300").selectExpr("CAST(c_custkey AS bigint) AS id", "IF(c_custkey % 3 = 0, concat('Éric ', c_name), c_name) AS name", "IF(c_custkey % 4 = 0, concat('a', c_custkey, '@x'), '') AS email")
+    left = t.table(s, f, "customer").selectExpr("CAST(c_custkey AS bigint) AS id", "IF(c_custkey % 3 = 0, concat('Éric ', c_name), c_name) AS name", "IF(c_custkey % 4 = 0, concat('a', c_custkey, '@x'), '') AS email")
     right = t.table(s, f, "supplier").selectExpr("CAST(s_suppkey AS bigint) AS id", "replace(s_name, 'Supplier', 'Customer') AS name", "IF(s_suppkey % 8 = 0, concat('A', s_suppkey, '@X'), '') AS email")
     return left, right
 

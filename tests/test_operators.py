@@ -1,6 +1,8 @@
 """Operators on small made-up rows: boundaries, nulls, NaN, invariants."""
 
 import math
+import random
+from collections import Counter
 from datetime import UTC, date, datetime, timedelta
 
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.functions import gpunames as g, timeaxis as ta
 from tallygrid.operators import dashboard as d, jobseries as js, people as p, quality as q, reports as r, samples as sm, underuse as uu
+from tallygrid.plans import intake
 from tallygrid.sources import records as rec
 from tallygrid.streaming import streams
 
@@ -233,6 +236,32 @@ def test_identities_levels_and_matches(spark):
     assert {(y["id"], y["other"], y["by"]) for y in p.match_names(left, right, 2).collect()} == {(1, 10, "email"), (2, 11, "name")}
 
 
+@pytest.mark.parametrize("threshold", [0, 1, 2, 3])
+def test_names_match_as_by_brute_force(spark, threshold):
+    rng = random.Random(threshold)
+    kind = "id long, name string, email string"
+    lists = [[(i, "".join(rng.choices("aé bc#", k=rng.randrange(3, 9))), "") for i in range(n)] + [(n, None, "")] for n in (60, 40)]
+    known = [{i: Counter(c.translate(str.maketrans("é", "e")) for c in name if c != "#") for i, name, _ in x if name is not None} for x in lists]
+    want = set()
+    for i, a in known[0].items():
+        near = [o for o, b in known[1].items() if sum(abs(a[c] - b[c]) for c in a.keys() | b.keys()) <= threshold]
+        want |= {(i, near[0], "name")} if len(near) == 1 else set()
+    assert {(y["id"], y["other"], y["by"]) for y in p.match_names(*[spark.createDataFrame(x, kind) for x in lists], threshold).collect()} == want
+
+
+def test_people_queries_read_whole_tables(spark):
+    n = spark.read.parquet("/root/testdata/sf0.01/customer.parquet").count()
+    assert intake.j13_supervisor_levels(spark, "/root/testdata/sf0.01").count() == n > 400
+    left, _ = intake._two_lists(spark, "/root/testdata/sf0.01")
+    assert left.count() == n
+
+
+def test_supervisor_chain_of_any_depth(spark):
+    intake.checkpoint_dir(spark)
+    links = spark.createDataFrame([(i + 1, i) for i in range(23)], "user_id long, supervisor long")
+    assert {y["id"]: y["level"] for y in p.supervisor_levels(spark.range(24), links).collect()} == {i: i for i in range(24)}
+
+
 def test_asof_edges(spark):
     dated = spark.createDataFrame([(0, datetime(2024, 1, 2), "a"), (0, datetime(2024, 1, 5), "b")], "c long, since timestamp, v string")
     rows = spark.createDataFrame([(i, 0, t) for i, t in enumerate([datetime(2024, 1, 1), datetime(2024, 1, 2), datetime(2024, 1, 5), None])] + [(9, 7, datetime(2024, 1, 3))], "i long, c long, at timestamp")
