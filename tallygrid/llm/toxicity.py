@@ -11,12 +11,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallygrid.llm.shared import read_table
+from tallygrid.llm.shared import read_table, written
 
 #: At most so many labelled rows teach the classifier, chosen by a hash of their ids.
 LABELLED_ROWS = 20_000
 #: A feature counts if it is in so many toxic documents, and so large a share of the documents with it is toxic.
 MIN_TOXIC, MIN_PRECISION = 6, 0.75
+#: Labelled texts are copies if all minima of one band agree, and so large a share of all minima.
+BANDS, BAND_MINIMA, COPY_SHARE = 6, 6, 0.7
 #: Features kept at most, by evidence.
 MAX_FEATURES = 20_000
 #: Tokens that one Python worker remembers.
@@ -173,6 +175,52 @@ def _own_evidence(feature: str, counts: dict[str, tuple[int, int]]) -> bool:
     return (toxic - a) / (toxic - a + max(0, clean - b) + 1) >= MIN_PRECISION
 
 
+def sketches(sample: DataFrame) -> DataFrame:
+    """``sample`` (doc_id, text, toxic) with a hash of each normalised text and ``BANDS`` x ``BAND_MINIMA`` independent minima over its pairs of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        rng = np.random.default_rng(42)
+        factors = rng.integers(0, 1 << 63, (BANDS * BAND_MINIMA, 2), np.uint64) * np.uint64(2) + np.uint64(1)
+        for batch in batches:
+            whole, minima = [], []
+            for text in batch.column(1):
+                words = (text.as_py() or "").lower().split()
+                whole.append(xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "replace"), 42) - (1 << 63))
+                pairs = {f"{a} {b}" for a, b in zip(words, words[1:])} or {" ".join(words)}
+                h = np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "replace"), 42) for x in pairs), np.uint64, len(pairs))
+                minima.append(b"".join((((h ^ (h >> np.uint64(29))) * f) ^ g).min().tobytes() for f, g in factors))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), batch.column(2).cast(pa.int32()), pa.array(whole, pa.int64()), pa.array(minima, pa.binary())], names=["doc_id", "text", "toxic", "whole", "minima"])
+
+    return sample.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, text string, toxic int, whole long, minima binary")
+
+
+def one_per_text(rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int]]:
+    """(doc_id, whole) of the smallest doc_id in each group of copies among sketches (doc_id, toxic, whole, minima) of one label.
+
+    Texts are copies if they are equal once normalised, or if all minima of a band agree and ``COPY_SHARE`` of all minima do.
+    """
+    rows = sorted(rows)
+    group = list(range(len(rows)))
+
+    def find(i: int) -> int:
+        while group[i] != i:
+            group[i] = i = group[group[i]]
+        return i
+
+    first: dict[tuple, int] = {}
+    vectors = [np.frombuffer(bytes(minima), np.uint64) for *_, minima in rows]
+    for i, (_, toxic, whole, minima) in enumerate(rows):
+        keys = [(toxic, whole), *((toxic, k, vectors[i][k * BAND_MINIMA : (k + 1) * BAND_MINIMA].tobytes()) for k in range(BANDS))]
+        for n, key in enumerate(keys):
+            j = first.setdefault(key, i)
+            if n == 0 or (vectors[i] == vectors[j]).mean() >= COPY_SHARE:
+                a, b = find(i), find(j)
+                group[max(a, b)] = min(a, b)
+    return [(rows[i][0], rows[i][2]) for i in range(len(rows)) if find(i) == i]
+
+
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = LABELLED_ROWS) -> Scorer:
     """A scorer from documents (doc_id, text) and labels (doc_id, toxic 0/1; others are ignored).
 
@@ -183,10 +231,11 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = LABELLED_ROWS) ->
     chosen = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    # copies of one text would pass its rare words off as evidence: of documents with the same least long word one teaches
-    long_words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.char_length(w) >= 8)
-    least = F.array_min(F.transform(long_words, lambda w: F.xxhash64(w)))
-    sample = sample.withColumn("least", F.coalesce(least, F.xxhash64("text"))).dropDuplicates(["least", "toxic"]).select("text", "toxic")
+    # copies of one text would pass its rare words off as evidence: of each group of copies the smallest doc_id teaches
+    sample = written(sketches(sample), "sample")
+    teachers = one_per_text([tuple(r) for r in sample.select("doc_id", "toxic", "whole", "minima").distinct().collect()])  # about LABELLED_ROWS rows of 300 bytes
+    teachers = docs.sparkSession.createDataFrame(teachers, "doc_id long, whole long")
+    sample = sample.join(F.broadcast(teachers), ["doc_id", "whole"]).dropDuplicates(["doc_id", "whole"]).select("text", "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = (Counter(), Counter())

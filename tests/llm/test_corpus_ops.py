@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 import re
 import unicodedata
 import zlib
@@ -377,6 +378,19 @@ def test_op7_spaced_letters(scorer):
     assert scorer("you are an i d i o t indeed") > 0.5
 
 
+def test_op7_texts_that_share_a_long_word_all_teach(spark):
+    rng = random.Random(7)
+    texts = [f"blockhead {' '.join(''.join(rng.choices('abcdefg', k=6)) for _ in range(20))}" for _ in range(12)]
+    copies = [" ".join(texts[0].split()[:-1] + [f"w{k}"]) for k in range(40)]
+    clean = [" ".join("".join(rng.choices("mnopqrs", k=6)) for _ in range(20)) for _ in range(12)]
+    data = [(i, t, int(i < 52)) for i, t in enumerate(texts + copies + clean)]
+    df = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    taught = toxicity.one_per_text([tuple(r) for r in toxicity.sketches(df).select("doc_id", "toxic", "whole", "minima").collect()])
+    assert {i for i, _ in taught} == {*range(12), *range(52, 64)}
+    scorer = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert "blockhead$" in scorer.precision and f"{texts[0].split()[3]}$" not in scorer.precision
+
+
 def test_op7_odd_input(spark, odd, none, scorer):
     got = rows(toxicity.score(odd.withColumnRenamed("n_chars", "score"), scorer))
     assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
