@@ -15,6 +15,8 @@ from tallygrid.llm.shared import text_key, written
 WINDOW = 2048
 #: More distinct sources than this share queues, dealt by a hash of the source.
 MAX_QUEUES = 4096
+#: Numbers (rounds x queues) that :meth:`Schedule.place` holds at once, about.
+BLOCK = 1 << 18
 
 
 def service_phases(totals: list[int], weights: list[float] | None = None) -> list[dict]:
@@ -53,34 +55,54 @@ class Schedule:
 
     def __init__(self, phases: list[dict], round_tokens: int = WINDOW) -> None:
         self.round = round_tokens
-        self.phases = [p | {"vec": self._numbers(p["n"], p["total"])} for p in phases]
+        self.phases = [p | {"vec": self._numbers(p["n"], p["total"], round_tokens)} for p in phases]
 
     @staticmethod
-    def _numbers(n: list[int], total: int) -> np.ndarray:
-        return np.array(n, np.int64 if total < 3_000_000_000 else object)
+    def _numbers(n: list[int], total: int, round_tokens: int) -> np.ndarray:
+        fits = total < 3_000_000_000 or max(total * round_tokens, (total // round_tokens + 2) * total) < 1 << 62
+        return np.array(n, np.int64 if fits else object)
 
     def served(self, phase: dict, k: np.ndarray) -> np.ndarray:
         """Tokens of each queue served in the phase before round k: a row per k."""
-        at = np.minimum(k * self.round, phase["total"]).astype(phase["vec"].dtype)
-        return at[:, None] * phase["vec"][None, :] // phase["total"]
+        total, vec = phase["total"], phase["vec"]
+        if total < 3_000_000_000 or vec.dtype == object:
+            at = np.minimum(k.astype(vec.dtype) * self.round, total)
+            return at[:, None] * vec[None, :] // total
+        # a product of tokens would not fit: whole tokens of a round and its fraction apart
+        whole, rest = np.divmod(vec * self.round, total)
+        k = k[:, None]
+        return np.where(k >= -(-total // self.round), vec[None, :], k * whole + k * rest // total)
+
+    def _rounds(self, share: int, total: int, a: int, b: int, step: int) -> Iterator[tuple[np.ndarray, bool]]:
+        """The rounds that may serve a queue's tokens [a, b) of a phase, at most ``step`` at a time; True: each up to the last is there, else one per token."""
+        if share * self.round >= total:
+            k0 = max(0, a * total // (share * self.round) - 1)
+            k1 = min(b * total // (share * self.round) + 2, -(-total // self.round))
+            for k in range(k0, k1, step):
+                yield np.arange(k, min(k + step, k1) + 1), True
+        else:  # less than a token a round: the round of each token
+            for x in range(a, b, step):
+                yield np.array([-(-(-(-(i + 1) * total // share)) // self.round) - 1 for i in range(x, min(x + step, b))], np.int64), False
 
     def place(self, queue: int, first: int, n: int) -> list[tuple[int, int, int]]:
-        """Where the queue's tokens [first, first + n) come in the mix: (offset from first, position, length) runs."""
+        """Where the queue's tokens [first, first + n) come in the mix: (offset from first, position, length) runs.
+
+        Rounds that serve the queue are taken in blocks of about ``BLOCK`` numbers, however many rounds lie between.
+        """
         runs, last = [], first + n
         for phase in self.phases:
             done, share, total = phase["done"][queue], phase["n"][queue], phase["total"]
             a, b = max(first, done) - done, min(last, done + share) - done
             if a >= b:
                 continue
-            k0 = max(0, a * total // (share * self.round) - 1)
-            k1 = b * total // (share * self.round) + 2
-            k = np.arange(k0, min(k1, -(-total // self.round)) + 1)
-            cum = self.served(phase, k)
-            own = cum[:, queue]
-            starts = cum[:-1].sum(axis=1) + (cum[1:, :queue] - cum[:-1, :queue]).sum(axis=1) + phase["start"]
-            lo, hi = np.maximum(own[:-1], a), np.minimum(own[1:], b)
-            for i in np.flatnonzero(hi > lo):
-                runs.append((int(lo[i]) + done - first, int(starts[i] + lo[i] - own[i]), int(hi[i] - lo[i])))
+            for k, each in self._rounds(share, total, a, b, max(1, BLOCK // len(phase["n"]))):
+                cum = self.served(phase, k)
+                before, after = (cum[:-1], cum[1:]) if each else (cum, self.served(phase, k + 1))
+                starts = before.sum(axis=1) + (after[:, :queue] - before[:, :queue]).sum(axis=1) + phase["start"]
+                own = before[:, queue]
+                lo, hi = np.maximum(own, a), np.minimum(after[:, queue], b)
+                for i in np.flatnonzero(hi > lo):
+                    runs.append((int(lo[i]) + done - first, int(starts[i] + lo[i] - own[i]), int(hi[i] - lo[i])))
         return runs
 
 

@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -178,6 +179,38 @@ def test_schedule_serves_each_token_once(queues, round_tokens):
     assert taken == Counter(range(sum(totals)))
 
 
+@pytest.mark.parametrize("total", [7_500_000_000, 10**13])
+def test_schedule_places_a_rare_source_in_bounded_memory(total):
+    rare = 50
+    totals = [total // 20] * 19 + [rare]
+    schedule = packing.Schedule(packing.service_phases(totals))
+    tracemalloc.start()
+    runs = schedule.place(19, 0, rare)
+    wide = schedule.place(3, totals[3] - 5000, 5000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30_000_000 and sum(r[2] for r in wide) == 5000
+    whole, r = sum(totals), packing.WINDOW
+
+    def served(q, k):
+        return min(k * r, whole) * totals[q] // whole
+
+    want = []
+    for x in range(rare):
+        k = next(k for k in range(max(0, (x + 1) * whole // (rare * r) - 2), whole) if served(19, k + 1) > x)
+        want.append((x, sum(served(q, k) for q in range(20)) + sum(served(q, k + 1) - served(q, k) for q in range(19)), 1))
+    assert runs == want
+
+
+@pytest.mark.parametrize("block", [1, 7])
+def test_schedule_in_small_blocks_serves_each_token_once(monkeypatch, block):
+    monkeypatch.setattr(packing, "BLOCK", block)
+    totals = [900, 1, 37, 0, 3]
+    schedule = packing.Schedule(packing.service_phases(totals), 13)
+    at = sorted(p + i for q, n in enumerate(totals) for first in range(0, n, 50) for _, p, length in schedule.place(q, first, min(50, n - first)) for i in range(length))
+    assert at == list(range(sum(totals)))
+
+
 def brute_imatch(docs, min_share, max_share):
     """(text, edited text) -> subset term lists, straight from the definition."""
     words = lambda t: {w for w in re.split(r"[^\w]+|_+", t.lower()) if w}
