@@ -15,53 +15,51 @@ from tallygrid.llm.shared import read_table, written
 SEED = 42
 #: Shingle hashes whose bits are counted at once.
 CHUNK = 1 << 15
+#: Longs of a wide fingerprint (1024 bits), fingerprints of samples per text, and leaders that every member of a cell meets first.
+WIDE, SAMPLES, LEADERS = 16, 6, 2
 
 
-def _fingerprint(text: bytes, width: int) -> int:
-    """64 bits: bit b is 1 if it is set in over half of the shingle hashes (repeats count); 0 without words."""
+def _shingles(text: bytes, width: int) -> Iterator[int]:
+    """XXH64 of the runs of ``width`` words, repeats included; of the whole sequence if it has fewer words; nothing without words."""
     from itertools import islice
 
     import xxhash
 
     words = text.lower().split()  # bytes: only A-Z change, only ASCII white space splits
-    if not words:
-        return 0
     digest = xxhash.xxh64_intdigest
-    if len(words) <= width:
-        return digest(b" ".join(words), SEED)
-    shingles = map(b" ".join, zip(*(islice(words, k, None) for k in range(width))))
-    ones, n = np.zeros(64, np.int64), len(words) - width + 1
-    for at in range(0, n, CHUNK):
-        size = min(CHUNK, n - at)
-        h = np.fromiter((digest(s, SEED) for s in islice(shingles, size)), np.uint64, size)
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+    if 0 < len(words) <= width:
+        return iter((digest(b" ".join(words), SEED),))
+    return (digest(s, SEED) for s in map(b" ".join, zip(*(islice(words, k, None) for k in range(width)))))
 
 
-def length_band(text: bytes, ratio: float) -> int:
-    """Texts whose word counts differ by less than ``ratio`` are in the same band or in neighbouring ones."""
-    return int(math.log(len(text.split()) + 1) / math.log(ratio))
+def _fingerprint(text: bytes, width: int) -> int:
+    """64 bits: bit b is 1 if it is set in over half of the shingle hashes (repeats count); 0 without words."""
+    from itertools import islice
+
+    hashes, ones, n = _shingles(text, width), np.zeros(64, np.int64), 0
+    while len(h := np.fromiter(islice(hashes, CHUNK), np.uint64)):
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
+    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, width: int = 3, ratio: float | None = None) -> DataFrame:
-    """(doc_id, fp long, band int) of whole texts: A-Z lower-cased, shingles of ``width`` words, XXH64 of each. Null text has no words. The band of word counts is 0 without ``ratio``."""
+def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
+    """(doc_id, fp long) of whole texts: A-Z lower-cased, shingles of ``width`` words, XXH64 of each. Null text has no words; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             fps = np.fromiter((_fingerprint(t.as_py() or b"", width) for t in texts), np.uint64, len(texts))
-            bands = [length_band(t.as_py() or b"", ratio) if ratio else 0 for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), pa.array(bands, pa.int32())], names=["doc_id", "fp", "band"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, band int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def _counts(fp: Column) -> Column:
-    """The embedding: bit counts of 32 segments of two bits, each count in its own two bits of a long."""
+    """The embedding: bit counts of 32 segments of two bits. A count of 0, 1 or 2 is written as 00, 01 or 11, so that differing bits of two embeddings are their Manhattan distance."""
     odd = F.lit(0x5555555555555555)
     a, b = fp.bitwiseAND(odd), F.shiftrightunsigned(fp, 1).bitwiseAND(odd)
-    return a.bitwiseXOR(b).bitwiseOR(F.shiftleft(a.bitwiseAND(b), 1))
+    return a.bitwiseOR(b).bitwiseOR(F.shiftleft(a.bitwiseAND(b), 1))
 
 
 def _long(bits: int) -> Column:
@@ -74,61 +72,157 @@ def _blocks(radius: int) -> list[range]:
     return [range(32 * k // n, 32 * (k + 1) // n) for k in range(n)]
 
 
-def near_pairs(fps: DataFrame, radius: int = 3, banded: bool = False) -> DataFrame:
-    """(u, v) of distinct fingerprints ``fps`` (fp; with bands fp, band; with components so far root) with at most ``radius`` differing bits; each pair at least once.
+def near_pairs(fps: DataFrame, radius: int = 3) -> DataFrame:
+    """(u, v) of distinct fingerprints ``fps`` (fp; with components so far root) with at most ``radius`` differing bits; each pair at least once.
 
     Bits that differ change the counts of their segments by no more, so Manhattan distance between count vectors is a lower
     bound. If it is at most ``radius`` over all segments, it is at most 1 over one of radius/2 + 1 blocks of them.
     A grid has a cell per block and vector of counts in it; every fingerprint stands in its own cell and asks its own
-    cell and those with one count higher (a lower one is the other's higher one). Rows that meet are compared exactly in
-    the join's condition: no pair that is not a link leaves it. All links are found; nothing is capped.
-    With a column root, pairs of one root are left out and (u, v) are the roots. If ``banded``, fingerprints link only if their bands are equal or neighbours; the band is then a part of the cell.
+    cell and those with one count higher (a lower one is the other's higher one). Rows that meet are held against the bound, then
+    compared exactly, both in the join's condition: no pair that is not a link leaves it. All links are found; nothing is capped.
+    With a column root, pairs of one root are left out and (u, v) are the roots.
     """
     def masked(counts: Column, block: range) -> Column:
         return counts.bitwiseAND(_long(sum(3 << (2 * s) for s in block)))
 
-    band = F.col("band") if banded else F.lit(0).alias("band")
     root = F.col("root") if "root" in fps.columns else F.col("fp").alias("root")
-    counted = fps.select("fp", _counts(F.col("fp")).alias("c"), band, root)
+    counted = fps.select("fp", _counts(F.col("fp")).alias("c"), root)
     own, asks = [], []
     for k, block in enumerate(_blocks(radius)):
         cell = masked(F.col("c"), block)
         own.append(F.struct(F.lit(k).alias("block"), cell.alias("cell")))
         asks.append(F.struct(F.lit(k).alias("block"), cell.alias("cell"), F.lit(0).alias("step")))
-        for s in block:
+        for s in block if radius else ():
             field = F.shiftrightunsigned("c", 2 * s).bitwiseAND(F.lit(3))
-            higher = cell.bitwiseXOR(F.when(field == 0, _long(1 << (2 * s))).otherwise(_long(3 << (2 * s))))
-            asks.append(F.when(field < 2, F.struct(F.lit(k).alias("block"), higher.alias("cell"), F.lit(1).alias("step"))))
-    base = counted.select(F.col("fp").alias("v"), "band", "root", F.inline(F.array(*own)))
-    around = F.explode(F.array(*[F.col("band") + k for k in ((-1, 0, 1) if banded else (0,))])).alias("band")
-    ask = counted.select("fp", "c", "root", around).select(F.col("fp").alias("u"), "band", "root", F.explode(F.array_compact(F.array(*asks))).alias("a")).select("u", "band", "root", "a.*")
-    b, a = base.alias("b"), ask.alias("a")
+            higher = cell.bitwiseXOR(F.when(field == 0, _long(1 << (2 * s))).otherwise(_long(2 << (2 * s))))
+            asks.append(F.when(field < 3, F.struct(F.lit(k).alias("block"), higher.alias("cell"), F.lit(1).alias("step"))))
+    b = counted.select(F.col("fp").alias("v"), "c", "root", F.inline(F.array(*own))).alias("b")
+    a = counted.select(F.col("fp").alias("u"), "c", "root", F.explode(F.array_compact(F.array(*asks))).alias("a")).select("u", "c", "root", "a.*").alias("a")
+    bound = F.bit_count(F.col("a.c").bitwiseXOR(F.col("b.c"))) <= radius
     near = F.bit_count(F.col("a.u").bitwiseXOR(F.col("b.v"))) <= radius
     once = (F.col("a.step") == 1) | (F.col("a.u") < F.col("b.v"))
-    return a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.band") == F.col("b.band")) & once & near & (F.col("a.root") != F.col("b.root"))).select(F.col("a.root").alias("u"), F.col("b.root").alias("v"))
+    return a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.cell") == F.col("b.cell")) & once & bound & near & (F.col("a.root") != F.col("b.root"))).select(F.col("a.root").alias("u"), F.col("b.root").alias("v"))
+
 
+def _merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``nodes`` (root among its columns) with the roots that ``links`` (u, v) between roots join made one."""
+    found = components(links).select(F.col("node").alias("__old"), F.col("root").alias("__new"))
+    return written(nodes.join(found, nodes["root"] == found["__old"], "left").withColumn("root", F.coalesce("__new", "root")).drop("__old", "__new"), "nodes")
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, ratio: float | None = None) -> DataFrame:
+
+def _named(each: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """``each`` with component_id, the smallest ``first`` of its key's root in ``nodes`` (key, first, root)."""
+    names = written(nodes.groupBy("root").agg(F.min("first").alias("component_id")), "names")  # tables of their own leave the joins free to split hot keys
+    known = written(nodes.join(names, "root").select(F.col(key).alias("__k"), "component_id"), "known")
+    return each.join(known, F.col(key) == F.col("__k")).drop("__k")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     """A row per document (doc_id, text): doc_id, fp, component_id, the smallest doc_id that links of at most ``radius`` bits reach.
 
     Equal fingerprints become one node before any join, so groups of copies cost one row; links are found between
-    distinct fingerprints only and each keeps its exact distance check. With ``ratio``, word counts of linked texts are in
-    equal or neighbouring bands of that ratio (:func:`length_band`): texts that share most shingles are about as long. Null and empty texts share fingerprint zero. Repeated rows stay;
-    a null doc_id keeps its row and never names a component unless all of it is null.
+    distinct fingerprints only and each keeps its exact distance check. Null and empty texts share fingerprint zero. Repeated rows stay;
+    a null doc_id keeps its row and never names a component unless all of it is null; an empty table gives no rows. Other columns, whatever their names, are ignored.
     """
-    each = written(fingerprints(docs, width, ratio), "fingerprints")
-    distinct = written(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    nodes = each.select("fp", "band").distinct() if ratio else distinct.select("fp")
-    nodes = nodes.withColumn("root", F.col("fp"))
+    each = written(fingerprints(docs, width), "fingerprints")
+    nodes = written(each.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("root", F.col("fp")), "distinct")
     # wide links come last and only between what closer ones have left apart: a dense group is joined by few pairs, and no link is lost
     for step in [*range(3, radius, 2), radius]:
-        found = components(near_pairs(nodes, step, banded=bool(ratio)).distinct()).select(F.col("node").alias("old"), F.col("root").alias("new"))
-        nodes = written(nodes.join(found, nodes["root"] == found["old"], "left").withColumn("root", F.coalesce("new", "root")).drop("old", "new"), "nodes")
-    roots = nodes.select(F.col("fp").alias("node"), "root").distinct()
-    labelled = written(distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "first", "root"), "labelled")
-    names = written(labelled.groupBy("root").agg(F.min("first").alias("component_id")), "names")  # tables of their own leave the joins free to split hot keys
-    known = labelled.join(names, "root").select(F.col("fp").alias("k"), "component_id")
-    return each.join(known, F.col("fp") == F.col("k")).select("doc_id", "fp", "component_id")
+        nodes = _merged(nodes, near_pairs(nodes, step).distinct())
+    return _named(each, nodes, "fp").select("doc_id", "fp", "component_id")
+
+
+def wide_radius(similarity: float, bits: int = 64 * WIDE) -> int:
+    """Differing bits up to which texts link: nine in ten pairs whose shingle sets overlap by just ``similarity`` are within it.
+
+    Sets of overlap s are vectors at an angle of about acos(2s / (1 + s)), of which a bit tells by its share of a half turn.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * share + 1.3 * math.sqrt(bits * share * (1 - share)))
+
+
+_WIDE_COLUMNS, _SAMPLE_COLUMNS = [f"w{k}" for k in range(WIDE)], [f"s{k}" for k in range(SAMPLES)]
+
+
+def _factors() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(SEED)
+    odd = rng.integers(0, 1 << 63, WIDE + SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
+    return odd[:WIDE], odd[WIDE:]
+
+
+def _sketch(text: bytes, width: int, wide: np.ndarray, sampling: np.ndarray) -> list[int]:
+    """The wide fingerprint of a text's distinct shingles, and for each sampling that of the three that it ranks first; zeros without words."""
+    h = np.unique(np.fromiter(_shingles(text, width), np.uint64))
+    if not len(h):
+        return [0] * (WIDE + SAMPLES)
+
+    def mixed(x: np.ndarray) -> np.ndarray:
+        y = (x[:, None] ^ (x[:, None] >> np.uint64(31))) * wide[None, :]
+        return np.unpackbits((y ^ (y >> np.uint64(29))).view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little")
+
+    twice = mixed(h[:1])[0].astype(np.int64)  # a tie goes as the least shingle has it
+    twice -= len(h) + 1
+    for at in range(0, len(h), 250):
+        twice += 2 * np.add.reduce(mixed(h[at : at + 250]), axis=0, dtype=np.uint8).astype(np.int64)
+    out = np.packbits(twice >= 0, bitorder="little").view(np.uint64).tolist()
+    for factor in sampling:
+        rank = (h ^ (h >> np.uint64(29))) * factor
+        three = h[np.argpartition(rank, 2)[:3]] if len(h) > 3 else h
+        a, b, c = three if len(three) == 3 else (three[0], three[0], three[-1])
+        out.append(int((a & b) | (a & c) | (b & c)))
+    return out
+
+
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, node, w0.., s0..): wide fingerprints and those of samples (:func:`_sketch`); node is a hash of the wide one."""
+    names = [*_WIDE_COLUMNS, *_SAMPLE_COLUMNS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide, sampling = _factors()
+        for batch in batches:
+            rows = np.array([_sketch(t.as_py() or b"", width, wide, sampling) for t in batch.column(1).cast(pa.binary())], np.uint64).reshape(-1, len(names)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(len(names)))], names=["doc_id", *names])
+
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {', '.join(f'{x} long' for x in names)}")
+    return found.select("doc_id", F.xxhash64(*_WIDE_COLUMNS).alias("node"), *names)
+
+
+def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """A row per document (doc_id, text): doc_id, component_id, the smallest doc_id that links of about ``similarity`` reach.
+
+    64 bits cannot tell an overlap of 0.8: such texts differ in 10 of them, as far as no grid can ask. So a text has a wide
+    fingerprint, which decides (:func:`wide_radius`), and fingerprints of a few samples of its shingles, which texts of that overlap share in one of
+    ``SAMPLES`` with probability 0.98. Samples stand in the grid of segment counts at Manhattan distance 0; who meets in a cell is compared exactly.
+
+    Equal wide fingerprints are one node. All members of a cell meet its ``LEADERS`` first; then, in cells that still hold several
+    components, the members outside the largest meet all others of another one. So pairs within a group of copies are not made, and
+    of pairs that share a cell none is left out. Null and empty texts are one group; odd rows as in :func:`near_duplicates`.
+    """
+    radius = wide_radius(similarity)
+    each = written(sketches(docs, width), "sketches")
+    nodes = written(each.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.min(c).alias(c) for c in (*_WIDE_COLUMNS, *_SAMPLE_COLUMNS)]), "distinct")
+    cells = nodes.select("node", F.inline(F.array(*[F.struct(F.lit(k).alias("sample"), _counts(F.col(c)).alias("cell")) for k, c in enumerate(_SAMPLE_COLUMNS)])))
+    keys, turn = ["sample", "cell"], [F.xxhash64("node", F.lit(k)) for k in range(LEADERS)]
+    shared = written(cells.groupBy(*keys).agg(F.count("*").alias("n"), *[F.min(x).alias(f"turn{k}") for k, x in enumerate(turn)]).filter("n > 1").drop("n"), "cells")
+    own = nodes.select(F.col("node").alias("__n"), *_WIDE_COLUMNS)
+    met = cells.join(shared, keys)
+    leads = F.array_contains(F.array(*[x == F.col(f"turn{k}") for k, x in enumerate(turn)]), True).alias("leads")
+    members = written(met.select("node", *keys, leads).join(own, F.col("node") == F.col("__n")).drop("__n"), "members")
+
+    def near(a: str, b: str) -> Column:
+        differing = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in _WIDE_COLUMNS[1:]), F.bit_count(F.col(f"{a}.w0").bitwiseXOR(F.col(f"{b}.w0"))))
+        return (F.col(f"{a}.sample") == F.col(f"{b}.sample")) & (F.col(f"{a}.cell") == F.col(f"{b}.cell")) & (differing <= radius)
+
+    a, b = members.alias("a"), members.filter("leads").alias("b")
+    links = a.join(b, near("a", "b") & (F.col("a.node") != F.col("b.node"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    nodes = _merged(nodes.select("node", "first", F.col("node").alias("root")), links)
+    rooted = members.drop("leads").join(nodes.select(F.col("node").alias("__n"), "root"), F.col("node") == F.col("__n")).drop("__n")
+    held = rooted.groupBy(*keys, "root").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.count("*").alias("roots"), F.max(F.struct("n", "root"))["root"].alias("main"))
+    mixed = written(held.filter("roots > 1").drop("roots"), "mixed")
+    rest = written(rooted.join(mixed, keys), "rest")
+    a, b = rest.filter("root <> main").alias("a"), rest.alias("b")
+    links = a.join(b, near("a", "b") & (F.col("a.root") != F.col("b.root"))).select(F.col("a.root").alias("u"), F.col("b.root").alias("v")).distinct()
+    return _named(each.select("doc_id", "node"), _merged(nodes, links), "node").select("doc_id", "component_id")
 
 
 def op5_simhash_components(spark, sf_dir: str) -> DataFrame:
