@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallygrid.llm.shared import read_table, text_key
-
-#: Documents in one bucket of neighbours, about, and the most buckets.
-BUCKET_ROWS, MAX_BUCKETS = 500, 50_000
+from tallygrid.llm.shared import read_table, text_key, written
+
+#: Documents in one bucket of neighbours, about; of more than RING times as many documents a bucket has more, so that a row per bucket may be broadcast (24 MB).
+BUCKET_ROWS, RING = 500, 1_000_000
+#: Approximate quantiles of the ids, between which buckets are dealt evenly.
+QUANTILES = 1024
+#: Groups of near copies with so large a share of all documents count as one document each; there are at most 1 / HOT_SHARE.
+HOT_SHARE = 0.01
+#: A lexicon of so many rows at most is broadcast (about 40 MB).
+LEXICON_ROWS = 1_000_000
 #: The band: terms in at least MIN_SHARE and at most MAX_SHARE of all documents.
 MIN_SHARE, MAX_SHARE = 0.0005, 0.2
 #: A random subset k holds a term with probability 1 / 2^e, e = EXPONENTS[k]. Large subsets tell copies with few changes from others, small ones still agree when half of a text is new.
@@ -24,14 +30,39 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), "")
 
 
+def _alike(words: Column) -> Column:
+    """A key that near copies mostly share and other documents hardly ever: three independent minima over the terms."""
+    return F.xxhash64(*[F.array_min(F.transform(words, lambda t: F.xxhash64(t, F.lit(f"minimum {k}")))) for k in range(3)])
+
+
+def document_weights(docs: DataFrame) -> Column | None:
+    """1 per document, but 1 per group for groups of copies and near copies of at least ``HOT_SHARE`` of all documents (None: there are none).
+
+    Else a text that a third of all documents copy would push its own terms out of the band. At most 1 / HOT_SHARE keys come to the driver.
+    """
+    n = docs.count()
+    keys = docs.select(_alike(terms(_text())).alias("k")).groupBy("k").count()
+    hot = {r["k"]: r["count"] for r in keys.filter(F.col("count") >= max(2, HOT_SHARE * n)).collect()} if n else {}
+    if not hot:
+        return None
+    own = F.try_element_at(F.create_map(*[F.lit(x) for k, c in hot.items() for x in (k, 1.0 / c)]), _alike(terms(_text())))
+    return F.coalesce(own, F.lit(1.0))
+
+
 def lexicon(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float = MAX_SHARE) -> DataFrame:
     """(term, subset): the terms whose inverse document frequency is within the band, in each random subset that has them.
 
-    ln(1 / max_share) <= ln(N / df) <= ln(1 / min_share), counted over all documents. Its size is bounded whatever the corpus:
+    ln(1 / max_share) <= ln(N / df) <= ln(1 / min_share), counted over all documents (:func:`document_weights`). Its size is bounded whatever the corpus:
     at most (mean distinct terms per document) / min_share terms reach that frequency, and a term is in 0.6 subsets on average.
     """
-    n = docs.count()
-    found = docs.select(F.explode(terms(_text())).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    weight = document_weights(docs)
+    if weight is None:
+        n, each, df = docs.count(), docs.select(F.explode(terms(_text())).alias("term")), F.count("*")
+    else:  # sums of doubles depend on their order: count in units of 2^-20
+        units = docs.select(F.round(weight * (1 << 20)).cast("long").alias("units"), _text().alias("text"))
+        n = (units.agg(F.sum("units")).first()[0] or 0) / (1 << 20)
+        each, df = units.select("units", F.explode(terms(F.col("text"))).alias("term")), F.sum("units") / (1 << 20)
+    found = each.groupBy("term").agg(df.alias("df"))
     kept = found.filter((F.col("df") >= min_share * n) & (F.col("df") <= max(max_share * n, 1)))
     drawn = [F.when(F.xxhash64(F.col("term"), F.lit(f"subset {k}")).bitwiseAND(F.lit((1 << e) - 1)) == 0, F.lit(k)) for k, e in enumerate(EXPONENTS)]
     # tied to df, so that no filter on the subsets moves below the aggregation and hashes each occurrence
@@ -50,36 +81,68 @@ def likeness(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(names(a), names(b)))
 
 
+def _share(x: Column, lo: Column, hi: Column, parts: Column) -> Column:
+    """Which of ``parts`` even ranges of [lo, hi) holds x."""
+    at = (x.cast("double") - lo.cast("double")) / (hi.cast("double") - lo.cast("double"))
+    return F.least(F.floor(at * parts), parts - 1).cast("long")
+
+
+def _buckets(docs: DataFrame) -> Column:
+    """The bucket of a document (doc_id, tie): an order-preserving number.
+
+    Approximate quantiles cut the ids into even ranges, and each range is cut evenly again until a bucket has about ``BUCKET_ROWS`` rows. An id
+    (or null) that fills a whole range is cut by tie, a hash, so however many rows have it they are spread.
+    """
+    counts = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    n, rows = counts["n"], max(BUCKET_ROWS, counts["n"] // RING)
+    cuts = max(1, min(QUANTILES, counts["ids"] // rows))
+    found = docs.agg(F.percentile_approx("doc_id", [k / cuts for k in range(1, cuts)], 20 * QUANTILES)).first()[0] if cuts > 1 else []
+    per_null = max(1, (n - counts["ids"]) // rows)
+    tie = lambda parts: _share(F.col("tie"), F.lit(-(1 << 63)), F.lit(1 << 62).cast("double") * 2, F.lit(parts))
+    if not counts["ids"]:
+        return tie(per_null)
+    bounds = sorted([counts["lo"], *found])
+    ranges, first = [], per_null  # (from, to or null if it is one id, parts, bucket of the first part)
+    for lo in sorted(set(bounds)):
+        times = bounds.count(lo)
+        held = counts["ids"] / cuts
+        if times > 1:
+            parts = max(1, int(held * times / rows))
+            ranges.append((lo, None, parts, first))
+            first += parts
+            lo += 1
+        later = next((b for b in bounds if b > lo), counts["hi"] + 1)
+        if later > lo:
+            parts = max(1, int(held / rows))
+            ranges.append((lo, later, parts, first))
+            first += parts
+    starts = F.array(*[F.lit(r[0]).cast("long") for r in ranges])
+    width = max(1, int(len(ranges) ** 0.5))
+    heads = F.array(*[F.lit(ranges[k][0]).cast("long") for k in range(0, len(ranges), width)])
+    i = (F.size(F.filter(heads, lambda b: b <= F.col("doc_id"))) - 1) * width  # two short scans in place of one long one
+    at = i + F.size(F.filter(F.slice(starts, i + 1, F.lit(width)), lambda b: b <= F.col("doc_id"))) - 1
+    table = F.from_json(F.lit(str([[0 if x is None else x for x in (*r, r[1] is None)] for r in ranges]).replace("True", "1").replace("False", "0")), "array<array<bigint>>")
+    own = F.get(table, at)
+    inside = F.when(F.get(own, F.lit(4)) == 1, _share(F.col("tie"), F.lit(-(1 << 63)), F.lit(1 << 62).cast("double") * 2, F.get(own, F.lit(2)))).otherwise(_share(F.col("doc_id"), F.get(own, F.lit(0)), F.get(own, F.lit(1)), F.get(own, F.lit(2))))
+    return F.when(F.col("doc_id").isNull(), tie(per_null)).otherwise(F.get(own, F.lit(3)) + inside)
+
+
 def _with_neighbours(docs: DataFrame) -> DataFrame:
-    """Documents bucketed by ranges of doc_id, each bucket led by a ghost of the document just below it.
+    """Documents in buckets that follow (doc_id, tie), each bucket led by a ghost of the document just below it.
 
-    Columns: bucket, ghost, doc_id, tie, text. The first bucket's ghost is the largest document.
-    Bucket bounds are approximate quantiles, so buckets are even; doc_id null comes below all others.
+    Columns: bucket, ghost, doc_id, tie, text. The first bucket's ghost is the largest document; doc_id null comes below all others.
     """
-    n = docs.count()
-    n_buckets = max(1, min(MAX_BUCKETS, n // BUCKET_ROWS))
-    cuts = [k / n_buckets for k in range(1, n_buckets)]
-    bounds = docs.agg(F.percentile_approx("doc_id", cuts, max(10_000, 20 * n_buckets)).alias("b")).first()["b"] if cuts else []
-    bounds = sorted(set(bounds or []))
-    width = max(1, int(len(bounds) ** 0.5))
-    groups = [bounds[k : k + width] for k in range(0, len(bounds), width)]
-    if groups:  # two short scans in place of one long one
-        heads = F.array(*[F.lit(g[0]).cast("long") for g in groups])
-        inner = F.from_json(F.lit(str(groups)), "array<array<bigint>>")
-        i = F.size(F.filter(heads, lambda b: b <= F.col("doc_id")))
-        j = F.size(F.filter(F.get(inner, i - 1), lambda b: b <= F.col("doc_id")))
-        bucket = F.when(F.col("doc_id").isNull() | (i == 0), F.lit(0)).otherwise((i - 1) * width + j)
-    else:
-        bucket = F.lit(0)
-    own = docs.select("doc_id", _text().alias("text"), bucket.cast("int").alias("own"))
-    ends = own.groupBy("own").agg(F.max("doc_id").alias("last"))
+    rows = docs.select("doc_id", _text().alias("text")).withColumn("tie", text_key())
+    own = rows.withColumn("own", _buckets(rows.select("doc_id", "tie")))
+    order = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "tie")
+    ends = own.groupBy("own").agg(F.max(order).alias("last"))
     ring = ends.select("own", "last", F.coalesce(F.lead("own").over(Window.orderBy("own")), F.min("own").over(Window.partitionBy())).alias("next"))
-    # a row per bucket, at most MAX_BUCKETS: small enough to broadcast
+    # a row per bucket, about RING at most: small enough to broadcast
     led = own.join(F.broadcast(ring), "own").withColumn("to", F.explode(F.array_compact(F.array(
         F.struct(F.col("own").alias("bucket"), F.lit(0).alias("ghost")),
-        F.when(F.col("doc_id").eqNullSafe(F.col("last")), F.struct(F.col("next").alias("bucket"), F.lit(1).alias("ghost"))),
+        F.when(order == F.col("last"), F.struct(F.col("next").alias("bucket"), F.lit(1).alias("ghost"))),
     ))))
-    return led.select("to.bucket", "to.ghost", "doc_id", text_key().alias("tie"), "text")
+    return led.select("to.bucket", "to.ghost", "doc_id", "tie", "text")
 
 
 def fingerprint_edits(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float = MAX_SHARE) -> DataFrame:
@@ -88,13 +151,13 @@ def fingerprint_edits(docs: DataFrame, min_share: float = MIN_SHARE, max_share:
     The edited text is the text with its last floor(n/2) code points replaced by the first as many of the next document
     in descending doc_id order (after the last: the first). Returns doc_id, n_chars, text, edited, fingerprint,
     edited_fingerprint, near_edited, near_next. Null text is empty. Documents that repeat a doc_id are ordered by
-    a hash of their text; a null doc_id is the smallest; a single document is its own next one.
+    a hash of their text; a null doc_id is the smallest; a single document is its own next one. An empty table gives no rows; other columns, whatever their names, are ignored.
 
     One shuffle carries texts, by bucket of neighbours; terms meet the broadcast lexicon and are gathered again in that
     same partitioning. A second, of term counts, makes the lexicon.
     """
     docs = docs.select("doc_id", "text")
-    words = lexicon(docs, min_share, max_share)
+    words = written(lexicon(docs, min_share, max_share), "lexicon")
     order = Window.partitionBy("bucket").orderBy(F.col("ghost").desc(), F.col("doc_id").asc_nulls_first(), "tie")
     n, half = F.char_length("text"), F.floor(F.char_length("text") / 2).cast("int")
     rows = _with_neighbours(docs).withColumn("rn", F.row_number().over(order)).withColumn("next", F.lag("text").over(order))
@@ -110,7 +173,7 @@ def fingerprint_edits(docs: DataFrame, min_share: float = MIN_SHARE, max_share:
     own = F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("of"), about.cast(kind).alias("about")))
     each = rows.select("bucket", "rn", F.inline(F.concat(own, tagged(F.col("text"), 1), F.coalesce(tagged(F.col("edited"), 2), F.slice(own, 1, 0)))))
     known = words.unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(-1).alias("subset")))
-    hashed = each.join(F.broadcast(known), "term").groupBy("bucket", "rn", "of", "subset").agg(
+    hashed = each.join(F.broadcast(known) if words.count() <= LEXICON_ROWS else known, "term").groupBy("bucket", "rn", "of", "subset").agg(
         F.xxhash64(F.sort_array(F.collect_list("term"))).alias("h"), F.max("about").alias("about"))
     part = F.concat(F.lpad(F.col("subset").cast("string"), 2, "0"), F.lit("="), F.substring(_hex(F.col("h")), 1, 8))
     gathered = hashed.groupBy("bucket", "rn").agg(

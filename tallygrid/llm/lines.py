@@ -52,9 +52,12 @@ def line_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     return words.groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_list(F.struct("word", F.bitwise_not("drop").alias("bits")))).alias("keep"))
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with the lines that their bitmaps drop taken out of text; adds n_lines (before) and n_dropped."""
-    names = docs.columns
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, counts: bool = True) -> DataFrame:
+    """``docs`` with the lines that their bitmaps drop taken out of text; with ``counts`` adds n_lines (before) and n_dropped, in place of columns of that name.
+
+    Other columns stay, whatever their names; a null text that loses no line stays null; repeated rows are cut each; an empty table stays empty.
+    """
+    names = [c for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
     maps = bitmaps.select(F.col("doc_id").alias("__doc"), F.col("row_key").alias("__row"), F.col("keep").alias("__keep"))
     both = docs.withColumn("__key", _row_key()).join(maps, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__row")), "left")
     lines = F.split(_text(), "\n")
@@ -62,10 +65,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
         F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit(w["bits"], b) == 0), lambda b: w["word"] * 64 + b)))
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), at), lambda i: F.get(lines, i)), "\n")
     lost = F.aggregate("__keep", F.lit(0).cast("long"), lambda n, w: n + 64 - F.bit_count(w["bits"]))
-    return both.select(
-        *[F.when(F.col("__keep").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in names],
-        F.size(lines).cast("long").alias("n_lines"), F.coalesce(lost, F.lit(0).cast("long")).alias("n_dropped"),
-    )
+    counted = [F.size(lines).cast("long").alias("n_lines"), F.coalesce(lost, F.lit(0).cast("long")).alias("n_dropped")] if counts else []
+    return both.select(*[F.when(F.col("__keep").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in names], *counted)
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:

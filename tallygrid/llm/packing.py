@@ -13,8 +13,6 @@ from tallygrid.llm.encoding import encoder
 from tallygrid.llm.shared import text_key, written
 
 WINDOW = 2048
-#: More distinct sources than this share queues, dealt by a hash of the source.
-MAX_QUEUES = 4096
 #: Numbers (rounds x queues) that :meth:`Schedule.place` holds at once, about.
 BLOCK = 1 << 18
 
@@ -55,23 +53,19 @@ class Schedule:
 
     def __init__(self, phases: list[dict], round_tokens: int = WINDOW) -> None:
         self.round = round_tokens
-        self.phases = [p | {"vec": self._numbers(p["n"], p["total"], round_tokens)} for p in phases]
-
-    @staticmethod
-    def _numbers(n: list[int], total: int, round_tokens: int) -> np.ndarray:
-        fits = total < 3_000_000_000 or max(total * round_tokens, (total // round_tokens + 2) * total) < 1 << 62
-        return np.array(n, np.int64 if fits else object)
+        self.phases = [p | {"n": np.array(p["n"], np.int64), "done": np.array(p["done"], np.int64)} for p in phases]
+        for p in self.phases:  # a round's quantum of each queue: whole tokens, and its fraction's numerator over total
+            parts = [divmod(int(x) * round_tokens, p["total"]) for x in p["n"]]
+            p["whole"], p["rest"] = np.array([x for x, _ in parts], np.int64), np.array([x for _, x in parts], np.int64)
 
     def served(self, phase: dict, k: np.ndarray) -> np.ndarray:
         """Tokens of each queue served in the phase before round k: a row per k."""
-        total, vec = phase["total"], phase["vec"]
-        if total < 3_000_000_000 or vec.dtype == object:
-            at = np.minimum(k.astype(vec.dtype) * self.round, total)
-            return at[:, None] * vec[None, :] // total
-        # a product of tokens would not fit: whole tokens of a round and its fraction apart
-        whole, rest = np.divmod(vec * self.round, total)
-        k = k[:, None]
-        return np.where(k >= -(-total // self.round), vec[None, :], k * whole + k * rest // total)
+        total, rest, k = phase["total"], phase["rest"], k.astype(np.int64)[:, None]
+        # floor(k x rest / total) where the product may not fit: a quotient in floating point, off by one at most, set right by its remainder, which fits
+        quotient = (k * (rest / total)).astype(np.int64)
+        remainder = k * rest - quotient * total
+        quotient += (remainder >= total).astype(np.int64) - (remainder < 0)
+        return np.where(k >= -(-total // self.round), phase["n"], k * phase["whole"] + quotient)
 
     def _rounds(self, share: int, total: int, a: int, b: int, step: int) -> Iterator[tuple[np.ndarray, bool]]:
         """The rounds that may serve a queue's tokens [a, b) of a phase, at most ``step`` at a time; True: each up to the last is there, else one per token."""
@@ -91,7 +85,7 @@ class Schedule:
         """
         runs, last = [], first + n
         for phase in self.phases:
-            done, share, total = phase["done"][queue], phase["n"][queue], phase["total"]
+            done, share, total = int(phase["done"][queue]), int(phase["n"][queue]), phase["total"]
             a, b = max(first, done) - done, min(last, done + share) - done
             if a >= b:
                 continue
@@ -116,16 +110,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, wei
     all are full but the last. Documents are cut wherever service or a sequence ends.
 
     Returns a row per piece: doc_id, source, start, length, ids (binary, unsigned 32-bit), doc_tokens, sequence_id, offset.
-    Null text is empty (its end id stays), null source a queue of its own, repeated rows are packed each; an empty table gives no rows.
+    Null text is empty (its end id stays), null source a queue of its own, repeated rows are packed each; an empty table gives no rows. Other columns, whatever their names, are ignored.
 
-    Memory: one document and one Arrow batch per task. Queues: at most ``MAX_QUEUES``, further sources share them by hash.
+    Memory of a task: a document, an Arrow batch, ``BLOCK`` numbers, and four numbers for each source: however many there are, each keeps its own target.
     """
     src = F.col("source").cast("string")
     if weights is not None:
         names = sorted(weights)
         queue = F.when(src.isin(names), F.concat(F.lit("s"), src)).otherwise(F.lit("r"))
-    elif docs.select(src).distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
-        queue = F.concat(F.lit("h"), F.pmod(F.xxhash64(src), F.lit(MAX_QUEUES)).cast("string"))
     else:
         queue = F.concat(F.lit("s"), F.coalesce(F.concat(F.lit("="), src), F.lit("")))
     order = ("queue", "doc_id", "tie")
@@ -156,7 +148,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, wei
     # a row per (partition, queue): at most partitions + queues rows, however many documents there are
     parts = encoded.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     bases = parts.select("queue", "part", F.coalesce(F.sum("n").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    totals = {r["queue"]: r["n"] for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # <= MAX_QUEUES rows
+    sums = parts.groupBy("queue").agg(F.sum("n").alias("n")).toArrow()  # a row per source
+    totals = dict(zip(sums["queue"].to_pylist(), sums["n"].to_pylist(), strict=True))
     queues = sorted(totals)
     given = None if weights is None else [float(weights[q[1:]]) if q[0] == "s" else float(rest_weight) for q in queues]
     schedule = Schedule(service_phases([totals[q] for q in queues], given), round_tokens or window)

@@ -11,86 +11,115 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tallygrid.llm.shared import read_table
 
 #: Rows of a shard and of a block of queries: a task holds one of each.
-SHARD_ROWS, BLOCK_ROWS = 8192, 1024
-#: Components beyond this size are held at it.
-_LARGEST = 1 << 53
-#: Dimensions traversed between two looks at the bounds.
-STEP = 16
+SHARD_ROWS, BLOCK_ROWS = 8192, 4096
+#: Rows that are traversed between two looks at the threshold, and terms that are probed between two looks at the bounds.
+ROWS, TERMS = 1024, 8
+_EXACT = float(1 << 53)
 
 
-def maxscore(shard: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> Iterator[tuple[int, int, int, int]]:
-    """The best ``k`` (query_id, vec_id, score in two parts: high x 2^62 + low) per query within a shard, ties to smaller ids, own row left out.
+def whole_numbers(values: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale x value): doubles where all of them are exact, else Python integers of any size."""
+    with np.errstate(over="ignore"):
+        product = values * scale
+    if np.abs(product).max(initial=0) < _EXACT:
+        return np.floor(product)
+    return np.array([int(x) * scale if abs(x) >= _EXACT else int(np.floor(x * scale)) for x in values.ravel().tolist()], object).reshape(values.shape)
 
-    Dimensions are a query's terms, a shard's columns their postings. A term's bound is the most that it adds to any
-    score in the shard. In order of bounds, the leading terms are essential: while the bounds of the rest could still lift
-    a row over the k-th best score, their postings are traversed for all rows; then only rows that stay competitive are probed
-    for the rest. The k-th best score so far comes from the rows that lead after the first step.
+
+def maxscore(shard: np.ndarray, ids: np.ndarray, query_id: int, query: np.ndarray, k: int, count: list[int] | None = None) -> list[tuple[int, int]]:
+    """The best ``k`` (vec_id, score) of one query within a shard of whole numbers, ties to smaller ids, the query's own id left out.
+
+    Dimensions are the query's terms, a shard's columns their postings. Each term adds at least its least product to any score; its bound is
+    how much more it can add. In order of bounds, the last terms that together cannot lift a row over the k-th best score so far are
+    non-essential. ``ROWS`` rows at a time, the postings of the essential terms are traversed for all rows; the other terms are probed, greatest
+    bound first, only for rows that can still compete. The threshold rises after each lot of rows, and more terms become non-essential.
+    ``count`` collects the numbers of traversed and probed postings.
     """
-    top, low = shard.max(axis=0), shard.min(axis=0)
-    exact = np.abs(shard).max(initial=0) * float(np.abs(queries).max(initial=0)) * shard.shape[1] < 2**53
-    work = shard.astype(np.float64) if exact else shard.astype(object)
-    for query_id, query in zip(query_ids.tolist(), queries, strict=True):
-        q = query.astype(work.dtype)
-        bound = np.maximum(q * top.astype(work.dtype), q * low.astype(work.dtype))
-        order = np.argsort(-np.abs(q.astype(np.float64)) * (top - low).astype(np.float64), kind="stable")
-        rest = np.append(np.cumsum(bound[order][::-1])[::-1], 0)  # what terms from here on add at most
-        rows = np.flatnonzero(ids != query_id)
-        score, floor = np.zeros(len(rows), work.dtype), None
-        for at in range(0, len(order), STEP):
-            terms = order[at : at + STEP]
-            score = score + work[np.ix_(rows, terms)].dot(q[terms]) if len(rows) < len(ids) - 1 else score + (work[:, terms].dot(q[terms]))[rows]
-            left = rest[min(at + STEP, len(order))]
-            if len(rows) <= k or at + STEP >= len(order):
-                continue
-            if floor is None:  # full scores of the leaders are a floor for the k-th best
-                lead = rows[np.argpartition(-score.astype(np.float64), k - 1)[:k]]
-                floor = min(work[lead].dot(q))
-            keep = score + left >= floor
-            rows, score = rows[keep], score[keep]
-        best = np.lexsort((ids[rows], -score.astype(np.float64) if exact else np.array([-int(s) for s in score], object)))[:k]
-        for i in best:
-            yield query_id, int(ids[rows[i]]), *divmod(int(score[i]), 1 << 62)
+    q = query.astype(shard.dtype)
+    ends = np.stack([q * shard.max(axis=0), q * shard.min(axis=0)])
+    least = ends.min(axis=0)
+    bound = ends.max(axis=0) - least
+    order = np.array(sorted(range(len(q)), key=lambda t: -bound[t]), int)
+    floor = least.sum()
+    rest = np.append(np.cumsum(bound[order][::-1])[::-1], bound[:0].sum())  # what terms from here on add at most
+    best: list[tuple[int, int]] = []  # (-score, vec_id), sorted
+    for at in range(0, len(ids), ROWS):
+        rows = np.flatnonzero(ids[at : at + ROWS] != query_id) + at
+        full = len(best) == k
+        threshold = -best[-1][0] if full else None
+        essential = next((n for n in range(len(order) + 1) if floor + rest[n] < threshold), len(order)) if full else len(order)
+        lead = order[:essential]
+        score = floor + (shard[np.ix_(rows, lead)].dot(q[lead]) - least[lead].sum() if essential else np.zeros(len(rows), shard.dtype))
+        seen = [len(rows) * essential, 0]
+        for n in range(essential, len(order) + 1, TERMS):
+            if full:
+                keep = score + rest[min(n, len(order))] >= threshold
+                rows, score = rows[keep], score[keep]
+            terms = order[n : n + TERMS]
+            if not len(rows) or not len(terms):
+                break
+            score = score + (shard[np.ix_(rows, terms)].dot(q[terms]) - least[terms].sum())
+            seen[1] += len(rows) * len(terms)
+        if len(rows) > k:  # ties of the k-th score stay for their ids
+            cut = np.sort(score)[-k] if score.dtype != object else sorted(score.tolist())[-k]
+            rows, score = rows[score >= cut], score[score >= cut]
+        best = sorted([*best, *((-int(s), int(i)) for s, i in zip(score.tolist(), ids[rows].tolist(), strict=True))])[:k]
+        if count is not None:
+            count[0] += seen[0]
+            count[1] += seen[1]
+    return [(i, -s) for s, i in best]
+
+
+def sortable(n: int) -> bytes:
+    """Bytes that sort as the integers do, whatever their size."""
+    size = (abs(n).bit_length() + 7) // 8
+    own = size.to_bytes(2, "big") + abs(n).to_bytes(size, "big")
+    return b"\1" + own if n >= 0 else b"\0" + bytes(255 - b for b in own)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256) -> DataFrame:
     """The ``k`` rows of ``vectors`` (vec_id, embedding) with the highest integer inner product for each of ``queries`` (same columns).
 
-    Components become floor(scale x component). Rows whose vector is null, or holds null or non-finite components, take no part, nor do
-    null ids; vectors of unlike lengths are never compared; a row with the query's own id is no candidate. Ranks follow exact scores; a score beyond a long is shown as its end, a component beyond 2^53 counts as that.
+    Components become floor(scale x component), integers of any size. Rows whose vector is null, or holds null or non-finite components, take no part, nor do
+    null ids; vectors of unlike lengths are never compared; a row with the query's own id is no candidate; rows that repeat an id are candidates each. Ranks follow exact scores; a score
+    beyond a long is shown as its end. Other columns, whatever their names, are ignored; an empty table gives no rows.
 
     Shards of ``SHARD_ROWS`` vectors meet blocks of ``BLOCK_ROWS`` queries by a key of (block, shard): the query set is stated and a
     task holds one block and one shard. Each returns k rows per query (:func:`maxscore`), merged by rank.
     """
-    def whole(df: DataFrame) -> DataFrame:
-        numbers = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.greatest(F.least(F.floor(x * F.lit(float(scale))), F.lit(_LARGEST)), F.lit(-_LARGEST)))
-        fine = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        return df.filter(fine).select(F.col("vec_id").cast("long").alias("vec_id"), numbers.alias("v"), F.size("embedding").alias("dim"))
+    def fine(df: DataFrame) -> DataFrame:
+        numbers = F.col("embedding").cast("array<double>")
+        taken = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+        return df.filter(taken).select(F.col("vec_id").cast("long").alias("vec_id"), numbers.alias("v"), F.size("embedding").alias("dim"))
 
-    vectors, queries = whole(vectors), whole(queries)
+    vectors, queries = fine(vectors), fine(queries)
     n_shards = max(1, -(-vectors.count() // SHARD_ROWS))
     n_blocks = max(1, -(-queries.count() // BLOCK_ROWS))
     shards = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(n_shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     blocks = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
 
     def search(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list = []
+        found: list[tuple] = []
         if len(left) and len(right):
-            ids, query_ids = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
             dim = key[2].as_py()
-            if dim:
-                m = left["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
-                q = right["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
-            else:
-                m, q = np.zeros((len(ids), 1), np.int64), np.zeros((len(query_ids), 1), np.int64)
-            found = list(maxscore(m, ids, q, query_ids, k))
+
+            def matrix(table: pa.Table) -> np.ndarray:
+                return whole_numbers(table["v"].combine_chunks().flatten().to_numpy().reshape(len(table), dim), scale)
+
+            m, q = matrix(left), matrix(right)
+            if m.dtype == object or q.dtype == object or dim and 4.0 * dim * np.abs(m).max() * np.abs(q).max() >= _EXACT:  # sums of doubles would round
+                m, q = (x if x.dtype == object else np.array([int(v) for v in x.ravel().tolist()], object).reshape(x.shape) for x in (m, q))
+            ids = left["vec_id"].to_numpy()
+            for query_id, query in zip(right["vec_id"].to_pylist(), q, strict=True):
+                found += [(query_id, i, max(-(2**63), min(2**63 - 1, s)), sortable(s)) for i, s in maxscore(m, ids, query_id, query, k)]
         cols = zip(*found, strict=True) if found else ((), (), (), ())
-        return pa.table(dict(zip(("query_id", "vec_id", "high", "low"), (pa.array(c, pa.int64()) for c in cols), strict=True)))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.table(dict(zip(("query_id", "vec_id", "score", "by"), (pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)), strict=True)))
 
     keys = ["shard", "block", "dim"]
-    local = shards.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, high long, low long")
-    best = Window.partitionBy("query_id").orderBy(F.col("high").desc(), F.col("low").desc(), "vec_id")
-    score = F.when(F.col("high") > 1, F.lit(2**63 - 1)).when(F.col("high") < -2, F.lit(-(2**63))).otherwise(F.col("high") * F.lit(1 << 62) + F.col("low"))
-    return local.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
+    local = shards.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long, by binary")
+    best = Window.partitionBy("query_id").orderBy(F.col("by").desc(), "vec_id")
+    return local.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_maxscore_topk(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,6 @@ LABELLED_ROWS = 20_000
 MIN_TOXIC, MIN_PRECISION = 6, 0.75
 #: Labelled texts are copies if all minima of one band agree, and so large a share of all minima.
 BANDS, BAND_MINIMA, COPY_SHARE = 6, 6, 0.7
-#: Features kept at most, by evidence.
-MAX_FEATURES = 20_000
 #: Tokens that one Python worker remembers.
 REMEMBERED = 200_000
 
@@ -35,8 +34,10 @@ _L, _S = LETTERS, re.escape("".join(LOOKALIKES))
 _ODD = re.compile(rf"[{_L}][{_S}]+[{_L}]|^[{_S}]+[{_L}]|[{_L}][{_S}]+$|([{_L}])\1\1|[{_L}][.\-_~'][{_L}][.\-_~'][{_L}]")
 _EDGES = re.compile(rf"^[^{_L}{_S}]+|[^{_L}{_S}]+$")
 _WORDS = re.compile(rf"[{_L}]+")
-_SPACED = re.compile(rf"(?<!\S)(?:[{_L}{_S}] ){{3,}}[{_L}{_S}](?!\S)")
-_SPACED_HINT = re.compile(r" \S \S ")
+_SPACED = re.compile(rf"(?<!\S)(?:[{_L}{_S}]\s+){{2,}}[{_L}{_S}](?!\S)")
+_SPACED_HINT = re.compile(r"\s\S\s+\S\s")
+#: Log probability of a dropped separator, of one that ends a word, of a dropped repetition, and of any other dropped character.
+_JOIN, _BREAK, _AGAIN, _LOST = -0.1, -1.0, -0.5, -4.0
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
@@ -80,38 +81,53 @@ def language_model(grams: DataFrame, words: dict[str, float]) -> np.ndarray:
     return np.log(0.5 * smooth(corpus) + 0.5 * smooth(own)).astype(np.float32)
 
 
+def options(c: str, before: str) -> list[tuple[str, float]]:
+    """What a character may stand for after another, with log probabilities: a letter, nothing (""), or the end of a word (" ")."""
+    if c in _NUMBER:
+        return [(c, 0.0), ("", _AGAIN)] if c == before else [(c, 0.0)]
+    found = [(x, -0.3 - math.log(len(LOOKALIKES[c]))) for x in LOOKALIKES.get(c, "")]
+    if c in SEPARATORS or c.isspace():
+        return [*found, ("", _JOIN), (" ", _BREAK)]
+    return [*found, ("", _LOST), *([("", _AGAIN)] if c == before else [])]
+
+
 def restore(token: str, lm: np.ndarray) -> str:
-    """The likeliest plain word behind a token: Viterbi over a lattice of what each character may stand for.
+    """The likeliest plain words behind a token: Viterbi over a lattice of what each character may stand for.
 
     A letter stands for itself, or is dropped as a repetition of the letter before; a look-alike stands for one of its
-    letters or is dropped; separators are dropped. States are the last two letters.
+    letters or is dropped; a separator is dropped or ends a word. States are the last two letters. Paths share their beginnings, and where all meet in
+    one state what lies before is settled, so tokens may have any length.
     """
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    settled: list[str] = []
     before = ""
+
+    def letters(path: tuple | None) -> str:
+        out = []
+        while path is not None:
+            out.append(path[1])
+            path = path[0]
+        return "".join(reversed(out))
+
     for c in token:
-        options: list[tuple[str, float]] = []
-        if c in _NUMBER:
-            options.append((c, 0.0))
-            if c == before:
-                options.append(("", -0.5))
-        for x in LOOKALIKES.get(c, ""):
-            options.append((x, -0.3 - math.log(len(LOOKALIKES[c]))))
-        if c not in _NUMBER:
-            options.append(("", -0.1 if c in SEPARATORS else -4.0))
-            if c == before:
-                options.append(("", -0.5))
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (p, word) in best.items():
-            for x, cost in options:
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        ways = options(c, before)
+        for (a, b), (p, path) in best.items():
+            for x, cost in ways:
                 if x:
-                    k = _NUMBER[x]
-                    state, q, w = (b, k), p + cost + float(lm[a, b, k]), word + x
+                    k = _NUMBER.get(x, 0)
+                    state, q = (b, k), p + cost + float(lm[a, b, k])
                 else:
-                    state, q, w = (a, b), p + cost, word
+                    state, q = (a, b), p + cost
                 if state not in new or q > new[state][0]:
-                    new[state] = (q, w)
+                    new[state] = (q, (path, x) if x else path)
         best, before = new, c
-    return max((p + float(lm[a, b, 0]), w) for (a, b), (p, w) in best.items())[1]
+        if len(best) == 1:
+            state, (_, path) = best.popitem()
+            settled.append(letters(path))
+            best[state] = (0.0, None)
+    _, path = max(((p + float(lm[a, b, 0]), path) for (a, b), (p, path) in best.items()), key=lambda x: x[0])
+    return "".join(settled) + letters(path)
 
 
 def features(word: str) -> list[str]:
@@ -123,10 +139,18 @@ def plain_words(token: str, lm: np.ndarray | None) -> list[str]:
     """The words in a token without white space; suspicious ones are restored first if there is a model."""
     if lm is not None and _ODD.search(token):
         core = _EDGES.sub("", token)
-        return [*_WORDS.findall(token), restore(core, lm), restore(core.rstrip("!|.,*"), lm)] if len(core) <= 64 else _WORDS.findall(token)
+        return [*_WORDS.findall(token), *restore(core, lm).split(), *restore(core.rstrip("!|.,*"), lm).split()]
     return _WORDS.findall(token)
 
 
+def restored_words(text: str, lm: np.ndarray | None) -> set[str]:
+    """The words of a lower-cased text, those behind disguised tokens and runs of spaced letters included if there is a model."""
+    found = {w for t in set(text.split()) for w in plain_words(t, lm)}
+    if lm is not None and _SPACED_HINT.search(f" {text} "):
+        found.update(w for m in _SPACED.finditer(text) for w in restore(m[0], lm).split())
+    return found
+
+
 class Scorer:
     """Scores texts from the features that their restored words hit."""
 
@@ -154,11 +178,11 @@ class Scorer:
                 self.hits[token] = own
         self.seen |= tokens
         found = {f for t in tokens.intersection(self.hits) for f in self.hits[t]}
-        if _SPACED_HINT.search(text):
-            found |= {f for m in _SPACED.finditer(text) for f in self._look([restore(m[0], self.lm)])}
+        if _SPACED_HINT.search(f" {text} "):
+            found |= {f for m in _SPACED.finditer(text) for f in self._look(restore(m[0], self.lm).split())}
         miss = 1.0 - self.base
-        for p in sorted((self.precision[f] for f in found), reverse=True)[:3]:
-            miss *= 1.0 - p
+        for f in sorted(found):
+            miss *= 1.0 - self.precision[f]
         return 1.0 - miss
 
 
@@ -166,13 +190,16 @@ def _fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(4))
 
 
-def _own_evidence(feature: str, counts: dict[str, tuple[int, int]]) -> bool:
-    """Whether a beginning of words is precise beyond its strongest longer feature: "lose" tells nothing that "loser" doesn't."""
-    if feature.endswith("$"):
-        return True
-    toxic, clean = counts[feature]
-    a, b = max((counts[g] for g in counts if len(g) > len(feature) and g.startswith(feature)), default=(0, 0))
-    return (toxic - a) / (toxic - a + max(0, clean - b) + 1) >= MIN_PRECISION
+def _own_evidence(counts: dict[str, tuple[int, int]]) -> set[str]:
+    """Words, and those beginnings of words that are precise beyond their strongest longer feature: "lose" tells nothing that "loser" doesn't."""
+    names, kept = sorted(counts), set()
+    for i, name in enumerate(names):
+        toxic, clean = counts[name]
+        longer = (counts[x] for x in takewhile(lambda x: x.startswith(name), islice(names, i + 1, None))) if not name.endswith("$") else ()
+        a, b = max(longer, default=(0, 0))
+        if name.endswith("$") or (toxic - a) / (toxic - a + max(0, clean - b) + 1) >= MIN_PRECISION:
+            kept.add(name)
+    return kept
 
 
 def sketches(sample: DataFrame) -> DataFrame:
@@ -226,7 +253,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = LABELLED_ROWS) ->
 
     The character model counts the whole texts of all documents. The classifier learns from at most ``max_rows`` labelled
     rows, drawn by a hash of doc_id: their ids, a table of that bound, are broadcast to the documents, so texts are not
-    shuffled. A feature's weight is the smoothed share of toxic ones among the documents that have it.
+    shuffled. A feature's weight is the smoothed share of toxic ones among the documents that have it, in its restored text.
     """
     chosen = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -237,30 +264,33 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = LABELLED_ROWS) ->
     teachers = docs.sparkSession.createDataFrame(teachers, "doc_id long, whole long")
     sample = sample.join(F.broadcast(teachers), ["doc_id", "whole"]).dropDuplicates(["doc_id", "whole"]).select("text", "toxic")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = (Counter(), Counter())
-        for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = {w for t in set((text or "").lower().split()) for w in plain_words(t, None)}
-                by[toxic].update({f for w in words for f in features(w)})
-                by[toxic]["#"] += 1
-        names = list(by[0].keys() | by[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([by[1][x] for x in names], pa.int64()), pa.array([by[0][x] for x in names], pa.int64())], names=["feature", "toxic", "clean"])
-
-    counted = sample.mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    share = F.col("toxic") / (F.col("toxic") + F.col("clean") + 1)
-    useful = counted.filter((F.col("feature") != "#") & (F.col("toxic") >= MIN_TOXIC) & (share >= MIN_PRECISION))
-    kept = useful.orderBy(F.col("toxic").desc(), "feature").limit(MAX_FEATURES).collect()  # bounded by MAX_FEATURES
-    counts = {r["feature"]: (r["toxic"], r["clean"]) for r in kept}
-    precision = {f: a / (a + b + 1) for f, (a, b) in counts.items() if _own_evidence(f, counts)}
-    lm = language_model(gram_counts(docs), {r["feature"][:-1]: float(r["toxic"]) for r in kept if r["feature"].endswith("$")})
-    return Scorer(precision, 0.02, lm)
+    def useful(lm: np.ndarray | None) -> dict[str, tuple[int, int]]:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            by = (Counter(), Counter())
+            for batch in batches:
+                for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    by[toxic].update({f for w in restored_words((text or "").lower(), lm) for f in features(w)})
+            names = list(by[0].keys() | by[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([by[1][x] for x in names], pa.int64()), pa.array([by[0][x] for x in names], pa.int64())], names=["feature", "toxic", "clean"])
+
+        counted = sample.mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        share = F.col("toxic") / (F.col("toxic") + F.col("clean") + 1)
+        kept = counted.filter((F.col("toxic") >= MIN_TOXIC) & (share >= MIN_PRECISION)).toArrow()  # of the bounded sample: its toxic rows' features / MIN_TOXIC at most
+        return {f: (a, b) for f, a, b in zip(*(kept[c].to_pylist() for c in ("feature", "toxic", "clean")), strict=True)}
+
+    grams = written(gram_counts(docs), "grams")
+    # the plain words of the labelled texts sharpen the character model; what it restores in them is what the classifier learns from
+    first = useful(None)
+    lm = language_model(grams, {f[:-1]: float(first[f][0]) for f in sorted(first) if f.endswith("$")})
+    counts = useful(lm)
+    own = _own_evidence(counts)
+    return Scorer({f: a / (a + b + 1) for f, (a, b) in sorted(counts.items()) if f in own}, 0.02, lm)
 
 
 def score(docs: DataFrame, scorer: Scorer, column: str = "score") -> DataFrame:
     """``docs`` with the score of each whole text: 0 to 1, higher means likelier toxic. Null text scores like empty text.
 
-    Only text goes to Python, beside the columns that come back with it; repeated rows are scored each; an empty table stays empty.
+    Columns pass through with the text, whatever their names; one called ``column`` is replaced. Repeated rows are scored each; an empty table stays empty.
     """
     names = docs.columns
     kept = [c for c in names if c != column]

@@ -10,10 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallygrid.llm.shared import read_table
+from tallygrid.llm.shared import reach_workers, read_table, written
 
-#: Filters are broadcast; a cascade may take this many bytes, a longer list is looked up by a join.
-MAX_BYTES = 64 << 20
 #: False positive rates of the first and of later levels.
 RATES = (0.01, 0.5)
 
@@ -36,14 +34,13 @@ def _size(n: int, rate: float) -> tuple[int, int]:
 
 
 def _level(keys: DataFrame, n: int, rate: float, salt: int) -> Level:
-    """A Bloom filter of ``keys`` (key): bits are set by Spark, word by word; at most bits / 64 rows come back."""
+    """A Bloom filter of ``keys`` (key): bits are set by Spark, word by word; the words come back as Arrow columns, bits / 64 at most."""
     bits, probes = _size(n, rate)
     h1, h2 = _hashes(F.col("key"), salt)
     at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(probes - 1)), lambda j: F.pmod(F.pmod(h1, F.lit(bits)) + j * F.pmod(h2, F.lit(bits)), F.lit(bits))))
-    rows = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("set")).collect()
+    found = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("set")).toArrow()
     words = np.zeros(bits // 64, np.int64)
-    for r in rows:
-        words[r["word"]] = r["set"]
+    words[found["word"].to_numpy()] = found["set"].to_numpy()
     return Level(bits, probes, salt, words.view(np.uint64))
 
 
@@ -65,29 +62,21 @@ def _passing(keys: DataFrame, level: Level) -> DataFrame:
     return keys.select("key", h1.alias("h1"), h2.alias("h2")).mapInArrow(run, "key string")
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame) -> list[Level] | None:
+def build_cascade(listed: DataFrame, universe: DataFrame) -> list[Level]:
     """Levels that tell for every key of ``universe`` (key, distinct) whether ``listed`` (key, distinct) has it.
 
     The first level encodes the listed keys, the second the keys of the universe that pass it without being listed, the third
-    the listed keys that pass the second, and so on until no key passes wrongly. Only the few wrongly passing keys are ever joined,
-    while building. None if the levels would take more than ``MAX_BYTES``.
+    the listed keys that pass the second, and so on until no key passes wrongly. Which keys are listed comes from one aggregate over both
+    tables; nothing is joined. The levels take about 13 bits for each listed key that occurs, whatever the universe: a
+    small part of the list that the caller holds, so they may go to every task.
     """
-    inside = listed.join(universe, "key", "left_semi").persist()
-    levels, kept, used = [], [inside], 0
-    before, members = universe.join(inside, "key", "left_anti"), inside
-    try:
-        while n := members.count():
-            rate = RATES[min(len(levels), 1)]
-            used += _size(n, rate)[0] // 8
-            if used > MAX_BYTES:
-                return None
-            levels.append(_level(members, n, rate, len(levels)))
-            before, members = members, _passing(before, levels[-1]).persist()
-            kept.append(members)
-        return levels
-    finally:
-        for df in kept:
-            df.unpersist()
+    both = universe.select("key", F.lit(False).alias("listed"), F.lit(True).alias("there")).unionByName(listed.select("key", F.lit(True).alias("listed"), F.lit(False).alias("there")))
+    flagged = written(both.groupBy("key").agg(F.max("listed").alias("listed"), F.max("there").alias("there")).filter("there").select("key", "listed"), "keys")
+    members, before, levels = flagged.filter("listed").select("key"), flagged.filter("NOT listed").select("key"), []
+    while n := members.count():
+        levels.append(_level(members, n, RATES[min(len(levels), 1)], len(levels)))
+        before, members = members, written(_passing(before, levels[-1]), "level")
+    return levels
 
 
 def contains(levels: list[Level], hashes: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -111,36 +100,40 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(url, pattern, 2), F.lit(""))
 
 
-def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Every (domain suffix + path prefix of a listed length) of a URL, longest first."""
+def candidate_keys(host: Column, path: Column, depths: list[int], lengths: list[int]) -> Column:
+    """(key, host) of a URL: its last labels and the beginning of its path, in the numbers that the rules have, strongest first.
+
+    The longest key is the strongest; of equally long ones that with the longer host. However long a URL is, it has no more keys than
+    the rules have pairs of a depth and a length.
+    """
     labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.array_compact(F.array(*[F.when(F.char_length(path) >= n, F.substring(path, 1, n)) for n in lengths]))
-    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
-    return F.array_sort(F.array_distinct(keys), lambda a, b: F.char_length(b) - F.char_length(a))
+    n = F.size(labels)
+    suffixes = [F.when(n >= d, F.array_join(F.slice(labels, n - d + 1, F.lit(d)), ".")) for d in depths]
+    prefixes = [F.when(F.char_length(path) >= k, F.substring(path, 1, k)) for k in lengths]
+    pairs = F.array_compact(F.array(*[F.when(s.isNotNull() & p.isNotNull(), F.struct(F.concat(s, p).alias("key"), s.alias("host"))) for s in suffixes for p in prefixes]))
+    longer = lambda a, b: F.when(F.char_length(a["key"]) == F.char_length(b["key"]), F.char_length(b["host"]) - F.char_length(a["host"])).otherwise(F.char_length(b["key"]) - F.char_length(a["key"]))
+    return F.transform(F.array_sort(F.array_distinct(pairs), longer), lambda x: x["key"])
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], otherwise: str = "allow") -> DataFrame:
     """``pages`` (page_id, url) with host, path, rule and verdict.
 
-    ``rules`` are (verdict, host, path prefix); a rule fits its host and all subdomains, the longest wins. Keys of the allowed and of the
-    blocked rules are each held by a cascade built over all keys that occur in ``pages``, so that no lookup joins and
-    none is wrong. A URL that no rule fits gets ``otherwise``. Null URLs have no host and no path; repeated rows stay; an empty table gives no rows.
+    ``rules`` are (verdict, host, path prefix); a rule fits its host and all subdomains. The longest rule (host and path together) wins; of equally long ones
+    that with the longer host; of one rule with two verdicts ``block``, else the last by name. Keys of the rules of each verdict are held by a cascade built over all
+    keys that occur in ``pages``, so that no lookup joins and none is wrong, however long the list is. A URL that no rule fits gets ``otherwise``.
+    Null URLs have no host and no path; repeated rows stay; an empty table gives no rows; other columns, whatever their names, are ignored.
     """
-    spark = pages.sparkSession
-    lengths = sorted({len(p) for _, _, p in rules})
+    reach_workers(pages.sparkSession)
+    rules = sorted({(v, h, p) for v, h, p in rules if not p or p[0] == "/"})  # no path begins otherwise
+    depths, lengths = sorted({h.count(".") + 1 for _, h, _ in rules}), sorted({len(p) for _, _, p in rules})
     host, path = split_url(F.col("url"))
-    split = pages.select("page_id", host.alias("host"), path.alias("path"))
-    keyed = split.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), lengths) if rules else F.array().cast("array<string>"))
-    universe = keyed.select(F.explode("keys").alias("key")).distinct()
+    split = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
+    keyed = split.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), depths, lengths) if rules else F.array().cast("array<string>"))
+    universe = written(keyed.select(F.explode("keys").alias("key")).distinct(), "universe") if rules else None
     cascades = {}
-    for verdict in sorted({v for v, _, _ in rules}):
-        own = sorted({h + p for v, h, p in rules if v == verdict})
-        listed = spark.range(1).select(F.explode(F.from_json(F.lit(_json(own)), "array<string>")).alias("key"))
-        levels = build_cascade(listed, universe)
-        if levels is None:
-            return _by_join(split, keyed, rules, otherwise)
-        cascades[verdict] = levels
+    for verdict in sorted({v for v, _, _ in rules}, key=lambda v: (v == "block", v)):  # the last one set wins
+        own = pa.table({"key": sorted({h + p for v, h, p in rules if v == verdict})})
+        cascades[verdict] = build_cascade(pages.sparkSession.createDataFrame(own), universe)
     depth = max([1, *map(len, cascades.values())])
     hashed = keyed.withColumn("h", F.transform("keys", lambda k: F.array(*[h for s in range(depth) for h in _hashes(k, s)])))
 
@@ -148,33 +141,19 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], otherwise: str =
         for b in batches:
             keys, counts = b.column(3), np.diff(b.column(3).offsets.to_numpy())
             h = b.column(4).flatten().flatten().to_numpy().reshape(-1, 2 * depth)
-            rule = np.full(len(counts), -1)
-            verdicts = np.full(len(counts), otherwise, object)
-            row = np.repeat(np.arange(len(counts)), counts)
+            flat, row = keys.flatten(), np.repeat(np.arange(len(counts)), counts)
+            rule, verdicts = np.full(len(counts), len(flat)), np.full(len(counts), otherwise, object)
             for verdict, levels in cascades.items():
-                hit = np.flatnonzero(contains(levels, [(h[:, 2 * k], h[:, 2 * k + 1]) for k in range(len(levels))])) if levels else np.zeros(0, int)
-                for i in hit[::-1]:  # keys come longest first, so the first hit of a row is set last
-                    if rule[row[i]] < 0 or i < rule[row[i]]:
-                        rule[row[i]], verdicts[row[i]] = i, verdict
-            flat = keys.flatten()
-            names = [flat[int(i)].as_py() if i >= 0 else None for i in rule]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(names, pa.string()), pa.array(list(verdicts), pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
-
-    return hashed.select(F.col("page_id").cast("long").alias("page_id"), "host", "path", "keys", "h").mapInArrow(look, "page_id long, host string, path string, rule string, verdict string")
-
-
-def _json(values: list[str]) -> str:
-    import json
-
-    return json.dumps(values)
-
+                first = np.full(len(counts), len(flat))  # keys come strongest first
+                if levels:
+                    hit = np.flatnonzero(contains(levels, [(h[:, 2 * k], h[:, 2 * k + 1]) for k in range(len(levels))]))
+                    np.minimum.at(first, row[hit], hit)
+                better = (first <= rule) & (first < len(flat))
+                rule[better], verdicts[better] = first[better], verdict
+            names = flat.take(pa.array(rule, mask=rule == len(flat)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), names, pa.array(list(verdicts), pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
 
-def _by_join(split: DataFrame, keyed: DataFrame, rules: list[tuple[str, str, str]], otherwise: str) -> DataFrame:
-    """The same result for lists too long to broadcast: distinct (host, path) pairs meet the rules in an equi-join."""
-    listed = split.sparkSession.createDataFrame([(h + p, v) for v, h, p in rules], "key string, verdict string")
-    found = keyed.select("host", "path", "keys").dropDuplicates(["host", "path"]).select("host", "path", F.explode("keys").alias("key")).join(listed, "key")
-    best = found.groupBy("host", "path").agg(F.max(F.struct(F.char_length("key").alias("n"), "key", "verdict")).alias("best"))
-    return split.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict"))
+    return hashed.select("page_id", "host", "path", "keys", "h").mapInArrow(look, "page_id long, host string, path string, rule string, verdict string")
 
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -193,7 +172,7 @@ WITH p AS (
   FROM pages),
 r(verdict, h, x) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 m AS (
-  SELECT p.*, r.h || r.x AS rule, r.verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(r.h || r.x) DESC NULLS LAST) AS k
+  SELECT p.*, r.h || r.x AS rule, r.verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(r.h || r.x) DESC NULLS LAST, length(r.h) DESC, r.verdict DESC) AS k
   FROM p LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, x))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
 """
