@@ -65,8 +65,11 @@ class PieceEncoder:
 
     def _plain(self, text: str) -> bytes:
         pieces = self.pattern.findall(text.lower() if self.lower else text)
-        self._learn(set(pieces))
-        return b"".join(map(self.known.__getitem__, pieces))
+        try:
+            return b"".join(map(self.known.__getitem__, pieces))
+        except KeyError:
+            self._learn(set(pieces))
+            return b"".join(map(self.known.__getitem__, pieces))
 
     def _cut(self, text: str) -> list[str]:
         if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _OTHER_SPACE.search(text):

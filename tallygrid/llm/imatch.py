@@ -10,8 +10,8 @@ from tallygrid.llm.shared import read_table, text_key, written
 BUCKET_ROWS, RING = 500, 1_000_000
 #: Approximate quantiles of the ids, between which buckets are dealt evenly.
 QUANTILES = 1024
-#: Groups of near copies with so large a share of all documents count as one document each; there are at most 1 / HOT_SHARE.
-HOT_SHARE = 0.01
+#: Groups of near copies with so large a share of all documents (and so many) count as one document each; there are at most 1 / HOT_SHARE.
+HOT_SHARE, HOT_ROWS = 0.01, 20
 #: A lexicon of so many rows at most is broadcast (about 40 MB).
 LEXICON_ROWS = 1_000_000
 #: The band: terms in at least MIN_SHARE and at most MAX_SHARE of all documents.
@@ -42,7 +42,7 @@ def document_weights(docs: DataFrame) -> Column | None:
     """
     n = docs.count()
     keys = docs.select(_alike(terms(_text())).alias("k")).groupBy("k").count()
-    hot = {r["k"]: r["count"] for r in keys.filter(F.col("count") >= max(2, HOT_SHARE * n)).collect()} if n else {}
+    hot = {r["k"]: r["count"] for r in keys.filter(F.col("count") >= max(HOT_ROWS, HOT_SHARE * n)).collect()} if n else {}
     if not hot:
         return None
     own = F.try_element_at(F.create_map(*[F.lit(x) for k, c in hot.items() for x in (k, 1.0 / c)]), _alike(terms(_text())))

@@ -61,6 +61,8 @@ class Schedule:
     def served(self, phase: dict, k: np.ndarray) -> np.ndarray:
         """Tokens of each queue served in the phase before round k: a row per k."""
         total, rest, k = phase["total"], phase["rest"], k.astype(np.int64)[:, None]
+        if total < 1 << 31:  # products of tokens fit
+            return np.minimum(k * self.round, total) * phase["n"] // total
         # floor(k x rest / total) where the product may not fit: a quotient in floating point, off by one at most, set right by its remainder, which fits
         quotient = (k * (rest / total)).astype(np.int64)
         remainder = k * rest - quotient * total

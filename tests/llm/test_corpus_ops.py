@@ -17,6 +17,7 @@ import pyarrow.parquet as pq
 import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallygrid.llm import bitplanes, encoding, imatch, lines, mixing, packing, queries, sharding, simhash, topk, toxicity, urlfilter
@@ -211,6 +212,52 @@ def test_schedule_in_small_blocks_serves_each_token_once(monkeypatch, block):
     assert at == list(range(sum(totals)))
 
 
+def test_schedule_is_stepwise_deficit_round_robin():
+    totals = [700, 33, 0, 260, 4, 1]
+    whole, quantum = sum(totals), 64
+    deficit, left, order = [0.0] * len(totals), list(totals), []
+    from fractions import Fraction
+
+    deficit = [Fraction(0)] * len(totals)
+    done = [0] * len(totals)
+    while any(left):
+        for q, n in enumerate(totals):
+            deficit[q] += Fraction(quantum * n, whole)
+            serve = min(left[q], int(deficit[q]))  # whole tokens now, the fraction is carried
+            deficit[q] -= serve
+            order += [(q, done[q] + i) for i in range(serve)]
+            done[q], left[q] = done[q] + serve, left[q] - serve
+    schedule = packing.Schedule(packing.service_phases(totals), quantum)
+    at = {position + i: (q, first + i) for q, n in enumerate(totals) for first, position, length in schedule.place(q, 0, n) for i in range(length)}
+    assert [at[i] for i in range(whole)] == order
+
+
+def test_schedule_keeps_the_target_of_each_of_many_sources():
+    n = 5000
+    totals = [40 + q % 7 for q in range(n)]
+    whole, window = sum(totals), packing.WINDOW
+    schedule = packing.Schedule(packing.service_phases(totals))
+    for q in (0, 17, n - 1):
+        places = sorted(p + i for first, p, length in schedule.place(q, 0, totals[q]) for i in range(length))
+        for k in range(0, whole // window):
+            assert abs(sum(p < k * window for p in places) - totals[q] * k * window / whole) <= 2
+
+
+@pytest.mark.parametrize("queues", [4096, 20_000])
+def test_schedule_is_exact_and_small_for_many_queues_and_tokens(queues):
+    total = 25 * 10**12
+    totals = [total // queues] * (queues - 1) + [10_000]
+    schedule = packing.Schedule(packing.service_phases(totals))
+    tracemalloc.start()
+    runs = schedule.place(queues - 1, 5000, 40)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000 and sum(r[2] for r in runs) == 40
+    whole, k = sum(totals), np.array([0, 1, 10**9 + 7, sum(totals) // 2048])
+    got = schedule.served(schedule.phases[0], k)
+    assert all(int(got[i, q]) == int(k[i]) * 2048 * totals[q] // whole for i in range(len(k)) for q in (0, 1, queues - 1))
+
+
 def brute_imatch(docs, min_share, max_share):
     """(text, edited text) -> subset term lists, straight from the definition."""
     words = lambda t: {w for w in re.split(r"[^\w]+|_+", t.lower()) if w}
@@ -234,6 +281,56 @@ def test_op3_query(spark, corpus):
     assert above > 0.6 * len(corpus)
 
 
+def spark_hash(values, seed=42):
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode(), seed)
+    return seed
+
+
+def test_op3_fingerprints_term_by_term(spark, corpus):
+    got = {r["doc_id"]: r for r in rows(queries.QUERIES["op3_imatch_fingerprints"](spark, SF))}
+    band, words = brute_imatch(corpus, imatch.MIN_SHARE, imatch.MAX_SHARE)
+    subsets = {w: {k for k, e in enumerate(imatch.EXPONENTS) if spark_hash([w, f"subset {k}"]) % (1 << e) == 0} for w in band}
+
+    def fingerprint(text):
+        found = defaultdict(list)
+        for w in sorted(words(text) & band, key=str.encode):
+            for k in subsets[w]:
+                found[k].append(w)
+        return ".".join(f"{k:02d}={spark_hash(found[k]):016x}"[:11] for k in sorted(found)) or f"*={spark_hash([text]):016x}"
+
+    order = sorted(corpus, key=lambda d: -d["doc_id"])
+    for d, nxt in zip(order, [*order[1:], order[0]], strict=True):
+        n, r = len(d["text"]), got[d["doc_id"]]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (fingerprint(d["text"]), fingerprint(d["text"][: n - n // 2] + nxt["text"][: n // 2]))
+
+
+def test_op3_near_copies_of_a_hot_text_stay_alike(spark):
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(3000)]
+    base = rng.choices(vocabulary, k=120)
+    near = [" ".join([*base[:k], f"new{k}", *base[k + 1 :]]) for k in range(110)]
+    other = [" ".join(rng.choices(vocabulary, k=120)) for _ in range(190)]
+    df = spark.createDataFrame(list(enumerate(other + near)), "doc_id long, text string")
+    got = sorted(rows(imatch.fingerprint_edits(df, 0.0005, 0.2)), key=lambda r: -r["doc_id"])
+    assert sum(r["near_next"] for r in got[:109]) / 109 > 0.7 and sum(r["near_next"] for r in got[111:299]) / 188 < 0.1
+
+
+def test_op3_spreads_null_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(imatch, "BUCKET_ROWS", 50)
+    data = [(None, f"null {i}") for i in range(1000)] + [(7, f"seven {i}") for i in range(1000)] + [(100 + i, f"own {i}") for i in range(1000)] + [(10**15, "far")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    found = [r.asDict() for r in imatch._with_neighbours(df).collect()]
+    sizes = Counter(r["bucket"] for r in found if not r["ghost"])
+    assert sum(sizes.values()) == len(data) and max(sizes.values()) < 200 and len(sizes) > 30
+    key = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["tie"])
+    line = sorted((r for r in found if not r["ghost"]), key=key)
+    assert [r["bucket"] for r in line] == sorted(r["bucket"] for r in line)
+    below = {r["bucket"]: r["text"] for r in found if r["ghost"]}
+    for a, b in zip([line[-1], *line], line):
+        assert a["bucket"] == b["bucket"] or below[b["bucket"]] == a["text"]
+
+
 def test_op3_lexicon_is_the_band(spark, corpus):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want, _ = brute_imatch(corpus, 0.02, 0.3)
@@ -282,7 +379,31 @@ def test_op4_targets_and_words(spark, corpus):
         s = source[r["doc_id"]]
         assert r["size"] == size[r["doc_id"]] and r["source_size"] == sums[s] and r["target"] == pytest.approx(want[s]) and 0 <= r["taken"] <= 2 * r["size"]
         taken[s] += r["taken"]
-    assert len(got) == len(corpus) and all(abs(taken[s] - want[s]) <= 1 for s in want)
+    assert len(got) == len(corpus) and all(abs(taken[s] - want[s]) <= 1 + max(size.values()) // mixing.PACKETS for s in want)
+    assert sum(taken.values()) == int(1.5 * sum(sums.values()))  # truncated at the total budget
+
+
+def test_op4_is_a_stepwise_fair_queue(spark, corpus):
+    mix = rows(mixing.fair_mix(spark.read.parquet(f"{SF}/documents.parquet")))
+    served = sorted((r for r in mix if r["words"]), key=lambda r: r["position"])
+    whole = [r for r in served if r["words"] == r["size"]]
+    clock, last = Counter(), -1.0
+    for r in whole:
+        at = r["position"]
+        clock[r["skey"]] += r["words"]
+        finish = clock[r["skey"]] / r["target"]
+        assert finish >= last - 1e-9  # copies come in order of virtual finish times
+        last = max(last, finish)
+    assert at < 1.5 * sum({(r["skey"]): r["source_size"] for r in mix}.values())
+
+
+def test_op4_null_and_repeated_ids_are_spread(spark):
+    data = [(None, f"t {i % 50}", "a", {"k": i % 2}) for i in range(3000)] + [(i, "x y z", "b", None) for i in range(1000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, words map<string,int>")
+    shares = rows(mixing.document_shares(mixing.fair_mix(df)))
+    assert len(shares) == 4000 and all(0 <= r["taken"] <= 2 * r["size"] for r in shares)
+    mixed = rows(mixing.mixed_documents(df))
+    assert sum(len(r["text"].split()) for r in mixed) == sum(r["taken"] for r in shares) == int(1.5 * 9000) and set(mixed[0]) == {"doc_id", "text", "source", "words"}
 
 
 def test_op4_odd_input_and_mix(odd, none, spark):
@@ -306,8 +427,7 @@ def brute_fingerprint(text, width):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(fps, radius, bands=None):
-    """Roots of fingerprints; with bands (fp -> set of them) links need equal or neighbouring ones."""
+def brute_components(fps, radius):
     parent = {f: f for f in set(fps)}
 
     def find(x):
@@ -316,7 +436,7 @@ def brute_components(fps, radius, bands=None):
         return x
 
     for a, b in combinations(parent, 2):
-        if (a ^ b).bit_count() <= radius and (bands is None or any(abs(x - y) <= 1 for x in bands[a] for y in bands[b])):
+        if (a ^ b).bit_count() <= radius:
             parent[find(a)] = find(b)
     return {f: find(f) for f in parent}
 
@@ -349,6 +469,51 @@ def test_op5_odd_input(odd, none):
     assert rows(simhash.near_duplicates(none)) == []
 
 
+def test_op5_embedding_is_manhattan_distance(spark):
+    rng = np.random.default_rng(4)
+    fps = rng.integers(-(2**63), 2**63 - 1, 50, dtype=np.int64).tolist()
+    got = [r[0] & (2**64 - 1) for r in spark.createDataFrame([(f,) for f in fps], "fp long").select(simhash._counts(F.col("fp"))).collect()]
+    counts = [[((f & (2**64 - 1)) >> (2 * s) & 3).bit_count() for s in range(32)] for f in fps]
+    assert all((got[i] ^ got[j]).bit_count() == sum(abs(a - b) for a, b in zip(counts[i], counts[j])) for i in range(50) for j in range(50))
+
+
+def test_op5_clashing_columns_are_ignored(spark):
+    df = spark.createDataFrame([(1, "a b c", 5, "r"), (2, "a b c", 6, "s")], "doc_id long, text string, fp int, root string")
+    assert {(r["doc_id"], r["component_id"]) for r in rows(simhash.near_duplicates(df))} == {(1, 1), (2, 1)} == {(r["doc_id"], r["component_id"]) for r in rows(simhash.similar_documents(df))}
+
+
+def overlap(a, b):
+    return len(a & b) / len(a | b)
+
+
+def shingle_set(text, width=5):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+def test_similar_documents_find_an_overlap_of_four_fifths(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    texts = []
+    for _ in range(150):  # pairs of unlike length and a dense group
+        base = [word() for _ in range(rng.choice([30, 60, 200, 1500]))]
+        other = list(base)
+        for _ in range(max(1, len(base) // 60)):
+            other[rng.randrange(len(other))] = word()
+        texts += [" ".join(base), " ".join(other + [word() for _ in range(rng.choice([0, len(base) // 12]))])]
+    hub = [word() for _ in range(100)]
+    texts += [" ".join([*hub[:k], word(), *hub[k + 1 :]]) for k in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    group = {r["doc_id"]: r["component_id"] for r in rows(simhash.similar_documents(df))}
+    sets = [shingle_set(t) for t in texts]
+    near = [(i, j) for i, j in combinations(range(len(texts)), 2) if overlap(sets[i], sets[j]) >= 0.8]
+    assert sum(group[i] == group[j] for i, j in near) >= 0.95 * len(near) > 2000
+    for i in range(len(texts)):
+        assert group[i] == i or max(overlap(sets[i], sets[j]) for j in range(len(texts)) if j != i and group[j] == group[i]) >= 0.7
+    again = {r["doc_id"]: r["component_id"] for r in rows(simhash.similar_documents(df.repartition(7)))}
+    assert again == group
+
+
 def test_components_of_a_long_chain(spark):
     from tallygrid.llm.components import components
 
@@ -362,8 +527,8 @@ def brute_verdict(url, rules):
     if url is not None and "://" in url:
         m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url)
         host, path = "".join(c.lower() if "A" <= c <= "Z" else c for c in m[1]), m[2]
-    fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
-    return (host, path, *(max(fits)[1:] if fits else (None, "allow")))
+    fits = [(len(h + p), len(h), v == "block", h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *(max(fits)[3:] if fits else (None, "allow")))
 
 
 URLS = [None, "", "no scheme", "http://x.org", "http://x.org/", "HTTP://Sub.EXAMPLE.org/es/1", "http://example.org/en/12?q=/es/", "ftp://example.org/en/2#a", "http://a.com/fr/x", "http://a.com/de/", "http://acom/de/", "http://com/de/x", "x://.org/", "http://é.org/ü", "http://org:80/", "http://a.com/fr://b.org/"]
@@ -376,14 +541,27 @@ def test_op6(spark, none):
     assert rows(urlfilter.judge(pages.limit(0), urlfilter.RULES)) == []
 
 
-def test_op6_long_lists_are_exact(spark, monkeypatch):
+def test_op6_ties_have_one_rule(spark):
+    rules = [("allow", "b.com", "/a"), ("block", "com", "/a/c"), ("allow", "net", "/z"), ("block", "net", "/z"), ("block", "edu", "x"), ("allow", "edu", "")]
+    urls = ["http://b.com/a/c", "http://net/z", "http://a.net/z1", "http://edu", "http://edu/x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in rows(urlfilter.judge(pages, rules))}
+    assert got == {i: brute_verdict(u, rules) for i, u in enumerate(urls)} and got[0][3] == "allow" and got[1][3] == "block"
+
+
+def test_op6_long_urls(spark):
+    urls = ["http://" + "a." * 100_000 + "com/de/" + "x/" * 50_000, "http://" + "." * 100_000, "x" * 300_000, "http://com/fr/" + "é" * 100_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in rows(urlfilter.judge(pages, urlfilter.RULES))}
+    assert got == {i: brute_verdict(u, urlfilter.RULES) for i, u in enumerate(urls)}
+
+
+def test_op6_long_lists_are_exact(spark):
     hosts = [f"h{i}.{'net' if i % 2 else 'edu'}" for i in range(3000)]
     pages = spark.createDataFrame([(i, f"http://www.{h}/p{i % 5}/x") for i, h in enumerate(hosts)], "page_id long, url string")
     rules = [("block" if i % 3 else "allow", h, f"/p{i % 4}") for i, h in enumerate(hosts) if i % 7 == 0]
     want = {i: brute_verdict(f"http://www.{h}/p{i % 5}/x", rules) for i, h in enumerate(hosts)}
     assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in rows(urlfilter.judge(pages, rules))} == want
-    monkeypatch.setattr(urlfilter, "MAX_BYTES", 16)  # too long to broadcast
-    assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in rows(urlfilter.judge(pages, rules))} == want
 
 
 def test_op7_held_out(spark):
@@ -411,6 +589,31 @@ def test_op7_spaced_letters(scorer):
     assert scorer("you are an i d i o t indeed") > 0.5
 
 
+def test_op7_no_length_hides_a_word(scorer):
+    for word in (f"st{'u' * 70}pid", f"st{'u' * 10_000}pid", "-".join("stupid" * 3), "x" * 50_000 + "-" + "l0ser"):
+        assert scorer(f"you are {word} now") > 0.5
+    assert scorer("you are a l o s e r") > 0.5 and scorer("y o u i d i o t") > 0.5 and scorer("you_are_a_l0ser") > 0.5 and scorer("an\ti  d\ti o\nt") > 0.5
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="aos0$1*-. lt", min_size=1, max_size=6))
+def test_op7_restores_the_likeliest_of_all_decodings(token):
+    lm = np.log(np.random.default_rng(8).dirichlet(np.full(toxicity._A, 0.3), (toxicity._A, toxicity._A)) + 1e-9).astype(np.float32)
+
+    def value(letters, cost):
+        a = b = 0
+        for x in letters:
+            k = toxicity._NUMBER.get(x, 0)
+            cost, a, b = cost + float(lm[a, b, k]), b, k
+        return cost + float(lm[a, b, 0])
+
+    decodings = [("", 0.0)]
+    for before, c in zip(" " + token, token):
+        decodings = [(w + x, p + q) for w, p in decodings for x, q in toxicity.options(c, before if before != " " or token[0] != c else "")]
+    best = max(value(w, p) for w, p in decodings)
+    assert any(w == toxicity.restore(token, lm) and value(w, p) == pytest.approx(best, abs=1e-4) for w, p in decodings)
+
+
 def test_op7_texts_that_share_a_long_word_all_teach(spark):
     rng = random.Random(7)
     texts = [f"blockhead {' '.join(''.join(rng.choices('abcdefg', k=6)) for _ in range(20))}" for _ in range(12)]
@@ -434,7 +637,7 @@ def test_op7_odd_input(spark, odd, none, scorer):
 
 
 def brute_topk(vectors, k, every):
-    good = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    good = [(i, [int(np.floor(256 * float(x))) if abs(x) < 2**40 else 256 * int(x) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = set()
     for q, qv in good:
         if q % every == 0:
@@ -443,7 +646,25 @@ def brute_topk(vectors, k, every):
     return out
 
 
-@pytest.mark.parametrize("shape", [(300, 24, 0.3), (40, 3, 1000.0), (5, 2, 1.0), (64, 40, 1e9)])
+def test_op8_threshold_rises_and_terms_become_non_essential():
+    rng = np.random.default_rng(2)
+    weights = 2.0 ** -np.arange(64)
+    shard = np.floor(256 * rng.normal(0, 1, (8192, 64)) * weights)
+    query = np.floor(256 * weights * rng.normal(0, 1, 64))
+    count = [0, 0]
+    got = topk.maxscore(shard, np.arange(8192), 5, query, 5, count)
+    scores = shard.dot(query)
+    want = sorted((-scores[i], i) for i in range(8192) if i != 5)[:5]
+    assert got == [(i, -s) for s, i in want]
+    assert count[0] + count[1] < 0.4 * shard.size and count[0] < 0.4 * shard.size  # postings that were looked at
+
+
+def test_op8_keys_sort_as_numbers():
+    numbers = sorted([0, 1, -1, 255, 256, -255, -256, 10**40, -(10**40), 2**4000, -(2**4000), 10**40 + 1])
+    assert sorted(map(topk.sortable, numbers)) == [topk.sortable(n) for n in numbers]
+
+
+@pytest.mark.parametrize("shape", [(300, 24, 0.3), (40, 3, 1000.0), (5, 2, 1.0), (64, 40, 1e9), (60, 6, 1e30)])
 def test_op8_equals_brute_force(spark, shape, monkeypatch):
     n, dim, scale = shape
     monkeypatch.setattr(topk, "SHARD_ROWS", 50)
@@ -481,10 +702,9 @@ def brute_lines(docs):
 
 def test_op9(spark, odd, none):
     docs = [*ODD, (20, f"{LINE}\n" * 200 + "end", "en", "a", 1), (None, LINE, "en", "a", 1)]
-    df = spark.createDataFrame(docs, SCHEMA).withColumnRenamed("n_chars", "keep")
+    df = spark.createDataFrame(docs, SCHEMA).withColumnRenamed("n_chars", "keep").withColumnsRenamed({"lang": "n_lines", "source": "n_dropped"})
     done = lines.apply_bitmaps(df, lines.line_bitmaps(df))
-    from pyspark.sql import functions as F
-
+    assert done.columns == ["doc_id", "text", "keep", "n_lines", "n_dropped"] and lines.apply_bitmaps(df, lines.line_bitmaps(df), counts=False).columns == df.columns
     got = [tuple(r) for r in done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256)).collect()]
     assert sorted(got, key=repr) == brute_lines(docs)
     assert rows(lines.apply_bitmaps(none, lines.line_bitmaps(none))) == []

@@ -1,14 +1,15 @@
 """The pipeline against brute force, and stage by stage on odd input."""
 
-import math
-from collections import Counter, defaultdict
+from collections import Counter
+from itertools import combinations
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallygrid.llm import packing, toxicity
-from tests.llm.test_corpus_ops import ODD, SCHEMA, SF, WORDS, brute_components, brute_fingerprint, check_pieces, rows
+from tallygrid.llm import packing, simhash, toxicity
+from tests.llm.test_corpus_ops import ODD, SCHEMA, SF, WORDS, check_pieces, overlap, rows, shingle_set
 
 
 def test_stages_keep_what_they_should(spark, tmp_path):
@@ -24,14 +25,13 @@ def test_stages_keep_what_they_should(spark, tmp_path):
     scorer = toxicity.learn(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     assert clean == {r["doc_id"] for r in rows(toxicity.score(docs, scorer)) if r["score"] < corpus_pipeline.TOXIC}
     before = {r["doc_id"]: r["text"] for r in rows(inputs["SimHash near-dedup"])}
-    bands = defaultdict(set)
-    for t in before.values():
-        bands[brute_fingerprint(t, 5)].add(int(math.log(len(t.encode().split()) + 1) / math.log(corpus_pipeline.NEAR_LENGTH)))
-    roots = brute_components(bands, corpus_pipeline.NEAR_BITS, bands)
-    least = {}
-    for i in sorted(before):
-        least.setdefault(roots[brute_fingerprint(before[i], 5)], i)
-    assert {r["doc_id"] for r in rows(inputs["mixing"])} == set(least.values())
+    sets, kept = {i: shingle_set(t) for i, t in before.items()}, {r["doc_id"] for r in rows(inputs["mixing"])}
+    group = {r["doc_id"]: r["component_id"] for r in rows(simhash.similar_documents(inputs["SimHash near-dedup"]))}
+    assert kept == set(group.values())
+    near = [(i, j) for i, j in combinations(before, 2) if overlap(sets[i], sets[j]) >= corpus_pipeline.SIMILARITY]
+    assert near and sum(group[i] == group[j] for i, j in near) >= 0.9 * len(near)
+    for i in before.keys() - kept:  # only what a near copy stands for goes
+        assert max(overlap(sets[i], sets[j]) for j in before if j != i and group[j] == group[i]) >= 0.7
     mixed = rows(inputs["packing"])
     got = rows(packing.pack(inputs["packing"], WORDS, 1))
     check_pieces(got, [(r["doc_id"], r["text"]) for r in mixed], packing.WINDOW)
@@ -43,11 +43,14 @@ def test_run_equals_the_stages(spark):
 
 
 @pytest.mark.parametrize("n", [0, len(ODD)])
-def test_odd_documents(spark, n, tmp_path):
+def test_odd_documents_with_clashing_columns(spark, n, tmp_path):
     (tmp_path / "t").mkdir()
     pq.write_table(pq.read_table(f"{SF}/labels.parquet"), f"{tmp_path}/t/labels.parquet")
-    seen = spark.createDataFrame(ODD[:n], SCHEMA)
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+    extra = ["score", "keep", "n_lines", "n_dropped", "fp", "root", "node", "component_id", "words", "position", "queue", "ids", "tie"]
+    seen = spark.createDataFrame(ODD[:n], SCHEMA).select("*", *[F.col("lang").alias(c) for c in extra], F.create_map(F.lit("a"), F.col("source")).alias("size"))
+    columns = seen.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         stage(spark, seen, f"{tmp_path}/t").write.parquet(f"{tmp_path}/{k}")
         seen = spark.read.parquet(f"{tmp_path}/{k}")
+        assert name == "packing" or seen.columns == columns
     assert (seen.count() > 0) == (n > 0)
