@@ -7,29 +7,31 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 DEFAULTS, MIG = "__DEFAULTS__", "__MIG__"
-_MIG_NAME = re.compile(r"\d+g\.\d+gb")
+_SLICE = re.compile(r"\d+g\.\d+gb")
+#: Listed weights of slices, and else the share of the whole model, by the number of compute parts.
+SLICES = {
+    "H100-SXM5-80GB": ({1: 1.74, 2: 3.48, 3: 6.1}, {1: 1 / 8, 2: 2 / 8, 3: 5 / 11, 4: 1 / 2}),
+    "A100-SXM4-40GB": ({}, {1: 1 / 7, 2: 2 / 7, 3: 3 / 7, 4: 4 / 7}),
+    "A100-SXM4-80GB": ({}, {1: 1 / 7, 2: 2 / 7, 3: 3 / 7, 4: 4 / 7}),
+}
 
 
 def flatten_names(names: dict[str, dict[str, str]]) -> list[tuple[str, str, str]]:
-    """(node, raw, name) with redirects (``$raw``) and slices (``__MIG__raw``) followed; a slice's name is its parent's with the slice behind.
+    """(node, raw, name) of every raw name on every node, where a name may point to another raw name (``$raw``) or be a slice of one (``__MIG__raw``).
 
-    The map is configuration, so it is followed once on the driver and joined as a table.
+    Defaults fill what a node leaves out. Entries that name a model are known; in rounds, pointers take the name of what they point to and slices that of their
+    parent with the slice behind, until no more entries become known. What points in a circle or to nothing has no name, nor have slices of it.
     """
-    def look(node: str, raw: str, seen: tuple[str, ...] = ()) -> str | None:
-        name = names.get(node, {}).get(raw) or names.get(DEFAULTS, {}).get(raw)
-        if name is None or raw in seen:
-            return None
-        if name.startswith("$"):
-            name = look(node, name[1:], (*seen, raw))
-        if name and name.startswith(MIG):
-            if not _MIG_NAME.fullmatch(raw):
-                raise ValueError(f"not a slice of a GPU: {raw}")
-            parent = look(node, name[len(MIG) :], (*seen, raw))
-            name = f"{parent} : {raw}"
-        return name
-
-    raws = {r for own in names.values() for r in own}
-    return [(node, raw, name) for node in names for raw in sorted(raws) if (name := look(node, raw))]
+    defaults = names.get(DEFAULTS, {})
+    table = {(node, raw): entry for node, own in names.items() for raw, entry in {**defaults, **own}.items()}
+    if odd := next((raw for (_, raw), entry in table.items() if entry.startswith(MIG) and not _SLICE.fullmatch(raw)), None):
+        raise ValueError(f"not a slice of a GPU: {odd}")
+    known = {k: entry for k, entry in table.items() if not entry.startswith(("$", MIG))}
+    waiting = {(node, raw): ((node, entry.removeprefix(MIG).removeprefix("$")), f" : {raw}" if entry.startswith(MIG) else "") for (node, raw), entry in table.items() if (node, raw) not in known}
+    while ready := {k: known[to] + behind for k, (to, behind) in waiting.items() if to in known}:
+        known |= ready
+        waiting = {k: x for k, x in waiting.items() if k not in ready}
+    return sorted((node, raw, name) for (node, raw), name in known.items())
 
 
 def raw_key(raw: Column) -> Column:
@@ -59,13 +61,20 @@ def infer_gpu_type(jobs: DataFrame, node_gpus: DataFrame, column: str = "inferre
     return jobs.join(one, "job_db_id", "left").withColumn(column, F.coalesce("one", "allocated_gpu_type")).drop("one")
 
 
-def gpu_weight(models: DataFrame, weights: DataFrame) -> DataFrame:
-    """Weights of model names, slices (``parent : 2g.10gb``) included: their own if listed, else the parent's by its sevenths."""
+def slice_weights(spark: SparkSession, slices: dict[str, tuple[dict[int, float], dict[int, float]]] = SLICES) -> DataFrame:
+    """(parent, part, listed, share) of ``slices`` as a table: configuration."""
+    rows = [(parent, n, listed.get(n), shares.get(n)) for parent, (listed, shares) in slices.items() for n in sorted({*listed, *shares})]
+    return spark.createDataFrame(rows, "parent string, part int, listed double, share double")
+
+
+def gpu_weight(models: DataFrame, weights: DataFrame, slices: DataFrame | None = None, use_listed: bool = True) -> DataFrame:
+    """Weights of model names, slices (``parent : 2g.10gb``) included: a slice's listed weight (if ``use_listed``), else its share of the parent's weight. Unknown models, parents and parts have none."""
     w = F.broadcast(weights.select(F.col("name").alias("w_name"), "rgu"))
-    parent, part = F.trim(F.split_part("name", F.lit(":"), F.lit(1))), F.regexp_extract("name", r"(\d+)g\.\d+gb", 1)
-    own = models.join(w, F.col("name") == F.col("w_name"), "left").withColumnRenamed("rgu", "own").drop("w_name").withColumn("parent", parent)
-    both = own.join(w, F.col("parent") == F.col("w_name"), "left").drop("w_name")
-    return both.select("name", F.coalesce("own", F.when(part != "", F.col("rgu") * F.try_to_number(part, F.lit("99")).cast("double") / 7)).alias("weight"))
+    s = F.broadcast(slices if slices is not None else slice_weights(models.sparkSession))
+    parent, part = F.trim(F.split_part("name", F.lit(":"), F.lit(1))), F.nullif(F.regexp_extract("name", r":\s*(\d+)g\.\d+gb", 1), F.lit("")).cast("int")
+    both = models.withColumn("parent", parent).withColumn("part", part).join(w, F.col("parent") == F.col("w_name"), "left").join(s, ["parent", "part"], "left")
+    of_slice = F.coalesce(F.col("listed") if use_listed else F.lit(None).cast("double"), F.col("rgu") * F.col("share"))
+    return both.select("name", F.when(~F.contains("name", F.lit(":")), F.col("rgu")).otherwise(of_slice).alias("weight"))
 
 
 def compound_names(named: DataFrame, weights: DataFrame) -> DataFrame:

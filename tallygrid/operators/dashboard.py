@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallygrid.functions.timeaxis import Axis, epoch, overlap_hours, ran_between, seconds, span_to_buckets
-from tallygrid.operators.jobseries import gpu_jobs, real, valid_metric, with_statistic, with_weights
+from tallygrid.operators.jobseries import gpu_jobs, nan_to, pivot_statistics, real, valid_metric, with_statistic, with_weights
 
 
 def _dense(axis: Axis, found: DataFrame, zeros: list[str] = ()) -> DataFrame:
@@ -51,14 +51,15 @@ def rgu_by_cluster(jobs: DataFrame, weights: DataFrame, axis: Axis) -> DataFrame
     return out.orderBy("bucket_s", F.col("total").desc(), "cluster_id")
 
 
-def rgu_by_user(jobs: DataFrame, stats: DataFrame, weights: DataFrame, lo: datetime, hi: datetime, metric: str = "gpu_sm_occupancy") -> DataFrame:
-    """Requested, used and unmeasured weighted hours per login over one window; no login: "unknown"."""
+def rgu_by_user(jobs: DataFrame, stats: DataFrame, weights: DataFrame, lo: datetime, hi: datetime, metric: str = "gpu_sm_occupancy", minimum: float = 0.15) -> DataFrame:
+    """Requested, used, unmeasured and wasted (below ``minimum``) weighted hours per login over one window; no login: "unknown"."""
     runs = with_statistic(with_weights(gpu_jobs(jobs).filter(ran_between(lo, hi)), F.broadcast(weights)), stats, metric)
     s, mean = seconds(F.col("start_time")), F.col(f"{metric}_mean")
     hours = F.col("allocated_gres_gpu") * F.col("rgu") * overlap_hours(s, s + F.col("elapsed_time"), F.lit(epoch(lo)), F.lit(epoch(hi)))
     out = runs.groupBy(F.coalesce("cluster_user", F.lit("unknown")).alias("login")).agg(
         F.coalesce(F.sum(hours), F.lit(0.0)).alias("requested"), F.coalesce(F.sum(F.when(real(mean), hours * mean)), F.lit(0.0)).alias("used"),
-        F.coalesce(F.sum(F.when(~F.coalesce(real(mean), F.lit(False)), hours)), F.lit(0.0)).alias("unmeasured"), F.count("*").alias("n_jobs"),
+        F.coalesce(F.sum(F.when(~F.coalesce(real(mean), F.lit(False)), hours)), F.lit(0.0)).alias("unmeasured"),
+        F.coalesce(F.sum(F.when(real(mean) & (mean < minimum), hours * (minimum - mean))), F.lit(0.0)).alias("wasted"), F.count("*").alias("n_jobs"),
     )
     return out.orderBy(F.col("requested").desc(), "login")
 
@@ -91,7 +92,7 @@ def metric_comparison(jobs: DataFrame, stats: DataFrame, lo: datetime, hi: datet
 
 
 def time_vs_limit(jobs: DataFrame, lo: datetime, hi: datetime, bins: int = 100) -> DataFrame:
-    """Counts by log-scaled bins of (elapsed time or wait, time limit) for jobs submitted in the window that have a limit and started."""
+    """Counts by log-scaled bins of (elapsed time or wait, time limit), with the bins' centres, for jobs submitted in the window that have a limit and started."""
     s = seconds(F.col("submit_time"))
     picked = jobs.filter((s >= epoch(lo)) & (s < epoch(hi)) & F.col("time_limit").isNotNull() & F.col("start_time").isNotNull()).select(
         F.col("elapsed_time").alias("elapsed"), (seconds(F.col("start_time")) - s).alias("wait"), F.col("time_limit").cast("double").alias("limit"), F.lit(1).alias("one"))
@@ -101,34 +102,61 @@ def time_vs_limit(jobs: DataFrame, lo: datetime, hi: datetime, bins: int = 100)
     def log_bin(c: str):
         return F.least(F.greatest(F.floor(F.log10(F.col(c) + 1) * bins / F.log10(F.col(f"top_{c}") + 1)), F.lit(0)), F.lit(bins - 1)).cast("int")
 
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), log_bin(k).alias("bin")) for k in ("elapsed", "wait")]))
-    return both.select(pairs.alias("p"), log_bin("limit").alias("bin_limit")).groupBy("p.kind", "p.bin", "bin_limit").agg(F.count("*").alias("n_jobs"))
+    def centre(c: str):
+        return F.pow(F.lit(10.0), (log_bin(c) + 0.5) * F.log10(F.col(f"top_{c}") + 1) / bins) - 1
 
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), log_bin(k).alias("bin"), centre(k).alias("centre")) for k in ("elapsed", "wait")]))
+    return both.select(pairs.alias("p"), log_bin("limit").alias("bin_limit"), centre("limit").alias("centre_limit")).groupBy("p.kind", "p.bin", "p.centre", "bin_limit", "centre_limit").agg(F.count("*").alias("n_jobs"))
 
-SORT_KEYS = {"submitted": "submit_time", "started": "start_time", "elapsed": "elapsed_h", "rgu_hours": "rgu_hours", "login": "cluster_user", "gpus": "allocated_gres_gpu", "waste": "waste", "state": "job_state"}
 
+#: What a page of jobs can be sorted by, and the column of each key.
+SORT_KEYS = {
+    "cluster": "cluster_name", "job_id": "job_id", "submit_time": "submit_time", "start_time": "start_time", "user": "cluster_user", "job_state": "job_state", "elapsed": "elapsed_h",
+    "requested_gpu": "requested_gres_gpu", "allocated_gpu": "allocated_gres_gpu", "billing": "allocated_billing", "gpu_type": "gpu_type", "gpu_type_rgu": "gpu_type_rgu", "rgu": "rgu", "rgu_hours": "rgu_hours",
+    "waste": "waste", "gpu_utilization_mean": "gpu_utilization_mean", "gpu_sm_occupancy_mean": "gpu_sm_occupancy_mean", "gpu_memory_max": "gpu_memory_max",
+}
+#: Statistics that stand beside a page, and the field shown of each.
+_SHOWN = {"gpu_utilization": "mean", "gpu_sm_occupancy": "mean", "gpu_memory": "max"}
 
-def jobs_table(jobs: DataFrame, stats: DataFrame, weights: DataFrame, lo: datetime, hi: datetime, sort: str = "rgu_hours", descending: bool = True, limit: int = 50, offset: int = 0) -> DataFrame:
-    """A page of the window's GPU jobs: clipped hours, weighted hours, waste; nulls last, ties by id.
 
-    The page is chosen on narrow rows, statistics are joined to the page only, unless the order needs them.
-    """
-    s = seconds(F.col("start_time"))
-    runs = with_weights(gpu_jobs(jobs).filter(ran_between(lo, hi)), F.broadcast(weights))
-    runs = runs.withColumn("elapsed_h", overlap_hours(s, s + F.col("elapsed_time"), F.lit(epoch(lo)), F.lit(epoch(hi))))
-    runs = runs.withColumn("rgu_hours", F.col("allocated_gres_gpu") * F.col("rgu") * F.col("elapsed_h"))
-    key = SORT_KEYS[sort]
+def _window_jobs(jobs: DataFrame, lo: datetime, hi: datetime) -> DataFrame:
+    return gpu_jobs(jobs).filter(ran_between(lo, hi))
+
 
-    def measured(df: DataFrame) -> DataFrame:
-        return with_statistic(df, stats, "gpu_sm_occupancy").withColumn("waste", F.col("rgu_hours") * (1 - F.col("gpu_sm_occupancy_mean")))
+def jobs_total(jobs: DataFrame, lo: datetime, hi: datetime) -> DataFrame:
+    """One row: how many jobs all pages of :func:`jobs_table` hold; neither weights nor statistics are read for it."""
+    return _window_jobs(jobs, lo, hi).agg(F.count("*").alias("total"))
 
-    order = [F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_last(), F.col("job_db_id")]
 
-    def page(df: DataFrame) -> DataFrame:  # a top-k of offset + limit rows, then its tail: Spark's offset after a sort doesn't keep the order everywhere
-        top = df.orderBy(*order).limit(offset + limit)
-        return top.withColumn("__at", F.row_number().over(Window.orderBy(*order))).filter(F.col("__at") > offset).drop("__at")
+def jobs_table(jobs: DataFrame, stats: DataFrame, weights: DataFrame, lo: datetime, hi: datetime, sort: str = "rgu_hours", descending: bool = True, limit: int = 50, offset: int = 0, metric: str = "gpu_sm_occupancy", clusters: DataFrame | None = None) -> DataFrame:
+    """A page of the window's GPU jobs: hours and weighted hours clipped to the window, the whole elapsed time, waste by ``metric``, three statistics; an unknown ``sort`` is rgu_hours, nulls last, ties by id.
 
-    return page(measured(runs)).orderBy(*order) if key == "waste" else measured(page(runs)).orderBy(*order)
+    The page is chosen on narrow rows, with the one statistic that the order needs, if any; the shown statistics are joined to the page only.
+    """
+    s = seconds(F.col("start_time"))
+    runs = with_weights(_window_jobs(jobs, lo, hi), F.broadcast(weights)).withColumnRenamed("rgu", "gpu_type_rgu")
+    named = F.col("cluster_id").cast("string").alias("cluster_name")
+    runs = runs.join(clusters.select(F.col("id").alias("cluster_id"), F.col("name").alias("cluster_name")), "cluster_id", "left") if clusters is not None else runs.select("*", named)
+    runs = runs.withColumn("elapsed_h", overlap_hours(s, s + F.col("elapsed_time"), F.lit(epoch(lo)), F.lit(epoch(hi)))).withColumn("rgu", F.col("allocated_gres_gpu") * F.col("gpu_type_rgu"))
+    runs = runs.withColumn("rgu_hours", F.col("rgu") * F.col("elapsed_h")).withColumn("gpu_type", F.coalesce("harmonized_gpu_type", "allocated_gpu_type"))
+    key = SORT_KEYS.get(sort, "rgu_hours")
+    name, field = (metric, "mean") if key == "waste" else key.rsplit("_", 1) if key.rsplit("_", 1)[0] in _SHOWN else (None, None)
+    if name:
+        runs = with_statistic(runs, stats, name, (field,)).withColumnRenamed(f"{name}_{field}", "__stat")
+    by = F.col("rgu_hours") * (1 - F.col("__stat")) if key == "waste" else F.col("__stat") if name else F.col(key)
+    runs = runs.withColumn("__by", by)
+    order = [F.col("__by").desc_nulls_last() if descending else F.col("__by").asc_nulls_last(), F.col("job_db_id")]
+    # a top-k of offset + limit rows, then its tail: Spark's offset after a sort doesn't keep the order everywhere
+    page = runs.orderBy(*order).limit(offset + limit).withColumn("__at", F.row_number().over(Window.orderBy(*order))).filter(F.col("__at") > offset)
+    ids = page.select(F.col("job_db_id").alias("job_id"))  # limit rows at most
+    shown = pivot_statistics(stats.join(F.broadcast(ids), "job_id", "left_semi"), dict.fromkeys((*_SHOWN, metric)), ("mean", "max"))
+    both = page.join(shown, "job_db_id", "left")
+    mean = nan_to(F.col(f"{metric}_mean"))
+    return both.select(
+        "job_db_id", "cluster_name", page["job_id"], "submit_time", "start_time", "cluster_user", "job_state", "elapsed_h", F.col("elapsed_time").alias("elapsed_total"), F.array_join("nodes", ", ").alias("nodes"),
+        "requested_gres_gpu", "allocated_gres_gpu", "allocated_billing", "gpu_type", "gpu_type_rgu", "rgu", "rgu_hours", (F.col("rgu_hours") * (1 - mean)).alias("waste"), mean.alias("metric_mean"),
+        nan_to(F.col("gpu_utilization_mean"), -1.0).alias("gpu_utilization_mean"), nan_to(F.col("gpu_sm_occupancy_mean"), -1.0).alias("gpu_sm_occupancy_mean"), nan_to(F.col("gpu_memory_max")).alias("gpu_memory_max"), "__at",
+    ).orderBy("__at").drop("__at")
 
 
 def keyset_page(jobs: DataFrame, after: tuple[int, datetime | None] | None = None, limit: int = 100) -> DataFrame:

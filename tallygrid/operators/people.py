@@ -5,16 +5,11 @@ from __future__ import annotations
 from datetime import datetime
 from itertools import count
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallygrid.functions.timeaxis import epoch, seconds
 
 
-class DateOverlapError(ValueError):
-    """A dated value overlaps a different one."""
-
-
 def _holds(at: Column, lo: str = "valid_from", hi: str = "valid_to") -> Column:
     return (F.col(lo).isNull() | (F.col(lo) <= at)) & (F.col(hi).isNull() | (at < F.col(hi)))
 
@@ -107,84 +102,81 @@ def merge_equal_periods(dated: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, F.when(F.col("a") != past, F.col("a")).alias("valid_from"), F.when(F.col("b") != far, F.col("b")).alias("valid_to"))
 
 
-_INF = float("inf")
+_OPEN = float("inf")
+_PERIODS = "array<struct<a:double,b:double,v:string>>"
+
 
+def _let(x: Column, then) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.get(F.transform(F.array(x), then), F.lit(0))
 
-def _subtract(r: tuple[float, float], cut: tuple[float, float]) -> list[tuple[float, float]]:
-    if r[0] >= cut[1] or cut[0] >= r[1]:
-        return [r]
-    return [x for x in ((r[0], min(r[1], cut[0])), (max(r[0], cut[1]), r[1])) if x[0] < x[1]]
 
+def _period(a: Column, b: Column, v: Column) -> Column:
+    return F.struct(a.alias("a"), b.alias("b"), v.alias("v"))
 
-def place_value(held: list[tuple[float, float, str]], value: str, lo: float, hi: float, truncate: bool = False) -> list[tuple[float, float, str]]:
-    """The periods (from, to, value) of one key after inserting ``value`` for [lo, hi); an unresolvable overlap raises and changes nothing.
 
-    Equal values that overlap or touch become one. An open end is cut at the next later other value. Otherwise, with ``truncate`` the new period
-    goes around the others; without it an older open period is closed at the new start, an older period without a beginning begins at the new end.
+def _after(state: Column, i: Column, truncate: bool) -> Column:
+    """The state (held and rejected periods) after one more insert, as sets of periods.
+
+    kin: periods of the same value that overlap or touch the insert; rivals: those of other values that overlap it. An open insert ends where the first
+    rival after its start begins. Its hull with its kin takes their place, unless one of them covers it. Rivals that the hull meets either are cut out of it
+    (``truncate``), or give way: an open end to a later start, an open beginning to an earlier end. If one cannot, the insert is rejected.
     """
-    same = [h for h in held if h[2] == value and h[0] <= hi and lo <= h[1]]
-    other = [h for h in held if h[2] != value and h[0] < hi and lo < h[1]]
-    if hi == _INF and (later := [h[0] for h in other if h[0] > lo]):
-        hi = min(later)
-    if any(h[0] <= lo and hi <= h[1] for h in same):
-        return held
-    kept = [h for h in held if h not in same]
-    parts = [(min([lo, *(h[0] for h in same)]), max([hi, *(h[1] for h in same)]))]
-    for h in other:
-        out = []
-        for a, b in parts:
-            if a >= h[1] or h[0] >= b:
-                out.append((a, b))
-            elif truncate:
-                out += _subtract((a, b), (h[0], h[1]))
-            elif h[1] == _INF and a > h[0]:
-                kept[kept.index(h)] = h = (h[0], a, h[2])
-                out.append((a, b))
-            elif h[0] == -_INF and b < h[1]:
-                kept[kept.index(h)] = h = (b, h[1], h[2])
-                out.append((a, b))
-            else:
-                raise DateOverlapError(f"{value} [{a}, {b}) overlaps {h[2]} [{h[0]}, {h[1]})")
-        parts = out
-    return sorted([*kept, *((a, b, value) for a, b in parts)])
+    overlaps = lambda h, a, b: (h["a"] < b) & (a < h["b"])
+    own = lambda h: (h["v"] == i["v"]) & (h["a"] <= i["b"]) & (i["a"] <= h["b"])
+    rival = lambda h: (h["v"] != i["v"]) & overlaps(h, i["a"], i["b"])
+    starts = F.transform(F.filter(state["held"], lambda h: rival(h) & (h["a"] > i["a"])), lambda h: h["a"])
+    end = F.when(i["b"] == _OPEN, F.coalesce(F.array_min(starts), i["b"])).otherwise(i["b"])
+
+    def with_end(end: Column) -> Column:
+        kin = F.filter(state["held"], own)
+        hull = F.struct(F.least(i["a"], F.array_min(F.transform(kin, lambda h: h["a"]))).alias("a"), F.greatest(end, F.array_max(F.transform(kin, lambda h: h["b"]))).alias("b"))
+        covered = F.exists(kin, lambda h: (h["a"] <= i["a"]) & (end <= h["b"]))
+        return F.when(covered, state).otherwise(_let(hull, with_hull))
+
+    def with_hull(u: Column) -> Column:
+        met = lambda h: rival(h) & overlaps(h, u["a"], u["b"])
+        ends_early, begins_late = lambda h: (h["b"] == _OPEN) & (h["a"] < u["a"]), lambda h: (h["a"] == -_OPEN) & (u["b"] < h["b"])
+        rest, rivals = F.filter(state["held"], lambda h: ~own(h) & ~met(h)), F.array_sort(F.filter(state["held"], met))
+        if truncate:
+            gaps = F.zip_with(F.concat(F.array(u["a"]), F.transform(rivals, lambda h: h["b"])), F.concat(F.transform(rivals, lambda h: h["a"]), F.array(u["b"])), lambda a, b: _period(a, b, i["v"]))
+            return F.struct(F.concat(rest, rivals, F.filter(gaps, lambda g: g["a"] < g["b"])).alias("held"), state["bad"].alias("bad"))
+        shorter = F.transform(rivals, lambda h: F.when(ends_early(h), _period(h["a"], u["a"], h["v"])).otherwise(_period(u["b"], h["b"], h["v"])))
+        placed = F.struct(F.concat(rest, shorter, F.array(_period(u["a"], u["b"], i["v"]))).alias("held"), state["bad"].alias("bad"))
+        refused = F.struct(state["held"].alias("held"), F.concat(state["bad"], F.array(_period(i["a"], i["b"], i["v"]))).alias("bad"))
+        return F.when(F.forall(rivals, lambda h: ends_early(h) | begins_late(h)), placed).otherwise(refused)
+
+    return _let(end, with_end)
 
 
 def insert_dated(inserts: DataFrame, key: str, truncate: bool = False) -> DataFrame:
-    """Fold inserts (key, seq, value, from_s, to_s; null = open) in order of seq into periods per key: key, value, from_s, to_s, rejected.
+    """Inserts (key, seq, value, from_s, to_s; null = open, equal ends: nothing) taken in order of seq into periods per key: key, value, from_s, to_s, rejected.
 
-    A rejected insert comes back as a row of its own. The fold depends on order, so each key is one group of pandas rows; a key has few.
+    A rejected insert comes back as a row of its own. Whether an insert is rejected depends on all before it, so a key is folded in order, by built-in functions over the array of its inserts.
     """
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        held: list[tuple[float, float, str]] = []
-        bad = []
-        for r in rows.sort_values("seq").itertuples(index=False):
-            lo, hi = (-_INF if pd.isna(r.from_s) else float(r.from_s)), (_INF if pd.isna(r.to_s) else float(r.to_s))
-            try:
-                held = place_value(held, r.value, lo, hi, truncate)
-            except DateOverlapError:
-                bad.append((lo, hi, r.value))
-        out = pd.DataFrame([(rows[key].iloc[0], v, a, b, no) for x, no in ((held, False), (bad, True)) for a, b, v in x], columns=[key, "value", "from_s", "to_s", "rejected"])
-        return out.replace([_INF, -_INF], float("nan"))
-
-    kind = dict(inserts.dtypes)[key]
-    done = inserts.groupBy(key).applyInPandas(fold, f"{key} {kind}, value string, from_s double, to_s double, rejected boolean")
-    return done.select(key, "value", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("from_s", "to_s")], "rejected")
-
-
-def _least_labels(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, label): the smallest node that each node of ``edges`` (a, b) reaches, by rounds of least neighbours with short-cuts."""
+    lo, hi = F.coalesce(F.col("from_s").cast("double"), F.lit(-_OPEN)), F.coalesce(F.col("to_s").cast("double"), F.lit(_OPEN))
+    each = inserts.select(key, F.struct("seq", lo.alias("a"), hi.alias("b"), F.col("value").cast("string").alias("v")).alias("i")).filter("i.a < i.b")
+    state = f"struct<held:{_PERIODS},bad:{_PERIODS}>"
+    none = F.struct(F.array().cast(_PERIODS).alias("held"), F.array().cast(_PERIODS).alias("bad")).cast(state)
+    done = each.groupBy(key).agg(F.array_sort(F.collect_list("i")).alias("i")).select(key, F.aggregate("i", none, lambda s, i: _after(s, i, truncate).cast(state)).alias("s"))
+    shown = lambda rejected: lambda h: F.struct(h["v"].alias("value"), F.nullif(h["a"], F.lit(-_OPEN)).alias("from_s"), F.nullif(h["b"], F.lit(_OPEN)).alias("to_s"), F.lit(rejected).alias("rejected"))
+    both = F.concat(F.transform("s.held", shown(False)), F.transform("s.bad", shown(True)))
+    return done.select(key, F.inline(both))
+
+
+def _least_labels(edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest node that each node of ``edges`` (a, b) reaches, by rounds of least neighbours with short-cuts until nothing changes."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m")).withColumnRenamed("a", "n")
         new = labels.join(near, labels["node"] == near["n"], "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label"))
         jump = new.select(F.col("node").alias("j"), F.col("label").alias("l2"))
         new = new.join(jump, new["label"] == jump["j"], "left").select("node", F.coalesce("l2", "label").alias("label")).checkpoint()
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").filter("label <> old").isEmpty()
+        settled = new.join(labels.withColumnRenamed("label", "old"), "node").filter("label <> old").isEmpty()
         labels = new
-        if changed:
+        if settled:
             return labels
-    raise RuntimeError("links did not settle")
 
 
 def resolve_identities(records: DataFrame) -> DataFrame:
@@ -205,12 +197,34 @@ def resolve_identities(records: DataFrame) -> DataFrame:
     return out.withColumn("conflict", F.coalesce("conflict", F.lit(False))).withColumn("valid", F.col("name").isNotNull() & F.col("email").isNotNull())
 
 
+def update_ids(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Ids of persons (person_id, source, id): a fresh one takes the place of the stored one of its person and source, which is reported as replaced."""
+    f = fresh.select("person_id", "source", F.col("id").alias("new"))
+    both = stored.withColumnRenamed("id", "old").join(f, ["person_id", "source"], "full_outer")
+    return both.select("person_id", "source", F.coalesce("new", "old").alias("id"), F.when(F.col("new") != F.col("old"), F.col("old")).alias("replaced"))
+
+
 def remap_owners(fact: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
-    """A fact table with the ids of merged persons (old_id, new_id) replaced."""
+    """A fact table (jobs, supervisor references) with the ids of merged persons (old_id, new_id) replaced."""
     m = mapping.select(F.col("old_id").alias("__old"), "new_id")
     return fact.join(m, F.col(column) == F.col("__old"), "left").withColumn(column, F.coalesce("new_id", column)).drop("__old", "new_id")
 
 
+def merge_ids(ids: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Ids (user_id, source, id) after persons were merged: of two of one source the remaining person's own stays; lost tells those that differ."""
+    moved = remap_owners(ids.withColumn("was", F.col("user_id")), mapping, "user_id")
+    first = F.min_by("id", F.struct((F.col("was") != F.col("user_id")).alias("moved"), "was"))
+    out = moved.groupBy("user_id", "source").agg(first.alias("id"), F.array_sort(F.collect_set("id")).alias("all"))
+    return out.select("user_id", "source", "id", F.array_except("all", F.array("id")).alias("lost"))
+
+
+def merge_periods(dated: DataFrame, mapping: DataFrame, truncate: bool) -> DataFrame:
+    """Dated values (user_id, value, from_s, to_s) after persons were merged: the remaining person's own come first, those of the merged one around them (``truncate``: member types, supervisors) or as inserts that may be rejected (accounts)."""
+    moved = remap_owners(dated.withColumn("was", F.col("user_id")), mapping, "user_id")
+    order = Window.partitionBy("user_id").orderBy(F.col("was") != F.col("user_id"), "was", F.col("from_s").asc_nulls_first(), "value")
+    return insert_dated(moved.withColumn("seq", F.row_number().over(order).cast("long")).drop("was"), "user_id", truncate)
+
+
 def supervisor_levels(persons: DataFrame, supervisors: DataFrame) -> DataFrame:
     """(id, level): 0 without supervisors among ``persons``, else after all of them; those in or behind a cycle come last, together (level -1).
 

@@ -66,7 +66,7 @@ def allocation_vs_usage(jobs: DataFrame, allocations: DataFrame) -> DataFrame:
     used = used.withColumn("projected", F.col("billed") * 12).withColumn("running", running)
     a = allocations.withColumnRenamed("cluster_id", "c")
     inside = (F.col("c") == F.col("cluster_id")) & (F.col("month") >= F.col("start")) & (F.col("month") < F.col("end"))
-    return used.join(F.broadcast(a), inside, "left").groupBy("cluster_id", "month", "billed", "projected", "running").agg(F.sum("years").alias("allocated"))
+    return used.join(a, inside, "left").groupBy("cluster_id", "month", "billed", "projected", "running").agg(F.sum("years").alias("allocated"))
 
 
 def waste_by_user(rows: DataFrame) -> DataFrame:
@@ -81,8 +81,8 @@ def waste_by_user(rows: DataFrame) -> DataFrame:
     return out.withColumn("ratio", F.col("wasted") / used).withColumn("total_ratio", (F.col("wasted") + F.col("overbilled")) / used).orderBy(F.col("total_ratio").desc(), "user")
 
 
-def tool_adoption(jobs: DataFrame, tool: str) -> DataFrame:
-    """Per week (Monday): users, users of jobs named ``tool``, both cumulative, and this week's users who have used it by now."""
+def tool_adoption(jobs: DataFrame, tool: str, every_week: bool = True) -> DataFrame:
+    """Per week (Monday): users, users of jobs named ``tool``, both cumulative, and this week's users who have used it by now. A week without jobs between others is an error if ``every_week``."""
     week = F.date_trunc("week", F.col("submit_time")).cast("date").alias("week")
     x = jobs.select(week, F.col("cluster_user").alias("u"), (F.col("name") == tool).alias("hit")).groupBy("week", "u").agg(F.max("hit").alias("hit"))
     own = Window.partitionBy("u").orderBy("week").rowsBetween(Window.unboundedPreceding, 0)
@@ -93,4 +93,7 @@ def tool_adoption(jobs: DataFrame, tool: str) -> DataFrame:
         F.count("*").alias("users"), F.sum(F.col("hit").cast("int")).alias("tool_users"), F.sum((F.col("first") == F.col("week")).cast("int")).alias("new"),
         F.sum(F.coalesce((F.col("first_hit") == F.col("week")).cast("int"), F.lit(0))).alias("new_tool"), F.sum(F.col("by_now").cast("int")).alias("users_with_tool"))
     up = Window.orderBy("week").rowsBetween(Window.unboundedPreceding, 0)  # a row per week
+    if every_week:
+        gap = F.datediff("week", F.lag("week").over(Window.orderBy("week"))) > 7
+        weekly = weekly.withColumn("users", F.when(gap, F.raise_error(F.concat(F.lit("no jobs in the week before "), F.col("week").cast("string"))).cast("long")).otherwise(F.col("users")))
     return weekly.select("week", "users", "tool_users", F.sum("new").over(up).alias("users_so_far"), F.sum("new_tool").over(up).alias("tool_users_so_far"), "users_with_tool")

@@ -45,6 +45,29 @@ def metric_statistics(samples: DataFrame, keys: list[str], normalization: Callab
     return _flat(pool.groupBy(*keys).agg(*summary(F.col("value"))), keys)
 
 
+def pool_statistics(samples: DataFrame, keys: list[str], normalization: Callable[[Column], Column] | None = None, ranges: int = 64) -> DataFrame:
+    """:func:`metric_statistics` for few keys with pools of any size: quantiles come from counts of values in ``ranges`` sorted ranges per key, so no task holds a pool."""
+    x = F.col("value")
+    counts = samples.filter(x < SENTINEL).withColumn("value", normalization(x) if normalization else x).groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    n, v = F.col("n"), F.col("value")
+    cuts = F.percentile_approx("value", F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), 1000)
+    whole = counts.groupBy(*keys).agg((F.sum(n * v) / F.sum("n")).alias("mean"), F.max("value").alias("max"), F.sum("n").alias("size"), cuts.alias("cuts"))
+    each = counts.join(whole, keys).withColumn("range", F.size(F.filter("cuts", lambda c: c <= F.col("value"))))
+    up = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    base = each.groupBy(*keys, "range").agg(F.sum("n").alias("m")).withColumn("base", F.coalesce(F.sum("m").over(up(keys, "range")), F.lit(0))).drop("m")
+    ranked = each.join(base, [*keys, "range"]).withColumn("before", F.col("base") + F.coalesce(F.sum("n").over(up([*keys, "range"], "value")), F.lit(0)))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + n), v))
+
+    ends = [f((F.col("size") - 1) * q).alias(f"{name}{k}") for k, q in enumerate(QUANTILES) for name, f in (("lo", lambda p: at(F.floor(p))), ("hi", lambda p: at(F.ceil(p))))]
+    spread = F.sqrt(F.sum(n * F.pow(v - F.col("mean"), 2)) / F.max("size"))
+    found = ranked.groupBy(*keys, "mean", "max", "size").agg(spread.alias("std"), *ends)
+    part = lambda q: (F.col("size") - 1) * q - F.floor((F.col("size") - 1) * q)
+    q = F.array(*[F.col(f"lo{k}") + (F.col(f"hi{k}") - F.col(f"lo{k}")) * part(q) for k, q in enumerate(QUANTILES)])
+    return _flat(found.withColumn("q", q), keys)
+
+
 def counter_rates(samples: DataFrame, keys: list[str]) -> DataFrame:
     """Rates of nanosecond counters: differences of neighbours in input order within a source, per second and 1e9.
 

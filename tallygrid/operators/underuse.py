@@ -130,6 +130,41 @@ def recurring_underusers(classified: DataFrame, active: int, cycles: int, run: i
     return window.join(wide, "user_id").withColumn("cluster_share", share)
 
 
+def recurring_from_periods(periods: DataFrame, anchor: date, weeks: int, cycles: int, active: int) -> DataFrame:
+    """:func:`recurring_underusers` from stored periods (:func:`period_rows`), over the ``cycles`` that end at ``anchor`` and before; flags of cycles newer than any stored one are null.
+
+    Columns c0 (newest) on tell whether a cycle flags the user, e0 on whether it escalates.
+    """
+    cycle = (F.datediff(F.lit(anchor), "end_date") / (7 * weeks)).cast("int")
+    x = periods.withColumn("cycle", cycle).filter((F.col("cycle") >= 0) & (F.col("cycle") < cycles))
+    newest = x.agg(F.min("cycle").alias("ahead"))  # one row
+    window = x.filter(F.col("cycle") < active).groupBy("cluster_id", "user_id").agg(F.sum("unused_rguh").alias("wasted")).filter("wasted > 0")
+    flags = x.groupBy("user_id", "cycle").agg(F.max("isunderuser").alias("u"), F.max("elevated").alias("e"))
+    wide = flags.groupBy("user_id").agg(*[F.coalesce(F.max(F.when(F.col("cycle") == i, F.col(c))), F.lit(False)).alias(f"{n}{i}") for n, c in (("c", "u"), ("e", "e")) for i in range(cycles)])
+    share = F.col("wasted") / F.sum("wasted").over(Window.partitionBy("cluster_id"))
+    out = window.join(wide, "user_id").withColumn("cluster_share", share).crossJoin(F.broadcast(newest))  # the right side is one row
+    known = [F.when(F.col("ahead") <= i, F.col(f"{n}{i}")).alias(f"{n}{i}") for n in ("c", "e") for i in range(cycles)]
+    return out.select("cluster_id", "user_id", "wasted", "cluster_share", *known).orderBy("cluster_id", F.col("wasted").desc(), "user_id")
+
+
+#: Hours in a week of one weighted GPU, and of the model that readers know (weight 4.8).
+RGU_WEEK, MODEL_WEEK = 24 * 7, 4.8 * 24 * 7
+
+
+def in_units(hours: Column, hours_per_unit: float = RGU_WEEK) -> Column:
+    """Weighted hours in a display unit, with one decimal."""
+    return F.format_string("%.1f", hours / F.lit(float(hours_per_unit)))
+
+
+def in_whole_units(hours: Column, hours_per_unit: float = RGU_WEEK) -> Column:
+    """Weighted hours in whole display units (halves to even), thousands apart by blanks."""
+    return F.replace(F.format_number(F.bround(hours / F.lit(float(hours_per_unit)), 0), 0), F.lit(","), F.lit(" "))
+
+
+def percent(fraction: Column) -> Column:
+    return F.format_string("%.1f %%", fraction * 100)
+
+
 def cumulative_share_cut(rows: DataFrame, threshold: float, value: str = "wasted") -> DataFrame:
     """Users of each cluster from the top until their cumulative share reaches ``threshold``; the one who crosses it stays."""
     down = Window.partitionBy("cluster_id").orderBy(F.col(value).desc(), "user_id")

@@ -84,13 +84,13 @@ def l6_set_difference(s, f):
 
 
 def w1_time_frames(s, f):
-    jobs = t.jobs(s, f).filter("job_db_id % 20 = 1").select("job_db_id", "start_time", "end_time", F.col("allocated_cpu").cast("double").alias("cost"))
+    jobs = t.jobs(s, f).select("job_db_id", "start_time", "end_time", F.col("allocated_cpu").cast("double").alias("cost"))
     out = r.time_frames(jobs, ["cost"], start=LO, end=HI)
     return r3(out.select("job_db_id", F.unix_timestamp("timestamp").alias("frame_s"), F.unix_timestamp("start_time").alias("start_s"), "duration", F.when(~F.isnan("cost"), F.col("cost")).alias("cost")), "duration", "cost")
 
 
 def w1_default_frames(s, f):
-    jobs = t.jobs(s, f).filter("job_db_id % 50 = 1").select("job_db_id", "start_time", "end_time")
+    jobs = t.jobs(s, f).select("job_db_id", "start_time", "end_time")
     out = r.time_frames(jobs, size_s=30 * 86400)
     return out.groupBy(F.unix_timestamp("timestamp").alias("frame_s")).agg(F.count("*").alias("n"), F.round(F.sum("duration"), 0).alias("seconds"))
 
@@ -166,9 +166,9 @@ SELECT cluster_id, frame, n_jobs, round(threshold + 1e-6, 3) AS threshold FROM x
     "w1_time_frames": with_sql(JOBS_SQL, body=f"""
 SELECT job_db_id, {LO_S} + k * 604800 AS frame_s, CAST(greatest(start_s, {LO_S} + k * 604800) AS BIGINT) AS start_s, round(least(end_s, {LO_S} + (k + 1) * 604800) - greatest(start_s, {LO_S} + k * 604800) + 1e-6, 3) AS duration,
        round(allocated_cpu * (least(end_s, {LO_S} + (k + 1) * 604800) - greatest(start_s, {LO_S} + k * 604800)) / nullif(end_s - start_s, 0)::DOUBLE + 1e-6, 3) AS cost
-FROM jobs JOIN (SELECT unnest(range({(HI_S - LO_S) // 604800 + 1})) AS k) ON start_s < {LO_S} + (k + 1) * 604800 AND end_s > {LO_S} + k * 604800 WHERE job_db_id % 20 = 1"""),
+FROM jobs JOIN (SELECT unnest(range({(HI_S - LO_S) // 604800 + 1})) AS k) ON start_s < {LO_S} + (k + 1) * 604800 AND end_s > {LO_S} + k * 604800"""),
     "w1_default_frames": with_sql(JOBS_SQL, body="""
-, p AS (SELECT * FROM jobs WHERE job_db_id % 50 = 1), m AS (SELECT min(start_s) AS lo, max(end_s) AS hi FROM p), fr AS (SELECT unnest(generate_series(lo, hi, 2592000)) AS a FROM m)
+, p AS (SELECT * FROM jobs), m AS (SELECT min(start_s) AS lo, max(end_s) AS hi FROM p), fr AS (SELECT unnest(generate_series(lo, hi, 2592000)) AS a FROM m)
 SELECT a AS frame_s, count(*) AS n, round(sum(least(end_s, a + 2592000) - greatest(start_s, a)), 0) AS seconds FROM p JOIN fr ON start_s < a + 2592000 AND end_s > a GROUP BY 1""").replace(")\n, p AS", "),\np AS"),
     "a24_hours_by_category": with_sql(JOBS_SQL, body=f"""
 , x AS (SELECT greatest(least(end_s, 915148800) - greatest(end_s - elapsed_time, {LO_S}), 0) / 3600 * allocated_gres_gpu AS h, elapsed_time AS t, allocated_gres_gpu AS g, elapsed_time / 3600 * allocated_gres_gpu AS gh FROM jobs WHERE allocated_gres_gpu > 0 AND end_s IS NOT NULL),

@@ -69,7 +69,7 @@ def a3_rgu_by_cluster(s, f):
 
 
 def a4_rgu_by_user(s, f):
-    return r4(d.rgu_by_user(*_u(s, f), LO, HI), "requested", "used", "unmeasured")
+    return r4(d.rgu_by_user(*_u(s, f), LO, HI), "requested", "used", "unmeasured", "wasted")
 
 
 def a5_metric_trend(s, f):
@@ -86,17 +86,36 @@ def a7_metric_comparison(s, f):
 
 
 def a8_time_vs_limit(s, f):
-    return d.time_vs_limit(t.jobs(s, f), LO, HI)
+    return r4(d.time_vs_limit(t.jobs(s, f), LO, HI), "centre", "centre_limit")
+
+
+L1_NUMBERS = ("elapsed_h", "elapsed_total", "rgu", "rgu_hours", "waste", "metric_mean", "gpu_utilization_mean", "gpu_sm_occupancy_mean", "gpu_memory_max")
+
+
+def _page(s, f, **how):
+    out = d.jobs_table(*_u(s, f), LO, HI, clusters=t.clusters(s, f), **how)
+    out = out.withColumn("submit_s", F.unix_timestamp("submit_time")).withColumn("start_s", F.unix_timestamp("start_time")).drop("submit_time", "start_time")
+    return r4(js_nan(out), *L1_NUMBERS)
 
 
 def l1_jobs_table(s, f):
-    out = d.jobs_table(*_u(s, f), LO, HI, limit=50, offset=25)
-    return r4(out.select("job_db_id", "cluster_user", "elapsed_h", "rgu_hours", "gpu_sm_occupancy_mean", "waste"), "elapsed_h", "rgu_hours", "gpu_sm_occupancy_mean", "waste")
+    return _page(s, f, limit=50, offset=25)
 
 
 def l1_jobs_by_waste(s, f):
-    out = d.jobs_table(*_u(s, f), LO, HI, sort="waste", limit=50)
-    return r4(js_nan(out.select("job_db_id", "rgu_hours", "waste")), "rgu_hours", "waste")
+    return _page(s, f, sort="waste", metric="gpu_power")
+
+
+def l1_jobs_by_memory(s, f):
+    return _page(s, f, sort="gpu_memory_max", descending=False, limit=60)
+
+
+def l1_jobs_by_cluster(s, f):
+    return _page(s, f, sort="cluster", descending=False, limit=40, offset=7)
+
+
+def l1_jobs_total(s, f):
+    return d.jobs_total(t.jobs(s, f), LO, HI)
 
 
 def js_nan(df):
@@ -180,6 +199,22 @@ RUNNING = "SELECT blo AS bucket_s, bhi, count(s.job_db_id) AS n_jobs FROM edges
 TOTAL = "tot AS (SELECT cluster_id, sum(allocated_gres_gpu * rgu * h) AS total FROM cut GROUP BY 1 HAVING total > 0)"
 PAGE = f"page AS (SELECT g.*, (least(stop_s, {HI_S}) - greatest(start_s, {LO_S})) / 3600.0::DOUBLE AS elapsed_h FROM gpu g)"
 
+
+def _page_sql(order: str, metric: str, limit: int, offset: int) -> str:
+    one = "LEFT JOIN stats {a} ON {a}.job_id = j.job_db_id AND {a}.name = '{n}'"
+    stats = " ".join(one.format(a=a, n=n) for a, n in (("m", metric), ("u", "gpu_utilization"), ("o", "gpu_sm_occupancy"), ("y", "gpu_memory")))
+    real = lambda x, other="NULL": f"CASE WHEN isnan({x}) THEN {other} ELSE {x} END"
+    return with_sql(JOBS_SQL, STATS_SQL, WEIGHTS_SQL, CLUSTERS_SQL, SPANS, GPU, PAGE, body=f"""
+SELECT job_db_id, cluster_name, job_id, submit_s, start_s, cluster_user, job_state, round(elapsed_h, 4) AS elapsed_h, round(elapsed_time, 4) AS elapsed_total, array_to_string(nodes, ', ') AS nodes, requested_gres_gpu, allocated_gres_gpu, allocated_billing,
+       gpu_type, gpu_type_rgu, round(rgu, 4) AS rgu, round(rgu_hours, 4) AS rgu_hours, round(rgu_hours * (1 - {real('mm')}), 4) AS waste, round({real('mm')}, 4) AS metric_mean,
+       round({real('um', '-1')}, 4) AS gpu_utilization_mean, round({real('om', '-1')}, 4) AS gpu_sm_occupancy_mean, round({real('ym')}, 4) AS gpu_memory_max
+FROM (SELECT j.job_db_id, c.name AS cluster_name, j.job_id, submit_s, start_s, cluster_user, job_state, elapsed_h, elapsed_time, nodes, requested_gres_gpu, allocated_gres_gpu, allocated_billing, harmonized_gpu_type AS gpu_type, rgu AS gpu_type_rgu,
+             allocated_gres_gpu * rgu AS rgu, allocated_gres_gpu * rgu * elapsed_h AS rgu_hours, m.mean AS mm, u.mean AS um, o.mean AS om, y.max AS ym,
+             CASE WHEN isnan(m.mean) THEN 'inf'::DOUBLE ELSE allocated_gres_gpu * rgu * elapsed_h * (1 - m.mean) END AS by_waste, y.max AS by_memory
+      FROM page j JOIN clusters c ON c.id = j.cluster_id {stats})
+ORDER BY {order}, job_db_id LIMIT {limit} OFFSET {offset}""")
+
+
 SQL = {
     "a1_running_per_week": with_sql(JOBS_SQL, SPANS, WEEK_EDGES, body="SELECT bucket_s, n_jobs FROM (" + RUNNING + ")"),
     "a1_running_per_month": with_sql(JOBS_SQL, SPANS, MONTH_EDGES, body="SELECT bucket_s, n_jobs FROM (" + RUNNING + ")"),
@@ -193,7 +228,7 @@ GROUP BY e.blo"""),
 SELECT e.blo AS bucket_s, t.cluster_id, round(coalesce(sum(c.allocated_gres_gpu * c.rgu * c.h), 0) + 1e-6, 4) AS rgu_hours, round(any_value(t.total) + 1e-6, 4) AS total
 FROM edges e CROSS JOIN tot t LEFT JOIN cut c ON c.b = e.b AND c.cluster_id = t.cluster_id GROUP BY ALL"""),
     "a4_rgu_by_user": with_sql(JOBS_SQL, STATS_SQL, WEIGHTS_SQL, SPANS, GPU, OCC, PAGE, body=f"""
-SELECT coalesce(cluster_user, 'unknown') AS login, round(sum(x), 4) AS requested, round(coalesce(sum(x * mean) FILTER (WHERE ok), 0), 4) AS used, round(coalesce(sum(x) FILTER (WHERE NOT ok), 0), 4) AS unmeasured, count(*) AS n_jobs
+SELECT coalesce(cluster_user, 'unknown') AS login, round(sum(x), 4) AS requested, round(coalesce(sum(x * mean) FILTER (WHERE ok), 0), 4) AS used, round(coalesce(sum(x) FILTER (WHERE NOT ok), 0), 4) AS unmeasured, round(coalesce(sum(x * (0.15 - mean)) FILTER (WHERE ok AND mean < 0.15), 0), 4) AS wasted, count(*) AS n_jobs
 FROM (SELECT p.cluster_user, p.allocated_gres_gpu * p.rgu * p.elapsed_h AS x, o.mean, coalesce({REAL}, false) AS ok FROM page p LEFT JOIN occ o ON o.job_id = p.job_db_id) GROUP BY 1"""),
     "a5_metric_trend": with_sql(JOBS_SQL, STATS_SQL, WEIGHTS_SQL, SPANS, GPU, MONTH_EDGES, CUT, body="""
 SELECT e.blo AS bucket_s, round(avg(q.mean) FILTER (WHERE NOT isnan(q.mean)), 4) AS avg_mean, round(avg(q.max), 4) AS avg_max
@@ -209,14 +244,14 @@ WHERE a.mean IS NOT NULL AND NOT isnan(a.mean) AND b.mean IS NOT NULL AND NOT is
 , p AS (SELECT elapsed_time AS elapsed, CAST(start_s - submit_s AS DOUBLE) AS wait, CAST(time_limit AS DOUBLE) AS lim FROM jobs WHERE submit_s >= {LO_S} AND submit_s < {HI_S} AND time_limit IS NOT NULL AND start_s IS NOT NULL),
 m AS (SELECT greatest(max(elapsed), 1e-9) AS te, greatest(max(wait), 1e-9) AS tw, greatest(max(lim), 1e-9) AS tl FROM p),
 k AS (SELECT 'elapsed' AS kind, elapsed AS v, te AS tv, lim, tl FROM p, m UNION ALL SELECT 'wait', wait, tw, lim, tl FROM p, m)
-SELECT kind, CAST(least(greatest(floor(log10(v + 1) * 100 / log10(tv + 1)), 0), 99) AS INTEGER) AS bin, CAST(least(greatest(floor(log10(lim + 1) * 100 / log10(tl + 1)), 0), 99) AS INTEGER) AS bin_limit, count(*) AS n_jobs FROM k GROUP BY ALL"""),
-    "l1_jobs_table": with_sql(JOBS_SQL, STATS_SQL, WEIGHTS_SQL, SPANS, GPU, OCC, PAGE, body="""
-SELECT p.job_db_id, cluster_user, round(elapsed_h, 4) AS elapsed_h, round(allocated_gres_gpu * rgu * elapsed_h, 4) AS rgu_hours, round(o.mean, 4) AS gpu_sm_occupancy_mean, round(allocated_gres_gpu * rgu * elapsed_h * (1 - o.mean), 4) AS waste
-FROM (SELECT * FROM page ORDER BY allocated_gres_gpu * rgu * elapsed_h DESC NULLS LAST, job_db_id LIMIT 50 OFFSET 25) p LEFT JOIN occ o ON o.job_id = p.job_db_id"""),
-    "l1_jobs_by_waste": with_sql(JOBS_SQL, STATS_SQL, WEIGHTS_SQL, SPANS, GPU, OCC, PAGE, body="""
-SELECT job_db_id, round(x, 4) AS rgu_hours, round(CASE WHEN isnan(waste) THEN NULL ELSE waste END, 4) AS waste
-FROM (SELECT p.job_db_id, allocated_gres_gpu * rgu * elapsed_h AS x, allocated_gres_gpu * rgu * elapsed_h * (1 - o.mean) AS waste FROM page p LEFT JOIN occ o ON o.job_id = p.job_db_id)
-ORDER BY (CASE WHEN isnan(waste) THEN 'inf'::DOUBLE ELSE waste END) DESC NULLS LAST, job_db_id LIMIT 50"""),
+SELECT kind, CAST(least(greatest(floor(log10(v + 1) * 100 / log10(tv + 1)), 0), 99) AS INTEGER) AS bin, CAST(least(greatest(floor(log10(lim + 1) * 100 / log10(tl + 1)), 0), 99) AS INTEGER) AS bin_limit,
+       round(power(10, (least(greatest(floor(log10(v + 1) * 100 / log10(tv + 1)), 0), 99) + 0.5) * log10(tv + 1) / 100) - 1, 4) AS centre,
+       round(power(10, (least(greatest(floor(log10(lim + 1) * 100 / log10(tl + 1)), 0), 99) + 0.5) * log10(tl + 1) / 100) - 1, 4) AS centre_limit, count(*) AS n_jobs FROM k GROUP BY ALL"""),
+    "l1_jobs_table": _page_sql("rgu_hours DESC NULLS LAST", "gpu_sm_occupancy", 50, 25),
+    "l1_jobs_by_waste": _page_sql("by_waste DESC NULLS LAST", "gpu_power", 50, 0),
+    "l1_jobs_by_memory": _page_sql("by_memory ASC NULLS LAST", "gpu_sm_occupancy", 60, 0),
+    "l1_jobs_by_cluster": _page_sql("cluster_name ASC", "gpu_sm_occupancy", 40, 7),
+    "l1_jobs_total": with_sql(JOBS_SQL, SPANS, body="SELECT count(*) AS total FROM spans WHERE allocated_gres_gpu > 0 AND harmonized_gpu_type IS NOT NULL"),
     "l2_keyset_page": with_sql(JOBS_SQL, body="SELECT job_db_id, submit_s FROM jobs WHERE submit_s < 925516800 OR (submit_s = 925516800 AND job_db_id > 3000) ORDER BY submit_s DESC, job_db_id LIMIT 100"),
     "j1_job_series": with_sql(JOBS_SQL, STATS_SQL, WEIGHTS_SQL, USERS_SQL, CLUSTERS_SQL, body="""
 SELECT j.job_db_id, u.display_name, u.email, c.name AS cluster_name, c.domain, round(coalesce(allocated_gres_gpu, 0) * w.rgu, 4) AS allocated_rgu, round(coalesce(requested_gres_gpu, 0) * w.rgu, 4) AS requested_rgu,

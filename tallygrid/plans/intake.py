@@ -11,6 +11,7 @@ from tallygrid.functions import gpunames as g, timeaxis as ta
 from tallygrid.operators import people as p
 from tallygrid.plans import testdata as t
 from tallygrid.plans.testdata import CLUSTERS_SQL, CREDENTIALS_SQL, JOBS_SQL, MEMBERS_SQL, USERS_SQL, WEIGHTS_SQL, with_sql
+from tallygrid.plans.underuses import SQL as _UNDERUSE_SQL
 from tallygrid.sources import records as rec
 from tallygrid.streaming import streams
 
@@ -20,12 +21,11 @@ NAMES = {"n1": {"v100": "volta-32"}, "n2": {"a100": "$h100"}, g.DEFAULTS: {"a100
 
 
 def checkpoint_dir(s):
+    """A new folder in the one that driver and executors share, ``spark.checkpoint.dir``; where that is unset, checkpoints have no safe place."""
     sc = s.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
-        import tempfile
-
-        path = tempfile.mkdtemp(prefix="tallygrid-")
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return f"{path.rstrip('/')}/{uuid.uuid4().hex}"
@@ -66,7 +66,7 @@ def j7_billing_asof(s, f):
 
 
 def j10_infer_gpu_type(s, f):
-    maps = t.jobs(s, f).filter("job_db_id % 4 <> 0").select("job_db_id", F.map_from_entries(F.transform(F.array_distinct("nodes"), lambda n: F.struct(n, F.array(F.concat(F.lit("gpu"), F.pmod(F.crc32(n), F.lit(2)).cast("string")))))).alias("node_to_gpu"))
+    maps = t.jobs(s, f).filter("job_db_id % 4 <> 0").select("job_db_id", F.map_from_entries(F.transform(F.array_distinct("nodes"), lambda n: F.struct(n, F.array(F.concat(F.lit("gpu"), F.pmod(F.ascii(F.right(n, F.lit(1))), F.lit(2)).cast("string")))))).alias("node_to_gpu"))
     return g.infer_gpu_type(t.jobs(s, f), maps).filter("allocated_gres_gpu > 0").select("job_db_id", "inferred_gpu_type")
 
 
@@ -83,9 +83,31 @@ def j11_resolve_identities(s, f):
     return p.resolve_identities(_records(s, f))
 
 
+def j11_update_ids(s, f):
+    x = t.table(s, f, "customer")
+    stored = x.selectExpr("CAST(c_custkey AS bigint) AS person_id", "inline(array(named_struct('source', 'a', 'id', concat('a', c_custkey)), named_struct('source', 'b', 'id', concat('b', c_custkey))))")
+    fresh = x.filter("c_custkey % 3 = 0").selectExpr("CAST(c_custkey AS bigint) AS person_id", "IF(c_custkey % 2 = 0, 'a', 'c') AS source", "concat('a', c_custkey + c_custkey % 4) AS id")
+    return p.update_ids(stored, fresh)
+
+
+def _merged(s, f):
+    return t.users(s, f).filter("id % 10 = 3").select(F.col("id").alias("old_id"), (F.col("id") - 3).alias("new_id"))
+
+
 def j12_merge_persons(s, f):
-    mapping = t.users(s, f).filter("id % 10 = 3").select(F.col("id").alias("old_id"), (F.col("id") - 3).alias("new_id"))
-    return p.remap_owners(t.jobs(s, f), mapping, "user_id").groupBy("user_id").agg(F.count("*").alias("n"))
+    return p.remap_owners(t.jobs(s, f), _merged(s, f), "user_id").select("job_db_id", "user_id")
+
+
+def j12_merge_ids(s, f):
+    ids = t.table(s, f, "customer").selectExpr("CAST(c_custkey AS bigint) AS user_id", "inline(array(named_struct('source', 'a', 'id', concat('a', c_custkey % 7)), named_struct('source', concat('s', c_custkey % 2), 'id', concat('x', c_custkey))))")
+    out = p.merge_ids(ids, _merged(s, f))
+    return out.select("user_id", "source", "id", F.array_join("lost", ",").alias("lost"))
+
+
+def j12_merge_periods(s, f):
+    """Orders as dated values; persons 3, 13, ... were merged into 0, 10, ..."""
+    dated = _inserts(s, f).select(F.col("person").alias("user_id"), "value", "from_s", "to_s")
+    return p.merge_periods(dated, _merged(s, f), truncate=True)
 
 
 def j13_supervisor_levels(s, f):
@@ -114,13 +136,13 @@ def j16_jobs_by_reference(s, f):
     jobs = t.jobs(s, f)
     refs = jobs.filter("job_db_id % 10 = 0").select("cluster_id", "job_id", F.when(F.col("job_db_id") % 100 == 0, F.col("submit_time") + F.expr("INTERVAL 1 SECOND")).otherwise(F.col("submit_time")).alias("submit_time"))
     found, missing = rec.jobs_by_reference(refs, jobs)
-    one = F.lit(1).alias("one")
-    return found.agg(one, F.count("*").alias("n_found"), F.sum("job_db_id").alias("ids")).join(missing.agg(one, F.count("*").alias("n_missing")), "one").drop("one")
+    out = found.unionByName(missing.withColumn("job_db_id", F.lit(None).cast("long")))
+    return out.select("cluster_id", "job_id", F.unix_timestamp("submit_time").alias("submit_s"), F.col("job_db_id").cast("long").alias("job_db_id"))
 
 
 def j18_values_at(s, f):
     ok, bad = p.values_at(t.jobs(s, f).select("job_db_id", "user_id", "submit_time"), t.member_types(s, f), "user_id", "submit_time")
-    return ok.groupBy("member_type").agg(F.count("*").alias("n")).unionByName(bad.agg(F.lit("none").alias("member_type"), F.count("*").alias("n")))
+    return ok.select("job_db_id", "member_type").unionByName(bad.select("job_db_id", F.lit("none").alias("member_type")))
 
 
 def j18_values_in_range(s, f):
@@ -150,11 +172,11 @@ def _inserts(s, f):
 
 
 def d1_insert_dated(s, f):
-    return p.insert_dated(_inserts(s, f), "person").groupBy("person").agg(F.count("*").alias("n"), F.sum(F.col("rejected").cast("int")).alias("n_rejected"), F.min("from_s").alias("from_s"))
+    return p.insert_dated(_inserts(s, f), "person")
 
 
 def d2_merge_truncated(s, f):
-    return p.insert_dated(_inserts(s, f), "person", truncate=True).groupBy("person").agg(F.count("*").alias("n"), F.sum(F.col("rejected").cast("int")).alias("n_rejected"), F.round(F.sum(F.col("to_s") - F.col("from_s")), 0).alias("held_s"))
+    return p.insert_dated(_inserts(s, f), "person", truncate=True)
 
 
 def _periods(s, f):
@@ -162,7 +184,7 @@ def _periods(s, f):
 
 
 def d3_check_no_overlap(s, f):
-    return p.check_no_overlap(_periods(s, f), ["person"]).groupBy("person").agg(F.count("*").alias("n"))
+    return p.check_no_overlap(_periods(s, f), ["person"]).select("person", "value", F.unix_timestamp("valid_from").alias("from_s"), F.unix_timestamp("valid_to").alias("to_s"))
 
 
 def w8_merge_periods(s, f):
@@ -181,8 +203,11 @@ def c12_compound_names(s, f):
 
 
 def c13_gpu_weight(s, f):
-    models = t.jobs(s, f).select(F.concat(F.coalesce("harmonized_gpu_type", F.lit("none")), F.when(F.col("job_db_id") % 3 == 0, F.lit(" : 2g.10gb")).otherwise(F.lit(""))).alias("name")).distinct()
-    return g.gpu_weight(models, t.weights(s)).select("name", F.round("weight", 4).alias("weight"))
+    part = F.concat(F.lit(" : "), (F.col("job_db_id") % 5).cast("string"), F.lit("g.10gb"))
+    models = t.jobs(s, f).select(F.concat(F.coalesce("harmonized_gpu_type", F.lit("none")), F.when(F.col("job_db_id") % 3 == 0, part).otherwise(F.lit(""))).alias("name")).distinct()
+    slices = g.slice_weights(s, {"h100": g.SLICES["H100-SXM5-80GB"], "a100": g.SLICES["A100-SXM4-40GB"]})
+    both = g.gpu_weight(models, t.weights(s), slices).join(g.gpu_weight(models, t.weights(s), slices, use_listed=False).withColumnRenamed("weight", "by_share"), "name")
+    return both.select("name", F.round("weight", 4).alias("weight"), F.round("by_share", 4).alias("by_share"))
 
 
 def c4_effective_spans(s, f):
@@ -197,7 +222,7 @@ def c8_bucket_axis(s, f):
 
 
 def _documents(s, f):
-    """Scheduler documents derived from the jobs, old and new versions, a banner before some."""
+    """Scheduler documents derived from the jobs, at most 1000 in each, old and new versions, a banner before some."""
     j = t.jobs(s, f).withColumn("submit_s", F.unix_timestamp("submit_time"))
     num = "IF(new, concat('{\"set\":true,\"infinite\":false,\"number\":', x, '}'), CAST(x AS string))"
     body = j.selectExpr("*", "cluster_id % 2 = 1 AS new").select("cluster_id", "job_db_id", "new", F.format_string(
@@ -206,12 +231,15 @@ def _documents(s, f):
         F.expr("IF(job_db_id % 29 = 0, 'None assigned', concat('cn-[', lpad(job_db_id % 40, 3, '0'), '-', lpad(job_db_id % 40 + 2, 3, '0'), '],gpu', job_db_id % 7))"),
         F.expr(num.replace("x", "job_db_id % 1000")), F.expr("IF(new, concat('[\"', job_state, '\"]'), concat('\"', job_state, '\"'))"), F.col("elapsed_time").cast("long"), F.coalesce(F.unix_timestamp("start_time"), F.lit(4294967294)), F.col("submit_s"),
         F.expr(num.replace("x", "coalesce(time_limit div 60, 0)")), F.col("requested_cpu"), F.col("allocated_cpu"), F.coalesce("allocated_gres_gpu", F.lit(0)), F.col("cluster_user")).alias("j"))
-    docs = body.groupBy("cluster_id", "new", (F.col("job_db_id") % 97).alias("b")).agg(F.array_join(F.collect_list("j"), ",").alias("jobs"))
+    docs = body.groupBy("cluster_id", "new", F.floor(F.col("job_db_id") / 1000).alias("b")).agg(F.array_join(F.collect_list("j"), ",").alias("jobs"))
     return docs.select(F.concat(F.lit("c"), F.col("cluster_id").cast("string")).alias("cluster"), F.concat(F.when(F.col("b") % 2 == 0, F.lit("Welcome!\n")).otherwise(F.lit("")), F.lit('{"meta":{"Slurm":{"version":{"major":"'), F.when(F.col("new"), "23").otherwise("21"), F.lit('","minor":"11"}}},"jobs":['), F.col("jobs"), F.lit("]}")).alias("text"))
 
 
 def s1_read_job_records(s, f):
-    out = rec.read_job_records(_documents(s, f))
+    return _job_columns(rec.read_job_records(_documents(s, f)))
+
+
+def _job_columns(out):
     return out.select("cluster", "job_id", "task_id", "array_job_id", "exit_code", "job_state", "time_limit", F.unix_timestamp("submit_time").alias("submit_s"), F.unix_timestamp("start_time").alias("start_s"), F.array_join("nodes", ",").alias("nodes"), "priority", "allocated_cpu", "allocated_gres_gpu", "allocated_gpu_type", "STARTED_ON_SUBMIT", "CLEAR_SCHEDULING")
 
 
@@ -226,23 +254,26 @@ def s3_read_metric_series(s, f):
     series = one.select("job_id", F.struct(F.create_map(F.lit("__name__"), F.col("metric"), F.lit("instance"), F.col("i")).alias("metric"), F.transform("v", lambda r: F.array(F.format_string("%.6f", r["ts_s"]), F.when(F.isnan(r["value"]), "NaN").otherwise(r["value"].cast("string")))).alias("values")).alias("s"))
     docs = series.groupBy("job_id").agg(F.collect_list("s").alias("s")).select(F.to_json(F.create_map(F.concat(F.lit("c$"), F.col("job_id").cast("string"), F.lit("$2024-01-01")), F.col("s"))).alias("text"))
     out = rec.read_metric_series(docs)
-    return out.filter("value < 1e14").groupBy("job_id", "metric").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
+    return out.filter("value < 1e14").select("job_id", "metric", F.round("ts_s", 3).alias("ts_s"), F.round("value", 6).alias("value"))
 
 
 def s4_read_allocations(s, f):
-    lines = t.table(s, f, "customer").select(F.concat_ws(",", F.lit(" 2022-04-01 "), F.lit("2023-04-01"), F.expr("IF(c_custkey % 6 = 5, 'nowhere', element_at(array('africa', 'america', 'asia', 'europe', 'middle east'), CAST(c_custkey % 5 + 1 AS int)))"), F.lit("res"), F.concat(F.lit("g"), F.col("c_custkey").cast("string")), F.expr("IF(c_custkey % 7 = 0, 'bad', CAST(c_custkey AS string))"), F.lit("  "), F.lit(""), F.lit(""), F.lit(""), F.expr("concat(c_custkey % 50, 'TB')"), F.lit("5e6"), F.lit(""), F.lit("surplus")).alias("value"))
-    return rec.read_allocations(lines, t.clusters(s, f)).select("cluster_id", "group_name", "cpu_year", "gpu_year", "project_size", "project_inodes", F.date_format("start", "yyyy-MM-dd").alias("start"))
+    lines = t.table(s, f, "customer").select(F.concat_ws(",", F.lit(" 2022-04-01 "), F.lit("2023-04-01"), F.expr("IF(c_custkey % 6 = 5, 'nowhere', element_at(array('africa', 'america', 'asia', 'europe', 'middle east'), CAST(c_custkey % 5 + 1 AS int)))"), F.lit('"res, one"'), F.expr("IF(c_custkey % 4 = 0, concat(' \"g, ', c_custkey, '\"'), concat('g', c_custkey))"), F.expr("IF(c_custkey % 7 = 0, 'bad', CAST(c_custkey AS string))"), F.lit("  "), F.lit(""), F.lit(""), F.lit(""), F.expr("concat(c_custkey % 50, 'TB')"), F.lit("5e6"), F.lit(""), F.lit("surplus")).alias("value"))
+    return rec.read_allocations(lines, t.clusters(s, f)).select("cluster_id", "resource_name", "group_name", "cpu_year", "gpu_year", "project_size", "project_inodes", F.date_format("start", "yyyy-MM-dd").alias("start"))
 
 
 def s5_read_disk_reports(s, f):
-    rows = t.table(s, f, "customer").select((F.col("c_custkey") % 20).alias("p"), F.format_string("   u%d      %d      %d.50 GiB      On disk", F.col("c_custkey"), F.col("c_custkey") % 1000, F.col("c_custkey") % 13).alias("l"))
+    rows = t.table(s, f, "customer").select(F.floor(F.col("c_custkey") / 500).alias("p"), F.format_string("   u%d      %d      %d.50 GiB      On disk", F.col("c_custkey"), F.col("c_custkey") % 1000, F.col("c_custkey") % 13).alias("l"))
     docs = rows.groupBy("p").agg(F.array_join(F.collect_list("l"), "\n").alias("b")).select((F.col("p") % 4).alias("cluster"), F.concat(F.lit("head 1 2\n\nBreakdown for project p"), F.col("p").cast("string"), F.lit(" (Last update: now)\n User  File count  Size  Location\n-----\n"), F.col("b"), F.lit("\n  Total   5   9.0 GiB   On disk\n\nafter 3 4.0 GiB\n")).alias("text"))
     return rec.read_disk_reports(docs, "cluster")
 
 
 def _config(s, f):
-    docs = t.table(s, f, "supplier").groupBy((F.col("s_suppkey") % 5).alias("cluster")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("s_suppkey")), lambda k: F.concat(F.lit("NodeName=n"), k.cast("string"), F.lit("-[1-2] CPUs=4 \\\n   Gres=gpu:"), F.when(k % 2 == 0, "a100").otherwise("v100"), F.lit(":4,gpu:mig:1"))), "\n").alias("b"))
-    return docs.select("cluster", F.concat(F.lit("# NodeName=x Gres=gpu:z:1\n"), F.col("b"), F.lit("\nPartitionName=one Nodes=n"), F.col("cluster").cast("string"), F.lit("-[1-2] TRESBillingWeights=CPU=1,GRES/gpu=3.0\nPartitionName=two Nodes=ALL TRESBillingWeights=GRES/gpu:a100=4.0,GRES/gpu:v100=2.0\n")).alias("text"))
+    """A configuration per 500 suppliers, each a node pair; comments, one of which ends in a backslash."""
+    k = F.col("s_suppkey")
+    node = F.concat(F.lit("NodeName=n"), k.cast("string"), F.lit("-[1-2] CPUs=4 \\\n   Gres=gpu:"), F.when(k % 2 == 0, "a100").otherwise("v100"), F.lit(":4,gpu:mig:1"))
+    docs = t.table(s, f, "supplier").groupBy(F.floor(k / 500).alias("cluster")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, node.alias("n")))), lambda x: x["n"]), "\n").alias("b"), F.min(k).alias("least"))
+    return docs.select("cluster", F.concat(F.lit("# NodeName=x Gres=gpu:z:1\n # old nodes \\\n"), F.col("b"), F.lit("\nPartitionName=one Nodes=n"), F.col("least").cast("string"), F.lit("-[1-2] TRESBillingWeights=CPU=1,GRES/gpu=3.0\nPartitionName=two Nodes=ALL TRESBillingWeights=GRES/gpu:a100=4.0,GRES/gpu:v100=2.0\n")).alias("text"))
 
 
 def s6_read_node_gpus(s, f):
@@ -269,6 +300,52 @@ def s8_hr_rows(s, f):
     return out.select("own_id", "email", "member_type", F.unix_timestamp("valid_from").alias("from_s"), F.size("supervisors").cast("long").alias("n_supervisors"))
 
 
+def _accounts(df):
+    """Records with their accounts as text."""
+    one = lambda a: F.concat_ws("/", a["domain"], a["username"], F.coalesce(F.unix_timestamp(a["valid_from"]).cast("string"), F.lit("-")), F.coalesce(F.unix_timestamp(a["valid_to"]).cast("string"), F.lit("-")))
+    return df.select("source", "own_id", "name", "email", F.array_join(F.array_sort(F.transform("ids", lambda x: F.concat_ws(":", x["source"], x["id"]))), ",").alias("ids"), F.array_join(F.transform("accounts", one), ",").alias("accounts"))
+
+
+def _in_lists(rows):
+    """JSON lists of at most 500 entries each."""
+    return rows.groupBy("b").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("text"))
+
+
+def _directory(s, f):
+    x = t.table(s, f, "customer")
+    rows = x.select(F.floor(F.col("c_custkey") / 500).alias("b"), F.format_string('{"displayName":["%s"],"mail":["U%d@Site.org"],"posixUid":["u%d"],"suspended":["%s"]}', "c_name", "c_custkey", "c_custkey", F.expr("IF(c_custkey % 3 = 0, 'true', 'false')")).alias("j"))
+    return _in_lists(rows), x.filter("c_custkey % 2 = 0").selectExpr("concat('u', c_custkey) AS username")
+
+
+def _legacy(s, f):
+    x = t.table(s, f, "customer")
+    return _in_lists(x.select(F.floor(F.col("c_custkey") / 500).alias("b"), F.format_string('{"name":"%s","record_start":"2021-07-01T08:00:00","record_end":%s,"home":{"email":"L%d@x.org","username":"h%d","active":%s},"far":%s,"far_%s":{"ccri":"abc%d-01"}}', "c_name", F.expr("IF(c_custkey % 4 = 0, 'null', '\"2021-12-01T08:00:00\"')"), "c_custkey", "c_custkey", F.expr("IF(c_custkey % 2 = 0, 'true', 'false')"), F.expr("IF(c_custkey % 5 = 0, 'null', concat('{\"username\":\"f', c_custkey, '\"}'))"), F.expr("IF(c_custkey % 3 = 0, 'members', 'roles')"), "c_custkey").alias("j")))
+
+
+def _manual(s, f):
+    x = t.table(s, f, "customer").filter("c_custkey % 9 = 1")
+    return x.select(F.format_string('{"m%d": [{"name": "directory", "mid": "u%d@site.org"}, {"name": "members", "mid": "abc%d"}, {"name": "members", "mid": "abc%d"}]}', "c_custkey", "c_custkey", "c_custkey", "c_custkey").alias("text"))
+
+
+def s8_directory(s, f):
+    raw, held = _directory(s, f)
+    return _accounts(rec.read_directory(raw, held, datetime(2023, 1, 1), "home"))
+
+
+def s8_legacy_dump(s, f):
+    return _accounts(rec.read_legacy_dump(_legacy(s, f), "home", "far"))
+
+
+def s8_manual_pairs(s, f):
+    return _accounts(rec.read_manual_pairs(_manual(s, f)))
+
+
+def s8_all_sources(s, f):
+    raw, held = _directory(s, f)
+    out = rec.read_users([("directory", raw, {"open_accounts": held, "at": datetime(2023, 1, 1), "domain": "home"}), ("legacy", _legacy(s, f), {"home": "home", "partner": "far"}), ("manual", _manual(s, f), {})])
+    return out.select("source", "own_id", "source_rank", F.size("ids").alias("n_ids"), F.size("accounts").alias("n_accounts"))
+
+
 def s9_read_since(s, f):
     path = checkpoint_dir(s)
     t.table(s, f, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("ts").cast("date").alias("day")).write.partitionBy("day").json(path)
@@ -277,9 +354,9 @@ def s9_read_since(s, f):
 
 
 def s10_upsert_jobs(s, f):
-    jobs = t.jobs(s, f).select("cluster_id", "job_id", "submit_time", "job_state", F.lit(1).alias("scrape"))
+    jobs = t.jobs(s, f).groupBy("cluster_id", "job_id", "submit_time").agg(F.min("job_state").alias("job_state")).withColumn("scrape", F.lit(1))
     fresh = jobs.filter("job_id % 3 = 0").withColumn("job_state", F.lit("NEW")).withColumn("scrape", F.lit(2)).unionByName(jobs.filter("job_id % 5 = 0").withColumn("job_state", F.lit("OLD")).withColumn("scrape", F.lit(0)))
-    return rec.upsert(jobs.dropDuplicates(["cluster_id", "job_id", "submit_time"]), fresh, ["cluster_id", "job_id", "submit_time"], "scrape").groupBy("job_state").agg(F.count("*").alias("n"))
+    return rec.upsert(jobs, fresh, ["cluster_id", "job_id", "submit_time"], "scrape").select("cluster_id", "job_id", F.unix_timestamp("submit_time").alias("submit_s"), "job_state", "scrape")
 
 
 def s12_upsert_dimension(s, f):
@@ -290,7 +367,7 @@ def s12_upsert_dimension(s, f):
 
 def s16_partition_drops(s, f):
     names = t.table(s, f, "orders").select(F.when(F.col("o_orderkey") % 50 == 0, F.lit("notes.txt")).otherwise(F.concat(F.lit("drop-"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(".json"))).alias("name"))
-    return rec.partition_drops(names).groupBy("year", "month").agg(F.count("*").alias("n"))
+    return rec.partition_drops(names)
 
 
 class _Table:
@@ -310,10 +387,22 @@ class _Table:
 
 
 def t1_stream_latest(s, f):
-    table = _Table(s)
+    path = checkpoint_dir(s)
     stream = s.readStream.schema(t.table(s, f, "lineitem").schema).parquet(f"{f}/lineite[m].parquet").select("l_orderkey", "l_linenumber", (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("version"))
-    streams.stream_latest(stream, ["l_orderkey", "l_linenumber"], "version", table.load, table.save, checkpoint_dir(s)).awaitTermination()
-    return table.load()
+    streams.stream_latest(stream, ["l_orderkey", "l_linenumber"], "version", path, F.floor(F.col("l_orderkey") / 100_000), checkpoint_dir(s)).awaitTermination()
+    return s.read.parquet(path).drop("part")
+
+
+def t1_stream_job_records(s, f):
+    """Drops of scheduler documents, the second of which repeats jobs, as a stream of files; the newest drop of each job stays."""
+    drops, path = checkpoint_dir(s), checkpoint_dir(s)
+    docs = _documents(s, f).withColumn("drop", F.lit(1))
+    again = docs.filter("cluster = 'c1'").withColumn("text", F.replace("text", F.lit('"partition":"main"'), F.lit('"partition":"late"'))).withColumn("drop", F.lit(2))
+    for k, part in enumerate((docs, again)):
+        part.write.parquet(f"{drops}/day={k}")
+    raw = s.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1000).parquet(f"{drops}/day=*")
+    streams.stream_job_records(raw, ["cluster", "job_id", "submit_time"], "drop", path, F.date_format("submit_time", "yyyy"), checkpoint_dir(s)).awaitTermination()
+    return s.read.parquet(path).select("cluster", "job_id", F.unix_timestamp("submit_time").alias("submit_s"), "partition", "drop")
 
 
 def t2_stream_statistics(s, f):
@@ -323,21 +412,84 @@ def t2_stream_statistics(s, f):
     return table.load().select("job_id", "name", F.round(F.col("mean") + 1e-6, 3).alias("mean"), F.round("max", 3).alias("max"))
 
 
+def t2_stream_job_statistics(s, f):
+    from tallygrid.operators.samples import job_statistics
+    from tallygrid.plans.underuses import job_samples, r3
+
+    drops, table = checkpoint_dir(s), _Table(s)
+    samples, jobs = job_samples(s, f)
+    samples.write.parquet(drops)
+    stream = s.readStream.schema(samples.schema).parquet(drops)
+    streams.stream_statistics(stream, ["job_db_id", "name"], table.load, table.save, checkpoint_dir(s), statistics=lambda batch: job_statistics(batch, jobs)).awaitTermination()
+    return r3(table.load(), "mean", "std", "q05", "q25", "median", "q75", "max")
+
+
 def t3_submitted_counts(s, f):
-    name = f"counts_{uuid.uuid4().hex}"
+    table = _Table(s)
     stream = s.readStream.schema(t.table(s, f, "orders").schema).parquet(f"{f}/order[s].parquet").select(F.col("o_orderdate").cast("timestamp").alias("submit_time"))
-    out = streams.submitted_counts(stream, "7 days", "30 days")
-    out.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return s.table(name)
+    streams.save_counts(streams.submitted_counts(stream, "7 days", "30 days"), table.save, checkpoint_dir(s)).awaitTermination()
+    return table.load()
 
 
 HOLDS = "(from_s IS NULL OR from_s <= submit_s) AND (to_s IS NULL OR submit_s < to_s)"
 OWN = f"own AS (SELECT job_db_id, j.cluster_id, c.user_id AS owner_id FROM jobs j JOIN clusters k ON k.id = j.cluster_id JOIN credentials c ON c.domain = k.domain AND c.username = cluster_user AND {HOLDS})"
 MAPS = "maps AS (SELECT CAST(r_regionkey AS BIGINT) AS c, x + r_regionkey * 864000 AS since, CAST(i AS INTEGER) AS version, lead(x) OVER (PARTITION BY r_regionkey ORDER BY i) + r_regionkey * 864000 AS until FROM region CROSS JOIN (VALUES (852076800, 0), (883612800, 1), (915148800, 2)) AS v(x, i))"
-PERIODS = "periods AS (SELECT CAST(o_custkey AS BIGINT) AS person, 'v' || o_orderkey % 2 AS value, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE CAST(epoch(o_orderdate) AS BIGINT) END AS from_s, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(epoch(o_orderdate) AS BIGINT) + (1 + o_orderkey % 200) * 86400 END AS to_s FROM orders)"
+PERIODS = "periods AS (SELECT CAST(o_custkey AS BIGINT) AS person, CAST(o_orderkey AS BIGINT) AS o_orderkey, 'v' || o_orderkey % 2 AS value, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE CAST(epoch(o_orderdate) AS BIGINT) END AS from_s, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(epoch(o_orderdate) AS BIGINT) + (1 + o_orderkey % 200) * 86400 END AS to_s FROM orders)"
 CHAIN = """
 r AS (SELECT CAST(c_custkey AS BIGINT) AS record_id, c_custkey % 3 AS rank, CASE WHEN c_custkey % 4 = 1 THEN c_custkey - 1 ELSE c_custkey END AS person_id,
              CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_name END AS name, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE 'p' || c_custkey || '@site.org' END AS email FROM customer)"""
+JOB_STATISTICS_SQL = _UNDERUSE_SQL["a11_job_statistics"]
+#: Two lists of persons, who match by equal address first, then by the one name within a distance of 1 by letter counts.
+MATCHED = """
+WITH l AS (SELECT CAST(c_custkey AS BIGINT) AS id, CASE WHEN c_custkey % 3 = 0 THEN 'Éric ' || c_name ELSE c_name END AS name, CASE WHEN c_custkey % 4 = 0 THEN 'a' || c_custkey || '@x' ELSE '' END AS email FROM customer),
+r AS (SELECT CAST(s_suppkey AS BIGINT) AS id, replace(s_name, 'Supplier', 'Customer') AS name, CASE WHEN s_suppkey % 8 = 0 THEN 'a' || s_suppkey || '@x' ELSE '' END AS email FROM supplier),
+e AS (SELECT l.id, min(r.id) AS other FROM l JOIN r ON l.email = r.email AND l.email <> '' GROUP BY 1),
+alphabet AS (SELECT unnest(string_split('abcdefghijklmnopqrstuvwxyz0123456789 -''.', '')) AS c),
+lv AS (SELECT id, list(len(n) - len(replace(n, c, '')) ORDER BY c) AS v FROM (SELECT id, strip_accents(lower(name)) AS n FROM l WHERE id NOT IN (SELECT id FROM e)), alphabet GROUP BY 1),
+rv AS (SELECT id, list(len(n) - len(replace(n, c, '')) ORDER BY c) AS v FROM (SELECT id, strip_accents(lower(name)) AS n FROM r WHERE id NOT IN (SELECT other FROM e)), alphabet GROUP BY 1),
+near AS (SELECT lv.id, count(*) AS k, min(rv.id) AS other FROM lv JOIN rv ON list_sum(list_transform(list_zip(lv.v, rv.v), lambda x: abs(x[1] - x[2]))) <= 1 GROUP BY 1),
+pairs AS (SELECT id, other, 'email' AS "by" FROM e UNION ALL SELECT id, other, 'name' FROM near WHERE k = 1)"""
+_NONE = "CAST([] AS STRUCT(a DOUBLE, b DOUBLE, v VARCHAR)[])"
+
+
+def _fold(inserts: str, order: str, key: str, truncate: bool) -> str:
+    """Dated inserts (k, value, from_s, to_s) taken one after the other, a step of the recursion for the n-th of every key."""
+    met = "list_filter(held, lambda h: h.v <> v AND h.a < b AND a < h.b AND h.a < ub AND ua < h.b)"
+    rest = "list_filter(held, lambda h: NOT (h.v = v AND h.a <= b AND a <= h.b) AND NOT (h.v <> v AND h.a < b AND a < h.b AND h.a < ub AND ua < h.b))"
+    if truncate:
+        gaps = "list_filter(list_transform(range(len(met) + 1), lambda j: {'a': CASE WHEN j = 0 THEN ua ELSE met[j].b END, 'b': CASE WHEN j = len(met) THEN ub ELSE met[j + 1].a END, 'v': v}), lambda g: g.a < g.b)"
+        placed, refused = f"list_concat(rest, met, {gaps})", "false"
+    else:
+        placed = "list_concat(rest, list_transform(met, lambda h: CASE WHEN h.b = 'inf'::DOUBLE AND h.a < ua THEN {'a': h.a, 'b': ua, 'v': h.v} ELSE {'a': ub, 'b': h.b, 'v': h.v} END), [{'a': ua, 'b': ub, 'v': v}])"
+        refused = "len(list_filter(met, lambda h: NOT (h.b = 'inf'::DOUBLE AND h.a < ua) AND NOT (h.a = '-inf'::DOUBLE AND ub < h.b))) > 0"
+    return f"""
+WITH RECURSIVE {PERIODS},
+given AS ({inserts}),
+ins AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY {order}) AS n, value AS v, coalesce(from_s, '-inf'::DOUBLE)::DOUBLE AS a, coalesce(to_s, 'inf'::DOUBLE)::DOUBLE AS b FROM given),
+fold(k, n, held, bad) AS (
+  SELECT DISTINCT k, 0::BIGINT, {_NONE}, {_NONE} FROM ins
+  UNION ALL
+  SELECT k, n, CASE WHEN covered OR refused THEN held ELSE {placed} END, CASE WHEN NOT covered AND refused THEN list_append(bad, {{'a': a, 'b': b, 'v': v}}) ELSE bad END
+  FROM (SELECT *, {refused} AS refused FROM (
+    SELECT *, list_sort({met}) AS met, {rest} AS rest FROM (
+      SELECT *, len(list_filter(kin, lambda h: h.a <= a AND z <= h.b)) > 0 AS covered, least(a, coalesce(list_min(list_transform(kin, lambda h: h.a)), a)) AS ua, greatest(z, coalesce(list_max(list_transform(kin, lambda h: h.b)), z)) AS ub FROM (
+        SELECT f.k, i.n, f.held, f.bad, i.a, i.b, i.v, list_filter(f.held, lambda h: h.v = i.v AND h.a <= i.b AND i.a <= h.b) AS kin,
+               CASE WHEN i.b = 'inf'::DOUBLE THEN coalesce(list_min(list_transform(list_filter(f.held, lambda h: h.v <> i.v AND h.b > i.a AND h.a > i.a), lambda h: h.a)), i.b) ELSE i.b END AS z
+        FROM fold f JOIN ins i ON i.k = f.k AND i.n = f.n + 1))))),
+last AS (SELECT k, arg_max(held, n) AS held, arg_max(bad, n) AS bad FROM fold GROUP BY 1)
+SELECT k AS {key}, x.v AS value, CASE WHEN isfinite(x.a) THEN x.a END AS from_s, CASE WHEN isfinite(x.b) THEN x.b END AS to_s, rejected
+FROM (SELECT k, unnest(held) AS x, false AS rejected FROM last UNION ALL SELECT k, unnest(bad), true FROM last)"""
+
+
+DIRECTORY = """
+SELECT 'directory' AS source, 'u' || c_custkey || '@site.org' AS own_id, c_name AS name, 'u' || c_custkey || '@site.org' AS email, '' AS ids, 'home/u' || c_custkey || '/1672531200/' || CASE WHEN c_custkey % 3 = 0 THEN '1672531200' ELSE '-' END AS accounts
+FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0"""
+LEGACY = """
+SELECT 'legacy' AS source, 'l' || c_custkey || '@x.org' AS own_id, c_name AS name, 'l' || c_custkey || '@x.org' AS email, 'directory:L' || c_custkey || '@x.org,members:abc' || c_custkey AS ids,
+       concat_ws(',', CASE WHEN c_custkey % 2 = 0 THEN 'home/h' || c_custkey || '/1625140800/' || e END, CASE WHEN c_custkey % 5 <> 0 THEN 'far/f' || c_custkey || '/1625140800/' || e END) AS accounts
+FROM (SELECT *, CASE WHEN c_custkey % 4 = 0 THEN '-' ELSE '1638363600' END AS e FROM customer)"""
+MANUAL = """
+SELECT 'manual' AS source, 'm' || c_custkey AS own_id, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS email, 'directory:u' || c_custkey || '@site.org,members:abc' || c_custkey AS ids, '' AS accounts FROM customer WHERE c_custkey % 9 = 1"""
 DIGIT = "CAST(job_db_id % 40 + {i} AS INTEGER)"
 
 SQL = {
@@ -351,18 +503,47 @@ SQL = {
 SELECT person_id, record_id, arg_min(name, rank * 10000000 + record_id) FILTER (WHERE name IS NOT NULL) OVER p AS name, arg_min(email, rank * 10000000 + record_id) FILTER (WHERE email IS NOT NULL) OVER p AS email, count(*) OVER p > 1 AS conflict,
        bool_or(name IS NOT NULL) OVER p AND bool_or(email IS NOT NULL) OVER p AS valid
 FROM r WINDOW p AS (PARTITION BY person_id)"""),
-    "j12_merge_persons": with_sql(JOBS_SQL, body="SELECT CASE WHEN user_id % 10 = 3 THEN user_id - 3 ELSE user_id END AS user_id, count(*) AS n FROM jobs GROUP BY 1"),
+    "j10_infer_gpu_type": with_sql(JOBS_SQL, body="""
+, k AS (SELECT job_db_id, count(DISTINCT ascii(right(n, 1)) % 2) AS kinds, any_value(ascii(right(n, 1)) % 2) AS kind FROM (SELECT job_db_id, unnest(nodes) AS n FROM jobs WHERE job_db_id % 4 <> 0) GROUP BY 1)
+SELECT job_db_id, CASE WHEN kinds = 1 THEN 'gpu' || kind ELSE allocated_gpu_type END AS inferred_gpu_type FROM jobs LEFT JOIN k USING (job_db_id) WHERE allocated_gres_gpu > 0""").replace(")\n, k AS", "),\nk AS"),
+    "j11_update_ids": """
+WITH st AS (SELECT CAST(c_custkey AS BIGINT) AS person_id, unnest(['a', 'b']) AS source, unnest(['a', 'b']) || c_custkey AS id FROM customer),
+fr AS (SELECT CAST(c_custkey AS BIGINT) AS person_id, CASE WHEN c_custkey % 2 = 0 THEN 'a' ELSE 'c' END AS source, 'a' || (c_custkey + c_custkey % 4) AS id FROM customer WHERE c_custkey % 3 = 0)
+SELECT person_id, source, coalesce(fr.id, st.id) AS id, CASE WHEN fr.id <> st.id THEN st.id END AS replaced FROM st FULL JOIN fr USING (person_id, source)""",
+    "j12_merge_persons": with_sql(JOBS_SQL, body="SELECT job_db_id, CASE WHEN user_id % 10 = 3 AND user_id IN (SELECT c_custkey FROM customer) THEN user_id - 3 ELSE user_id END AS user_id FROM jobs"),
+    "j12_merge_ids": """
+WITH ids AS (SELECT CAST(c_custkey AS BIGINT) AS was, 'a' AS source, 'a' || c_custkey % 7 AS id FROM customer UNION ALL SELECT c_custkey, 's' || c_custkey % 2, 'x' || c_custkey FROM customer),
+m AS (SELECT *, CASE WHEN was % 10 = 3 THEN was - 3 ELSE was END AS user_id FROM ids),
+g AS (SELECT user_id, source, first(id ORDER BY was % 10 = 3) AS id, list_sort(list_distinct(list(id))) AS every FROM m GROUP BY ALL)
+SELECT user_id, source, id, array_to_string(list_filter(every, lambda x: x <> id), ',') AS lost FROM g""",
+    "j12_merge_periods": _fold("SELECT CASE WHEN person % 10 = 3 AND person IN (SELECT c_custkey FROM customer) THEN person - 3 ELSE person END AS k, person, value, from_s, to_s FROM periods", "person % 10 = 3, person, from_s ASC NULLS FIRST, value", "user_id", True),
+    "j13_supervisor_levels": """
+WITH RECURSIVE persons AS (SELECT CAST(c_custkey AS BIGINT) AS id FROM customer),
+links AS (
+  SELECT l.id, boss FROM (
+    SELECT CAST(c_custkey AS BIGINT) AS id, CAST(c_custkey // 2 AS BIGINT) AS boss FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey > 1 UNION ALL SELECT 390, 391) l JOIN persons p ON p.id = boss),
+up(id, boss) AS (SELECT id, boss FROM links UNION SELECT up.id, l.boss FROM up JOIN links l ON l.id = up.boss),
+ring AS (SELECT id FROM up WHERE id = boss),
+bad AS (SELECT id FROM ring UNION SELECT id FROM up WHERE boss IN (SELECT id FROM ring)),
+depth(id, level) AS (
+  SELECT id, 0 FROM persons WHERE id NOT IN (SELECT id FROM bad) AND id NOT IN (SELECT id FROM links)
+  UNION SELECT l.id, level + 1 FROM depth JOIN links l ON l.boss = depth.id AND l.id NOT IN (SELECT id FROM bad))
+SELECT id, CAST(max(level) AS INTEGER) AS level FROM depth GROUP BY 1 UNION ALL SELECT p.id, -1 FROM persons p WHERE p.id IN (SELECT id FROM bad)""",
+    "j14_match_names": MATCHED + " SELECT id, other, \"by\" FROM pairs",
+    "j15_unmatched": MATCHED + " SELECT id, 'left' AS side FROM l WHERE id NOT IN (SELECT id FROM pairs) UNION ALL SELECT id, 'right' FROM r WHERE id NOT IN (SELECT other FROM pairs)",
     "j16_jobs_by_reference": with_sql(JOBS_SQL, body="""
 , q AS (SELECT cluster_id, job_id, submit_s + CASE WHEN job_db_id % 100 = 0 THEN 1 ELSE 0 END AS submit_s FROM jobs WHERE job_db_id % 10 = 0)
-SELECT (SELECT count(*) FROM q JOIN jobs USING (cluster_id, job_id, submit_s)) AS n_found, (SELECT CAST(sum(job_db_id) AS BIGINT) FROM q JOIN jobs USING (cluster_id, job_id, submit_s)) AS ids, (SELECT count(*) FROM q ANTI JOIN jobs USING (cluster_id, job_id, submit_s)) AS n_missing""").replace(")\n, q AS", "),\nq AS"),
-    "j18_values_at": with_sql(JOBS_SQL, MEMBERS_SQL, body=f"SELECT coalesce(member_type, 'none') AS member_type, count(*) AS n FROM jobs j LEFT JOIN members m ON m.user_id = j.user_id AND {HOLDS} GROUP BY 1"),
+SELECT q.cluster_id, q.job_id, q.submit_s, job_db_id FROM q LEFT JOIN jobs USING (cluster_id, job_id, submit_s)""").replace(")\n, q AS", "),\nq AS"),
+    "j18_values_at": with_sql(JOBS_SQL, MEMBERS_SQL, body=f"SELECT job_db_id, coalesce(member_type, 'none') AS member_type FROM jobs j LEFT JOIN members m ON m.user_id = j.user_id AND {HOLDS}"),
     "j18_values_in_range": with_sql(MEMBERS_SQL, body=f"SELECT user_id, string_agg(DISTINCT member_type, ',' ORDER BY member_type) AS types FROM members WHERE (from_s IS NULL OR from_s < {HI_S}) AND (to_s IS NULL OR to_s > {LO_S}) GROUP BY 1"),
     "f3_find_users": with_sql(USERS_SQL, MEMBERS_SQL, body=f"SELECT id, display_name FROM users WHERE display_name ILIKE '%#00000012%' AND id IN (SELECT user_id FROM members WHERE member_type = 'type1' AND (from_s IS NULL OR from_s < {HI_S}) AND (to_s IS NULL OR to_s > {LO_S}))"),
     "f3_supervised_users": with_sql(USERS_SQL, body="SELECT id FROM users WHERE id % 5 <> 0 AND (id // 2 = 17 OR id // 3 = 17)"),
     "f15_point_lookup": with_sql(USERS_SQL, body="SELECT id, display_name FROM users WHERE id = 42"),
+    "d1_insert_dated": _fold("SELECT person AS k, o_orderkey AS seq, value, from_s, to_s FROM periods", "seq", "person", False),
+    "d2_merge_truncated": _fold("SELECT person AS k, o_orderkey AS seq, value, from_s, to_s FROM periods", "seq", "person", True),
     "d3_check_no_overlap": with_sql(PERIODS, body="""
-SELECT person, count(*) AS n FROM (SELECT person, from_s, max(coalesce(to_s, 99999999999)) OVER (PARTITION BY person ORDER BY from_s ASC NULLS FIRST, to_s ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM periods)
-WHERE e IS NOT NULL AND (from_s IS NULL OR from_s < e) GROUP BY 1"""),
+SELECT person, value, from_s, to_s FROM (SELECT person, value, from_s, to_s, max(coalesce(to_s, 99999999999)) OVER (PARTITION BY person ORDER BY from_s ASC NULLS FIRST, to_s ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM periods)
+WHERE e IS NOT NULL AND (from_s IS NULL OR from_s < e)"""),
     "w8_merge_periods": with_sql(PERIODS, body="""
 , x AS (SELECT person, value, coalesce(from_s, -99999999999) AS a, coalesce(to_s, 99999999999) AS b FROM periods),
 y AS (SELECT *, CASE WHEN a > max(b) OVER w THEN 1 ELSE 0 END AS n FROM x WINDOW w AS (PARTITION BY person, value ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -378,8 +559,10 @@ SELECT job_db_id, gpu_name FROM jobs LEFT JOIN o USING (job_db_id)""").replace("
 a AS (SELECT job_db_id, string_agg(n, '+' ORDER BY n) AS name, bool_or(w.name IS NULL) AS u, count(DISTINCT rgu) AS k, max(rgu) AS r FROM n LEFT JOIN weights w ON w.name = n GROUP BY 1)
 SELECT job_db_id, name, CASE WHEN u THEN 'unknown' WHEN k > 1 THEN 'different' ELSE 'joined' END AS status, CASE WHEN NOT u AND k = 1 THEN r END AS rgu FROM a""").replace(")\n, n AS", "),\nn AS"),
     "c13_gpu_weight": with_sql(JOBS_SQL, WEIGHTS_SQL, body="""
-, m AS (SELECT DISTINCT coalesce(harmonized_gpu_type, 'none') AS p, job_db_id % 3 = 0 AS s FROM jobs)
-SELECT p || CASE WHEN s THEN ' : 2g.10gb' ELSE '' END AS name, round(CASE WHEN s THEN rgu * 2 / 7 ELSE rgu END, 4) AS weight FROM m LEFT JOIN weights w ON w.name = p""").replace(")\n, m AS", "),\nm AS"),
+, m AS (SELECT DISTINCT coalesce(harmonized_gpu_type, 'none') AS p, CASE WHEN job_db_id % 3 = 0 THEN job_db_id % 5 END AS s FROM jobs),
+q AS (SELECT p, s, rgu, CASE p WHEN 'h100' THEN CASE s WHEN 1 THEN 0.125 WHEN 2 THEN 0.25 WHEN 3 THEN 5.0 / 11 WHEN 4 THEN 0.5 END WHEN 'a100' THEN CASE WHEN s BETWEEN 1 AND 4 THEN s / 7.0 END END::DOUBLE AS share,
+             CASE WHEN p = 'h100' THEN CASE s WHEN 1 THEN 1.74 WHEN 2 THEN 3.48 WHEN 3 THEN 6.1 END END::DOUBLE AS listed FROM m LEFT JOIN weights w ON w.name = p)
+SELECT p || coalesce(' : ' || s || 'g.10gb', '') AS name, round(CASE WHEN s IS NULL THEN rgu ELSE coalesce(listed, rgu * share) END, 4) AS weight, round(CASE WHEN s IS NULL THEN rgu ELSE rgu * share END, 4) AS by_share FROM q""").replace(")\n, m AS", "),\nm AS"),
     "c4_effective_spans": with_sql(JOBS_SQL, body="SELECT job_db_id, CASE WHEN elapsed_time > 0 THEN CAST(start_s + elapsed_time AS BIGINT) END AS run_end_s, coalesce(start_s, submit_s) AS eff_start_s, CAST(coalesce(end_s, start_s + elapsed_time, submit_s) AS BIGINT) AS eff_end_s FROM jobs"),
     "c8_bucket_axis": "SELECT CAST(epoch(greatest(m, lo)) AS BIGINT) AS lo_s, CAST(epoch(least(m + INTERVAL 1 MONTH, hi)) AS BIGINT) AS hi_s FROM (SELECT lo, hi, unnest(generate_series(date_trunc('month', lo), hi, INTERVAL 1 MONTH)) AS m FROM (SELECT min(o_orderdate) AS lo, max(o_orderdate) AS hi FROM orders)) WHERE m < hi",
     "s1_read_job_records": with_sql(JOBS_SQL, body="""
@@ -388,26 +571,32 @@ SELECT 'c' || cluster_id AS cluster, job_db_id AS job_id, job_db_id % 5 AS task_
        job_db_id % 1000 AS priority, allocated_cpu, coalesce(allocated_gres_gpu, 0) AS allocated_gres_gpu, 'a100' AS allocated_gpu_type, true AS "STARTED_ON_SUBMIT", false AS "CLEAR_SCHEDULING"
 FROM jobs WHERE job_db_id % 19 <> 0"""),
     "s2_expand_hostlist": "SELECT o_orderkey, " + " || ' ' || ".join(f"'a' || lpad(CAST(o_orderkey % 9 + {i} AS VARCHAR), 2, '0') || '-ib'" for i in range(4)) + " || ' a77-ib b' || o_orderkey % 5 AS nodes FROM orders",
-    "s3_read_metric_series": with_sql(t.SAMPLES_SQL, body="SELECT job_id, metric, count(*) AS n, round(sum(value), 3) AS total FROM samples WHERE NOT isnan(value) AND value < 1e14 GROUP BY ALL"),
-    "s4_read_allocations": "SELECT CAST(c_custkey % 5 AS BIGINT) AS cluster_id, 'g' || c_custkey AS group_name, CAST(c_custkey AS BIGINT) AS cpu_year, CAST(NULL AS BIGINT) AS gpu_year, CAST(c_custkey % 50 * 1000000000000 AS BIGINT) AS project_size, CAST(5000000 AS BIGINT) AS project_inodes, '2022-04-01' AS start FROM customer WHERE c_custkey % 6 <> 5 AND c_custkey % 7 <> 0",
-    "s5_read_disk_reports": "SELECT c_custkey % 20 % 4 AS cluster, 'p' || c_custkey % 20 AS group_name, 'u' || c_custkey AS \"user\", c_custkey % 1000 AS nbr_files, CAST((c_custkey % 13 + 0.5) * 1073741824 AS BIGINT) AS size FROM customer",
-    "s6_read_node_gpus": "SELECT s_suppkey % 5 AS cluster, 'n' || s_suppkey || '-' || i AS node, 'gpu:' || CASE WHEN s_suppkey % 2 = 0 THEN 'a100' ELSE 'v100' END || ':4 gpu:mig:1' AS gpus FROM supplier CROSS JOIN (VALUES (1), (2)) AS x(i)",
+    "s3_read_metric_series": with_sql(t.SAMPLES_SQL, body="SELECT job_id, metric, round(ts_s, 3) AS ts_s, round(value, 6) AS value FROM samples WHERE NOT isnan(value) AND value < 1e14"),
+    "s4_read_allocations": "SELECT CAST(c_custkey % 5 AS BIGINT) AS cluster_id, 'res, one' AS resource_name, CASE WHEN c_custkey % 4 = 0 THEN 'g, ' || c_custkey ELSE 'g' || c_custkey END AS group_name, CAST(c_custkey AS BIGINT) AS cpu_year, CAST(NULL AS BIGINT) AS gpu_year, CAST(c_custkey % 50 * 1000000000000 AS BIGINT) AS project_size, CAST(5000000 AS BIGINT) AS project_inodes, '2022-04-01' AS start FROM customer WHERE c_custkey % 6 <> 5 AND c_custkey % 7 <> 0",
+    "s5_read_disk_reports": "SELECT c_custkey // 500 % 4 AS cluster, 'p' || c_custkey // 500 AS group_name, 'u' || c_custkey AS \"user\", c_custkey % 1000 AS nbr_files, CAST((c_custkey % 13 + 0.5) * 1073741824 AS BIGINT) AS size FROM customer",
+    "s6_read_node_gpus": "SELECT s_suppkey // 500 AS cluster, 'n' || s_suppkey || '-' || i AS node, 'gpu:' || CASE WHEN s_suppkey % 2 = 0 THEN 'a100' ELSE 'v100' END || ':4 gpu:mig:1' AS gpus FROM supplier CROSS JOIN (VALUES (1), (2)) AS x(i)",
     "s7_gpu_billing": """
+WITH b AS (SELECT s_suppkey // 500 AS c, min(s_suppkey) AS k FROM supplier GROUP BY 1)
 SELECT c AS cluster, g AS gpu, avg(v) AS billing, bool_and(abs(v - f) / f * 100 <= 30) AS consistent FROM (
   SELECT *, first_value(v) OVER (PARTITION BY c, g ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS f FROM (
-    SELECT s_suppkey AS c, CASE WHEN s_suppkey % 2 = 0 THEN 'a100' ELSE 'v100' END AS g, 3.0::DOUBLE AS v, 1 AS o FROM supplier WHERE s_suppkey < 5 UNION ALL SELECT s_suppkey, 'mig', 3.0, 1 FROM supplier WHERE s_suppkey < 5
-    UNION ALL SELECT s_suppkey, 'a100', 4.0, 2 FROM supplier WHERE s_suppkey < 5 UNION ALL SELECT s_suppkey, 'v100', 2.0, 2 FROM supplier WHERE s_suppkey < 5)) GROUP BY 1, 2""",
+    SELECT c, CASE WHEN k % 2 = 0 THEN 'a100' ELSE 'v100' END AS g, 3.0::DOUBLE AS v, 1 AS o FROM b UNION ALL SELECT c, 'mig', 3.0, 1 FROM b
+    UNION ALL SELECT c, 'a100', 4.0, 2 FROM b UNION ALL SELECT c, 'v100', 2.0, 2 FROM b)) GROUP BY 1, 2""",
     "s8_member_csv": "SELECT 'code' || c_custkey AS own_id, c_name AS name, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS n, CASE WHEN c_custkey % 3 = 0 THEN 1577923200 WHEN c_custkey % 2 = 0 THEN 1000000000 END::BIGINT AS from_s, CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 2 = 0 THEN 1672531200 END::BIGINT AS to_s FROM customer WHERE c_custkey % 8 <> 0",
     "s8_hr_rows": "SELECT 'm' || c_custkey AS own_id, 'e' || c_custkey || '@x' AS email, CASE WHEN c_custkey % 2 = 0 THEN 'staff' ELSE 'professor' END AS member_type, CAST(1593619200 AS BIGINT) AS from_s, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 0 END::BIGINT AS n_supervisors FROM customer WHERE c_custkey % 9 <> 0 AND c_custkey NOT IN (4, 5)",
+    "s8_directory": DIRECTORY,
+    "s8_legacy_dump": LEGACY,
+    "s8_manual_pairs": MANUAL,
+    "s8_all_sources": f"""
+SELECT source, own_id, CAST(CASE source WHEN 'directory' THEN 0 WHEN 'legacy' THEN 1 ELSE 2 END AS INTEGER) AS source_rank, CAST(CASE WHEN ids = '' THEN 0 ELSE len(string_split(ids, ',')) END AS INTEGER) AS n_ids, CAST(CASE WHEN accounts = '' THEN 0 ELSE len(string_split(accounts, ',')) END AS INTEGER) AS n_accounts
+FROM ({DIRECTORY} UNION ALL {LEGACY} UNION ALL {MANUAL})""",
     "s9_read_since": "SELECT event_id FROM events WHERE date_trunc('millisecond', ts) >= TIMESTAMP '2024-01-20 12:00:00'",
-    "s10_upsert_jobs": with_sql(JOBS_SQL, body="SELECT CASE WHEN job_id % 3 = 0 THEN 'NEW' ELSE job_state END AS job_state, count(*) AS n FROM (SELECT cluster_id, job_id, submit_s, any_value(job_state) AS job_state FROM jobs GROUP BY ALL) GROUP BY 1"),
+    "s10_upsert_jobs": with_sql(JOBS_SQL, body="SELECT cluster_id, job_id, submit_s, CASE WHEN job_id % 3 = 0 THEN 'NEW' ELSE min(job_state) END AS job_state, CASE WHEN job_id % 3 = 0 THEN 2 ELSE 1 END AS scrape FROM jobs GROUP BY cluster_id, job_id, submit_s"),
     "s12_upsert_dimension": with_sql(WEIGHTS_SQL, body="SELECT name, CASE WHEN name IN ('a100', 'h100') THEN 9.0 ELSE rgu END::DOUBLE AS rgu, CASE WHEN name IN ('a100', 'h100') THEN 8.0 ELSE drac_rgu END::DOUBLE AS drac_rgu, CASE WHEN name IN ('a100', 'h100') THEN 2 ELSE 1 END AS v FROM weights"),
-    "s16_partition_drops": "SELECT CASE WHEN o_orderkey % 50 <> 0 THEN strftime(o_orderdate, '%Y') END AS year, CASE WHEN o_orderkey % 50 <> 0 THEN strftime(o_orderdate, '%m') END AS month, count(*) AS n FROM orders GROUP BY ALL",
+    "s16_partition_drops": "SELECT CASE WHEN o_orderkey % 50 = 0 THEN 'notes.txt' ELSE 'drop-' || strftime(o_orderdate, '%Y-%m-%d') || '.json' END AS name, " + ", ".join(f"CASE WHEN o_orderkey % 50 <> 0 THEN strftime(o_orderdate, '%{c}') END AS {n}" for n, c in (("year", "Y"), ("month", "m"), ("day", "d"))) + " FROM orders",
     "t1_stream_latest": "SELECT l_orderkey, l_linenumber, max(l_partkey * 100000 + l_suppkey) AS version FROM lineitem GROUP BY ALL",
+    "t1_stream_job_records": with_sql(JOBS_SQL, body="SELECT 'c' || cluster_id AS cluster, job_db_id AS job_id, submit_s, CASE WHEN cluster_id = 1 THEN 'late' ELSE 'main' END AS partition, CASE WHEN cluster_id = 1 THEN 2 ELSE 1 END AS drop FROM jobs WHERE job_db_id % 19 <> 0"),
+    "t2_stream_job_statistics": JOB_STATISTICS_SQL,
     "t2_stream_statistics": "SELECT CAST(user_id AS BIGINT) AS job_id, event_type AS name, round(avg(value) + 1e-6, 3) AS mean, round(max(value), 3) AS max FROM events GROUP BY ALL",
     "t3_submitted_counts": "SELECT CAST(epoch(o_orderdate) AS BIGINT) // 604800 * 604800 AS window_s, count(*) AS n_jobs FROM orders GROUP BY 1",
 }
-#: Folds in order and loops over rounds have no one-statement SQL form; they are tested against brute force.
-NO_SQL = ("d1_insert_dated", "d2_merge_truncated", "j10_infer_gpu_type", "j13_supervisor_levels", "j14_match_names", "j15_unmatched")
-
-QUERIES = {name: globals()[name] for name in (*SQL, *NO_SQL)}
+QUERIES = {name: globals()[name] for name in SQL}

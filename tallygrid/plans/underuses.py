@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -37,7 +37,7 @@ def a9_metric_statistics(s, f):
 
 
 def a9_normalized_statistics(s, f):
-    return r3(sm.metric_statistics(t.samples(s, f), ["metric"], lambda x: x / 100), "mean", "std", "q05", "q25", "median", "q75", "max")
+    return r3(sm.pool_statistics(t.samples(s, f), ["metric"], lambda x: x / 100), "mean", "std", "q05", "q25", "median", "q75", "max")
 
 
 def a10_counter_rates(s, f):
@@ -45,11 +45,16 @@ def a10_counter_rates(s, f):
     return r3(rates.groupBy("job_id", "metric").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("max")), "mean", "max")
 
 
-def a11_job_statistics(s, f):
+def job_samples(s, f):
+    """(samples, jobs) of the nine job metrics, made from the events."""
     names = F.create_map(*[F.lit(x) for x in ("click", "sm_occupancy", "view", "memory_rss", "purchase", "core_usage_total", "error", "power_usage", "signup", "memory_usage", "login", "gpu_utilization")])
     x = t.samples(s, f).withColumn("metric", F.coalesce(names[F.col("metric")], F.lit("other"))).withColumn("value", F.when(F.col("metric") == "core_usage_total", F.col("value") * 1e10).when(F.col("metric") == "memory_rss", F.col("value") * 2**20).otherwise(F.col("value"))).withColumnRenamed("job_id", "job_db_id")
     jobs = x.select("job_db_id").distinct().withColumn("allocated_mem", F.when(F.col("job_db_id") % 10 == 3, F.lit(0)).otherwise(F.col("job_db_id") + 1))
-    return r3(sm.job_statistics(x, jobs), "mean", "std", "q05", "q25", "median", "q75", "max")
+    return x, jobs
+
+
+def a11_job_statistics(s, f):
+    return r3(sm.job_statistics(*job_samples(s, f)), "mean", "std", "q05", "q25", "median", "q75", "max")
 
 
 def j17_samples_to_runs(s, f):
@@ -58,13 +63,13 @@ def j17_samples_to_runs(s, f):
     ids = x.select("cluster", "job_id").distinct()
     one = ids.select("*", F.col("job_id").alias("run_id"), F.lit(0.0).alias("start_s"), F.lit(cut).alias("end_s"))
     two = ids.filter("job_id % 3 = 0").select("cluster", "job_id", (F.col("job_id") + 100000).alias("run_id"), F.lit(cut + 3600).alias("start_s"), F.lit(cut + 864000).alias("end_s"))
-    return sm.assign_to_runs(x, one.unionByName(two)).groupBy("run_id").agg(F.count("*").alias("n"), F.max("sample_pos").alias("last"))
+    return sm.assign_to_runs(x, one.unionByName(two)).select("run_id", "metric", "sample_pos")
 
 
 def s11_upsert_statistics(s, f):
     stats = t.statistics(s, f).select("job_id", "name", "max")
     fresh = stats.filter("job_id % 5 = 0").withColumn("max", F.lit(2.0)).unionByName(s.range(3).select(F.col("id").alias("job_id"), F.lit("new").alias("name"), F.lit(3.0).alias("max")))
-    return sm.upsert_statistics(stats, fresh).groupBy("name").agg(F.count("*").alias("n"), F.round(F.sum("max"), 3).alias("total"))
+    return sm.upsert_statistics(stats, fresh).select("job_id", "name", F.round("max", 6).alias("max"))
 
 
 def s15_keep_latest(s, f):
@@ -78,7 +83,7 @@ def f8_usage_window(s, f):
 
 def f9_email_selector(s, f):
     keep = uu.email_selector(["~p7@site.org", "~p8@site.org"])
-    return t.users(s, f).filter(keep).groupBy("email").agg(F.count("*").alias("n"))
+    return t.users(s, f).filter(keep).select("id", "email")
 
 
 def a18_user_usage(s, f):
@@ -116,6 +121,18 @@ def a21_recurring_underusers(s, f):
     return r3(uu.recurring_underusers(_classified(s, f), TRAILING, CYCLES, RUN), "wasted", "true_wasted", "cluster_share")
 
 
+def a21_from_periods(s, f):
+    stored = uu.period_rows(_classified(s, f), ANCHOR, WEEKS, CYCLES, RUN)
+    out = uu.recurring_from_periods(stored, ANCHOR + timedelta(weeks=WEEKS), WEEKS, CYCLES, TRAILING)
+    return r3(out, "wasted", "cluster_share")
+
+
+def c20_units(s, f):
+    use = uu.user_usage(_rows(s, f, start=START, end=END), CEILING).filter("user_id IS NOT NULL")
+    hours = F.round(F.col("rgu_hours") * 10, 3) + 0.001  # off rounding ties
+    return use.select("user_id", "cluster_id", uu.in_units(hours).alias("weeks"), uu.in_whole_units(hours * 1000).alias("whole"), uu.in_units(hours, uu.MODEL_WEEK).alias("model_weeks"), uu.percent(F.round("user_ratio", 5) + 1e-7).alias("ratio"))
+
+
 def w3_cumulative_share_cut(s, f):
     return r3(uu.cumulative_share_cut(uu.recurring_underusers(_classified(s, f), TRAILING, CYCLES, RUN), 0.5).select("cluster_id", "user_id", "wasted"), "wasted")
 
@@ -203,12 +220,12 @@ SQL = {
     "a11_job_statistics": with_sql(SAMPLES_SQL, RATES, NAMED, body=f"SELECT job_db_id, name, {SEVEN} FROM pool WHERE value IS NOT NULL AND name IS NOT NULL GROUP BY ALL"),
     "j17_samples_to_runs": with_sql(SAMPLES_SQL, body="""
 , r AS (SELECT DISTINCT job_id, job_id AS run_id, 0.0 AS a, 1705276800.0 AS z FROM samples UNION ALL SELECT DISTINCT job_id, job_id + 100000, 1705280400.0, 1706140800.0 FROM samples WHERE job_id % 3 = 0)
-SELECT run_id, count(*) AS n, max(sample_pos) AS last FROM samples s JOIN r ON r.job_id = s.job_id AND (s.job_id % 3 <> 0 OR ts_s BETWEEN a AND z) GROUP BY 1""").replace("FROM events)\n, r AS", "FROM events),\nr AS"),
+SELECT run_id, metric, sample_pos FROM samples s JOIN r ON r.job_id = s.job_id AND (s.job_id % 3 <> 0 OR ts_s BETWEEN a AND z)""").replace("FROM events)\n, r AS", "FROM events),\nr AS"),
     "s11_upsert_statistics": with_sql(STATS_SQL, body="""
-SELECT name, count(*) AS n, round(sum(max), 3) AS total FROM (SELECT name, CASE WHEN job_id % 5 = 0 THEN 2.0::DOUBLE ELSE max END AS max FROM stats UNION ALL SELECT 'new', 3.0 FROM range(3)) GROUP BY 1"""),
+SELECT job_id, name, CASE WHEN job_id % 5 = 0 THEN 2.0::DOUBLE ELSE round(max, 6) END AS max FROM stats UNION ALL SELECT range, 'new', 3.0 FROM range(3)"""),
     "s15_keep_latest": "SELECT l_orderkey AS job_id, 'm' || l_linenumber AS name, max(l_partkey * 100000 + l_suppkey) AS id FROM lineitem GROUP BY ALL",
     "f8_usage_window": with_sql(*BASE, _usage_sql(f"end_s >= {START_S} AND end_s < {END_S} AND cluster_id IN (0, 1, 2)"), body="SELECT job_db_id, round(cost + 1e-6, 3) AS cost, round(waste + 1e-6, 3) AS waste FROM rows_of"),
-    "f9_email_selector": with_sql(t.USERS_SQL, body="SELECT email, count(*) AS n FROM users WHERE email NOT IN ('p7@site.org', 'p8@site.org') GROUP BY 1"),
+    "f9_email_selector": with_sql(t.USERS_SQL, body="SELECT id, email FROM users WHERE email NOT IN ('p7@site.org', 'p8@site.org')"),
     "a18_user_usage": with_sql(*USED, body="SELECT user_id, cluster_id, " + ", ".join(f"round({c} + 1e-6, 3) AS {c}" for c in ("rgu_hours", "true_used", "used", "wasted", "user_rgu_hours", "user_used", "user_wasted", "user_ratio")) + " FROM usage_of"),
     "a22_active_users": with_sql(*BASE, _usage_sql(), USE.replace("{ceiling}", "1.0"), body="SELECT user_id, cluster_id, round(rgu_hours + 1e-6, 3) AS rgu_hours FROM usage_of WHERE user_rgu_hours >= 2000"),
     "a23_underusers": with_sql(*USED, body="SELECT user_id, cluster_id, round(wasted + 1e-6, 3) AS wasted FROM usage_of WHERE user_ratio >= 0.45 AND user_wasted >= 500"),
@@ -219,6 +236,14 @@ SELECT name, count(*) AS n, round(sum(max), 3) AS total FROM (SELECT name, CASE
 SELECT c.user_id, c.cluster_id, strftime(DATE '{ANCHOR}' - CAST(c.cycle * {7 * WEEKS} AS INTEGER), '%Y-%m-%d') AS end_date, round(CASE WHEN c.cluster_id < 4 THEN rgu_hours ELSE -1 END + 1e-6, 3) AS rgu_hours, e.elevated
 FROM cls c JOIN esc e ON e.user_id = c.user_id AND e.cycle = c.cycle WHERE DATE '{ANCHOR}' - CAST(c.cycle * {7 * WEEKS} AS INTEGER) >= DATE '1998-01-01' AND (c.cluster_id < 4 OR c.user_id % 2 = 0)"""),
     "a21_recurring_underusers": with_sql(*CYCLE_BASE, REC, body="SELECT user_id, cluster_id, round(wasted + 1e-6, 3) AS wasted, round(true_wasted + 1e-6, 3) AS true_wasted, " + ", ".join(f"c{i}" for i in range(CYCLES)) + ", round(cluster_share + 1e-6, 3) AS cluster_share FROM rec"),
+    "a21_from_periods": with_sql(*CYCLE_BASE, f"""
+sh AS (SELECT c.user_id, c.cluster_id, c.wasted, c.isunderuser, c.cycle + 1 AS cycle, e.elevated FROM cls c JOIN esc e ON e.user_id = c.user_id AND e.cycle = c.cycle WHERE c.cycle + 1 < {CYCLES}),
+win AS (SELECT cluster_id, user_id, sum(wasted) AS wasted FROM sh WHERE cycle < {TRAILING} GROUP BY ALL HAVING sum(wasted) > 0),
+fl AS (SELECT user_id, {', '.join(f"coalesce(bool_or({c}) FILTER (WHERE cycle = {i}), false) AS {n}{i}" for n, c in (("c", "isunderuser"), ("e", "elevated")) for i in range(CYCLES))} FROM sh GROUP BY 1)""",
+        body=f"SELECT cluster_id, user_id, round(wasted + 1e-6, 3) AS wasted, round(wasted / sum(wasted) OVER (PARTITION BY cluster_id) + 1e-6, 3) AS cluster_share, " + ", ".join(f"CASE WHEN (SELECT min(cycle) FROM sh) <= {i} THEN {n}{i} END AS {n}{i}" for n in ("c", "e") for i in range(CYCLES)) + " FROM win JOIN fl USING (user_id)"),
+    "c20_units": with_sql(*USED, body="""
+SELECT user_id, cluster_id, printf('%.1f', h / 168) AS weeks, replace(format('{:,}', CAST(round_even(h * 1000 / 168, 0) AS BIGINT)), ',', ' ') AS whole, printf('%.1f', h / (4.8::DOUBLE * 24 * 7)) AS model_weeks, printf('%.1f', (round(user_ratio, 5) + 1e-7) * 100) || ' %' AS ratio
+FROM (SELECT *, round(rgu_hours * 10, 3) + 0.001 AS h FROM usage_of WHERE user_id IS NOT NULL)"""),
     "w3_cumulative_share_cut": with_sql(*CYCLE_BASE, REC, body="SELECT cluster_id, user_id, round(wasted + 1e-6, 3) AS wasted FROM (SELECT *, sum(wasted) OVER (PARTITION BY cluster_id ORDER BY wasted DESC, user_id) - wasted AS b, sum(wasted) OVER (PARTITION BY cluster_id) AS t FROM rec) WHERE b < 0.5 * t OR b = 0"),
     "w2_top_and_bottom_jobs": with_sql(*BASE, _usage_sql(), TOPS, body="""
 SELECT user_id, job_db_id, 'worst' AS list, CAST(worst AS INTEGER) AS rank FROM tops WHERE worst <= 2

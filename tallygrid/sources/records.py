@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -110,10 +112,10 @@ ALLOCATION_COLUMNS = ("start", "end", "cluster_name", "resource_name", "group_na
 
 
 def read_allocations(lines: DataFrame, clusters: DataFrame) -> DataFrame:
-    """CSV lines (value; the header among them) as allocations: cells trimmed, missing and blank ones null, surplus ones dropped; unknown clusters and invalid rows are left out."""
-    cells = F.split("value", ",")
-    cell = {c: F.nullif(F.trim(F.get(cells, F.lit(i))), F.lit("")) for i, c in enumerate(ALLOCATION_COLUMNS)}
-    rows = lines.filter((F.trim("value") != "") & (cell["start"] != "start")).select(*[x.alias(c) for c, x in cell.items()])
+    """CSV lines (value; the header among them) as allocations: quoted cells may hold commas, cells are trimmed, missing and blank ones null, surplus ones dropped; unknown clusters and invalid rows are left out."""
+    cells = F.from_csv("value", ", ".join(f"`{c}` string" for c in ALLOCATION_COLUMNS), {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "escape": '"'})
+    parsed = lines.filter(F.trim("value") != "").select(F.inline(F.array(cells)))  # each line is parsed once
+    rows = parsed.select(*[F.nullif(F.trim(c), F.lit("")).alias(c) for c in ALLOCATION_COLUMNS]).filter("start <> 'start'")
     known = rows.join(F.broadcast(clusters.select(F.col("name").alias("cluster_name"), F.col("id").alias("cluster_id"))), "cluster_name")
     numbers = [c for c in ALLOCATION_COLUMNS if c.endswith("_year")]
     out = known.select(
@@ -129,17 +131,20 @@ def read_disk_reports(raw: DataFrame, *keys: str) -> DataFrame:
     """Report texts (text, keys) as (keys, group_name, user, nbr_files, size): lines of "Breakdown for project" sections; heads, rules and totals are skipped, a blank line closes a section."""
     whole = raw.select(*keys, "text", F.xxhash64(*keys, "text").alias("doc"))
     lines = whole.select(*keys, "doc", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    head = F.regexp_extract("line", r"^\s*Breakdown\sfor\sproject\s(.+?)\s.*$", 1)
-    mark = F.when(head != "", head).when(F.trim("line") == "", F.lit(""))
-    w = Window.partitionBy("doc").orderBy("pos")
-    inside = lines.withColumn("group_name", F.last(mark, ignorenulls=True).over(w)).filter((F.col("group_name") != "") & (head == ""))
-    pattern = r"^\s*([\w\.]+)\s+(\d+)\s+([\d\.]+\s\w+)"
-    rows = inside.select(*keys, "group_name", *[F.regexp_extract("line", pattern, i).alias(c) for i, c in ((1, "user"), (2, "n"), (3, "s"))])
-    return rows.filter((F.col("user") != "") & (F.col("user") != "Total")).select(*keys, "group_name", "user", F.col("n").cast("bigint").alias("nbr_files"), byte_size(F.col("s")).alias("size"))
+    words = F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ")
+    lines = lines.withColumn("w", words)
+    heading = F.slice("w", 1, 3) == F.array(*map(F.lit, ("Breakdown", "for", "project")))
+    mark = F.when(heading, F.get("w", F.lit(3))).when(F.trim("line") == "", F.lit(""))
+    of_doc = Window.partitionBy("doc").orderBy("pos")
+    inside = lines.withColumn("group_name", F.last(mark, ignorenulls=True).over(of_doc)).filter((F.col("group_name") != "") & ~heading)
+    user, n, size = F.get("w", F.lit(0)), F.get("w", F.lit(1)).try_cast("bigint"), byte_size(F.concat_ws(" ", F.get("w", F.lit(2)), F.get("w", F.lit(3))))
+    rows = inside.select(*keys, "group_name", user.alias("user"), n.alias("nbr_files"), size.alias("size"))
+    return rows.filter(F.col("nbr_files").isNotNull() & F.col("size").isNotNull() & (F.col("user") != "Total"))
 
 
 def _config_lines(raw: DataFrame, *keys: str) -> DataFrame:
-    joined = F.regexp_replace("text", r"\\[ \t]*\n\s*", " ")
+    uncommented = F.regexp_replace("text", r"(?m)^([ \t]*#[^\n]*?)\\[ \t]*$", "$1")  # a comment does not go on
+    joined = F.regexp_replace(uncommented, r"\\[ \t]*\n\s*", " ")
     return raw.select(*keys, F.posexplode(F.split(joined, "\n")).alias("line_no", "line")).withColumn("line", F.trim("line"))
 
 
@@ -193,6 +198,57 @@ def read_hr_rows(rows: DataFrame, member_types: dict[tuple[str, str], str], bloc
     return kept.select(F.col("member_no").alias("own_id"), "name", F.lower(F.trim("email")).alias("email"), kind.alias("member_type"), F.to_utc_timestamp(F.col("start").cast("timestamp"), "America/Montreal").alias("valid_from"), F.to_utc_timestamp(F.col("end").cast("timestamp"), "America/Montreal").alias("valid_to"), boss.alias("supervisors"))
 
 
+_IDS, _ACCOUNTS = "array<struct<source:string,id:string>>", "array<struct<domain:string,username:string,valid_from:timestamp,valid_to:timestamp>>"
+
+
+def _account(domain: str, username: Column, start: Column, end: Column) -> Column:
+    return F.struct(F.lit(domain).alias("domain"), username.alias("username"), start.cast("timestamp").alias("valid_from"), end.cast("timestamp").alias("valid_to"))
+
+
+def read_directory(raw: DataFrame, open_accounts: DataFrame, at: datetime, domain: str, source: str = "directory") -> DataFrame:
+    """Directory documents (text: a JSON list of entries whose fields are lists) as the common record. An entry that is not suspended has an account from ``at`` on; a suspended one
+    whose account is open (``open_accounts``: username) ends it at ``at``, others are left out. The id is the address in lower case."""
+    fields = "array<struct<displayName:array<string>,mail:array<string>,posixUid:array<string>,suspended:array<string>>>"
+    e = raw.select(F.explode(F.from_json("text", fields)).alias("e")).select(*[F.get(f"e.{c}", F.lit(0)).alias(c) for c in ("displayName", "mail", "posixUid", "suspended")])
+    held = open_accounts.select(F.col("username").alias("__u")).distinct()
+    both = e.join(held, F.col("posixUid") == F.col("__u"), "left")
+    active, now, email = F.col("suspended") != "true", F.lit(at), F.lower("mail")
+    kept = both.filter(active | F.col("__u").isNotNull())
+    account = _account(domain, F.col("posixUid"), now, F.when(~active, now))
+    return kept.select(F.lit(source).alias("source"), email.alias("own_id"), F.col("displayName").alias("name"), email.alias("email"), F.array().cast(_IDS).alias("ids"), F.array(account).cast(_ACCOUNTS).alias("accounts"))
+
+
+def read_legacy_dump(raw: DataFrame, home: str, partner: str, directory: str = "directory", members: str = "members", source: str = "legacy", zone: str = "America/Montreal") -> DataFrame:
+    """Dump documents (text: a JSON list of persons with an account block each of the ``home`` and the ``partner`` site) as the common record. Times are local in ``zone``; the home account counts if active; the partner's
+    id is its code (``ccri`` of ``<partner>_members`` or ``<partner>_roles``) without the last three characters."""
+    person = f"array<struct<name:string,record_start:string,record_end:string,`{home}`:struct<email:string,username:string,active:boolean>,`{partner}`:struct<username:string>,`{partner}_members`:struct<ccri:string>,`{partner}_roles`:struct<ccri:string>>>"
+    p = raw.select(F.explode(F.from_json("text", person)).alias("p"))
+    start, end = (F.to_utc_timestamp(F.col(f"p.record_{x}").cast("timestamp"), zone) for x in ("start", "end"))
+    mail, code = F.col(f"p.{home}.email"), F.coalesce(F.col(f"p.{partner}_members"), F.col(f"p.{partner}_roles"))["ccri"]
+    known = F.array(F.struct(F.lit(directory).alias("source"), mail.alias("id")), F.when(code != "", F.struct(F.lit(members).alias("source"), F.left(code, F.char_length(code) - 3).alias("id"))))
+    login = F.col(f"p.{partner}.username")
+    accounts = F.array(F.when(F.coalesce(F.col(f"p.{home}.active"), F.lit(False)), _account(home, F.col(f"p.{home}.username"), start, end)), F.when(login != "", _account(partner, login, start, end)))
+    return p.select(F.lit(source).alias("source"), F.lower(mail).alias("own_id"), F.col("p.name").alias("name"), F.lower(mail).alias("email"), F.array_compact(known).cast(_IDS).alias("ids"), F.array_compact(accounts).cast(_ACCOUNTS).alias("accounts"))
+
+
+def read_manual_pairs(raw: DataFrame, source: str = "manual") -> DataFrame:
+    """Documents (text: ``{"name": [{"name": source, "mid": id}, ...]}``) as the common record: ids that belong together, without accounts."""
+    pairs = raw.select(F.explode(F.from_json("text", "map<string,array<struct<name:string,mid:string>>>")).alias("own_id", "x"))
+    ids = F.transform("x", lambda x: F.struct(x["name"].alias("source"), x["mid"].alias("id")))
+    none = F.lit(None).cast("string")
+    return pairs.select(F.lit(source).alias("source"), "own_id", none.alias("name"), none.alias("email"), F.array_distinct(ids).cast(_IDS).alias("ids"), F.array().cast(_ACCOUNTS).alias("accounts"))
+
+
+#: Readers of user sources by name; callers may add their own: a function of a DataFrame and options that returns the common record.
+USER_READERS: dict[str, Callable[..., DataFrame]] = {"directory": read_directory, "legacy": read_legacy_dump, "manual": read_manual_pairs}
+
+
+def read_users(sources: list[tuple[str, DataFrame, dict]]) -> DataFrame:
+    """All sources (reader, raw, options) as common records, with the source's rank in the given order: the first that has a value wins (:func:`tallygrid.operators.people.resolve_identities`)."""
+    parts = [USER_READERS[name](raw, **options).withColumn("source_rank", F.lit(rank)) for rank, (name, raw, options) in enumerate(sources)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def read_since(spark: SparkSession, path: str, mark: datetime, schema: str) -> DataFrame:
     """JSON-lines drops in day folders (``day=YYYY-MM-DD``) from the mark on, in order of their ts; older folders are not opened."""
     return spark.read.schema(schema).json(path).filter((F.col("day") >= F.lit(mark.date())) & (F.col("ts") >= F.lit(mark))).orderBy("ts")

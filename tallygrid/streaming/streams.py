@@ -4,30 +4,59 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallygrid.operators.samples import metric_statistics, upsert_statistics
-from tallygrid.sources.records import upsert
+from tallygrid.sources.records import read_job_records, upsert
 
 
-def stream_latest(stream: DataFrame, keys: list[str], order: str, load: Callable[[], DataFrame | None], save: Callable[[DataFrame], None], checkpoint: str):
-    """Keep the newest row of each key in a table: every micro-batch is upserted by ``load`` and ``save``; the checkpoint is the mark of what has been read."""
+def _each_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str):
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_latest(stream: DataFrame, keys: list[str], order: str, path: str, part: Column, checkpoint: str):
+    """Keep the newest row of each key in a Parquet table at ``path``, partitioned by ``part``, a function of the key; the checkpoint is the mark of what has been read.
+
+    A micro-batch reads and rewrites only the partitions that it has rows of. A repeated batch changes nothing, so a lost run can be taken up again.
+    """
     def step(batch: DataFrame, _: int) -> None:
-        stored = load()
-        save(upsert(stored, batch, keys, order) if stored is not None else upsert(batch.limit(0), batch, keys, order))
+        spark = batch.sparkSession
+        batch = batch.withColumn("part", part)
+        touched = [r["part"] for r in batch.select("part").distinct().collect()]  # partitions, not keys
+        if not touched:
+            return
+        stored = batch.limit(0)
+        if _exists(spark, path):
+            stored = spark.read.schema(batch.schema).parquet(path).filter(F.col("part").isin(touched))
+        upsert(stored, batch, keys, order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+    return _each_batch(stream, step, checkpoint)
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def _exists(spark, path: str) -> bool:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
-def stream_statistics(stream: DataFrame, keys: list[str], load: Callable[[], DataFrame | None], save: Callable[[DataFrame], None], checkpoint: str):
-    """Statistics of the samples in each micro-batch in place of stored ones of the same keys: a finished job's samples come in one drop, so no state is kept."""
+
+def stream_job_records(raw: DataFrame, keys: list[str], order: str, path: str, part: Column, checkpoint: str):
+    """Scheduler documents (text, cluster, ``order``) as they are dropped, read into job rows (:func:`tallygrid.sources.records.read_job_records`), the newest of each key kept."""
+    return stream_latest(read_job_records(raw, order), keys, order, path, part, checkpoint)
+
+
+def stream_statistics(stream: DataFrame, keys: list[str], load: Callable[[], DataFrame | None], save: Callable[[DataFrame], None], checkpoint: str, statistics: Callable[[DataFrame], DataFrame] | None = None):
+    """Statistics (default: of each key's values) of the samples in each micro-batch in place of stored ones of the same keys: a finished job's samples come in one drop, so no state is kept."""
     def step(batch: DataFrame, _: int) -> None:
-        fresh, stored = metric_statistics(batch, keys), load()
+        fresh, stored = statistics(batch) if statistics else metric_statistics(batch, keys), load()
         save(fresh if stored is None else upsert_statistics(stored, fresh, tuple(keys)))
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _each_batch(stream, step, checkpoint)
 
 
 def submitted_counts(stream: DataFrame, length: str, lateness: str, column: str = "submit_time") -> DataFrame:
     """Jobs submitted per window of event time; rows later than ``lateness`` behind the newest are dropped. Works on streams and on tables."""
     return stream.withWatermark(column, lateness).groupBy(F.window(column, length)).agg(F.count("*").alias("n_jobs")).select(F.unix_timestamp("window.start").alias("window_s"), "n_jobs")
+
+
+def save_counts(counts: DataFrame, save: Callable[[DataFrame], None], checkpoint: str):
+    """Write streamed counts, whole after each micro-batch, by ``save``."""
+    return counts.writeStream.outputMode("complete").foreachBatch(lambda batch, _: save(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -78,9 +78,9 @@ def test_views_agree_and_nan_is_unmeasured(spark, weights):
 
 
 def test_paging_is_one_order(spark, weights):
-    jobs = spark.createDataFrame([job(i, LO + (i % 3) * H, 1 + i % 4) for i in range(23)], JOB)
-    stats = spark.createDataFrame([], STAT)
-    for sort in ("rgu_hours", "waste", "started"):
+    jobs = spark.createDataFrame([job(i, LO + (i % 3) * H, 1 + i % 4) for i in range(23)], JOB).withColumns({"job_id": F.col("job_db_id") % 5, "allocated_billing": F.when(F.col("job_db_id") % 3 > 0, F.col("job_db_id") % 4)})
+    stats = spark.createDataFrame([(i, n, float("nan") if i == 4 else i % 3 / 10, *[0.0] * 5, 0.5) for i in range(0, 23, 2) for n in ("gpu_sm_occupancy", "gpu_memory")], STAT)
+    for sort in d.SORT_KEYS:
         pages = [x["job_db_id"] for k in range(0, 23, 5) for x in d.jobs_table(jobs, stats, weights, LO, HI, sort=sort, limit=5, offset=k).collect()]
         assert pages == [x["job_db_id"] for x in d.jobs_table(jobs, stats, weights, LO, HI, sort=sort, limit=100).collect()] and len(set(pages)) == 23
     seen, after = [], None
@@ -188,10 +188,12 @@ def test_email_selector(spark, emails, want):
 
 
 def test_time_frames_by_hand(spark):
-    x = [(datetime(2023, 3, 5), datetime(2023, 3, 6), "A", 10.0), (datetime(2023, 3, 6), datetime(2023, 3, 9), "B", 10.0), (datetime(2023, 3, 6), datetime(2023, 3, 8), "C", 20.0), (datetime(2023, 3, 6), None, "open", 1.0), (datetime(2023, 3, 6), datetime(2023, 3, 6), "none", 1.0)]
-    got = r.time_frames(spark.createDataFrame(x, "start_time timestamp, end_time timestamp, k string, cost double"), ["cost"], size_s=2 * 86400).collect()
-    by = {(y["k"], y["timestamp"].day): (round(y["cost"], 4), y["duration"]) for y in got if y["k"] != "none"}
-    assert by == {("A", 5): (10.0, 86400.0), ("B", 5): (3.3333, 86400.0), ("C", 5): (10.0, 86400.0), ("B", 7): (6.6667, 172800.0), ("C", 7): (10.0, 86400.0)}
+    at = lambda d, h=0: datetime(2031, 8, d, h)
+    x = [(at(1), at(4), "long", 12.0), (at(2, 12), at(3, 12), "half", 8.0), (at(9), None, "open", 5.0), (at(5), at(5), "none", 7.0), (at(4), at(11), "week", 70.0)]
+    got = r.time_frames(spark.createDataFrame(x, "start_time timestamp, end_time timestamp, k string, cost double"), ["cost"], start=at(1), size_s=3 * 86400).collect()
+    by = {(y["k"], y["timestamp"].day): (round(y["cost"], 6), y["duration"]) for y in got if y["k"] != "none"}
+    day = 86400.0
+    assert by == {("long", 1): (12.0, 3 * day), ("half", 1): (8.0, day), ("week", 4): (30.0, 3 * day), ("week", 7): (30.0, 3 * day), ("week", 10): (10.0, day)}
     assert [math.isnan(y["cost"]) for y in got if y["k"] == "none"] == [True]
 
 
@@ -201,23 +203,45 @@ def test_frames_are_closed_on_the_left(spark):
     assert got == {(1, 1), (2, 0), (2, 1), (3, 0), (3, 1)}
 
 
-def test_place_value_cases():
-    inf = math.inf
-    assert p.place_value([(0, 5, "a")], "a", 3, 9) == [(0, 9, "a")] and p.place_value([(0, 5, "a")], "a", 5, 9) == [(0, 9, "a")]
-    assert p.place_value([(0, 9, "a")], "a", 2, 3) == [(0, 9, "a")]
-    assert p.place_value([(0, 2, "a"), (4, 6, "a")], "a", 1, 5) == [(0, 6, "a")]
-    with pytest.raises(p.DateOverlapError):
-        p.place_value([(0, 5, "a")], "b", 3, 9)
-    assert p.place_value([(4, 9, "a")], "b", 1, inf) == [(1, 4, "b"), (4, 9, "a")]
-    assert p.place_value([(0, inf, "a")], "b", 5, inf) == [(0, 5, "a"), (5, inf, "b")]
-    assert p.place_value([(-inf, 5, "a")], "b", 1, 3) == [(1, 3, "b"), (3, 5, "a")]
-    assert p.place_value([(2, 4, "a")], "b", 0, 9, truncate=True) == [(0, 2, "b"), (2, 4, "a"), (4, 9, "b")]
-
+N = None
+
+
+@pytest.mark.parametrize(("inserts", "truncate", "held", "rejected"), [
+    ([("a", 0, 5), ("a", 3, 9)], False, {("a", 0, 9)}, set()),  # overlap, equal
+    ([("a", 0, 5), ("a", 5, 9)], False, {("a", 0, 9)}, set()),  # touch, equal
+    ([("a", 0, 9), ("a", 2, 3)], False, {("a", 0, 9)}, set()),
+    ([("a", 0, 2), ("a", 4, 6), ("a", 1, 5)], False, {("a", 0, 6)}, set()),
+    ([("a", 0, 5), ("b", 3, 9)], False, {("a", 0, 5)}, {("b", 3, 9)}),
+    ([("a", 0, 5), ("b", 1, 3)], False, {("a", 0, 5)}, {("b", 1, 3)}),
+    ([("a", 0, 5), ("b", 5, 9)], False, {("a", 0, 5), ("b", 5, 9)}, set()),
+    ([("a", 4, 9), ("c", 11, 12), ("b", 1, N)], False, {("b", 1, 4), ("a", 4, 9), ("c", 11, 12)}, set()),
+    ([("a", 0, N), ("b", 5, 7)], False, {("a", 0, 5), ("b", 5, 7)}, set()),
+    ([("a", 0, N), ("b", 5, N)], False, {("a", 0, 5), ("b", 5, N)}, set()),
+    ([("a", 5, N), ("b", 2, N)], False, {("b", 2, 5), ("a", 5, N)}, set()),
+    ([("a", N, 5), ("b", 1, 3)], False, {("b", 1, 3), ("a", 3, 5)}, set()),
+    ([("a", 4, 9), ("b", 4, N)], False, {("a", 4, 9)}, {("b", 4, N)}),  # nothing would be left of it
+    ([("a", 4, N), ("b", 4, 9)], False, {("a", 4, N)}, {("b", 4, 9)}),
+    ([("a", 4, N), ("a", 2, N)], False, {("a", 2, N)}, set()),
+    ([("a", N, N)], False, {("a", N, N)}, set()),
+    ([("a", 2, 4), ("c", 6, 7), ("b", 0, 9)], True, {("b", 0, 2), ("a", 2, 4), ("b", 4, 6), ("c", 6, 7), ("b", 7, 9)}, set()),
+    ([("a", 2, 9), ("b", 3, 4)], True, {("a", 2, 9)}, set()),
+])
+def test_dated_inserts(spark, inserts, truncate, held, rejected):
+    num = lambda x: None if x is None else float(x)
+    rows = [("k", i, v, num(a), num(b)) for i, (v, a, b) in enumerate(inserts)] + [("other", 0, "z", 1.0, 2.0)]
+    got = p.insert_dated(spark.createDataFrame(rows, "key string, seq long, value string, from_s double, to_s double"), "key", truncate).filter("key = 'k'").collect()
+    as_set = lambda flag: {(y["value"], y["from_s"], y["to_s"]) for y in got if y["rejected"] is flag}
+    assert as_set(False) == {(v, num(a), num(b)) for v, a, b in held} and as_set(True) == {(v, num(a), num(b)) for v, a, b in rejected}
+
+
+def test_supervisors_in_a_long_chain(spark):
+    from tallygrid.plans.intake import checkpoint_dir
 
-def test_insert_dated_rejects_and_keeps(spark):
-    x = spark.createDataFrame([("k", 1, "a", 0.0, 5.0), ("k", 2, "b", 3.0, 9.0), ("k", 3, "b", 5.0, None)], "key string, seq long, value string, from_s double, to_s double")
-    got = {(y["value"], y["from_s"], y["to_s"], y["rejected"]) for y in p.insert_dated(x, "key").collect()}
-    assert got == {("a", 0.0, 5.0, False), ("b", 3.0, 9.0, True), ("b", 5.0, None, False)}
+    checkpoint_dir(spark)
+    persons = spark.createDataFrame([(i,) for i in range(40)], "id long")
+    links = spark.createDataFrame([(i, i - 1) for i in range(1, 36)] + [(37, 38), (38, 37), (39, 38)], "user_id long, supervisor long")
+    got = {y["id"]: y["level"] for y in p.supervisor_levels(persons, links).collect()}
+    assert got == {i: i for i in range(36)} | {36: 0, 37: -1, 38: -1, 39: -1}
 
 
 def test_identities_levels_and_matches(spark):
@@ -288,6 +312,48 @@ def test_byte_sizes(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(rec.byte_size(F.col("t")).alias("b")).first()["b"] == want
 
 
+def test_names_resolve_through_pointers_and_slices():
+    names = {"n": {"x": "$y", "y": "$z", "z": "model z", "r": "$s", "s": "$r", "gone": "$nothing"}, g.DEFAULTS: {"z": "plain z", "1g.10gb": g.MIG + "z", "2g.20gb": g.MIG + "gone", "q": "$1g.10gb"}}
+    got = {(node, raw): name for node, raw, name in g.flatten_names(names)}
+    assert got == {("n", "x"): "model z", ("n", "y"): "model z", ("n", "z"): "model z", ("n", "1g.10gb"): "model z : 1g.10gb", ("n", "q"): "model z : 1g.10gb", (g.DEFAULTS, "z"): "plain z", (g.DEFAULTS, "1g.10gb"): "plain z : 1g.10gb", (g.DEFAULTS, "q"): "plain z : 1g.10gb"}
+
+
+def test_comments_do_not_go_on_and_cells_may_be_quoted(spark):
+    text = "# old nodes \\\nNodeName=n1 \\\n  Gres=gpu:a:1\n  # x\nNodeName=n2 Gres=gpu:b:2"
+    got = {(y["node"], y["gpus"][0]) for y in rec.read_node_gpus(spark.createDataFrame([(text,)], "text string")).collect()}
+    assert got == {("n1", "gpu:a:1"), ("n2", "gpu:b:2")}
+    lines = spark.createDataFrame([('2030-01-01, 2031-01-01 ,c, "grp, one" ,"say ""so""",5,,,,,,,',), ("",), ("start,end",), ("2030-01-01,2031-01-01,c,r,g",)], "value string")
+    clusters = spark.createDataFrame([(1, "c")], "id long, name string")
+    assert {(y["resource_name"], y["group_name"], y["cpu_year"]) for y in rec.read_allocations(lines, clusters).collect()} == {("grp, one", 'say "so"', 5), ("r", "g", None)}
+
+
+def test_pools_have_the_same_statistics_by_ranges(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.choice([rng.gauss(0, 1), 0.0, 1.5, float("nan"), 2.0**47])) for k in ("a", "b") for _ in range(3000)] + [("c", 7.0)]
+    x = spark.createDataFrame(rows, "k string, value double")
+    both = [{y["k"]: [round(y[c], 9) for c in ("mean", "std", "q05", "q25", "median", "q75", "max")] for y in f(x, ["k"]).collect()} for f in (sm.metric_statistics, sm.pool_statistics)]
+    assert both[0] == both[1] and both[0]["c"] == [7, 0, 7, 7, 7, 7, 7]
+
+
+def test_a_week_without_jobs_is_an_error(spark):
+    jobs = spark.createDataFrame([(datetime(2031, 8, d), "u", "x") for d in (4, 18)], "submit_time timestamp, cluster_user string, name string")
+    assert r.tool_adoption(jobs, "x", every_week=False).count() == 2
+    with pytest.raises(Exception, match="no jobs in the week before 2031-08-18"):
+        r.tool_adoption(jobs, "x").collect()
+
+
+def test_shared_folder_must_be_set(spark):
+    from tallygrid.plans.intake import checkpoint_dir
+
+    class Bare:
+        class sparkContext:
+            getConf = staticmethod(lambda: {})
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Bare)
+
+
 def test_records_of_a_newer_scheduler_are_an_error(spark):
     raw = spark.createDataFrame([("c", '{"meta":{"slurm":{"version":{"major":"26"}}},"jobs":[{"group":"g","job_id":1}]}')], "cluster string, text string")
     with pytest.raises(Exception, match="unsupported scheduler"):
