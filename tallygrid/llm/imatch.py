@@ -7,11 +7,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tallygrid.llm.shared import read_table, text_key, written
 
 #: Documents in one bucket of neighbours, about; of more than RING times as many documents a bucket has more, so that a row per bucket may be broadcast (24 MB).
-BUCKET_ROWS, RING = 500, 1_000_000
+BUCKET_ROWS, RING = 100, 1_000_000
 #: Approximate quantiles of the ids, between which buckets are dealt evenly.
 QUANTILES = 1024
 #: Groups of near copies with so large a share of all documents (and so many) count as one document each; there are at most 1 / HOT_SHARE.
 HOT_SHARE, HOT_ROWS = 0.01, 20
+#: Other orders of hashes, in which minima are independent.
+TURNS = (0x5BD1E9955BD1E995, 0x27D4EB2F165667C5)
 #: A lexicon of so many rows at most is broadcast (about 40 MB).
 LEXICON_ROWS = 1_000_000
 #: The band: terms in at least MIN_SHARE and at most MAX_SHARE of all documents.
@@ -30,9 +32,16 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), "")
 
 
+def _turned(by: int):
+    return lambda x: x.bitwiseXOR(F.lit(by))
+
+
 def _alike(words: Column) -> Column:
     """A key that near copies mostly share and other documents hardly ever: three independent minima over the terms."""
-    return F.xxhash64(*[F.array_min(F.transform(words, lambda t: F.xxhash64(t, F.lit(f"minimum {k}")))) for k in range(3)])
+    def minima(h: Column) -> Column:
+        return F.xxhash64(F.array_min(h), *[F.array_min(F.transform(h, _turned(c))) for c in TURNS])
+
+    return F.get(F.transform(F.array(F.transform(words, lambda t: F.xxhash64(t))), minima), F.lit(0))  # terms are cut and hashed once
 
 
 def document_weights(docs: DataFrame) -> Column | None:
