@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tallygrid.functions import gpunames as g, timeaxis as ta
+from tallygrid.functions.folders import shared_folder
 from tallygrid.operators import people as p
 from tallygrid.plans import testdata as t
 from tallygrid.plans.testdata import CLUSTERS_SQL, CREDENTIALS_SQL, JOBS_SQL, MEMBERS_SQL, USERS_SQL, WEIGHTS_SQL, with_sql
@@ -21,14 +22,8 @@ NAMES = {"n1": {"v100": "volta-32"}, "n2": {"a100": "$h100"}, g.DEFAULTS: {"a100
 
 
 def checkpoint_dir(s):
-    """A new folder in the one that driver and executors share, ``spark.checkpoint.dir``; where that is unset, checkpoints have no safe place."""
-    sc = s.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not path:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(path)
-    return f"{path.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder in the one that driver and executors share."""
+    return f"{shared_folder(s)}/{uuid.uuid4().hex}"
 
 
 def _supervisors(s, f):

@@ -342,16 +342,17 @@ def test_a_week_without_jobs_is_an_error(spark):
         r.tool_adoption(jobs, "x").collect()
 
 
-def test_shared_folder_must_be_set(spark):
-    from tallygrid.plans.intake import checkpoint_dir
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "local-cluster[2,1,1024]"])
+def test_a_cluster_must_name_its_shared_folder(master):
+    from tallygrid.functions.folders import shared_folder
 
     class Bare:
         class sparkContext:
-            getConf = staticmethod(lambda: {})
-            getCheckpointDir = staticmethod(lambda: None)
+            getConf, getCheckpointDir = staticmethod(lambda: {}), staticmethod(lambda: None)
 
+    Bare.sparkContext.master = master
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        checkpoint_dir(Bare)
+        shared_folder(Bare)
 
 
 def test_records_of_a_newer_scheduler_are_an_error(spark):
