@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallygrid.llm.encoding import encoder
-from tallygrid.llm.shared import fresh_path, text_key, written
+from tallygrid.llm.shared import fresh_path, reach_workers, text_key, written
 
 MAGIC, VERSION = b"TGBP", 1
 BLOCK = 1 << 16
@@ -151,6 +151,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, mode: s
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
+    reach_workers(docs.sparkSession)
     order = ("doc_id", "tie")
     ranged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", text_key()).repartitionByRange(*order).sortWithinPartitions(*order).drop("tie")
 

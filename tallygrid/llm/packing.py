@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallygrid.llm.encoding import encoder
-from tallygrid.llm.shared import text_key, written
+from tallygrid.llm.shared import reach_workers, text_key, written
 
 WINDOW = 2048
 #: Numbers (rounds x queues) that :meth:`Schedule.place` holds at once, about.
@@ -116,6 +116,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, wei
 
     Memory of a task: a document, an Arrow batch, ``BLOCK`` numbers, and four numbers for each source: however many there are, each keeps its own target.
     """
+    reach_workers(docs.sparkSession)
     src = F.col("source").cast("string")
     if weights is not None:
         names = sorted(weights)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tallygrid.functions.folders import shared_folder
+
 #: ASCII white space, as the contracts of the corpus operators define it.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,19 +23,9 @@ def reach_workers(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session leaves it unset (local tests) a temporary folder is chosen.
-    """
+    """The folder that driver and executors share (:func:`tallygrid.functions.folders.shared_folder`)."""
     reach_workers(spark)
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="tallygrid-")
-        sc.setCheckpointDir(path)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(path)
-    return path
+    return shared_folder(spark)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -43,7 +34,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df`` as a Parquet table in the shared folder: lineage ends here and survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
+    path = fresh_path(df.sparkSession, name)  # a new name each time: what a lost run left behind is never read
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallygrid.llm.components import components
-from tallygrid.llm.shared import read_table, written
+from tallygrid.llm.shared import reach_workers, read_table, written
 
 SEED = 42
 #: Shingle hashes whose bits are counted at once.
@@ -124,6 +124,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
     distinct fingerprints only and each keeps its exact distance check. Null and empty texts share fingerprint zero. Repeated rows stay;
     a null doc_id keeps its row and never names a component unless all of it is null; an empty table gives no rows. Other columns, whatever their names, are ignored.
     """
+    reach_workers(docs.sparkSession)
     each = written(fingerprints(docs, width), "fingerprints")
     nodes = written(each.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("root", F.col("fp")), "distinct")
     # wide links come last and only between what closer ones have left apart: a dense group is joined by few pairs, and no link is lost
@@ -198,6 +199,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
     components, the members outside the largest meet all others of another one. So pairs within a group of copies are not made, and
     of pairs that share a cell none is left out. Null and empty texts are one group; odd rows as in :func:`near_duplicates`.
     """
+    reach_workers(docs.sparkSession)
     radius = wide_radius(similarity)
     each = written(sketches(docs, width), "sketches")
     nodes = written(each.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.min(c).alias(c) for c in (*_WIDE_COLUMNS, *_SAMPLE_COLUMNS)]), "distinct")

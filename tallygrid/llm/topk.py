@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tallygrid.llm.shared import read_table
+from tallygrid.llm.shared import reach_workers, read_table
 
 #: Rows of a shard and of a block of queries: a task holds one of each.
 SHARD_ROWS, BLOCK_ROWS = 8192, 4096
@@ -87,6 +87,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256)
     Shards of ``SHARD_ROWS`` vectors meet blocks of ``BLOCK_ROWS`` queries by a key of (block, shard): the query set is stated and a
     task holds one block and one shard. Each returns k rows per query (:func:`maxscore`), merged by rank.
     """
+    reach_workers(vectors.sparkSession)
+
     def fine(df: DataFrame) -> DataFrame:
         numbers = F.col("embedding").cast("array<double>")
         taken = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))

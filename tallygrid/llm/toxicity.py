@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallygrid.llm.shared import read_table, written
+from tallygrid.llm.shared import reach_workers, read_table, written
 
 #: At most so many labelled rows teach the classifier, chosen by a hash of their ids.
 LABELLED_ROWS = 20_000
@@ -292,8 +292,8 @@ def score(docs: DataFrame, scorer: Scorer, column: str = "score") -> DataFrame:
 
     Columns pass through with the text, whatever their names; one called ``column`` is replaced. Repeated rows are scored each; an empty table stays empty.
     """
-    names = docs.columns
-    kept = [c for c in names if c != column]
+    reach_workers(docs.sparkSession)
+    kept = [c for c in docs.columns if c != column]
     precision, base, lm = scorer.precision, scorer.base, scorer.lm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
