@@ -157,14 +157,18 @@ def _sketch(text: bytes, width: int, wide: np.ndarray, sampling: np.ndarray) ->
     if not len(h):
         return [0] * (WIDE + SAMPLES)
 
-    def mixed(x: np.ndarray) -> np.ndarray:
-        y = (x[:, None] ^ (x[:, None] >> np.uint64(31))) * wide[None, :]
-        return np.unpackbits((y ^ (y >> np.uint64(29))).view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little")
-
-    twice = mixed(h[:1])[0].astype(np.int64)  # a tie goes as the least shingle has it
-    twice -= len(h) + 1
+    ones, least, ties = np.zeros(64 * WIDE, np.int64), np.full(WIDE, ~np.uint64(0)), np.zeros(WIDE, np.uint64)
     for at in range(0, len(h), 250):
-        twice += 2 * np.add.reduce(mixed(h[at : at + 250]), axis=0, dtype=np.uint8).astype(np.int64)
+        x = h[at : at + 250, None]
+        y = (x ^ (x >> np.uint64(31))) * wide[None, :]
+        y ^= y >> np.uint64(29)
+        ones += np.add.reduce(np.unpackbits(y.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+        first = y.argmin(axis=0)
+        new = y[first, np.arange(WIDE)] < least
+        least = np.where(new, y[first, np.arange(WIDE)], least)
+        ties = np.where(new, y[first, (np.arange(WIDE) + 1) % WIDE], ties)
+    # where just half of the shingles have a bit, each word of bits goes as another shingle has it, one that ranks first by the word before
+    twice = 2 * ones - len(h) - 1 + np.unpackbits(np.roll(ties, 1).view(np.uint8), bitorder="little")
     out = np.packbits(twice >= 0, bitorder="little").view(np.uint64).tolist()
     for factor in sampling:
         rank = (h ^ (h >> np.uint64(29))) * factor
