@@ -209,3 +209,8 @@ def recurring_table(rows: DataFrame, cycles: int, active: int, base_url: str) ->
     mark = [F.when(F.col(f"c{i}"), "▲").otherwise("✓").alias(f"cycle_{i}") for i in range(cycles)]
     link = F.concat(F.lit(f"{base_url}?user="), F.url_encode(F.col("user_id").cast("string")))
     return rows.select("cluster_id", "user_id", link.alias("link"), F.round("wasted", 2).alias("wasted"), F.round("cluster_share", 4).alias("share"), *mark[:active], F.lit("").alias("separator"), *mark[active:]).orderBy("cluster_id", F.col("wasted").desc(), "user_id")
+
+
+def export_recurring(table: DataFrame, path: str) -> None:
+    """Write the export as CSV files with a header, in its order: file after file, however many there are."""
+    table.write.option("header", True).option("encoding", "UTF-8").csv(path)

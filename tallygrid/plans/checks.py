@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import UTC, date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from tallygrid.functions import timeaxis as ta
 from tallygrid.operators import quality as q, reports as r
 from tallygrid.plans import testdata as t
 from tallygrid.plans.testdata import CLUSTERS_SQL, JOBS_SQL, STATS_SQL, USERS_SQL, with_sql
@@ -83,6 +84,20 @@ def l6_set_difference(s, f):
     return q.set_difference(jobs.filter("cluster_id = 0").select("cluster_user"), jobs.filter("job_state = 'RUNNING'").select("cluster_user"), "cluster_user")
 
 
+def c9_focus_window(s, f):
+    """Jobs submitted in a window given the wrong way round, cut to a focus."""
+    lo, hi = ta.date_range(date(1998, 7, 2), date(1998, 1, 7), date(2001, 6, 1), focus=(date(1999, 1, 1), date(1998, 3, 1)))
+    return t.jobs(s, f).filter((F.col("submit_time") >= F.lit(lo)) & (F.col("submit_time") < F.lit(hi))).select("job_db_id")
+
+
+def c16_due_intervals(s, f):
+    """Jobs submitted in each interval that is due between a mark and now."""
+    rows = [(int(a.replace(tzinfo=UTC).timestamp()), int(b.replace(tzinfo=UTC).timestamp())) for a, b in ta.due_intervals(LO, datetime(1998, 4, 3, 5), 7 * 24 * 60)]
+    due = F.broadcast(s.createDataFrame(rows, "lo_s long, hi_s long"))  # a row per interval
+    at = F.unix_timestamp("submit_time")
+    return due.join(t.jobs(s, f).select(at.alias("at")), (F.col("at") >= F.col("lo_s")) & (F.col("at") < F.col("hi_s")), "left").groupBy("lo_s", "hi_s").agg(F.count("at").alias("n_jobs"))
+
+
 def w1_time_frames(s, f):
     jobs = t.jobs(s, f).select("job_db_id", "start_time", "end_time", F.col("allocated_cpu").cast("double").alias("cost"))
     out = r.time_frames(jobs, ["cost"], start=LO, end=HI)
@@ -163,6 +178,8 @@ SELECT cluster_id, frame, n_jobs, round(threshold + 1e-6, 3) AS threshold FROM x
     "a17_duplicate_emails": with_sql(USERS_SQL, body="SELECT email, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM users WHERE email <> '' GROUP BY 1 HAVING count(*) > 1"),
     "j19_expected_missing": with_sql(JOBS_SQL, body="SELECT DISTINCT node FROM (SELECT unnest(nodes) AS node FROM jobs) WHERE node NOT IN (SELECT nodes[1] FROM jobs WHERE job_db_id % 40 < 30 AND len(nodes) > 0)"),
     "l6_set_difference": with_sql(JOBS_SQL, body="SELECT cluster_user FROM jobs WHERE cluster_id = 0 EXCEPT SELECT cluster_user FROM jobs WHERE job_state = 'RUNNING'"),
+    "c9_focus_window": with_sql(JOBS_SQL, body="SELECT job_db_id FROM jobs WHERE submit_s >= 888710400 AND submit_s < 899337600"),
+    "c16_due_intervals": with_sql(JOBS_SQL, body=f"SELECT lo AS lo_s, lo + 604800 AS hi_s, count(job_db_id) AS n_jobs FROM (SELECT {LO_S} + 604800 * unnest(range(13)) AS lo) LEFT JOIN jobs ON submit_s >= lo AND submit_s < lo + 604800 GROUP BY 1"),
     "w1_time_frames": with_sql(JOBS_SQL, body=f"""
 SELECT job_db_id, {LO_S} + k * 604800 AS frame_s, CAST(greatest(start_s, {LO_S} + k * 604800) AS BIGINT) AS start_s, round(least(end_s, {LO_S} + (k + 1) * 604800) - greatest(start_s, {LO_S} + k * 604800) + 1e-6, 3) AS duration,
        round(allocated_cpu * (least(end_s, {LO_S} + (k + 1) * 604800) - greatest(start_s, {LO_S} + k * 604800)) / nullif(end_s - start_s, 0)::DOUBLE + 1e-6, 3) AS cost

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from tallygrid.functions.folders import shared_folder
 from tallygrid.functions.timeaxis import cycle_ends
 from tallygrid.operators import samples as sm, underuse as uu
 from tallygrid.plans import testdata as t
@@ -161,7 +163,11 @@ def l8_report_due(s, f):
 
 
 def s14_recurring_table(s, f):
-    return uu.recurring_table(uu.recurring_underusers(_classified(s, f), TRAILING, CYCLES, RUN), CYCLES, TRAILING, "https://usage.invalid/jobs")
+    """Written as CSV and read back."""
+    out = uu.recurring_table(uu.recurring_underusers(_classified(s, f), TRAILING, CYCLES, RUN), CYCLES, TRAILING, "https://usage.invalid/jobs")
+    path = f"{shared_folder(s)}/{uuid.uuid4().hex}"
+    uu.export_recurring(out, path)
+    return s.read.schema(out.schema).option("header", True).csv(path).fillna("", ["separator"])
 
 
 def _usage_sql(where: str = f"end_s >= {START_S} AND end_s < {END_S}") -> str:
