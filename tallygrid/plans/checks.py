@@ -131,7 +131,7 @@ def a27_waste_by_user(s, f):
 
 
 def a28_tool_adoption(s, f):
-    return r.tool_adoption(t.jobs(s, f), "job7").withColumn("week", F.date_format("week", "yyyy-MM-dd"))
+    return r.tool_adoption(t.jobs(s, f), "job7", every_week=False).withColumn("week", F.date_format("week", "yyyy-MM-dd"))
 
 
 def _coverage(kind: str, names: list[str], k: float, group: str, more: str, least: int) -> str:
