@@ -44,33 +44,28 @@ def _alike(words: Column) -> Column:
     return F.get(F.transform(F.array(F.transform(words, lambda t: F.xxhash64(t))), minima), F.lit(0))  # terms are cut and hashed once
 
 
-def document_weights(docs: DataFrame) -> Column | None:
-    """1 per document, but 1 per group for groups of copies and near copies of at least ``HOT_SHARE`` of all documents (None: there are none).
-
-    Else a text that a third of all documents copy would push its own terms out of the band. At most 1 / HOT_SHARE keys come to the driver.
-    """
+def hot_groups(docs: DataFrame) -> dict[int, int]:
+    """Keys and sizes of the groups of copies and near copies that hold at least ``HOT_SHARE`` of all documents: 1 / HOT_SHARE at most."""
     n = docs.count()
     keys = docs.select(_alike(terms(_text())).alias("k")).groupBy("k").count()
-    hot = {r["k"]: r["count"] for r in keys.filter(F.col("count") >= max(HOT_ROWS, HOT_SHARE * n)).collect()} if n else {}
-    if not hot:
-        return None
-    own = F.try_element_at(F.create_map(*[F.lit(x) for k, c in hot.items() for x in (k, 1.0 / c)]), _alike(terms(_text())))
-    return F.coalesce(own, F.lit(1.0))
+    return {r["k"]: r["count"] for r in keys.filter(F.col("count") >= max(HOT_ROWS, HOT_SHARE * n)).collect()} if n else {}
 
 
 def lexicon(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float = MAX_SHARE) -> DataFrame:
     """(term, subset): the terms whose inverse document frequency is within the band, in each random subset that has them.
 
-    ln(1 / max_share) <= ln(N / df) <= ln(1 / min_share), counted over all documents (:func:`document_weights`). Its size is bounded whatever the corpus:
+    ln(1 / max_share) <= ln(N / df) <= ln(1 / min_share), counted over all documents (:func:`hot_groups` as one each). Its size is bounded whatever the corpus:
     at most (mean distinct terms per document) / min_share terms reach that frequency, and a term is in 0.6 subsets on average.
     """
-    weight = document_weights(docs)
-    if weight is None:
-        n, each, df = docs.count(), docs.select(F.explode(terms(_text())).alias("term")), F.count("*")
-    else:  # sums of doubles depend on their order: count in units of 2^-20
-        units = docs.select(F.round(weight * (1 << 20)).cast("long").alias("units"), _text().alias("text"))
-        n = (units.agg(F.sum("units")).first()[0] or 0) / (1 << 20)
-        each, df = units.select("units", F.explode(terms(F.col("text"))).alias("term")), F.sum("units") / (1 << 20)
+    hot, n = hot_groups(docs), docs.count()
+    if hot:  # a group weighs as much as one document, else a text that a third of all documents copy would push its own terms out of the band
+        n += len(hot) - sum(hot.values())
+        cut = docs.select(F.explode(F.array(terms(_text()))).alias("t"))  # terms are cut once
+        one = 1 << 20  # sums of doubles depend on their order: count in parts of 2^-20
+        own = F.try_element_at(F.create_map(*[F.lit(x) for k, c in sorted(hot.items()) for x in (k, round(one / c))]), _alike(F.col("t")))
+        each, df = cut.select(F.coalesce(own, F.lit(one)).cast("long").alias("part"), F.explode("t").alias("term")), F.sum("part") / one
+    else:
+        each, df = docs.select(F.explode(terms(_text())).alias("term")), F.count("*")
     found = each.groupBy("term").agg(df.alias("df"))
     kept = found.filter((F.col("df") >= min_share * n) & (F.col("df") <= max(max_share * n, 1)))
     drawn = [F.when(F.xxhash64(F.col("term"), F.lit(f"subset {k}")).bitwiseAND(F.lit((1 << e) - 1)) == 0, F.lit(k)) for k, e in enumerate(EXPONENTS)]
