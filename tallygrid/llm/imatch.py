@@ -63,7 +63,8 @@ def lexicon(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float = MA
         cut = docs.select(F.explode(F.array(terms(_text()))).alias("t"))  # terms are cut once
         one = 1 << 20  # sums of doubles depend on their order: count in parts of 2^-20
         own = F.try_element_at(F.create_map(*[F.lit(x) for k, c in sorted(hot.items()) for x in (k, round(one / c))]), _alike(F.col("t")))
-        each, df = cut.select(F.coalesce(own, F.lit(one)).cast("long").alias("part"), F.explode("t").alias("term")), F.sum("part") / one
+        weighed = cut.select(F.coalesce(own, F.lit(one)).cast("long").alias("part"), "t")  # a select of its own: beside explode it would be worked out for every term
+        each, df = weighed.select("part", F.explode("t").alias("term")), F.sum("part") / one
     else:
         each, df = docs.select(F.explode(terms(_text())).alias("term")), F.count("*")
     found = each.groupBy("term").agg(df.alias("df"))
