@@ -54,21 +54,23 @@ def hot_groups(docs: DataFrame) -> dict[int, int]:
 def lexicon(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float = MAX_SHARE) -> DataFrame:
     """(term, subset): the terms whose inverse document frequency is within the band, in each random subset that has them.
 
-    ln(1 / max_share) <= ln(N / df) <= ln(1 / min_share), counted over all documents (:func:`hot_groups` as one each). Its size is bounded whatever the corpus:
-    at most (mean distinct terms per document) / min_share terms reach that frequency, and a term is in 0.6 subsets on average.
+    ln(1 / max_share) <= ln(N / df) <= ln(1 / min_share), counted over all documents. Against the upper bound of df each of the :func:`hot_groups` counts as one document, against the
+    lower one as what it holds, so that the terms of a hot text are neither too common nor too rare. The size is bounded whatever the corpus: at most (mean distinct terms per document) / min_share terms reach that frequency, and a term is in 0.6 subsets on average.
     """
     hot, n = hot_groups(docs), docs.count()
+    raw, weighed_n = F.count("*"), n
     if hot:  # a group weighs as much as one document, else a text that a third of all documents copy would push its own terms out of the band
-        n += len(hot) - sum(hot.values())
+        weighed_n += len(hot) - sum(hot.values())
         cut = docs.select(F.explode(F.array(terms(_text()))).alias("t"))  # terms are cut once
         one = 1 << 20  # sums of doubles depend on their order: count in parts of 2^-20
         own = F.try_element_at(F.create_map(*[F.lit(x) for k, c in sorted(hot.items()) for x in (k, round(one / c))]), _alike(F.col("t")))
         weighed = cut.select(F.coalesce(own, F.lit(one)).cast("long").alias("part"), "t")  # a select of its own: beside explode it would be worked out for every term
         each, df = weighed.select("part", F.explode("t").alias("term")), F.sum("part") / one
     else:
-        each, df = docs.select(F.explode(terms(_text())).alias("term")), F.count("*")
-    found = each.groupBy("term").agg(df.alias("df"))
-    kept = found.filter((F.col("df") >= min_share * n) & (F.col("df") <= max(max_share * n, 1)))
+        each, df = docs.select(F.explode(terms(_text())).alias("term")), raw
+    found = each.groupBy("term").agg(df.alias("df"), raw.alias("raw"))
+    # the lower bound holds for plain counts: weighed as one document, a hot text would lose its own terms there
+    kept = found.filter((F.col("raw") >= min_share * n) & (F.col("df") <= max(max_share * weighed_n, 1)))
     drawn = [F.when(F.xxhash64(F.col("term"), F.lit(f"subset {k}")).bitwiseAND(F.lit((1 << e) - 1)) == 0, F.lit(k)) for k, e in enumerate(EXPONENTS)]
     # tied to df, so that no filter on the subsets moves below the aggregation and hashes each occurrence
     return kept.select("term", F.explode(F.when(F.col("df") > 0, F.array_compact(F.array(*drawn)))).alias("subset"))

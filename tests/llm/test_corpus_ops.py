@@ -316,6 +316,32 @@ def test_op3_near_copies_of_a_hot_text_stay_alike(spark):
     assert sum(r["near_next"] for r in got[:109]) / 109 > 0.7 and sum(r["near_next"] for r in got[111:299]) / 188 < 0.1
 
 
+@pytest.mark.parametrize("share", [0.008, 0.012, 1 / 3])  # below and above the share from which a group counts as one document
+def test_op3_hot_text_keeps_its_terms(spark, share):
+    rng, n = random.Random(4), 20_000
+    vocabulary, own = [f"word{k}" for k in range(4000)], [f"own{k}" for k in range(80)]
+    hot = int(share * n)
+    texts = [" ".join(own)] * (hot // 2) + [" ".join([*own[:k], f"new{k}", *own[k + 1 :]]) for k in (rng.randrange(80) for _ in range(hot - hot // 2))]
+    rng.shuffle(texts)
+    texts += [" ".join([*rng.choices(vocabulary, k=40), "the"]) for _ in range(n - hot)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = {r["k"]: r["n"] for r in df.select(imatch._alike(imatch.terms(F.col("text"))).alias("k")).groupBy("k").agg(F.count("*").alias("n")).collect()}
+    big = {k: c for k, c in groups.items() if c >= max(imatch.HOT_ROWS, imatch.HOT_SHARE * n)}
+    assert bool(big) == (share > 0.01)
+    keys = [r[0] for r in df.select(imatch._alike(imatch.terms(F.col("text")))).collect()]
+    raw, weighed = Counter(), defaultdict(float)
+    for key, text in zip(keys, texts, strict=True):
+        for w in set(text.split()):
+            raw[w] += 1
+            weighed[w] += 1 / big.get(key, 1)
+    band = {w for w in raw if raw[w] >= 0.0005 * n and weighed[w] <= 0.2 * (n - sum(big.values()) + len(big))}
+    words = imatch.lexicon(df)
+    assert {(r["term"], r["subset"]) for r in words.collect()} == {(w, k) for w in band for k, e in enumerate(imatch.EXPONENTS) if spark_hash([w, f"subset {k}"]) % (1 << e) == 0}
+    assert set(own) <= band and "the" not in band
+    got = sorted(rows(imatch.fingerprint_edits(df)), key=lambda r: -r["doc_id"])[n - hot :]  # ids follow each other, so a hot document's next one is hot
+    assert sum(r["near_next"] for r in got[:-1]) / (hot - 1) > 0.7 and min(r["near_edited"] for r in got[:-1]) > 0
+
+
 def test_op3_spreads_null_and_repeated_ids(spark, monkeypatch):
     monkeypatch.setattr(imatch, "BUCKET_ROWS", 50)
     data = [(None, f"null {i}") for i in range(1000)] + [(7, f"seven {i}") for i in range(1000)] + [(100 + i, f"own {i}") for i in range(1000)] + [(10**15, "far")]
