@@ -17,8 +17,10 @@ MIN_DOCS = 30
 SMOOTH, SCALE = 5, 1_000_000_000
 #: Terms of a group that the audit lists.
 TOP_TERMS = 50
-#: Entries that a task counts before it hands them on, and postings in one block of the index, about.
-HELD, BLOCK = 500_000, 500_000
+#: Entries that a task counts before it hands them on.
+HELD = 500_000
+#: Postings in one block of the index, about; a block has at least as many as its lang has pairs of groups, so that sums of blocks stay small beside postings, up to LARGE_BLOCK.
+BLOCK, LARGE_BLOCK = 25_000, 2_000_000
 #: Up to so many groups are broadcast (about 50 MB).
 GROUP_ROWS = 300_000
 #: Bytes of a text that are cut into terms at a time.
@@ -100,7 +102,7 @@ def accumulate(block: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndar
     for i in range(len(names)):
         own = by_group[bounds[i] : bounds[i + 1]]
         dense, touched = np.zeros(len(names), np.int64), np.zeros(len(names), bool)
-        for some in np.array_split(own, max(1, len(own) * len(names) // (8 * BLOCK))):  # a bounded number of products at a time
+        for some in np.array_split(own, max(1, len(own) * len(names) // (4 * LARGE_BLOCK))):  # a bounded number of products at a time
             first, many = starts[term[some]], starts[term[some] + 1] - starts[term[some]]
             at = np.repeat(first - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
             pi, zi = np.repeat(p[some], many), z[own[0]]
@@ -172,7 +174,9 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS)
     named = named.withColumn("gid", F.xxhash64("lang", "source")).withColumn("z", F.when(F.col("v") > 0, _share(zero, F.col("total"), F.col("v"))).otherwise(zero))
     named = written(named, "groups")
     facts = named.select("lang", "source", "gid", "total", "v", "lang_n", "z")
-    blocks = F.greatest(F.lit(1).cast("long"), F.ceil(F.sum("has").over(Window.partitionBy("lang")) / BLOCK))
+    of_lang = Window.partitionBy("lang")
+    size = F.least(F.lit(max(BLOCK, LARGE_BLOCK)), F.greatest(F.lit(BLOCK), F.pow(F.count("*").over(of_lang), 2)))
+    blocks = F.greatest(F.lit(1).cast("long"), F.ceil(F.sum("has").over(of_lang) / size))
     facts = facts.join(named.select("gid", blocks.alias("blocks")), "gid")
     known = each.join(F.broadcast(facts) if named.count() <= GROUP_ROWS else facts, ["lang", "source"])
     p = _share(F.col("n"), F.col("total"), F.col("v"))

@@ -121,13 +121,14 @@ def brute_divergence(docs, min_docs, top):
     return out
 
 
-@pytest.mark.parametrize("block", [50, 500_000])
+@pytest.mark.parametrize("block", [10, 50, 500_000])
 def test_op12_equals_all_terms_of_all_groups(spark, monkeypatch, block):
     rng = random.Random(5)
     names = ["Alpha", "béta", "GAMMA", "d", "漢字", "z", "İx", "o'clock", "seven77up"] + [f"w{i}{c}" for i in range(9) for c in "abcdef"]
     docs = [(" ".join(rng.choice(names[: rng.randrange(5, len(names))]) for _ in range(rng.randrange(40))), rng.choice(["en", "fr", None, ""]), rng.choice([None, "b", "ab", "Ä", "b", "b"])) for _ in range(700)]
     docs += [("lone words only here", "xx", "s1"), (None, "xx", "s2"), ("", "yy", "s")] * 2
     monkeypatch.setattr(divergence, "BLOCK", block)
+    monkeypatch.setattr(divergence, "LARGE_BLOCK", block)
     monkeypatch.setattr(divergence, "HELD", block)
     df = spark.createDataFrame(docs, "text string, lang string, source string")
     for rows in (divergence.GROUP_ROWS, 0):
