@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import islice, takewhile
 
 import numpy as np
@@ -18,6 +21,8 @@ from tallygrid.llm.shared import reach_workers, read_table, written
 LABELLED_ROWS = 20_000
 #: A feature counts if it is in so many toxic documents, and so large a share of the documents with it is toxic.
 MIN_TOXIC, MIN_PRECISION = 6, 0.75
+#: A beginning of a toxic word is a word of its own if so many clean documents have it.
+MIN_COMMON = 2
 #: Labelled texts are copies if all minima of one band agree, and so large a share of all minima.
 BANDS, BAND_MINIMA, COPY_SHARE = 6, 6, 0.7
 #: Tokens that one Python worker remembers.
@@ -29,15 +34,42 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 SEPARATORS = " .-_*~'"
 _A = len(LETTERS) + 1
 _NUMBER = {c: i + 1 for i, c in enumerate(LETTERS)}
+#: Letters with a mark, and the plain letter that each may stand for.
+_PLAIN = str.maketrans({c: unicodedata.normalize("NFD", c)[0] for c in LETTERS if len(unicodedata.normalize("NFD", c)) > 1})
 _L, _S = LETTERS, re.escape("".join(LOOKALIKES))
-#: A look-alike beside a letter, or a letter three times in a row.
-_ODD = re.compile(rf"[{_L}][{_S}]+[{_L}]|^[{_S}]+[{_L}]|[{_L}][{_S}]+$|([{_L}])\1\1|[{_L}][.\-_~'][{_L}][.\-_~'][{_L}]")
 _EDGES = re.compile(rf"^[^{_L}{_S}]+|[^{_L}{_S}]+$")
 _WORDS = re.compile(rf"[{_L}]+")
-_SPACED = re.compile(rf"(?<!\S)(?:[{_L}{_S}]\s+){{2,}}[{_L}{_S}](?!\S)")
-_SPACED_HINT = re.compile(r"\s\S\s+\S\s")
+#: A token of which every character can stand for itself alone: its lattice has one path, the token.
+_ONE_PATH = re.compile(rf"(?:([{_L}])(?!\1))*")
 #: Log probability of a dropped separator, of one that ends a word, of a dropped repetition, and of any other dropped character.
 _JOIN, _BREAK, _AGAIN, _LOST = -0.1, -1.0, -0.5, -4.0
+#: Words of fewer letters are not looked for in joined neighbours.
+_JOINED = 4
+#: Log probability of a space that is dropped, or ends a word as it should.
+_SPACE_JOIN, _SPACE_BREAK = -1.0, -0.5
+
+
+class _Folded(dict):
+    """What a character folds to once compatibility forms are composed: letters of the alphabet stay, other marked letters lose their marks, lone marks and invisible characters go."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        base = unicodedata.normalize("NFKD", c)[:1].lower()
+        if c not in _NUMBER and base in _NUMBER:
+            out = base
+        else:
+            out = "" if unicodedata.category(c) in ("Mn", "Me", "Cf") else c
+        self[code] = out
+        return out
+
+
+_FOLDED = _Folded()
+
+
+def folded(text: str | None) -> str:
+    """A text in lower case, without compatibility forms (full-width letters and the like), marks beyond the alphabet's and invisible characters."""
+    text = text or ""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).lower().translate(_FOLDED)
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
@@ -81,22 +113,29 @@ def language_model(grams: DataFrame, words: dict[str, float]) -> np.ndarray:
     return np.log(0.5 * smooth(corpus) + 0.5 * smooth(own)).astype(np.float32)
 
 
-def options(c: str, before: str) -> list[tuple[str, float]]:
-    """What a character may stand for after another, with log probabilities: a letter, nothing (""), or the end of a word (" ")."""
+@lru_cache(maxsize=1 << 16)
+def _ways(c: str, again: bool) -> tuple[tuple[str, float], ...]:
+    repeated = (("", _AGAIN),) if again else ()
     if c in _NUMBER:
-        return [(c, 0.0), ("", _AGAIN)] if c == before else [(c, 0.0)]
-    found = [(x, -0.3 - math.log(len(LOOKALIKES[c]))) for x in LOOKALIKES.get(c, "")]
-    if c in SEPARATORS or c.isspace():
-        return [*found, ("", _JOIN), (" ", _BREAK)]
-    return [*found, ("", _LOST), *([("", _AGAIN)] if c == before else [])]
+        return ((c, 0.0), *repeated)
+    found = tuple((x, -0.3 - math.log(len(LOOKALIKES[c]))) for x in LOOKALIKES.get(c, ""))
+    if c.isspace():
+        return (*found, ("", _SPACE_JOIN), (" ", _SPACE_BREAK))
+    if c in SEPARATORS:
+        return (*found, ("", _JOIN), (" ", _BREAK))
+    return (*found, ("", _LOST), *repeated)
+
+
+def options(c: str, before: str) -> tuple[tuple[str, float], ...]:
+    """What a character may stand for after another, with log probabilities: a letter, nothing (""), or the end of a word (" ")."""
+    return _ways(c, c == before)
 
 
-def restore(token: str, lm: np.ndarray) -> str:
+def restore(token: str, lm: np.ndarray | list) -> str:
     """The likeliest plain words behind a token: Viterbi over a lattice of what each character may stand for.
 
-    A letter stands for itself, or is dropped as a repetition of the letter before; a look-alike stands for one of its
-    letters or is dropped; a separator is dropped or ends a word. States are the last two letters. Paths share their beginnings, and where all meet in
-    one state what lies before is settled, so tokens may have any length.
+    A letter stands for itself, or is dropped as a repetition of the letter before; a look-alike stands for one of its letters or is dropped; a separator or a space is dropped or ends a word. States are the last two letters. Paths share
+    their beginnings, and where all meet in one state what lies before is settled, so tokens may have any length. ``lm`` is indexed letter by letter, as an array or as nested lists.
     """
     best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     settled: list[str] = []
@@ -110,23 +149,30 @@ def restore(token: str, lm: np.ndarray) -> str:
         return "".join(reversed(out))
 
     for c in token:
+        ways = _ways(c, c == before)
+        before = c
+        if len(best) == 1 and len(ways) == 1 and ways[0][0]:  # one state and one choice: nothing to weigh
+            ((_, b),) = best
+            settled.append(ways[0][0])
+            best = {(b, _NUMBER.get(ways[0][0], 0)): (0.0, None)}
+            continue
         new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-        ways = options(c, before)
         for (a, b), (p, path) in best.items():
+            row = lm[a][b]
             for x, cost in ways:
                 if x:
                     k = _NUMBER.get(x, 0)
-                    state, q = (b, k), p + cost + float(lm[a, b, k])
+                    state, q = (b, k), p + cost + float(row[k])
                 else:
                     state, q = (a, b), p + cost
                 if state not in new or q > new[state][0]:
                     new[state] = (q, (path, x) if x else path)
-        best, before = new, c
+        best = new
         if len(best) == 1:
-            state, (_, path) = best.popitem()
+            ((state, (_, path)),) = best.items()
             settled.append(letters(path))
-            best[state] = (0.0, None)
-    _, path = max(((p + float(lm[a, b, 0]), path) for (a, b), (p, path) in best.items()), key=lambda x: x[0])
+            best = {state: (0.0, None)}
+    _, path = max(((p + float(lm[a][b][0]), path) for (a, b), (p, path) in best.items()), key=lambda x: x[0])
     return "".join(settled) + letters(path)
 
 
@@ -135,31 +181,88 @@ def features(word: str) -> list[str]:
     return [f"{word}$", *(word[:n] for n in range(3, min(6, len(word)) + 1))]
 
 
-def plain_words(token: str, lm: np.ndarray | None) -> list[str]:
-    """The words in a token without white space; suspicious ones are restored first if there is a model."""
-    if lm is not None and _ODD.search(token):
-        core = _EDGES.sub("", token)
-        return [*_WORDS.findall(token), *restore(core, lm).split(), *restore(core.rstrip("!|.,*"), lm).split()]
-    return _WORDS.findall(token)
+class Decoder:
+    """Restores tokens and joined neighbours; each distinct token is restored once and remembered, up to ``REMEMBERED`` of them.
 
+    ``words`` are looked for across neighbouring tokens: a walk over their letters, with the choices of the lattice, tells which
+    runs of tokens may hold one, and the character model decides whether the spaces in such a run are dropped. A run does not begin with a word of its own (``common``: three letters or more).
+    """
 
-def restored_words(text: str, lm: np.ndarray | None) -> set[str]:
-    """The words of a lower-cased text, those behind disguised tokens and runs of spaced letters included if there is a model."""
-    found = {w for t in set(text.split()) for w in plain_words(t, lm)}
-    if lm is not None and _SPACED_HINT.search(f" {text} "):
-        found.update(w for m in _SPACED.finditer(text) for w in restore(m[0], lm).split())
-    return found
+    def __init__(self, lm: np.ndarray | None, words: Iterable[str] = (), common: Iterable[str] = ()) -> None:
+        self.lm = None if lm is None else lm.tolist()
+        self.whole = frozenset(w for w in words if len(w) >= _JOINED)
+        self.begun = frozenset(w[:n] for w in self.whole for n in range(1, len(w)))
+        self.common = frozenset(common)
+        self.plain: dict[str, tuple[str, ...]] = {}
+        self.starts: dict[str, frozenset[str]] = {}
+
+    def __call__(self, token: str) -> tuple[str, ...]:
+        """The words in a token, as it stands and restored."""
+        found = self.plain.get(token)
+        if found is None:
+            if len(self.plain) > REMEMBERED:
+                self.plain.clear()
+                self.starts.clear()
+            found = self.plain[token] = self._words(token)
+        return found
+
+    def _words(self, token: str) -> tuple[str, ...]:
+        if _ONE_PATH.fullmatch(token):
+            return (token,)
+        found = _WORDS.findall(token)
+        core = _EDGES.sub("", token)
+        if self.lm is not None and not (len(found) == 1 and core == found[0] and _ONE_PATH.fullmatch(core)):
+            cores = {core, core.rstrip("!|.,*")}
+            found += [w for c in sorted(cores) if c for w in restore(c, self.lm).split()]
+        return tuple(dict.fromkeys(found))
+
+    def walk(self, states: Iterable[str], token: str) -> tuple[frozenset[str], bool]:
+        """Where beginnings of words lead over a token's characters, and whether they pass a whole word."""
+        before, hit, states = "", False, frozenset(states)
+        for c in token:
+            states = frozenset(s + x if x != " " else s for s in states for x, _ in options(c, before) if x in ("", " ") or s + x in self.begun or s + x in self.whole)
+            hit = hit or not states.isdisjoint(self.whole)
+            before = c
+            if not states:
+                break
+        return states, hit
+
+    def _start(self, token: str) -> frozenset[str]:
+        found = self.starts.get(token)
+        if found is None:
+            found = self.starts[token] = frozenset() if token in self.common else self.walk(("",), token)[0] - {""}
+        return found
+
+    def joined(self, tokens: list[str]) -> Iterator[str]:
+        """The words behind runs of neighbouring tokens that may hold a word across their spaces."""
+        if not self.whole or self.lm is None:
+            return
+        for i in range(len(tokens) - 1):
+            states, j = self._start(tokens[i]), i
+            while states and j + 1 < len(tokens):
+                j += 1
+                states, hit = self.walk(states, tokens[j])
+                states -= {""}
+                if hit:
+                    yield from restore(" ".join(tokens[i : j + 1]), self.lm).split()
+
+
+def restored_words(text: str | None, decoder: Decoder) -> set[str]:
+    """The words of a text, those behind disguised tokens and joined neighbours included if there is a model."""
+    tokens = folded(text).split()
+    return {w for t in set(tokens) for w in decoder(t)}.union(decoder.joined(tokens))
 
 
 class Scorer:
     """Scores texts from the features that their restored words hit."""
 
-    def __init__(self, precision: dict[str, float], base: float, lm: np.ndarray) -> None:
-        self.precision, self.base, self.lm = precision, base, lm
+    def __init__(self, precision: dict[str, float], base: float, lm: np.ndarray, common: Iterable[str] = ()) -> None:
+        self.precision, self.base, self.lm, self.common = precision, base, lm, tuple(common)
+        self.decoder = Decoder(lm, [f[:-1] for f in precision if f.endswith("$")], common)
         self.seen: set[str] = set()
         self.hits: dict[str, tuple[str, ...]] = {}
 
-    def _look(self, words: list[str]) -> tuple[str, ...]:
+    def _look(self, words: Iterable[str]) -> tuple[str, ...]:
         found = []
         for word in words:
             own = [f for f in features(word) if f in self.precision]
@@ -168,24 +271,37 @@ class Scorer:
         return tuple(found)
 
     def __call__(self, text: str | None) -> float:
-        text = (text or "").lower()
-        tokens = set(text.split())
+        tokens = folded(text).split()
+        distinct = set(tokens)
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
             self.hits.clear()
-        for token in tokens.difference(self.seen):
-            if own := self._look(plain_words(token, self.lm)):
+        for token in distinct.difference(self.seen):
+            own = self._look(self.decoder(token))
+            if not token.isascii() and (plain := token.translate(_PLAIN)) != token:  # marks may be a disguise as well
+                own += self._look(self.decoder(plain))
+            if own:
                 self.hits[token] = own
-        self.seen |= tokens
-        found = {f for t in tokens.intersection(self.hits) for f in self.hits[t]}
-        if _SPACED_HINT.search(f" {text} "):
-            found |= {f for m in _SPACED.finditer(text) for f in self._look(restore(m[0], self.lm).split())}
+        self.seen |= distinct
+        found = {f for t in distinct.intersection(self.hits) for f in self.hits[t]}
+        found.update(self._look(self.decoder.joined(tokens)))
         miss = 1.0 - self.base
         for f in sorted(found):
             miss *= 1.0 - self.precision[f]
         return 1.0 - miss
 
 
+_LAST: dict[str, Scorer] = {}
+
+
+def _scorer(name: str, *model) -> Scorer:
+    """The scorer of that name, kept by the worker from task to task with the tokens that it has restored."""
+    if name not in _LAST:
+        _LAST.clear()
+        _LAST[name] = Scorer(*model)
+    return _LAST[name]
+
+
 def _fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(4))
 
@@ -251,7 +367,7 @@ def one_per_text(rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = LABELLED_ROWS) -> Scorer:
     """A scorer from documents (doc_id, text) and labels (doc_id, toxic 0/1; others are ignored).
 
-    The character model counts the whole texts of all documents. The classifier learns from at most ``max_rows`` labelled
+    Rows that repeat a doc_id with unlike texts all teach, equal ones once. The character model counts the whole texts of all documents. The classifier learns from at most ``max_rows`` labelled
     rows, drawn by a hash of doc_id: their ids, a table of that bound, are broadcast to the documents, so texts are not
     shuffled. A feature's weight is the smoothed share of toxic ones among the documents that have it, in its restored text.
     """
@@ -263,28 +379,36 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = LABELLED_ROWS) ->
     teachers = one_per_text([tuple(r) for r in sample.select("doc_id", "toxic", "whole", "minima").distinct().collect()])  # about LABELLED_ROWS rows of 300 bytes
     teachers = docs.sparkSession.createDataFrame(teachers, "doc_id long, whole long")
     sample = sample.join(F.broadcast(teachers), ["doc_id", "whole"]).dropDuplicates(["doc_id", "whole"]).select("text", "toxic")
+    sample = written(sample.repartition(2 * docs.sparkSession.sparkContext.defaultParallelism), "lessons")
+
+    def useful(lm: np.ndarray | None, words: Iterable[str] = ()) -> tuple[dict[str, tuple[int, int]], list[str]]:
+        words = sorted(words)
 
-    def useful(lm: np.ndarray | None) -> dict[str, tuple[int, int]]:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            by = (Counter(), Counter())
+            by, decoder = (Counter(), Counter()), Decoder(lm, words)
             for batch in batches:
                 for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    by[toxic].update({f for w in restored_words((text or "").lower(), lm) for f in features(w)})
+                    by[toxic].update({f for w in restored_words(text, decoder) for f in features(w)})
             names = list(by[0].keys() | by[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([by[1][x] for x in names], pa.int64()), pa.array([by[0][x] for x in names], pa.int64())], names=["feature", "toxic", "clean"])
 
         counted = sample.mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         share = F.col("toxic") / (F.col("toxic") + F.col("clean") + 1)
-        kept = counted.filter((F.col("toxic") >= MIN_TOXIC) & (share >= MIN_PRECISION)).toArrow()  # of the bounded sample: its toxic rows' features / MIN_TOXIC at most
-        return {f: (a, b) for f, a, b in zip(*(kept[c].to_pylist() for c in ("feature", "toxic", "clean")), strict=True)}
+        strong = (F.col("toxic") >= MIN_TOXIC) & (share >= MIN_PRECISION)
+        begun = sorted({f"{w[:n]}$" for w in words for n in range(3, len(w))})
+        found = counted.filter(strong | F.col("feature").isin(begun) & (F.col("clean") >= MIN_COMMON)).withColumn("strong", strong)
+        kept = found.toArrow()  # of the bounded sample: its toxic rows' features / MIN_TOXIC at most, and beginnings of such words
+        rows = list(zip(*(kept[c].to_pylist() for c in ("feature", "toxic", "clean", "strong")), strict=True))
+        return {f: (a, b) for f, a, b, ok in rows if ok}, sorted(f[:-1] for f, _, _, ok in rows if f in begun)
 
     grams = written(gram_counts(docs), "grams")
     # the plain words of the labelled texts sharpen the character model; what it restores in them is what the classifier learns from
-    first = useful(None)
-    lm = language_model(grams, {f[:-1]: float(first[f][0]) for f in sorted(first) if f.endswith("$")})
-    counts = useful(lm)
+    first, _ = useful(None)
+    words = [f[:-1] for f in sorted(first) if f.endswith("$")]
+    lm = language_model(grams, {w: float(first[f"{w}$"][0]) for w in words})
+    counts, common = useful(lm, words)
     own = _own_evidence(counts)
-    return Scorer({f: a / (a + b + 1) for f, (a, b) in sorted(counts.items()) if f in own}, 0.02, lm)
+    return Scorer({f: a / (a + b + 1) for f, (a, b) in sorted(counts.items()) if f in own}, 0.02, lm, common)
 
 
 def score(docs: DataFrame, scorer: Scorer, column: str = "score") -> DataFrame:
@@ -294,10 +418,10 @@ def score(docs: DataFrame, scorer: Scorer, column: str = "score") -> DataFrame:
     """
     reach_workers(docs.sparkSession)
     kept = [c for c in docs.columns if c != column]
-    precision, base, lm = scorer.precision, scorer.base, scorer.lm
+    model, name = (scorer.precision, scorer.base, scorer.lm, scorer.common), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Scorer(precision, base, lm)
+        own = _scorer(name, *model)
         for batch in batches:
             texts = batch.column(kept.index("text"))
             scores = pa.array([own(t.as_py()) for t in texts], pa.float64())

@@ -611,6 +611,37 @@ def test_op7_restores_disguised_words(scorer, token):
     assert scorer(f"this is a {token} of the") > 0.5 > scorer("this is a table of the")
 
 
+HIDDEN = ["stuupid", "iddiot", "idioot", "losser", "stu-pid", "st.upid", "stu pid", "s tupid", "i d-i o t", "stupid", "5tup1d", "s t u p i d", "st upi d", "1 d 1 0 t",
+          "".join(chr(ord(c) + 0xFEE0) for c in "stupid"), "s\u0301tupi\u0301d", "st\u200bu\u00adpid", "st\u00fapid"]
+
+
+@pytest.mark.parametrize("words", HIDDEN)
+def test_op7_one_change_hides_nothing(scorer, words):
+    assert scorer(f"you are {words} now and then") > 0.5
+
+
+def test_op7_neighbours_of_clean_texts_stay_apart(scorer):
+    for words in ("we stop in the hall", "the los angeles rain", "an idea of it", "more on that"):
+        assert scorer(words) < 0.3
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=30))
+def test_op7_folding_keeps_plain_letters(text):
+    got = toxicity.folded(text)
+    assert toxicity.folded(got) == got and not any(unicodedata.category(c) in ("Mn", "Cf") for c in got)
+    plain = "".join(c for c in text if c.isascii())
+    assert toxicity.folded(plain) == plain.lower()
+
+
+def test_op7_decoder_remembers_and_walks():
+    lm = np.log(np.random.default_rng(8).dirichlet(np.full(toxicity._A, 0.3), (toxicity._A, toxicity._A)) + 1e-9).astype(np.float32)
+    decoder = toxicity.Decoder(lm, ["stupid", "abc"], ["stup"])
+    assert decoder.walk(("",), "5tu") == (frozenset({"stu"}), False) and decoder.walk(("stu",), "p1dity")[1]
+    assert decoder._start("stup") == frozenset() and decoder.whole == {"stupid"}
+    assert decoder("plain") == ("plain",) and "plain" in decoder.plain
+
+
 def test_op7_spaced_letters(scorer):
     assert scorer("you are an i d i o t indeed") > 0.5
 
