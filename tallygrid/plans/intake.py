@@ -15,6 +15,7 @@ from tallygrid.plans.testdata import CLUSTERS_SQL, CREDENTIALS_SQL, JOBS_SQL, ME
 from tallygrid.plans.underuses import SQL as _UNDERUSE_SQL
 from tallygrid.sources import records as rec
 from tallygrid.streaming import streams
+from tallygrid.streaming.stores import BucketStore, Marks, replay
 
 LO, HI = datetime(1997, 6, 1), datetime(1997, 9, 1)
 LO_S, HI_S = 865123200, 873072000
@@ -365,22 +366,6 @@ def s16_partition_drops(s, f):
     return rec.partition_drops(names)
 
 
-class _Table:
-    """A table that micro-batches replace: each version is a folder of its own."""
-
-    def __init__(self, s):
-        self.s, self.base, self.path, self.n = s, checkpoint_dir(s), None, 0
-
-    def load(self):
-        return self.s.read.parquet(self.path) if self.path else None
-
-    def save(self, df):
-        self.n += 1
-        path = f"{self.base}/v{self.n}"
-        df.write.parquet(path)
-        self.path = path
-
-
 def t1_stream_latest(s, f):
     path = checkpoint_dir(s)
     stream = s.readStream.schema(t.table(s, f, "lineitem").schema).parquet(f"{f}/lineite[m].parquet").select("l_orderkey", "l_linenumber", (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("version"))
@@ -401,29 +386,71 @@ def t1_stream_job_records(s, f):
 
 
 def t2_stream_statistics(s, f):
-    table = _Table(s)
-    stream = s.readStream.schema(t.table(s, f, "events").schema).parquet(f"{f}/event[s].parquet").selectExpr("CAST(user_id AS bigint) AS job_id", "event_type AS name", "CAST(value AS double) AS value")
-    streams.stream_statistics(stream, ["job_id", "name"], table.load, table.save, checkpoint_dir(s)).awaitTermination()
-    return table.load().select("job_id", "name", F.round(F.col("mean") + 1e-6, 3).alias("mean"), F.round("max", 3).alias("max"))
+    store = BucketStore(s, checkpoint_dir(s), ["job_id", "name"])
+    stream = s.readStream.schema(t.table(s, f, "events").schema).parquet(f"{f}/event[s].parquet")
+    stream = stream.selectExpr("CAST(user_id AS bigint) AS job_id", "event_type AS name", "CAST(value AS double) AS value")
+    streams.stream_statistics(stream, store, checkpoint_dir(s)).awaitTermination()
+    return store.load().select("job_id", "name", F.round(F.col("mean") + 1e-6, 3).alias("mean"), F.round("max", 3).alias("max"))
 
 
 def t2_stream_job_statistics(s, f):
+    """Samples in two drops, the second of which brings some jobs again; only their buckets are written anew."""
     from tallygrid.operators.samples import job_statistics
     from tallygrid.plans.underuses import job_samples, r3
 
-    drops, table = checkpoint_dir(s), _Table(s)
+    folder, mark, store = checkpoint_dir(s), checkpoint_dir(s), BucketStore(s, checkpoint_dir(s), ["job_db_id", "name"])
     samples, jobs = job_samples(s, f)
-    samples.write.parquet(drops)
-    stream = s.readStream.schema(samples.schema).parquet(drops)
-    streams.stream_statistics(stream, ["job_db_id", "name"], table.load, table.save, checkpoint_dir(s), statistics=lambda batch: job_statistics(batch, jobs)).awaitTermination()
-    return r3(table.load(), "mean", "std", "q05", "q25", "median", "q75", "max")
+    for k, part in enumerate((samples, samples.filter("job_db_id % 50 = 0"))):
+        part.write.parquet(f"{folder}/drop={k}")
+        stream = s.readStream.schema(samples.schema).parquet(f"{folder}/drop=*")
+        streams.stream_statistics(stream, store, mark, statistics=lambda batch: job_statistics(batch, jobs)).awaitTermination()
+    return r3(store.load(), "mean", "std", "q05", "q25", "median", "q75", "max")
+
+
+def _counted_orders(s, f):
+    """Orders as three drops in the order of time, then one of stragglers of the first years; returns the folder of the counts."""
+    folder, mark, out = (checkpoint_dir(s) for _ in range(3))
+    orders = t.table(s, f, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("submit_time"))
+    straggler = (F.col("o_orderkey") % 40 == 0) & (F.col("submit_time") < "1998-01-01")
+    year = F.year("submit_time")
+    for k, part in enumerate((year < 1997, (year >= 1997) & (year < 1999), year >= 1999, None)):
+        rows = orders.filter(straggler) if part is None else orders.filter(part & ~straggler)
+        rows.write.parquet(f"{folder}/drop={k}")
+        stream = s.readStream.schema(orders.schema).parquet(f"{folder}/drop=*")
+        streams.stream_counts(stream, "7 days", "30 days", out, mark).awaitTermination()
+    return out
 
 
 def t3_submitted_counts(s, f):
-    table = _Table(s)
-    stream = s.readStream.schema(t.table(s, f, "orders").schema).parquet(f"{f}/order[s].parquet").select(F.col("o_orderdate").cast("timestamp").alias("submit_time"))
-    streams.save_counts(streams.submitted_counts(stream, "7 days", "30 days"), table.save, checkpoint_dir(s)).awaitTermination()
-    return table.load()
+    """Windows that the watermark has closed; the stragglers leave them as they are."""
+    return s.read.parquet(f"{_counted_orders(s, f)}/counts").select("window_s", "n_jobs")
+
+
+def t3_late_submissions(s, f):
+    return s.read.parquet(f"{_counted_orders(s, f)}/late").select("o_orderkey", F.unix_timestamp("submit_time").alias("submit_s"))
+
+
+def s9_replay(s, f):
+    """Events in drops of ten days, counted by user in a bucketed store; the first run breaks at the third drop, the second takes it up again."""
+    folder, store = checkpoint_dir(s), BucketStore(s, checkpoint_dir(s), ["user_id", "drop"], buckets=8)
+    at = F.timestamp_seconds(F.floor(F.unix_timestamp("ts") / 864000) * 864000)
+    events = t.table(s, f, "events").select(F.col("user_id").cast("long").alias("user_id"), F.col("ts").cast("timestamp").alias("ts"))
+    events.withColumn("day", F.to_date("ts")).write.partitionBy("day").json(folder)
+    rows, marks, broken = s.read.schema("user_id long, ts timestamp, day date").json(folder), Marks(s, checkpoint_dir(s)), []
+
+    def step(drop, when):
+        if len(broken) == 2:
+            broken.append(when)
+            raise ConnectionError("the run breaks here")
+        broken.extend([when] if len(broken) < 2 else [])
+        counts = drop.groupBy("user_id").agg(F.count("*").alias("n")).withColumn("drop", F.lit(int(when.timestamp())))
+        store.write(counts, int(when.timestamp()))
+
+    try:
+        replay(rows, "events", marks, step, at)
+    except ConnectionError:
+        replay(rows, "events", marks, step, at)
+    return store.load().select("user_id", F.col("drop").cast("long").alias("drop_s"), "n")
 
 
 HOLDS = "(from_s IS NULL OR from_s <= submit_s) AND (to_s IS NULL OR submit_s < to_s)"
@@ -433,6 +460,10 @@ PERIODS = "periods AS (SELECT CAST(o_custkey AS BIGINT) AS person, CAST(o_orderk
 CHAIN = """
 r AS (SELECT CAST(c_custkey AS BIGINT) AS record_id, c_custkey % 3 AS rank, CASE WHEN c_custkey % 4 = 1 THEN c_custkey - 1 ELSE c_custkey END AS person_id,
              CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_name END AS name, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE 'p' || c_custkey || '@site.org' END AS email FROM customer)"""
+#: Orders by their week; those of the last drop are late, its weeks being closed long before.
+COUNTED = """
+WITH x AS (SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) AS at_s, o_orderkey % 40 = 0 AND o_orderdate < DATE '1998-01-01' AS late FROM orders),
+o AS (SELECT *, at_s // 604800 * 604800 AS w, max(at_s) OVER () - 30 * 86400 AS mark FROM x)"""
 JOB_STATISTICS_SQL = _UNDERUSE_SQL["a11_job_statistics"]
 #: Two lists of persons, who match by equal address first, then by the one name within a distance of 1 by letter counts.
 MATCHED = """
@@ -585,6 +616,7 @@ SELECT c AS cluster, g AS gpu, avg(v) AS billing, bool_and(abs(v - f) / f * 100
 SELECT source, own_id, CAST(CASE source WHEN 'directory' THEN 0 WHEN 'legacy' THEN 1 ELSE 2 END AS INTEGER) AS source_rank, CAST(CASE WHEN ids = '' THEN 0 ELSE len(string_split(ids, ',')) END AS INTEGER) AS n_ids, CAST(CASE WHEN accounts = '' THEN 0 ELSE len(string_split(accounts, ',')) END AS INTEGER) AS n_accounts
 FROM ({DIRECTORY} UNION ALL {LEGACY} UNION ALL {MANUAL})""",
     "s9_read_since": "SELECT event_id FROM events WHERE date_trunc('millisecond', ts) >= TIMESTAMP '2024-01-20 12:00:00'",
+    "s9_replay": "SELECT CAST(user_id AS BIGINT) AS user_id, CAST(epoch(ts) AS BIGINT) // 864000 * 864000 AS drop_s, count(*) AS n FROM events GROUP BY ALL",
     "s10_upsert_jobs": with_sql(JOBS_SQL, body="SELECT cluster_id, job_id, submit_s, CASE WHEN job_id % 3 = 0 THEN 'NEW' ELSE min(job_state) END AS job_state, CASE WHEN job_id % 3 = 0 THEN 2 ELSE 1 END AS scrape FROM jobs GROUP BY cluster_id, job_id, submit_s"),
     "s12_upsert_dimension": with_sql(WEIGHTS_SQL, body="SELECT name, CASE WHEN name IN ('a100', 'h100') THEN 9.0 ELSE rgu END::DOUBLE AS rgu, CASE WHEN name IN ('a100', 'h100') THEN 8.0 ELSE drac_rgu END::DOUBLE AS drac_rgu, CASE WHEN name IN ('a100', 'h100') THEN 2 ELSE 1 END AS v FROM weights"),
     "s16_partition_drops": "SELECT CASE WHEN o_orderkey % 50 = 0 THEN 'notes.txt' ELSE 'drop-' || strftime(o_orderdate, '%Y-%m-%d') || '.json' END AS name, " + ", ".join(f"CASE WHEN o_orderkey % 50 <> 0 THEN strftime(o_orderdate, '%{c}') END AS {n}" for n, c in (("year", "Y"), ("month", "m"), ("day", "d"))) + " FROM orders",
@@ -592,6 +624,7 @@ FROM ({DIRECTORY} UNION ALL {LEGACY} UNION ALL {MANUAL})""",
     "t1_stream_job_records": with_sql(JOBS_SQL, body="SELECT 'c' || cluster_id AS cluster, job_db_id AS job_id, submit_s, CASE WHEN cluster_id = 1 THEN 'late' ELSE 'main' END AS partition, CASE WHEN cluster_id = 1 THEN 2 ELSE 1 END AS drop FROM jobs WHERE job_db_id % 19 <> 0"),
     "t2_stream_job_statistics": JOB_STATISTICS_SQL,
     "t2_stream_statistics": "SELECT CAST(user_id AS BIGINT) AS job_id, event_type AS name, round(avg(value) + 1e-6, 3) AS mean, round(max(value), 3) AS max FROM events GROUP BY ALL",
-    "t3_submitted_counts": "SELECT CAST(epoch(o_orderdate) AS BIGINT) // 604800 * 604800 AS window_s, count(*) AS n_jobs FROM orders GROUP BY 1",
+    "t3_submitted_counts": f"{COUNTED} SELECT w AS window_s, count(*) AS n_jobs FROM o WHERE NOT late AND w + 604800 <= mark GROUP BY w",
+    "t3_late_submissions": f"{COUNTED} SELECT o_orderkey, at_s AS submit_s FROM o WHERE late",
 }
 QUERIES = {name: globals()[name] for name in SQL}
