@@ -32,6 +32,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäãåæçèéêëìíîïñòóôö
 #: Which letters a look-alike may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "*": "aeiou", "#": "h"}
 SEPARATORS = " .-_*~'"
+_BREAKS = frozenset(SEPARATORS)
 _A = len(LETTERS) + 1
 _NUMBER = {c: i + 1 for i, c in enumerate(LETTERS)}
 #: Letters with a mark, and the plain letter that each may stand for.
@@ -64,12 +65,13 @@ class _Folded(dict):
 
 
 _FOLDED = _Folded()
+_FOREIGN = re.compile(rf"[^\x00-\x7f{LETTERS}]+")
 
 
 def folded(text: str | None) -> str:
     """A text in lower case, without compatibility forms (full-width letters and the like), marks beyond the alphabet's and invisible characters."""
     text = text or ""
-    return text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).lower().translate(_FOLDED)
+    return text.lower() if text.isascii() else _FOREIGN.sub(lambda m: m[0].translate(_FOLDED), unicodedata.normalize("NFKC", text).lower())
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
@@ -186,14 +188,19 @@ class Decoder:
 
     ``words`` are looked for across neighbouring tokens: a walk over their letters, with the choices of the lattice, tells which
     runs of tokens may hold one, and the character model decides whether the spaces in such a run are dropped. A run does not begin with a word of its own (``common``: three letters or more).
+
+    With ``wanted`` features a token is searched for the likeliest path only if some path through its lattice begins a word with one of them; no other path could change what is found.
     """
 
-    def __init__(self, lm: np.ndarray | None, words: Iterable[str] = (), common: Iterable[str] = ()) -> None:
+    def __init__(self, lm: np.ndarray | None, words: Iterable[str] = (), common: Iterable[str] = (), wanted: Iterable[str] | None = None) -> None:
         self.lm = None if lm is None else lm.tolist()
         self.whole = frozenset(w for w in words if len(w) >= _JOINED)
         self.begun = frozenset(w[:n] for w in self.whole for n in range(1, len(w)))
         self.common = frozenset(common)
+        self.wanted = None if wanted is None else frozenset(f.removesuffix("$") for f in wanted)
+        self.leading = frozenset(f[:n] for f in self.wanted or () for n in range(1, len(f)))
         self.plain: dict[str, tuple[str, ...]] = {}
+        self.known: set[str] = set()
         self.starts: dict[str, frozenset[str]] = {}
 
     def __call__(self, token: str) -> tuple[str, ...]:
@@ -202,20 +209,40 @@ class Decoder:
         if found is None:
             if len(self.plain) > REMEMBERED:
                 self.plain.clear()
-                self.starts.clear()
-            found = self.plain[token] = self._words(token)
+            found = self.plain[token] = self.words(token)
         return found
 
-    def _words(self, token: str) -> tuple[str, ...]:
+    def words(self, token: str) -> tuple[str, ...]:
         if _ONE_PATH.fullmatch(token):
             return (token,)
         found = _WORDS.findall(token)
         core = _EDGES.sub("", token)
-        if self.lm is not None and not (len(found) == 1 and core == found[0] and _ONE_PATH.fullmatch(core)):
+        if self.lm is not None and not (len(found) == 1 and core == found[0] and _ONE_PATH.fullmatch(core)) and (self.wanted is None or self.may_hit(core)):
             cores = {core, core.rstrip("!|.,*")}
             found += [w for c in sorted(cores) if c for w in restore(c, self.lm).split()]
         return tuple(dict.fromkeys(found))
 
+    def may_hit(self, token: str) -> bool:
+        """Whether a path through the lattice of a token has a word that begins with a wanted feature."""
+        states: set[str | None] = {""}  # None: within a word that begins with none
+        before, breaks = "", not _BREAKS.isdisjoint(token)
+        for c in token:
+            ways, new = _ways(c, c == before), set()
+            for s in states:
+                for x, _ in ways:
+                    if x in ("", " "):
+                        new.add("" if x else s)
+                    elif s is not None and s + x in self.wanted:
+                        return True
+                    elif s is not None and s + x in self.leading:
+                        new.add(s + x)
+                    elif breaks:
+                        new.add(None)
+            if not new:
+                return False
+            states, before = new, c
+        return False
+
     def walk(self, states: Iterable[str], token: str) -> tuple[frozenset[str], bool]:
         """Where beginnings of words lead over a token's characters, and whether they pass a whole word."""
         before, hit, states = "", False, frozenset(states)
@@ -227,18 +254,25 @@ class Decoder:
                 break
         return states, hit
 
-    def _start(self, token: str) -> frozenset[str]:
-        found = self.starts.get(token)
-        if found is None:
-            found = self.starts[token] = frozenset() if token in self.common else self.walk(("",), token)[0] - {""}
-        return found
+    def start(self, token: str) -> frozenset[str]:
+        """Where a run that begins with this token leads; nowhere for most tokens."""
+        return frozenset() if token in self.common else self.walk(("",), token)[0] - {""}
 
     def joined(self, tokens: list[str]) -> Iterator[str]:
         """The words behind runs of neighbouring tokens that may hold a word across their spaces."""
         if not self.whole or self.lm is None:
             return
-        for i in range(len(tokens) - 1):
-            states, j = self._start(tokens[i]), i
+        distinct = set(tokens)
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+            self.starts.clear()
+        for token in distinct.difference(self.known):
+            if states := self.start(token):
+                self.starts[token] = states
+        self.known |= distinct
+        live = distinct.intersection(self.starts)
+        for i in [i for i, t in enumerate(tokens) if t in live] if live else ():
+            states, j = self.starts[tokens[i]], i
             while states and j + 1 < len(tokens):
                 j += 1
                 states, hit = self.walk(states, tokens[j])
@@ -258,13 +292,16 @@ class Scorer:
 
     def __init__(self, precision: dict[str, float], base: float, lm: np.ndarray, common: Iterable[str] = ()) -> None:
         self.precision, self.base, self.lm, self.common = precision, base, lm, tuple(common)
-        self.decoder = Decoder(lm, [f[:-1] for f in precision if f.endswith("$")], common)
+        self.decoder = Decoder(lm, [f[:-1] for f in precision if f.endswith("$")], common, precision)
+        self.heads = frozenset(f.removesuffix("$")[:3] for f in precision)
         self.seen: set[str] = set()
         self.hits: dict[str, tuple[str, ...]] = {}
 
     def _look(self, words: Iterable[str]) -> tuple[str, ...]:
         found = []
         for word in words:
+            if word[:3] not in self.heads:
+                continue
             own = [f for f in features(word) if f in self.precision]
             if own:
                 found.append(max(own, key=lambda f: (self.precision[f], len(f))))
@@ -277,9 +314,9 @@ class Scorer:
             self.seen.clear()
             self.hits.clear()
         for token in distinct.difference(self.seen):
-            own = self._look(self.decoder(token))
+            own = self._look(self.decoder.words(token))
             if not token.isascii() and (plain := token.translate(_PLAIN)) != token:  # marks may be a disguise as well
-                own += self._look(self.decoder(plain))
+                own += self._look(self.decoder.words(plain))
             if own:
                 self.hits[token] = own
         self.seen |= distinct

@@ -638,8 +638,20 @@ def test_op7_decoder_remembers_and_walks():
     lm = np.log(np.random.default_rng(8).dirichlet(np.full(toxicity._A, 0.3), (toxicity._A, toxicity._A)) + 1e-9).astype(np.float32)
     decoder = toxicity.Decoder(lm, ["stupid", "abc"], ["stup"])
     assert decoder.walk(("",), "5tu") == (frozenset({"stu"}), False) and decoder.walk(("stu",), "p1dity")[1]
-    assert decoder._start("stup") == frozenset() and decoder.whole == {"stupid"}
+    assert decoder.start("stup") == frozenset() and decoder.whole == {"stupid"}
     assert decoder("plain") == ("plain",) and "plain" in decoder.plain
+    pruned = toxicity.Decoder(lm, ["stupid"], [], ["stupid$", "idi"])
+    for token in ("5tupid", "x-1diocy", "(stuupid", "st.u.p.i.d"):
+        assert pruned.may_hit(token)
+    for token in ("plain", "stuupi", "tupid", "x1diocy", "aa-bb"):
+        assert not pruned.may_hit(token)
+
+
+def test_op7_pruned_search_finds_the_same(spark, scorer, corpus):
+    full = toxicity.Scorer(scorer.precision, scorer.base, scorer.lm, scorer.common)
+    full.decoder.wanted = None
+    for d in corpus:
+        assert scorer(d["text"]) == full(d["text"])
 
 
 def test_op7_spaced_letters(scorer):
