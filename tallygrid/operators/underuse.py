@@ -10,6 +10,7 @@ from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallygrid.functions.ranges import running_sum, with_total
 from tallygrid.functions.timeaxis import DAY, epoch, seconds
 from tallygrid.operators.jobseries import real, with_statistic, with_weights
 
@@ -100,10 +101,15 @@ def escalated(cycle_flags: DataFrame, cycles: int, run: int) -> DataFrame:
     return dense.withColumn("elevated", F.sum(F.col("flagged").cast("int")).over(ahead) == run)
 
 
+def marker(under: Column, flagged: Column, elevated: Column) -> Column:
+    """The marker of a user in a cycle: empty for a cycle without data yet (null), then not an underuser, underuser, flagged, elevated."""
+    return F.when(under.isNull(), "").when(~under, "✓").when(elevated, "!!⚑▲").when(flagged, "⚑▲").otherwise("▲")
+
+
 def cycle_markers(flags: DataFrame, future: int = 0) -> DataFrame:
-    """A marker per (user, cycle): empty for the ``future`` newest ones, then not an underuser, underuser, flagged, elevated."""
-    mark = F.when(F.col("cycle") < future, "").when(~F.col("isunderuser"), "✓").when(F.col("elevated"), "!!⚑▲").when(F.col("flagged"), "⚑▲").otherwise("▲")
-    return flags.withColumn("marker", mark)
+    """A :func:`marker` per (user, cycle); the ``future`` newest cycles have no data yet."""
+    under = F.when(F.col("cycle") >= future, F.col("isunderuser"))
+    return flags.withColumn("marker", marker(under, F.col("flagged"), F.col("elevated")))
 
 
 def period_rows(classified: DataFrame, anchor: date, weeks: int, cycles: int, run: int) -> DataFrame:
@@ -121,30 +127,37 @@ def refresh_periods(stored: DataFrame, fresh: DataFrame, known_clusters: Iterabl
     return stored.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh).filter(F.col("end_date") >= F.lit(oldest))
 
 
-def recurring_underusers(classified: DataFrame, active: int, cycles: int, run: int) -> DataFrame:
-    """Per cluster the users with waste in the ``active`` newest cycles: waste, share of the cluster, and whether each displayed cycle flags them."""
-    window = classified.filter(F.col("cycle") < active).groupBy("cluster_id", "user_id").agg(F.sum("wasted").alias("wasted"), F.sum(F.col("rgu_hours") * (1 - F.col("sm_occ_mean"))).alias("true_wasted")).filter("wasted > 0")
-    flags = escalated(classified, cycles, run)
-    wide = flags.groupBy("user_id").pivot("cycle", list(range(cycles))).agg(F.first("isunderuser")).withColumnsRenamed({str(i): f"c{i}" for i in range(cycles)})
-    share = F.col("wasted") / F.sum("wasted").over(Window.partitionBy("cluster_id"))
-    return window.join(wide, "user_id").withColumn("cluster_share", share)
+_PER_CYCLE = (("c", "isunderuser"), ("f", "flagged"), ("e", "elevated"))
 
 
-def recurring_from_periods(periods: DataFrame, anchor: date, weeks: int, cycles: int, active: int) -> DataFrame:
-    """:func:`recurring_underusers` from stored periods (:func:`period_rows`), over the ``cycles`` that end at ``anchor`` and before; flags of cycles newer than any stored one are null.
+def _wide_flags(flags: DataFrame, cycles: int) -> DataFrame:
+    """(user_id, c0 .., f0 .., e0 ..): whether the user is an underuser, is flagged and escalates in each cycle."""
+    return flags.groupBy("user_id").agg(*[F.coalesce(F.max(F.when(F.col("cycle") == i, F.col(c))), F.lit(False)).alias(f"{n}{i}") for n, c in _PER_CYCLE for i in range(cycles)])
+
 
-    Columns c0 (newest) on tell whether a cycle flags the user, e0 on whether it escalates.
+def recurring_underusers(classified: DataFrame, active: int, cycles: int, run: int, future: int = 0) -> DataFrame:
+    """Per cluster the users with waste in the ``active`` newest cycles: waste and share of the cluster, and for each displayed cycle (0 the newest) c: an underuser, f: flagged, e: escalates.
+
+    The ``future`` newest cycles have no data yet: their flags are null.
     """
+    window = classified.filter(F.col("cycle") < active).groupBy("cluster_id", "user_id").agg(F.sum("wasted").alias("wasted"), F.sum(F.col("rgu_hours") * (1 - F.col("sm_occ_mean"))).alias("true_wasted")).filter("wasted > 0")
+    wide = _wide_flags(escalated(classified, cycles, run), cycles)
+    known = [(F.col(f"{n}{i}") if i >= future else F.lit(None).cast("boolean")).alias(f"{n}{i}") for n, _ in _PER_CYCLE for i in range(cycles)]
+    out = with_total(window.join(wide, "user_id"), ["cluster_id"], "wasted", "all_wasted")
+    return out.select("cluster_id", "user_id", "wasted", "true_wasted", *known, (F.col("wasted") / F.col("all_wasted")).alias("cluster_share"))
+
+
+def recurring_from_periods(periods: DataFrame, anchor: date, weeks: int, cycles: int, active: int) -> DataFrame:
+    """:func:`recurring_underusers` from stored periods (:func:`period_rows`), over the ``cycles`` that end at ``anchor`` and before; flags of cycles newer than any stored one are null."""
     cycle = (F.datediff(F.lit(anchor), "end_date") / (7 * weeks)).cast("int")
     x = periods.withColumn("cycle", cycle).filter((F.col("cycle") >= 0) & (F.col("cycle") < cycles))
     newest = x.agg(F.min("cycle").alias("ahead"))  # one row
     window = x.filter(F.col("cycle") < active).groupBy("cluster_id", "user_id").agg(F.sum("unused_rguh").alias("wasted")).filter("wasted > 0")
-    flags = x.groupBy("user_id", "cycle").agg(F.max("isunderuser").alias("u"), F.max("elevated").alias("e"))
-    wide = flags.groupBy("user_id").agg(*[F.coalesce(F.max(F.when(F.col("cycle") == i, F.col(c))), F.lit(False)).alias(f"{n}{i}") for n, c in (("c", "u"), ("e", "e")) for i in range(cycles)])
-    share = F.col("wasted") / F.sum("wasted").over(Window.partitionBy("cluster_id"))
-    out = window.join(wide, "user_id").withColumn("cluster_share", share).crossJoin(F.broadcast(newest))  # the right side is one row
-    known = [F.when(F.col("ahead") <= i, F.col(f"{n}{i}")).alias(f"{n}{i}") for n in ("c", "e") for i in range(cycles)]
-    return out.select("cluster_id", "user_id", "wasted", "cluster_share", *known).orderBy("cluster_id", F.col("wasted").desc(), "user_id")
+    wide = _wide_flags(x.groupBy("user_id", "cycle").agg(*[F.max(c).alias(c) for _, c in _PER_CYCLE]), cycles)
+    out = with_total(window.join(wide, "user_id"), ["cluster_id"], "wasted", "all_wasted").crossJoin(F.broadcast(newest))  # the right side is one row
+    known = [F.when(F.col("ahead") <= i, F.col(f"{n}{i}")).alias(f"{n}{i}") for n, _ in _PER_CYCLE for i in range(cycles)]
+    share = (F.col("wasted") / F.col("all_wasted")).alias("cluster_share")
+    return out.select("cluster_id", "user_id", "wasted", share, *known).orderBy("cluster_id", F.col("wasted").desc(), "user_id")
 
 
 #: Hours in a week of one weighted GPU, and of the model that readers know (weight 4.8).
@@ -166,11 +179,11 @@ def percent(fraction: Column) -> Column:
 
 
 def cumulative_share_cut(rows: DataFrame, threshold: float, value: str = "wasted") -> DataFrame:
-    """Users of each cluster from the top until their cumulative share reaches ``threshold``; the one who crosses it stays."""
-    down = Window.partitionBy("cluster_id").orderBy(F.col(value).desc(), "user_id")
-    running = F.sum(value).over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(value)
-    total = F.sum(value).over(Window.partitionBy("cluster_id"))
-    return rows.withColumn("before", running).withColumn("total", total).filter((F.col("before") < threshold * F.col("total")) | (F.col("before") == 0)).drop("before", "total")
+    """Users of each cluster from the top until their cumulative share reaches ``threshold``; the one who crosses it stays. Sums run over ranges of a cluster's users, so no task holds a whole cluster."""
+    running = running_sum(rows, ["cluster_id"], [F.col(value).desc(), F.col("user_id")], value, "__upto")
+    both = with_total(running, ["cluster_id"], value, "__total")
+    before = F.col("__upto") - F.col(value)
+    return both.filter((before < threshold * F.col("__total")) | (before == 0)).select(*rows.columns)
 
 
 def top_and_bottom_jobs(rows: DataFrame, n: int) -> DataFrame:
@@ -205,12 +218,13 @@ def report_due(day: Column, weeks: int, offset: int = 0) -> Column:
 
 
 def recurring_table(rows: DataFrame, cycles: int, active: int, base_url: str) -> DataFrame:
-    """The export: cluster, user, link, waste, share, one marker column per cycle and an empty one after the active ones."""
-    mark = [F.when(F.col(f"c{i}"), "▲").otherwise("✓").alias(f"cycle_{i}") for i in range(cycles)]
+    """The export: cluster, user, link, waste, share, one :func:`marker` per cycle (empty where there is no data yet) and an empty column after the active ones."""
+    mark = [marker(*(F.col(f"{n}{i}") for n in "cfe")).alias(f"cycle_{i}") for i in range(cycles)]
     link = F.concat(F.lit(f"{base_url}?user="), F.url_encode(F.col("user_id").cast("string")))
-    return rows.select("cluster_id", "user_id", link.alias("link"), F.round("wasted", 2).alias("wasted"), F.round("cluster_share", 4).alias("share"), *mark[:active], F.lit("").alias("separator"), *mark[active:]).orderBy("cluster_id", F.col("wasted").desc(), "user_id")
+    known = ["cluster_id", "user_id", link.alias("link"), F.round("wasted", 2).alias("wasted"), F.round("cluster_share", 4).alias("share")]
+    return rows.select(*known, *mark[:active], F.lit("").alias("separator"), *mark[active:]).orderBy("cluster_id", F.col("wasted").desc(), "user_id")
 
 
 def export_recurring(table: DataFrame, path: str) -> None:
     """Write the export as CSV files with a header, in its order: file after file, however many there are."""
-    table.write.option("header", True).option("encoding", "UTF-8").csv(path)
+    table.write.option("header", True).option("encoding", "UTF-8").option("emptyValue", "").csv(path)

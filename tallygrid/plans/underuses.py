@@ -120,7 +120,8 @@ def s13_refresh_periods(s, f):
 
 
 def a21_recurring_underusers(s, f):
-    return r3(uu.recurring_underusers(_classified(s, f), TRAILING, CYCLES, RUN), "wasted", "true_wasted", "cluster_share")
+    """The newest of the displayed cycles has no data yet, so its flags are null."""
+    return r3(uu.recurring_underusers(_classified(s, f), TRAILING, CYCLES, RUN, future=1), "wasted", "true_wasted", "cluster_share")
 
 
 def a21_from_periods(s, f):
@@ -163,11 +164,13 @@ def l8_report_due(s, f):
 
 
 def s14_recurring_table(s, f):
-    """Written as CSV and read back."""
-    out = uu.recurring_table(uu.recurring_underusers(_classified(s, f), TRAILING, CYCLES, RUN), CYCLES, TRAILING, "https://usage.invalid/jobs")
+    """From the stored periods, with the cycle ahead of them displayed too; written as CSV and read back."""
+    periods = uu.period_rows(_classified(s, f), ANCHOR, WEEKS, CYCLES, RUN)
+    rows = uu.recurring_from_periods(periods, ANCHOR + timedelta(weeks=WEEKS), WEEKS, CYCLES, TRAILING)
+    out = uu.recurring_table(rows, CYCLES, TRAILING, "https://usage.invalid/jobs")
     path = f"{shared_folder(s)}/{uuid.uuid4().hex}"
     uu.export_recurring(out, path)
-    return s.read.schema(out.schema).option("header", True).csv(path).fillna("", ["separator"])
+    return s.read.schema(out.schema).option("header", True).csv(path).fillna("")
 
 
 def _usage_sql(where: str = f"end_s >= {START_S} AND end_s < {END_S}") -> str:
@@ -200,10 +203,21 @@ cls AS (
 grid AS (SELECT user_id, cycle FROM (SELECT DISTINCT user_id FROM cls) CROSS JOIN (SELECT unnest(range({CYCLES})) AS cycle)),
 flg AS (SELECT g.user_id, CAST(g.cycle AS INTEGER) AS cycle, coalesce(bool_or(flagged), false) AS flagged, coalesce(bool_or(isunderuser), false) AS isunderuser FROM grid g LEFT JOIN cls c ON c.user_id = g.user_id AND c.cycle = g.cycle GROUP BY ALL),
 esc AS (SELECT *, sum(CAST(flagged AS INTEGER)) OVER (PARTITION BY user_id ORDER BY cycle ROWS BETWEEN CURRENT ROW AND {RUN - 1} FOLLOWING) = {RUN} AS elevated FROM flg)"""
+FLAGS = (("c", "isunderuser"), ("f", "flagged"), ("e", "elevated"))
 REC = f"""
 rec0 AS (SELECT cluster_id, user_id, sum(wasted) AS wasted, sum(rgu_hours * (1 - sm_occ_mean)) AS true_wasted FROM cls WHERE cycle < {TRAILING} GROUP BY ALL HAVING sum(wasted) > 0),
-wide AS (SELECT user_id, {', '.join(f'bool_or(isunderuser) FILTER (WHERE cycle = {i}) AS c{i}' for i in range(CYCLES))} FROM esc GROUP BY 1),
-rec AS (SELECT r.user_id, r.cluster_id, r.wasted, r.true_wasted, {', '.join(f'c{i}' for i in range(CYCLES))}, r.wasted / sum(r.wasted) OVER (PARTITION BY r.cluster_id) AS cluster_share FROM rec0 r JOIN wide USING (user_id))"""
+wide AS (SELECT user_id, {', '.join(f'bool_or({c}) FILTER (WHERE cycle = {i} AND cycle >= 1) AS {n}{i}' for n, c in FLAGS for i in range(CYCLES))} FROM esc GROUP BY 1),
+rec AS (SELECT r.user_id, r.cluster_id, r.wasted, r.true_wasted, {', '.join(f'{n}{i}' for n, _ in FLAGS for i in range(CYCLES))}, r.wasted / sum(r.wasted) OVER (PARTITION BY r.cluster_id) AS cluster_share FROM rec0 r JOIN wide USING (user_id))"""
+#: The stored cycles seen a cycle later: the newest displayed one has no data yet.
+AHEAD = f"""
+sh AS (
+  SELECT c.user_id, c.cluster_id, c.wasted, c.isunderuser, c.flagged, c.cycle + 1 AS cycle, e.elevated
+  FROM cls c JOIN esc e ON e.user_id = c.user_id AND e.cycle = c.cycle WHERE c.cycle + 1 < {CYCLES}),
+win AS (SELECT cluster_id, user_id, sum(wasted) AS wasted FROM sh WHERE cycle < {TRAILING} GROUP BY ALL HAVING sum(wasted) > 0),
+fl AS (SELECT user_id, {', '.join(f"coalesce(bool_or({c}) FILTER (WHERE cycle = {i}), false) AS {n}{i}" for n, c in FLAGS for i in range(CYCLES))} FROM sh GROUP BY 1),
+ahead AS (
+  SELECT cluster_id, user_id, wasted, wasted / sum(wasted) OVER (PARTITION BY cluster_id) AS share,
+         {', '.join(f"CASE WHEN (SELECT min(cycle) FROM sh) <= {i} THEN {n}{i} END AS {n}{i}" for n, _ in FLAGS for i in range(CYCLES))} FROM win JOIN fl USING (user_id))"""
 BASE = (JOBS_SQL, STATS_SQL, WEIGHTS_SQL)
 CYCLE_BASE = (*BASE, _usage_sql("true"), CLASSIFIED)
 USED = (*BASE, _usage_sql(), USE.replace("{ceiling}", str(CEILING)))
@@ -241,12 +255,11 @@ SELECT job_id, name, CASE WHEN job_id % 5 = 0 THEN 2.0::DOUBLE ELSE round(max, 6
     "s13_refresh_periods": with_sql(*CYCLE_BASE, body=f"""
 SELECT c.user_id, c.cluster_id, strftime(DATE '{ANCHOR}' - CAST(c.cycle * {7 * WEEKS} AS INTEGER), '%Y-%m-%d') AS end_date, round(CASE WHEN c.cluster_id < 4 THEN rgu_hours ELSE -1 END + 1e-6, 3) AS rgu_hours, e.elevated
 FROM cls c JOIN esc e ON e.user_id = c.user_id AND e.cycle = c.cycle WHERE DATE '{ANCHOR}' - CAST(c.cycle * {7 * WEEKS} AS INTEGER) >= DATE '1998-01-01' AND (c.cluster_id < 4 OR c.user_id % 2 = 0)"""),
-    "a21_recurring_underusers": with_sql(*CYCLE_BASE, REC, body="SELECT user_id, cluster_id, round(wasted + 1e-6, 3) AS wasted, round(true_wasted + 1e-6, 3) AS true_wasted, " + ", ".join(f"c{i}" for i in range(CYCLES)) + ", round(cluster_share + 1e-6, 3) AS cluster_share FROM rec"),
-    "a21_from_periods": with_sql(*CYCLE_BASE, f"""
-sh AS (SELECT c.user_id, c.cluster_id, c.wasted, c.isunderuser, c.cycle + 1 AS cycle, e.elevated FROM cls c JOIN esc e ON e.user_id = c.user_id AND e.cycle = c.cycle WHERE c.cycle + 1 < {CYCLES}),
-win AS (SELECT cluster_id, user_id, sum(wasted) AS wasted FROM sh WHERE cycle < {TRAILING} GROUP BY ALL HAVING sum(wasted) > 0),
-fl AS (SELECT user_id, {', '.join(f"coalesce(bool_or({c}) FILTER (WHERE cycle = {i}), false) AS {n}{i}" for n, c in (("c", "isunderuser"), ("e", "elevated")) for i in range(CYCLES))} FROM sh GROUP BY 1)""",
-        body=f"SELECT cluster_id, user_id, round(wasted + 1e-6, 3) AS wasted, round(wasted / sum(wasted) OVER (PARTITION BY cluster_id) + 1e-6, 3) AS cluster_share, " + ", ".join(f"CASE WHEN (SELECT min(cycle) FROM sh) <= {i} THEN {n}{i} END AS {n}{i}" for n in ("c", "e") for i in range(CYCLES)) + " FROM win JOIN fl USING (user_id)"),
+    "a21_recurring_underusers": with_sql(*CYCLE_BASE, REC, body="SELECT user_id, cluster_id, round(wasted + 1e-6, 3) AS wasted, round(true_wasted + 1e-6, 3) AS true_wasted, " + ", ".join(f"{n}{i}" for n, _ in FLAGS for i in range(CYCLES)) + ", round(cluster_share + 1e-6, 3) AS cluster_share FROM rec"),
+    "a21_from_periods": with_sql(
+        *CYCLE_BASE, AHEAD,
+        body="SELECT cluster_id, user_id, round(wasted + 1e-6, 3) AS wasted, round(share + 1e-6, 3) AS cluster_share, " + ", ".join(f"{n}{i}" for n, _ in FLAGS for i in range(CYCLES)) + " FROM ahead",
+    ),
     "c20_units": with_sql(*USED, body="""
 SELECT user_id, cluster_id, printf('%.1f', h / 168) AS weeks, replace(format('{:,}', CAST(round_even(h * 1000 / 168, 0) AS BIGINT)), ',', ' ') AS whole, printf('%.1f', h / (4.8::DOUBLE * 24 * 7)) AS model_weeks, printf('%.1f', (round(user_ratio, 5) + 1e-7) * 100) || ' %' AS ratio
 FROM (SELECT *, round(rgu_hours * 10, 3) + 0.001 AS h FROM usage_of WHERE user_id IS NOT NULL)"""),
@@ -260,7 +273,13 @@ SELECT user_id, cluster_id, job_db_id, CAST(dense_rank() OVER (PARTITION BY user
 FROM (SELECT *, sum(waste) OVER (PARTITION BY user_id, cluster_id) AS s FROM tops WHERE worst <= 3)"""),
     "l7_recipients": with_sql(*USED, body="SELECT DISTINCT user_id FROM usage_of u WHERE user_rgu_hours >= 100 AND NOT EXISTS (SELECT 1 FROM usage_of v WHERE v.user_id = u.user_id AND v.user_ratio >= 0.45 AND v.user_wasted >= 500)"),
     "l8_report_due": "SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders WHERE (weekofyear(o_orderdate) - 1 + 52) % 4 = 0",
-    "s14_recurring_table": with_sql(*CYCLE_BASE, REC, body="SELECT cluster_id, user_id, 'https://usage.invalid/jobs?user=' || user_id AS link, round(wasted, 2) AS wasted, round(cluster_share, 4) AS share, '' AS separator, " + ", ".join(f"CASE WHEN c{i} THEN chr(9650) ELSE chr(10003) END AS cycle_{i}" for i in range(CYCLES)) + " FROM rec"),
+    "s14_recurring_table": with_sql(
+        *CYCLE_BASE, AHEAD,
+        body="SELECT cluster_id, user_id, 'https://usage.invalid/jobs?user=' || user_id AS link, round(wasted, 2) AS wasted, round(share, 4) AS share, '' AS separator, "
+        + ", ".join(
+            f"CASE WHEN c{i} IS NULL THEN '' WHEN NOT c{i} THEN chr(10003) WHEN e{i} THEN '!!' || chr(9873) || chr(9650) WHEN f{i} THEN chr(9873) || chr(9650) ELSE chr(9650) END AS cycle_{i}" for i in range(CYCLES)
+        ) + " FROM ahead",
+    ),
 }
 
 QUERIES = {name: globals()[name] for name in SQL}
