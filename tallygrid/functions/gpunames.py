@@ -53,12 +53,23 @@ def harmonize(jobs: DataFrame, names: dict[str, dict[str, str]], raw: str = "all
     return jobs.join(one, "job_db_id", "left")
 
 
-def infer_gpu_type(jobs: DataFrame, node_gpus: DataFrame, column: str = "inferred_gpu_type") -> DataFrame:
-    """GPU jobs: the one GPU type that the nodes have (node_gpus: job_db_id, node_to_gpu map), else the recorded type."""
-    found = jobs.filter(F.col("allocated_gres_gpu") > 0).join(node_gpus, "job_db_id", "left")
+def infer_gpu_type(
+    jobs: DataFrame, node_gpus: DataFrame, names: dict[str, dict[str, str]] | None = None, sample_labels: DataFrame | None = None, column: str = "inferred_gpu_type", harmonized: str = "gpu_name",
+) -> DataFrame:
+    """GPU jobs: the type that the job's samples name (``sample_labels``: job_db_id, gpu_type), else the one type that its nodes have (node_gpus: job_db_id, node_to_gpu map), else the recorded one.
+
+    With ``names`` the result is harmonized too (:func:`harmonize`), as column ``harmonized``. Jobs without GPUs keep their recorded type.
+    """
+    found = jobs.filter(F.col("allocated_gres_gpu").isNotNull()).join(node_gpus, "job_db_id", "left")
     kinds = F.array_distinct(F.flatten(F.transform("nodes", lambda n: F.coalesce(F.col("node_to_gpu")[n], F.array().cast("array<string>")))))
-    one = found.select("job_db_id", F.when(F.size(kinds) == 1, kinds[0]).alias("one"))
-    return jobs.join(one, "job_db_id", "left").withColumn(column, F.coalesce("one", "allocated_gpu_type")).drop("one")
+    one = found.select("job_db_id", F.when(F.size(kinds) == 1, kinds[0]).alias("__one"))
+    out = jobs.join(one, "job_db_id", "left")
+    label = F.lit(None).cast("string")
+    if sample_labels is not None:  # a job has one label; should its series differ, the least counts, so that reruns agree
+        said = sample_labels.filter("gpu_type IS NOT NULL").groupBy("job_db_id").agg(F.min("gpu_type").alias("__said"))
+        out, label = out.join(said, "job_db_id", "left"), F.when(F.col("allocated_gres_gpu").isNotNull(), F.col("__said"))
+    out = out.withColumn(column, F.coalesce(label, "__one", "allocated_gpu_type")).drop("__one", "__said")
+    return out if names is None else harmonize(out, names, column, harmonized)
 
 
 def slice_weights(spark: SparkSession, slices: dict[str, tuple[dict[int, float], dict[int, float]]] = SLICES) -> DataFrame:

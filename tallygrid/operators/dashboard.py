@@ -27,15 +27,24 @@ def job_counts(jobs: DataFrame, axis: Axis, submitted: bool = False) -> DataFram
     return _dense(axis, each.groupBy("bucket").agg(F.count("*").alias("n_jobs")), ["n_jobs"])
 
 
+#: The metrics whose means accompany every usage report.
+TRENDS = ("gpu_sm_occupancy", "gpu_utilization")
+
+
 def rgu_usage(jobs: DataFrame, stats: DataFrame, weights: DataFrame, axis: Axis, metric: str = "gpu_sm_occupancy", minimum: float = 0.0) -> DataFrame:
-    """Weighted GPU hours per bucket: allocated, used (x mean), unmeasured (no mean), wasted (below ``minimum``), and plain averages of the metric's mean and max."""
-    runs = with_statistic(gpu_jobs(jobs).filter(ran_between(axis.begin, axis.finish)), stats, metric, ("mean", "max"))
+    """Weighted GPU hours per bucket: allocated, used (x mean), unmeasured (no mean), wasted (below ``minimum``), and for each of ``TRENDS``, whatever ``metric`` is, the plain average over jobs of its mean, as <name>_mean.
+
+    The statistics of all metrics come from one aggregate and one join.
+    """
+    means = pivot_statistics(stats, dict.fromkeys((metric, *TRENDS)), ("mean",))
+    runs = gpu_jobs(jobs).filter(ran_between(axis.begin, axis.finish)).join(means, "job_db_id", "left")
     each = span_to_buckets(with_weights(runs, F.broadcast(weights)), axis)
-    mean, top = F.col(f"{metric}_mean"), F.col(f"{metric}_max")
+    mean = F.col(f"{metric}_mean")
     hours = F.col("allocated_gres_gpu") * F.col("rgu") * F.col("overlap_h")
+    trends = [F.avg(F.when(real(F.col(f"{name}_mean")), F.col(f"{name}_mean"))).alias(f"{name}_mean") for name in TRENDS]
     found = each.groupBy("bucket").agg(
         F.sum(hours).alias("allocated"), F.sum(F.when(real(mean), hours * mean)).alias("used"), F.sum(F.when(~F.coalesce(real(mean), F.lit(False)), hours)).alias("unmeasured"),
-        F.sum(F.when(real(mean) & (mean < minimum), hours * (minimum - mean))).alias("wasted"), F.avg(F.when(real(mean), mean)).alias("avg_mean"), F.avg(F.when(real(top), top)).alias("avg_max"),
+        F.sum(F.when(real(mean) & (mean < minimum), hours * (minimum - mean))).alias("wasted"), *trends,
     )
     return _dense(axis, found, ["allocated", "used", "unmeasured", "wasted"])
 

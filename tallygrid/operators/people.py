@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -14,9 +14,11 @@ def _holds(at: Column, lo: str = "valid_from", hi: str = "valid_to") -> Column:
     return (F.col(lo).isNull() | (F.col(lo) <= at)) & (F.col(hi).isNull() | (at < F.col(hi)))
 
 
-def _meets(lo: datetime, hi: datetime) -> Column:
+def _meets(lo: datetime | None, hi: datetime | None) -> Column:
+    """Whether the period of validity meets [lo, hi); a bound that is missing is open."""
     f, t = seconds(F.col("valid_from")), seconds(F.col("valid_to"))
-    return (F.col("valid_from").isNull() | (f < epoch(hi))) & (F.col("valid_to").isNull() | (t > epoch(lo)))
+    begun = F.lit(True) if hi is None else F.col("valid_from").isNull() | (f < epoch(hi))
+    return begun if lo is None else begun & (F.col("valid_to").isNull() | (t > epoch(lo)))
 
 
 def owners_asof(jobs: DataFrame, credentials: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -70,8 +72,17 @@ def values_in_range(dated: DataFrame, lo: datetime, hi: datetime) -> DataFrame:
     return dated.filter(_meets(lo, hi))
 
 
-def find_users(users: DataFrame, types: DataFrame | None = None, supervisors: DataFrame | None = None, *, name: str | None = None, email: str | None = None, member_type: str | None = None, supervisor: int | None = None, lo: datetime | None = None, hi: datetime | None = None) -> DataFrame:
-    """Users whose name contains ``name`` (any case), with that email, that member type or that supervisor during [lo, hi)."""
+def find_users(
+    users: DataFrame, types: DataFrame | None = None, supervisors: DataFrame | None = None, *, name: str | None = None, email: str | None = None,
+    member_type: str | None = None, supervisor: int | None = None, lo: datetime | None = None, hi: datetime | None = None, now: datetime | None = None,
+) -> DataFrame:
+    """Users whose name contains ``name`` (any case), with that email, that member type or that supervisor during [lo, hi).
+
+    Without both bounds the range is the microsecond from ``now`` (default: the clock) on; with one of them the other is open.
+    """
+    if lo is None and hi is None:
+        lo = now or datetime.now(timezone.utc)
+        hi = lo + timedelta(microseconds=1)
     out = users
     if name is not None:
         out = out.filter(F.contains(F.lower("display_name"), F.lit(name.lower())))

@@ -15,8 +15,8 @@ from tallygrid.functions.timeaxis import DAY, epoch, seconds
 from tallygrid.operators.jobseries import real, with_statistic, with_weights
 
 
-def usage_rows(jobs: DataFrame, stats: DataFrame, weights: DataFrame, start: datetime | None = None, end: datetime | None = None, cluster_ids: Iterable[int] | None = None) -> DataFrame:
-    """Jobs that ended in [start, end) with a GPU type, a weight and a real occupancy; adds end_s, cost and waste."""
+def usage_rows(jobs: DataFrame, stats: DataFrame, weights: DataFrame, start: datetime | None = None, end: datetime | None = None, cluster_ids: Iterable[int] | None = None, where: Column | None = None) -> DataFrame:
+    """Jobs that ended in [start, end) with a GPU type, a weight and a real occupancy, and meet ``where`` if given; adds end_s, cost and waste."""
     e = seconds(F.col("end_time"))
     out = jobs.filter(F.col("end_time").isNotNull() & F.col("allocated_gpu_type").isNotNull())
     if start is not None:
@@ -25,6 +25,8 @@ def usage_rows(jobs: DataFrame, stats: DataFrame, weights: DataFrame, start: dat
         out = out.filter(e < epoch(end))
     if cluster_ids:
         out = out.filter(F.col("cluster_id").isin(list(cluster_ids)))
+    if where is not None:
+        out = out.filter(where)
     out = with_statistic(with_weights(out, F.broadcast(weights)), stats, "gpu_sm_occupancy")
     cost = F.col("elapsed_time") * F.col("allocated_gres_gpu") * F.col("drac_rgu")
     out = out.withColumn("end_s", e).withColumn("cost", cost).withColumn("waste", (1 - F.col("gpu_sm_occupancy_mean")) * cost)
@@ -48,13 +50,14 @@ def _sums(ceiling: float) -> list[Column]:
     ]
 
 
-def user_usage(rows: DataFrame, ceiling: float = 1.0, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
-    """Hours, truly used and credited hours per user and cluster, with the user's totals over clusters beside; waste is hours minus credited hours."""
+def user_usage(rows: DataFrame, ceiling: float = 1.0, keys: tuple[str, ...] = ("user_id",), keep: Column | None = None) -> DataFrame:
+    """Hours, truly used and credited hours per user and cluster, with the user's totals over clusters beside (user_...); waste is hours minus credited hours. ``keep`` is a condition on them that users must meet."""
     by_cluster = rows.groupBy(*keys, "cluster_id").agg(*_sums(ceiling)).withColumn("wasted", F.col("rgu_hours") - F.col("used"))
     own = Window.partitionBy(*keys)
     total = {c: F.sum(c).over(own) for c in ("rgu_hours", "used", "wasted")}
     out = by_cluster.select("*", *[x.alias(f"user_{c}") for c, x in total.items()])
-    return out.withColumn("user_ratio", F.when(F.col("user_rgu_hours") > 0, F.col("user_wasted") / F.col("user_rgu_hours")).otherwise(F.lit(0.0)))
+    out = out.withColumn("user_ratio", F.when(F.col("user_rgu_hours") > 0, F.col("user_wasted") / F.col("user_rgu_hours")).otherwise(F.lit(0.0)))
+    return out if keep is None else out.filter(keep)
 
 
 def active_users(rows: DataFrame, floor: float) -> DataFrame:

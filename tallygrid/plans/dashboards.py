@@ -41,6 +41,16 @@ OCC = "occ AS (SELECT * FROM stats WHERE name = 'gpu_sm_occupancy')"
 REAL = "(o.mean IS NOT NULL AND NOT isnan(o.mean))"
 
 
+def _usage_sql(metric: str) -> str:
+    means = ", ".join(f"max(mean) FILTER (WHERE name = '{n}' AND NOT isnan(mean)) AS {a}" for n, a in ((metric, "mean"), ("gpu_sm_occupancy", "occupancy"), ("gpu_utilization", "utilization")))
+    return with_sql(JOBS_SQL, STATS_SQL, WEIGHTS_SQL, SPANS, GPU, WEEK_EDGES, CUT, f"m AS (SELECT job_id, {means} FROM stats GROUP BY 1)", body="""
+SELECT e.blo AS bucket_s, round(coalesce(sum(x), 0), 4) AS allocated, round(coalesce(sum(x * mean), 0), 4) AS used, round(coalesce(sum(x) FILTER (WHERE mean IS NULL), 0), 4) AS unmeasured,
+       round(coalesce(sum(x * (0.5 - mean)) FILTER (WHERE mean < 0.5), 0), 4) AS wasted, round(avg(occupancy), 4) AS gpu_sm_occupancy_mean, round(avg(utilization), 4) AS gpu_utilization_mean
+FROM edges e LEFT JOIN (SELECT c.b, c.allocated_gres_gpu * c.rgu * c.h AS x, m.* FROM cut c LEFT JOIN m ON m.job_id = c.job_db_id) q ON q.b = e.b
+GROUP BY e.blo""")
+
+
+
 def _u(s, f):
     return t.jobs(s, f), t.statistics(s, f), t.weights(s)
 
@@ -59,7 +69,13 @@ def a1_submitted_per_ten_days(s, f):
 
 def a2_rgu_usage_weekly(s, f):
     out = d.rgu_usage(*_u(s, f), WEEKS, minimum=0.5).withColumn("bucket_s", F.col("bucket_s").cast("long"))
-    return r4(out, "allocated", "used", "unmeasured", "wasted", "avg_mean", "avg_max")
+    return r4(out, "allocated", "used", "unmeasured", "wasted", "gpu_sm_occupancy_mean", "gpu_utilization_mean")
+
+
+def a2_memory_use_weekly(s, f):
+    """By another metric; the two trends stay beside it."""
+    out = d.rgu_usage(*_u(s, f), WEEKS, metric="gpu_memory", minimum=0.5).withColumn("bucket_s", F.col("bucket_s").cast("long"))
+    return r4(out, "allocated", "used", "unmeasured", "wasted", "gpu_sm_occupancy_mean", "gpu_utilization_mean")
 
 
 def a3_rgu_by_cluster(s, f):
@@ -219,11 +235,8 @@ SQL = {
     "a1_running_per_week": with_sql(JOBS_SQL, SPANS, WEEK_EDGES, body="SELECT bucket_s, n_jobs FROM (" + RUNNING + ")"),
     "a1_running_per_month": with_sql(JOBS_SQL, SPANS, MONTH_EDGES, body="SELECT bucket_s, n_jobs FROM (" + RUNNING + ")"),
     "a1_submitted_per_ten_days": with_sql(JOBS_SQL, TEN_EDGES, body="SELECT blo AS bucket_s, count(j.job_db_id) AS n_jobs FROM edges LEFT JOIN jobs j ON submit_s >= blo AND submit_s < bhi GROUP BY ALL"),
-    "a2_rgu_usage_weekly": with_sql(JOBS_SQL, STATS_SQL, WEIGHTS_SQL, SPANS, GPU, WEEK_EDGES, CUT, OCC, body=f"""
-SELECT e.blo AS bucket_s, round(coalesce(sum(x), 0), 4) AS allocated, round(coalesce(sum(x * mean) FILTER (WHERE ok), 0), 4) AS used, round(coalesce(sum(x) FILTER (WHERE NOT ok), 0), 4) AS unmeasured,
-       round(coalesce(sum(x * (0.5 - mean)) FILTER (WHERE ok AND mean < 0.5), 0), 4) AS wasted, round(avg(mean) FILTER (WHERE ok), 4) AS avg_mean, round(avg(max), 4) AS avg_max
-FROM edges e LEFT JOIN (SELECT c.b, c.allocated_gres_gpu * c.rgu * c.h AS x, o.mean, o.max, coalesce({REAL}, false) AS ok FROM cut c LEFT JOIN occ o ON o.job_id = c.job_db_id) q ON q.b = e.b
-GROUP BY e.blo"""),
+    "a2_rgu_usage_weekly": _usage_sql("gpu_sm_occupancy"),
+    "a2_memory_use_weekly": _usage_sql("gpu_memory"),
     "a3_rgu_by_cluster": with_sql(JOBS_SQL, WEIGHTS_SQL, SPANS, GPU, WEEK_EDGES, CUT, TOTAL, body="""
 SELECT e.blo AS bucket_s, t.cluster_id, round(coalesce(sum(c.allocated_gres_gpu * c.rgu * c.h), 0) + 1e-6, 4) AS rgu_hours, round(any_value(t.total) + 1e-6, 4) AS total
 FROM edges e CROSS JOIN tot t LEFT JOIN cut c ON c.b = e.b AND c.cluster_id = t.cluster_id GROUP BY ALL"""),

@@ -61,9 +61,16 @@ def j7_billing_asof(s, f):
     return p.asof(t.jobs(s, f), "start_time", _maps(s, f), "cluster_id", False).select("job_db_id", "version")
 
 
+def _node_gpus(s, f):
+    kind = lambda n: F.element_at(F.array(F.lit("gpu:A100"), F.lit("V100")), F.pmod(F.ascii(F.right(n, F.lit(1))), F.lit(2)) + 1)
+    entries = F.transform(F.array_distinct("nodes"), lambda n: F.struct(n, F.array(kind(n))))
+    return t.jobs(s, f).filter("job_db_id % 4 <> 0").select("job_db_id", F.map_from_entries(entries).alias("node_to_gpu"))
+
+
 def j10_infer_gpu_type(s, f):
-    maps = t.jobs(s, f).filter("job_db_id % 4 <> 0").select("job_db_id", F.map_from_entries(F.transform(F.array_distinct("nodes"), lambda n: F.struct(n, F.array(F.concat(F.lit("gpu"), F.pmod(F.ascii(F.right(n, F.lit(1))), F.lit(2)).cast("string")))))).alias("node_to_gpu"))
-    return g.infer_gpu_type(t.jobs(s, f), maps).filter("allocated_gres_gpu > 0").select("job_db_id", "inferred_gpu_type")
+    """Node maps of three jobs in four, sample labels of one in five; the result harmonized by the nodes' names."""
+    labels = t.jobs(s, f).filter("job_db_id % 5 = 0").select("job_db_id", F.expr("IF(job_db_id % 2 = 0, 'H100', 'unheard of')").alias("gpu_type"))
+    return g.infer_gpu_type(t.jobs(s, f), _node_gpus(s, f), NAMES, labels).filter("allocated_gres_gpu > 0").select("job_db_id", "inferred_gpu_type", "gpu_name")
 
 
 def _records(s, f):
@@ -244,6 +251,16 @@ def s2_expand_hostlist(s, f):
     return hosts.select("o_orderkey", F.array_join(rec.expand_hostlist(F.col("h")), " ").alias("nodes"))
 
 
+def s2_many_brackets(s, f):
+    """Names with two and three brackets, alone and in lists."""
+    k = F.col("o_orderkey")
+    rack = F.concat(F.lit("r["), (k % 3).cast("string"), F.lit("-"), (k % 3 + 1).cast("string"), F.lit("]n["))
+    two = F.concat(rack, F.lpad((k % 90).cast("string"), 3, "0"), F.lit(","), (k % 7 + 200).cast("string"), F.lit("-"), (k % 7 + 201).cast("string"), F.lit("]"))
+    three = F.concat(F.lit(",x[1,3]y[a,b]z["), (k % 9 + 8).cast("string"), F.lit("-"), (k % 9 + 10).cast("string"), F.lit("]-ib,login"))
+    nodes = rec.expand_hostlist(F.when(k % 2 == 0, F.concat(two, three)).otherwise(two))
+    return t.table(s, f, "orders").select("o_orderkey", F.array_join(nodes, " ").alias("nodes"))
+
+
 def s3_read_metric_series(s, f):
     x = t.samples(s, f)
     one = x.groupBy("job_id", "metric", F.col("labels")["instance"].alias("i")).agg(F.array_sort(F.collect_list(F.struct("sample_pos", "ts_s", "value"))).alias("v"))
@@ -529,9 +546,17 @@ SQL = {
 SELECT person_id, record_id, arg_min(name, rank * 10000000 + record_id) FILTER (WHERE name IS NOT NULL) OVER p AS name, arg_min(email, rank * 10000000 + record_id) FILTER (WHERE email IS NOT NULL) OVER p AS email, count(*) OVER p > 1 AS conflict,
        bool_or(name IS NOT NULL) OVER p AND bool_or(email IS NOT NULL) OVER p AS valid
 FROM r WINDOW p AS (PARTITION BY person_id)"""),
-    "j10_infer_gpu_type": with_sql(JOBS_SQL, body="""
-, k AS (SELECT job_db_id, count(DISTINCT ascii(right(n, 1)) % 2) AS kinds, any_value(ascii(right(n, 1)) % 2) AS kind FROM (SELECT job_db_id, unnest(nodes) AS n FROM jobs WHERE job_db_id % 4 <> 0) GROUP BY 1)
-SELECT job_db_id, CASE WHEN kinds = 1 THEN 'gpu' || kind ELSE allocated_gpu_type END AS inferred_gpu_type FROM jobs LEFT JOIN k USING (job_db_id) WHERE allocated_gres_gpu > 0""").replace(")\n, k AS", "),\nk AS"),
+    "j10_infer_gpu_type": with_sql(JOBS_SQL, """
+k AS (SELECT job_db_id, count(DISTINCT ascii(right(n, 1)) % 2) AS kinds, any_value(ascii(right(n, 1)) % 2) AS kind FROM (SELECT job_db_id, unnest(nodes) AS n FROM jobs WHERE job_db_id % 4 <> 0) GROUP BY 1),
+i AS (
+  SELECT job_db_id, nodes, CASE WHEN job_db_id % 10 = 0 THEN 'H100' WHEN job_db_id % 5 = 0 THEN 'unheard of' WHEN kinds = 1 THEN ['gpu:A100', 'V100'][kind + 1] ELSE allocated_gpu_type END AS inferred_gpu_type
+  FROM jobs LEFT JOIN k USING (job_db_id) WHERE allocated_gres_gpu > 0),
+e AS (SELECT job_db_id, unnest(CASE WHEN len(nodes) > 0 THEN nodes ELSE [''] END) AS n, replace(regexp_replace(lower(inferred_gpu_type), '^gpu:', ''), ' ', '-') AS raw FROM i WHERE inferred_gpu_type IS NOT NULL),
+v AS (
+  SELECT job_db_id, CASE raw WHEN 'v100' THEN CASE WHEN n = 'n1' THEN 'volta-32' ELSE 'volta' END WHEN 'a100' THEN CASE WHEN n = 'n2' THEN 'hopper' ELSE 'ampere' END
+                         WHEN 'h100' THEN 'hopper' WHEN 'rtx-8000' THEN 'turing' END AS name FROM e),
+o AS (SELECT job_db_id, CASE WHEN count(DISTINCT name) = 1 THEN max(name) END AS gpu_name FROM v GROUP BY 1)""",
+        body="SELECT job_db_id, inferred_gpu_type, gpu_name FROM i LEFT JOIN o USING (job_db_id)"),
     "j11_update_ids": """
 WITH st AS (SELECT CAST(c_custkey AS BIGINT) AS person_id, unnest(['a', 'b']) AS source, unnest(['a', 'b']) || c_custkey AS id FROM customer),
 fr AS (SELECT CAST(c_custkey AS BIGINT) AS person_id, CASE WHEN c_custkey % 2 = 0 THEN 'a' ELSE 'c' END AS source, 'a' || (c_custkey + c_custkey % 4) AS id FROM customer WHERE c_custkey % 3 = 0)
@@ -597,6 +622,14 @@ SELECT 'c' || cluster_id AS cluster, job_db_id AS job_id, job_db_id % 5 AS task_
        job_db_id % 1000 AS priority, allocated_cpu, coalesce(allocated_gres_gpu, 0) AS allocated_gres_gpu, 'a100' AS allocated_gpu_type, true AS "STARTED_ON_SUBMIT", false AS "CLEAR_SCHEDULING"
 FROM jobs WHERE job_db_id % 19 <> 0"""),
     "s2_expand_hostlist": "SELECT o_orderkey, " + " || ' ' || ".join(f"'a' || lpad(CAST(o_orderkey % 9 + {i} AS VARCHAR), 2, '0') || '-ib'" for i in range(4)) + " || ' a77-ib b' || o_orderkey % 5 AS nodes FROM orders",
+    "s2_many_brackets": """
+WITH k AS (SELECT o_orderkey AS k FROM orders),
+two AS (SELECT k, 'r' || r || 'n' || n AS name FROM (SELECT k, unnest([k % 3, k % 3 + 1]) AS r FROM k) JOIN (SELECT k, unnest([lpad((k % 90)::VARCHAR, 3, '0'), (k % 7 + 200)::VARCHAR, (k % 7 + 201)::VARCHAR]) AS n FROM k) USING (k)),
+three AS (
+  SELECT k, 'x' || x || 'y' || y || 'z' || z || '-ib' AS name
+  FROM (SELECT k, unnest(range(k % 9 + 8, k % 9 + 11)) AS z FROM k WHERE k % 2 = 0) CROSS JOIN (VALUES ('1'), ('3')) AS a(x) CROSS JOIN (VALUES ('a'), ('b')) AS b(y)
+  UNION ALL SELECT k, 'login' FROM k WHERE k % 2 = 0)
+SELECT k AS o_orderkey, string_agg(name, ' ' ORDER BY name) AS nodes FROM (SELECT DISTINCT * FROM (SELECT * FROM two UNION ALL SELECT * FROM three)) GROUP BY k""",
     "s3_read_metric_series": with_sql(t.SAMPLES_SQL, body="SELECT job_id, metric, round(ts_s, 3) AS ts_s, round(value, 6) AS value FROM samples WHERE NOT isnan(value) AND value < 1e14"),
     "s4_read_allocations": "SELECT CAST(c_custkey % 5 AS BIGINT) AS cluster_id, 'res, one' AS resource_name, CASE WHEN c_custkey % 4 = 0 THEN 'g, ' || c_custkey ELSE 'g' || c_custkey END AS group_name, CAST(c_custkey AS BIGINT) AS cpu_year, CAST(NULL AS BIGINT) AS gpu_year, CAST(c_custkey % 50 * 1000000000000 AS BIGINT) AS project_size, CAST(5000000 AS BIGINT) AS project_inodes, '2022-04-01' AS start FROM customer WHERE c_custkey % 6 <> 5 AND c_custkey % 7 <> 0",
     "s5_read_disk_reports": "SELECT c_custkey // 500 % 4 AS cluster, 'p' || c_custkey // 500 AS group_name, 'u' || c_custkey AS \"user\", c_custkey % 1000 AS nbr_files, CAST((c_custkey % 13 + 0.5) * 1073741824 AS BIGINT) AS size FROM customer",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import datetime
 from functools import reduce
 
@@ -26,20 +26,26 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def expand_hostlist(nodes: Column) -> Column:
-    """``cn-[001-003,7]x,gpu1`` as a sorted array of names; the zeros of a range's first number set the width. One bracket per name."""
-    parts = F.regexp_extract_all(nodes, F.lit(r"[^,\[\]]+(?:\[[^\]]*\])?[^,\[\]]*|\[[^\]]*\][^,\[\]]*"), F.lit(0))
+    """``r[1-2]n[001-003,7],gpu1`` as a sorted array of names without repeats; a name may have any number of brackets, and the first number of a range sets the width with its zeros."""
+    names = F.regexp_extract_all(nodes, F.lit(r"(?:[^,\[\]]|\[[^\]]*\])+"), F.lit(0))
 
-    def one(part: Column) -> Column:
-        before, body, after = (F.regexp_extract(part, r"^([^\[]*)\[([^\]]*)\](.*)$", i) for i in (1, 2, 3))
+    def numbers(r: Column) -> Column:
+        a, b = F.split_part(r, F.lit("-"), F.lit(1)), F.split_part(r, F.lit("-"), F.lit(2))
+        whole = lambda x: F.try_to_number(x, F.lit("9999999999")).cast("bigint")
+        padded = lambda n: F.lpad(n.cast("string"), F.greatest(F.char_length(a), F.char_length(n.cast("string"))), F.lit("0"))
+        return F.when(F.contains(r, F.lit("-")), F.transform(F.sequence(whole(a), whole(b)), padded)).otherwise(F.array(r))
 
-        def numbers(r: Column) -> Column:
-            a, b = F.split_part(r, F.lit("-"), F.lit(1)), F.split_part(r, F.lit("-"), F.lit(2))
-            many = F.transform(F.sequence(F.try_to_number(a, F.lit("9999999999")).cast("bigint"), F.try_to_number(b, F.lit("9999999999")).cast("bigint")), lambda n: F.lpad(n.cast("string"), F.greatest(F.char_length(a), F.char_length(n.cast("string"))), F.lit("0")))
-            return F.when(F.contains(r, F.lit("-")), many).otherwise(F.array(r))
+    def choices(part: Column) -> Column:
+        body = F.regexp_extract(part, r"^\[([^\]]*)\]$", 1)
+        return F.when(F.startswith(part, F.lit("[")), F.flatten(F.transform(F.split(body, ","), numbers))).otherwise(F.array(part))
 
-        return F.when(F.contains(part, F.lit("[")), F.transform(F.flatten(F.transform(F.split(body, ","), numbers)), lambda n: F.concat(before, n, after))).otherwise(F.array(part))
+    def one(name: Column) -> Column:
+        """Each part multiplies the names so far by its choices."""
+        parts = F.regexp_extract_all(name, F.lit(r"\[[^\]]*\]|[^\[\]]+"), F.lit(0))
+        return F.aggregate(parts, F.array(F.lit("")).cast("array<string>"), lambda found, part: F.flatten(F.transform(found, lambda x: F.transform(choices(part), lambda y: F.concat(x, y)))))
 
-    return F.when(nodes.isNull() | nodes.isin("", "None assigned"), F.array().cast("array<string>")).otherwise(F.array_sort(F.flatten(F.transform(parts, one))))
+    none = F.array().cast("array<string>")
+    return F.when(nodes.isNull() | nodes.isin("", "None assigned"), none).otherwise(F.array_sort(F.array_distinct(F.flatten(F.transform(names, one)))))
 
 
 def _unwrap(x: Column) -> Column:
@@ -70,10 +76,10 @@ def read_job_records(raw: DataFrame, *extra: str) -> DataFrame:
     ``NEWEST_MAJOR`` is an error.
     """
     doc = F.from_json(F.substring(F.col("text"), F.locate("{", "text"), F.char_length("text")), RECORD_SCHEMA)
-    each = raw.select("cluster", *extra, doc.alias("d"))
-    major = F.coalesce(F.col("d.meta")["Slurm"], F.col("d.meta")["slurm"])["version"]["major"].try_cast("int")
+    each = raw.select("cluster", *extra, F.inline(F.array(doc)))  # each document is parsed once
+    major = F.coalesce(F.col("meta")["Slurm"], F.col("meta")["slurm"])["version"]["major"].try_cast("int")
     checked = F.when(major > NEWEST_MAJOR, F.raise_error(F.concat(F.lit("unsupported scheduler version "), major.cast("string"))).cast("array<string>").isNull()).otherwise(F.lit(True))
-    rows = each.filter(checked).select("cluster", *extra, F.explode("d.jobs").alias("j")).filter("j.group IS NOT NULL")
+    rows = each.filter(checked).select("cluster", *extra, F.explode("jobs").alias("j")).filter("j.group IS NOT NULL")
     j = lambda x: F.col(f"j.{x}")
     limit, code = _unwrap(j("time.limit")), j("exit_code.return_code")
     state = F.when(F.startswith(j("state.current"), F.lit("[")), F.get_json_object(j("state.current"), "$[0]")).otherwise(j("state.current"))
@@ -212,7 +218,7 @@ def read_directory(raw: DataFrame, open_accounts: DataFrame, at: datetime, domai
     e = raw.select(F.explode(F.from_json("text", fields)).alias("e")).select(*[F.get(f"e.{c}", F.lit(0)).alias(c) for c in ("displayName", "mail", "posixUid", "suspended")])
     held = open_accounts.select(F.col("username").alias("__u")).distinct()
     both = e.join(held, F.col("posixUid") == F.col("__u"), "left")
-    active, now, email = F.col("suspended") != "true", F.lit(at), F.lower("mail")
+    active, now, email = F.coalesce(F.col("suspended"), F.lit("false")) != "true", F.lit(at), F.lower("mail")
     kept = both.filter(active | F.col("__u").isNotNull())
     account = _account(domain, F.col("posixUid"), now, F.when(~active, now))
     return kept.select(F.lit(source).alias("source"), email.alias("own_id"), F.col("displayName").alias("name"), email.alias("email"), F.array().cast(_IDS).alias("ids"), F.array(account).cast(_ACCOUNTS).alias("accounts"))
@@ -243,10 +249,11 @@ def read_manual_pairs(raw: DataFrame, source: str = "manual") -> DataFrame:
 USER_READERS: dict[str, Callable[..., DataFrame]] = {"directory": read_directory, "legacy": read_legacy_dump, "manual": read_manual_pairs}
 
 
-def read_users(sources: list[tuple[str, DataFrame, dict]]) -> DataFrame:
-    """All sources (reader, raw, options) as common records, with the source's rank in the given order: the first that has a value wins (:func:`tallygrid.operators.people.resolve_identities`)."""
+def read_users(sources: list[tuple[str, DataFrame, dict]], patches: Sequence[Callable[[DataFrame], DataFrame]] = ()) -> DataFrame:
+    """All sources (reader, raw, options) as common records, with the source's rank in the given order: the first that has a value wins (:func:`tallygrid.operators.people.resolve_identities`). ``patches`` change the
+    records one after the other before they are matched."""
     parts = [USER_READERS[name](raw, **options).withColumn("source_rank", F.lit(rank)) for rank, (name, raw, options) in enumerate(sources)]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.transform, patches, reduce(DataFrame.unionByName, parts))
 
 
 def read_since(spark: SparkSession, path: str, mark: datetime, schema: str) -> DataFrame:

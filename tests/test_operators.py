@@ -70,7 +70,7 @@ def test_views_agree_and_nan_is_unmeasured(spark, weights):
     stats = spark.createDataFrame([(0, "gpu_sm_occupancy", 0.5, *[0.1] * 6), (1, "gpu_sm_occupancy", math.nan, *[0.1] * 6), (2, "gpu_sm_occupancy", None, *[0.1] * 6)], STAT)
     axis = ta.Axis(LO, HI, ta.parse_period("28d"))
     u = d.rgu_usage(jobs, stats, weights, axis, minimum=0.7).first()
-    assert (u["allocated"], u["used"], u["unmeasured"], u["wasted"]) == (400, 50, 300, pytest.approx(20)) and u["avg_mean"] == 0.5
+    assert (u["allocated"], u["used"], u["unmeasured"], u["wasted"]) == (400, 50, 300, pytest.approx(20)) and u["gpu_sm_occupancy_mean"] == 0.5 and u["gpu_utilization_mean"] is None
     users = {x["login"]: x for x in d.rgu_by_user(jobs, stats, weights, LO, HI).collect()}
     assert sum(x["requested"] for x in users.values()) == 400 and sum(x["unmeasured"] for x in users.values()) == 300
     assert d.metric_distribution(jobs, stats, weights, LO, HI, "gpu_sm_occupancy").collect()[0]["rgu_seconds"] == 360_000
