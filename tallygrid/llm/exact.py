@@ -23,17 +23,22 @@ def _cell(key: Column) -> Column:
     return key.bitwiseAND(F.lit((1 << MAP_BITS) - 1))
 
 
+def key_map(keys: DataFrame) -> DataFrame:
+    """(word, bits): a bit map of keys (key long); a key's bit is its last ``MAP_BITS`` bits. Its size is bounded, so it may be broadcast."""
+    cells = keys.select(_cell(F.col("key")).alias("cell"))
+    return cells.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(cell & 63 AS int))")).alias("bits"))
+
+
 def repeated_map(keys: DataFrame) -> DataFrame:
-    """(word, bits): a bit map of the keys (key long, n) that are found more than once; a key's bit is its last ``MAP_BITS`` bits.
+    """The :func:`key_map` of the keys (key long, n) that are found more than once.
 
-    Its size is bounded, so it may be broadcast. Keys that share a bit with a repeated one count as repeated: that costs a hash more and changes no result.
+    Keys that share a bit with a repeated one count as repeated: that costs a hash more and changes no result.
     """
-    repeated = keys.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select(_cell(F.col("key")).alias("cell"))
-    return repeated.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(cell & 63 AS int))")).alias("bits"))
+    return key_map(keys.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1"))
 
 
 def maybe_repeated(rows: DataFrame, key: Column, found: DataFrame, column: str) -> DataFrame:
-    """``rows`` with ``column``: false if ``key`` is surely found once only."""
+    """``rows`` with ``column``: false if ``key`` is surely not in the map ``found``."""
     bits = F.broadcast(found.select(F.col("word").alias("__word"), F.col("bits").alias("__bits")))
     both = rows.withColumn("__cell", _cell(key)).join(bits, F.shiftright("__cell", 6) == F.col("__word"), "left")
     return both.withColumn(column, F.coalesce(F.getbit("__bits", F.col("__cell").bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))).drop("__cell", "__word", "__bits")

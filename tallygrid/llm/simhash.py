@@ -10,11 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallygrid.llm.components import components
+from tallygrid.llm.exact import key_map, maybe_repeated
 from tallygrid.llm.shared import reach_workers, read_table, written
 
 SEED = 42
 #: Shingle hashes whose bits are counted at once.
 CHUNK = 1 << 15
+#: Links of one text that are checked in one task, about.
+CHECKED = 500
 #: Longs of a wide fingerprint (1024 bits), fingerprints of samples per text, and leaders that every member of a cell meets first.
 WIDE, SAMPLES, LEADERS = 16, 6, 2
 
@@ -134,12 +137,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
 
 
 def wide_radius(similarity: float, bits: int = 64 * WIDE) -> int:
-    """Differing bits up to which texts link: nine in ten pairs whose shingle sets overlap by just ``similarity`` are within it.
+    """Differing bits up to which texts are candidates: 98 % of the pairs whose shingle sets overlap by just ``similarity`` are within it.
 
     Sets of overlap s are vectors at an angle of about acos(2s / (1 + s)), of which a bit tells by its share of a half turn.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * share + 1.3 * math.sqrt(bits * share * (1 - share)))
+    return math.floor(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
 
 
 _WIDE_COLUMNS, _SAMPLE_COLUMNS = [f"w{k}" for k in range(WIDE)], [f"s{k}" for k in range(SAMPLES)]
@@ -178,26 +181,76 @@ def _sketch(text: bytes, width: int, wide: np.ndarray, sampling: np.ndarray) ->
     return out
 
 
+def _row_key() -> Column:
+    """Names a text to be read again: a hash of id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, node, w0.., s0..): wide fingerprints and those of samples (:func:`_sketch`); node is a hash of the wide one."""
+    """(doc_id, row, node, w0.., s0..): wide fingerprints and those of samples (:func:`_sketch`); node is a hash of the wide one, row names the text."""
     names = [*_WIDE_COLUMNS, *_SAMPLE_COLUMNS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide, sampling = _factors()
         for batch in batches:
-            rows = np.array([_sketch(t.as_py() or b"", width, wide, sampling) for t in batch.column(1).cast(pa.binary())], np.uint64).reshape(-1, len(names)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(len(names)))], names=["doc_id", *names])
+            rows = np.array([_sketch(t.as_py() or b"", width, wide, sampling) for t in batch.column(2).cast(pa.binary())], np.uint64).reshape(-1, len(names)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(len(names)))], names=["doc_id", "row", *names])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("row"), "text")
+    found = texts.mapInArrow(run, f"doc_id long, row long, {', '.join(f'{x} long' for x in names)}")
+    return found.select("doc_id", "row", F.xxhash64(*_WIDE_COLUMNS).alias("node"), *names)
+
+
+def shingle_sets(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
+    """(node, shingles: sorted distinct hashes as bytes) of the texts that ``keys`` (node, row) name. Other texts are passed over in the scan by a bit map of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.fromiter(_shingles(t.as_py() or b"", width), np.uint64)).tobytes() for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["row", "shingles"])
+
+    keys = keys.withColumnRenamed("row", "__row")
+    wanted = maybe_repeated(docs.select("doc_id", "text"), _row_key(), key_map(keys.select(F.col("__row").alias("key"))), "__wanted").filter("__wanted")
+    each = wanted.select(_row_key().alias("row"), "text").mapInArrow(run, "row long, shingles binary").groupBy("row").agg(F.first("shingles").alias("shingles"))
+    return each.join(keys, F.col("row") == F.col("__row")).select("node", "shingles")
+
+
+def overlapping(pairs: DataFrame, docs: DataFrame, keys: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (u, v) of nodes whose shingle sets overlap by ``similarity`` or more: hashes of 64 bits are counted one by one, nothing is estimated.
+
+    Sets meet their pairs by two joins. A node with many pairs is dealt over as many copies of its set as it has ``CHECKED`` pairs, so its pairs do not meet in one task.
+    """
+    pairs = written(pairs.distinct(), "pairs")
+    nodes = written(pairs.select(F.col("u").alias("__k")).unionByName(pairs.select(F.col("v").alias("__k"))).groupBy("__k").agg(F.ceil(F.count("*") / CHECKED).cast("int").alias("copies")), "checked")
+    named = keys.join(nodes, F.col("node") == F.col("__k"))
+    sets = written(shingle_sets(docs, named.select("node", "row"), width).join(nodes, F.col("node") == F.col("__k")).select("node", "shingles", "copies"), "sets")
+
+    def with_set(df: DataFrame, side: str, other: str) -> DataFrame:
+        held = sets.select(F.col("node").alias(f"__n{side}"), F.col("shingles").alias(f"set_{side}"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias(f"__c{side}"))
+        many = nodes.filter("copies > 1").select(F.col("__k").alias(f"__m{side}"), F.col("copies").alias(f"__of{side}"))
+        dealt = df.join(many, F.col(side) == F.col(f"__m{side}"), "left").withColumn(f"__p{side}", F.pmod(F.xxhash64(other), F.coalesce(f"__of{side}", F.lit(1))).cast("int"))
+        return dealt.join(held, (F.col(side) == F.col(f"__n{side}")) & (F.col(f"__p{side}") == F.col(f"__c{side}"))).select(*df.columns, f"set_{side}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            kept = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["u", "v"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {', '.join(f'{x} long' for x in names)}")
-    return found.select("doc_id", F.xxhash64(*_WIDE_COLUMNS).alias("node"), *names)
+    return with_set(with_set(pairs, "v", "u"), "u", "v").select("u", "v", "set_u", "set_v").mapInArrow(run, "u long, v long")
 
 
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """A row per document (doc_id, text): doc_id, component_id, the smallest doc_id that links of about ``similarity`` reach.
+    """A row per document (doc_id, text): doc_id, component_id, the smallest doc_id that links reach; texts link if their shingle sets overlap by ``similarity`` or more.
 
     64 bits cannot tell an overlap of 0.8: such texts differ in 10 of them, as far as no grid can ask. So a text has a wide
-    fingerprint, which decides (:func:`wide_radius`), and fingerprints of a few samples of its shingles, which texts of that overlap share in one of
-    ``SAMPLES`` with probability 0.98. Samples stand in the grid of segment counts at Manhattan distance 0; who meets in a cell is compared exactly.
+    fingerprint, which tells candidates (:func:`wide_radius`), and fingerprints of a few samples of its shingles, which texts of that overlap share in one of
+    ``SAMPLES`` with probability 0.98. Samples stand in the grid of segment counts at Manhattan distance 0; who meets in a cell is compared by wide
+    fingerprints, and a link is kept after an exact check of both shingle sets (:func:`overlapping`).
 
     Equal wide fingerprints are one node. All members of a cell meet its ``LEADERS`` first; then, in cells that still hold several
     components, the members outside the largest meet all others of another one. So pairs within a group of copies are not made, and
@@ -206,7 +259,8 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
     reach_workers(docs.sparkSession)
     radius = wide_radius(similarity)
     each = written(sketches(docs, width), "sketches")
-    nodes = written(each.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.min(c).alias(c) for c in (*_WIDE_COLUMNS, *_SAMPLE_COLUMNS)]), "distinct")
+    nodes = written(each.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), *[F.min(c).alias(c) for c in (*_WIDE_COLUMNS, *_SAMPLE_COLUMNS)]), "distinct")
+    texts = nodes.select("node", "row")
     cells = nodes.select("node", F.inline(F.array(*[F.struct(F.lit(k).alias("sample"), _counts(F.col(c)).alias("cell")) for k, c in enumerate(_SAMPLE_COLUMNS)])))
     keys, turn = ["sample", "cell"], [F.xxhash64("node", F.lit(k)) for k in range(LEADERS)]
     shared = written(cells.groupBy(*keys).agg(F.count("*").alias("n"), *[F.min(x).alias(f"turn{k}") for k, x in enumerate(turn)]).filter("n > 1").drop("n"), "cells")
@@ -219,16 +273,19 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
         differing = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in _WIDE_COLUMNS[1:]), F.bit_count(F.col(f"{a}.w0").bitwiseXOR(F.col(f"{b}.w0"))))
         return (F.col(f"{a}.sample") == F.col(f"{b}.sample")) & (F.col(f"{a}.cell") == F.col(f"{b}.cell")) & (differing <= radius)
 
+    ends = [F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")]
     a, b = members.alias("a"), members.filter("leads").alias("b")
-    links = a.join(b, near("a", "b") & (F.col("a.node") != F.col("b.node"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    links = overlapping(a.join(b, near("a", "b") & (F.col("a.node") != F.col("b.node"))).select(*ends), docs, texts, width, similarity)
     nodes = _merged(nodes.select("node", "first", F.col("node").alias("root")), links)
     rooted = members.drop("leads").join(nodes.select(F.col("node").alias("__n"), "root"), F.col("node") == F.col("__n")).drop("__n")
     held = rooted.groupBy(*keys, "root").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.count("*").alias("roots"), F.max(F.struct("n", "root"))["root"].alias("main"))
     mixed = written(held.filter("roots > 1").drop("roots"), "mixed")
     rest = written(rooted.join(mixed, keys), "rest")
     a, b = rest.filter("root <> main").alias("a"), rest.alias("b")
-    links = a.join(b, near("a", "b") & (F.col("a.root") != F.col("b.root"))).select(F.col("a.root").alias("u"), F.col("b.root").alias("v")).distinct()
-    return _named(each.select("doc_id", "node"), _merged(nodes, links), "node").select("doc_id", "component_id")
+    links = overlapping(a.join(b, near("a", "b") & (F.col("a.root") != F.col("b.root"))).select(*ends), docs, texts, width, similarity)
+    for end in ("u", "v"):
+        links = links.join(nodes.select(F.col("node").alias("__n"), F.col("root").alias("__r")), F.col(end) == F.col("__n")).withColumn(end, F.col("__r")).drop("__n", "__r")
+    return _named(each.select("doc_id", "node"), _merged(nodes, links.distinct()), "node").select("doc_id", "component_id")
 
 
 def op5_simhash_components(spark, sf_dir: str) -> DataFrame:

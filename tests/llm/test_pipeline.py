@@ -31,7 +31,7 @@ def test_stages_keep_what_they_should(spark, tmp_path):
     near = [(i, j) for i, j in combinations(before, 2) if overlap(sets[i], sets[j]) >= corpus_pipeline.SIMILARITY]
     assert near and sum(group[i] == group[j] for i, j in near) >= 0.9 * len(near)
     for i in before.keys() - kept:  # only what a near copy stands for goes
-        assert max(overlap(sets[i], sets[j]) for j in before if j != i and group[j] == group[i]) >= 0.7
+        assert max(overlap(sets[i], sets[j]) for j in before if j != i and group[j] == group[i]) >= 0.8
     mixed = rows(inputs["packing"])
     got = rows(packing.pack(inputs["packing"], WORDS, 1))
     check_pieces(got, [(r["doc_id"], r["text"]) for r in mixed], packing.WINDOW)
