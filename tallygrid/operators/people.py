@@ -253,50 +253,74 @@ def supervisor_levels(persons: DataFrame, supervisors: DataFrame) -> DataFrame:
     return last if out is None else out.unionByName(last)
 
 
-_ACCENTS = ("áàâäãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-_ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789 -'."
+#: Letters that count as another one.
+_FOLDED_LETTERS = ("éèëêçîï", "eeeecii")
 
 
-def letter_counts(name: Column) -> Column:
-    """Counts of each letter of a name, lower-cased and without accents."""
-    plain = F.translate(F.lower(name), *_ACCENTS)
-    return F.array(*[F.char_length(plain) - F.char_length(F.replace(plain, F.lit(c), F.lit(""))) for c in _ALPHABET])
+def letters(name: Column) -> Column:
+    """The characters of a name in lower case, sorted, repeats included: a sparse count of each, whatever its script."""
+    return F.array_sort(F.regexp_extract_all(F.translate(F.lower(name), *_FOLDED_LETTERS), F.lit("(?s)."), F.lit(0)))
 
 
-def near_vectors(left: DataFrame, right: DataFrame, threshold: int) -> DataFrame:
-    """(c, d, distance) of the vectors ``left`` (c) and ``right`` (d), each distinct, whose absolute differences sum to ``threshold`` or less.
+def letter_distance(a: Column, b: Column) -> Column:
+    """By how much the counts of all characters of two sorted lists differ in sum: repeats are numbered, so lists become sets."""
+    def numbered(x: Column) -> Column:
+        return F.transform(x, lambda c, i: F.concat(c, (i - F.array_position(x, c)).cast("string")))
 
-    Over one of threshold / 2 + 1 blocks of letters such vectors differ by 1 at most. A grid has a cell per block and counts in it; every right
-    vector stands in its own cell, every left one asks its own and those with one count higher or lower. The distance is a condition of the join.
+    return F.size(F.array_except(numbered(a), numbered(b))) + F.size(F.array_except(numbered(b), numbered(a)))
+
+
+def near_letters(left: DataFrame, right: DataFrame, threshold: int) -> DataFrame:
+    """(c, d, distance) of the letter lists ``left`` (c) and ``right`` (d), each distinct, whose counts differ by ``threshold`` or less in sum.
+
+    Characters are dealt into threshold / 2 + 1 blocks by hash, so no alphabet is fixed. In one of the blocks such lists differ by one character at most: they are equal there, or one of them is the other with a
+    character left out. A grid has a cell per block and letters in it; every list stands in its own cell and in those with one character left out, and lists meet where at most one of them has left any out.
+    The distance is a condition of the join.
     """
     n = threshold // 2 + 1
 
-    def cells(counts: str, moved: bool) -> Column:
+    def cells(x: str) -> Column:
         def of(k: int) -> Column:
-            own = F.filter(counts, lambda x, i: i % n == k)
-            letters = F.sequence(F.lit(0), F.size(own) - 1)
-            near = F.flatten(F.transform(F.array(F.lit(-1), F.lit(1)), lambda step: F.transform(letters, lambda j: F.transform(own, lambda x, i: x + F.when(i == j, step).otherwise(0)))))
-            return F.transform(F.concat(F.array(own), near) if moved else F.array(own), lambda cell: F.struct(F.lit(k).alias("block"), cell.alias("cell")))
+            own = F.filter(x, lambda c: F.pmod(F.xxhash64(c), F.lit(n)) == k)
+            less = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(own)), lambda i: F.array_join(F.concat(F.slice(own, F.lit(1), i - 1), F.slice(own, i + 1, F.size(own))), "")))
+            less = F.when(F.size(own) > 0, less).otherwise(F.array().cast("array<string>"))
+            cell = lambda text, out: F.struct(F.lit(k).alias("block"), text.alias("cell"), F.lit(out).alias("out"))
+            return F.concat(F.array(cell(F.array_join(own, ""), 0)), F.transform(less, lambda text: cell(text, 1)))
 
         return F.inline(F.concat(*[of(k) for k in range(n)]))
 
-    a, b = left.select("c", cells("c", True)), right.select("d", cells("d", False))
-    distance = F.aggregate(F.zip_with("c", "d", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    met = a.join(b, (a["block"] == b["block"]) & (a["cell"] == b["cell"]) & (distance <= threshold))
-    return met.select("c", "d").distinct().withColumn("distance", distance)
+    a, b = left.select("c", cells("c")).alias("a"), right.select("d", cells("d")).alias("b")
+    same = (F.col("a.block") == F.col("b.block")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.out") + F.col("b.out") < 2)
+    met = a.join(b, same & (letter_distance(F.col("c"), F.col("d")) <= threshold))
+    return met.select("c", "d").distinct().withColumn("distance", letter_distance(F.col("c"), F.col("d")))
+
+
+def nearest_names(left: DataFrame, right: DataFrame, threshold: int, nearest: int = 10) -> DataFrame:
+    """(id, other, distance, rank): for each person of ``left`` (id, name) the ``nearest`` persons of ``right`` within ``threshold`` by letter counts; ties go by name, then id.
+
+    Names of equal letters are one list before any join, with their first ``nearest`` persons; names that are null take no part.
+    """
+    known = lambda df, c: df.filter("name IS NOT NULL").withColumn(c, letters(F.col("name")))
+    first = Window.partitionBy("d").orderBy("name", "id")
+    r = known(right, "d").withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= nearest).select("d", "name", F.col("id").alias("other"))
+    l = known(left, "c").select("id", "c")
+    near = near_letters(l.select("c").distinct(), r.select("d").distinct(), threshold).join(r, "d")
+    order = Window.partitionBy("c").orderBy("distance", "name", "other")
+    ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= nearest)
+    return l.join(ranked, "c").select("id", "other", "distance", "rank")
 
 
 def match_names(left: DataFrame, right: DataFrame, threshold: int, nearest: int = 10) -> DataFrame:
-    """Persons (id, name, email) of two lists: equal email first; of the rest those with exactly one name within ``threshold`` by letter counts among the ten nearest.
+    """Persons (id, name, email) of two lists: equal email first; of the rest those with exactly one name within ``threshold`` by letter counts among the ``nearest``.
 
-    Names of equal letter counts are one vector before any join (see :func:`near_vectors`), with the number of its persons and the least id, so no pair of persons is made.
+    Names of equal letters are one list before any join (see :func:`near_letters`), with the number of its persons and the least id, so no pair of persons is made.
     """
     by_email = right.filter("email <> ''").groupBy(F.lower("email").alias("e")).agg(F.min("id").alias("other"))
     e = left.filter("email <> ''").join(by_email, F.lower("email") == F.col("e")).groupBy("id").agg(F.min("other").alias("other")).withColumn("by", F.lit("email"))
-    l = left.join(e.select("id"), "id", "left_anti").filter("name IS NOT NULL").select("id", letter_counts(F.col("name")).alias("c"))
-    r = right.join(e.select(F.col("other").alias("id")), "id", "left_anti").filter("name IS NOT NULL").select("id", letter_counts(F.col("name")).alias("d"))
+    l = left.join(e.select("id"), "id", "left_anti").filter("name IS NOT NULL").select("id", letters(F.col("name")).alias("c"))
+    r = right.join(e.select(F.col("other").alias("id")), "id", "left_anti").filter("name IS NOT NULL").select("id", letters(F.col("name")).alias("d"))
     r = r.groupBy("d").agg(F.count("*").alias("k"), F.min("id").alias("other"))
-    near = near_vectors(l.select("c").distinct(), r.select("d"), threshold).join(r, "d").groupBy("c").agg(F.sum("k").alias("k"), F.min(F.struct("distance", "other")).alias("first"))
+    near = near_letters(l.select("c").distinct(), r.select("d"), threshold).join(r, "d").groupBy("c").agg(F.sum("k").alias("k"), F.min(F.struct("distance", "other")).alias("first"))
     one = l.join(near.filter(F.least("k", F.lit(nearest)) == 1), "c").groupBy("id").agg(F.count("*").alias("rows"), F.min("first.other").alias("other")).filter("rows = 1")
     return e.unionByName(one.select("id", "other", F.lit("name").alias("by")))
 

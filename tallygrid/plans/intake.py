@@ -121,11 +121,19 @@ def j13_supervisor_levels(s, f):
 
 
 def _two_lists(s, f):
-    left = t.table(s, f, "customer").selectExpr("CAST(c_custkey AS bigint) AS id", "IF(c_custkey % 3 = 0, concat('Éric ', c_name), c_name) AS name", "IF(c_custkey % 4 = 0, concat('a', c_custkey, '@x'), '') AS email")
-    right = t.table(s, f, "supplier").selectExpr("CAST(s_suppkey AS bigint) AS id", "replace(s_name, 'Supplier', 'Customer') AS name", "IF(s_suppkey % 8 = 0, concat('A', s_suppkey, '@X'), '') AS email")
+    """Names in four scripts."""
+    words = "element_at(array('Клиент', '顧客', 'Πελάτης', 'Customer', 'Customer'), CAST({k} % 5 + 1 AS int))"
+    left = t.table(s, f, "customer").selectExpr(
+        "CAST(c_custkey AS bigint) AS id", f"concat(IF(c_custkey % 3 = 0, 'Éric ', ''), replace(c_name, 'Customer', {words.format(k='c_custkey')})) AS name", "IF(c_custkey % 4 = 0, concat('a', c_custkey, '@x'), '') AS email")
+    right = t.table(s, f, "supplier").selectExpr(
+        "CAST(s_suppkey AS bigint) AS id", f"replace(s_name, 'Supplier', {words.format(k='s_suppkey')}) AS name", "IF(s_suppkey % 8 = 0, concat('A', s_suppkey, '@X'), '') AS email")
     return left, right
 
 
+def j14_nearest_names(s, f):
+    return p.nearest_names(*_two_lists(s, f), threshold=2, nearest=4)
+
+
 def j14_match_names(s, f):
     return p.match_names(*_two_lists(s, f), threshold=1)
 
@@ -483,14 +491,21 @@ WITH x AS (SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) AS at_s, o_orde
 o AS (SELECT *, at_s // 604800 * 604800 AS w, max(at_s) OVER () - 30 * 86400 AS mark FROM x)"""
 JOB_STATISTICS_SQL = _UNDERUSE_SQL["a11_job_statistics"]
 #: Two lists of persons, who match by equal address first, then by the one name within a distance of 1 by letter counts.
-MATCHED = """
-WITH l AS (SELECT CAST(c_custkey AS BIGINT) AS id, CASE WHEN c_custkey % 3 = 0 THEN 'Éric ' || c_name ELSE c_name END AS name, CASE WHEN c_custkey % 4 = 0 THEN 'a' || c_custkey || '@x' ELSE '' END AS email FROM customer),
-r AS (SELECT CAST(s_suppkey AS BIGINT) AS id, replace(s_name, 'Supplier', 'Customer') AS name, CASE WHEN s_suppkey % 8 = 0 THEN 'a' || s_suppkey || '@x' ELSE '' END AS email FROM supplier),
+_WORD = "['Клиент', '顧客', 'Πελάτης', 'Customer', 'Customer'][{k} % 5 + 1]"
+_BAG = "(SELECT id, list(c || '#' || n) AS v FROM (SELECT id, c, row_number() OVER (PARTITION BY id, c) AS n FROM (SELECT id, unnest(string_split(translate(lower(name), 'éèëêçîï', 'eeeecii'), '')) AS c FROM {t})) GROUP BY id)"
+BAGS = f"""
+WITH l AS (
+  SELECT CAST(c_custkey AS BIGINT) AS id, CASE WHEN c_custkey % 3 = 0 THEN 'Éric ' ELSE '' END || replace(c_name, 'Customer', {_WORD.format(k='c_custkey')}) AS name,
+         CASE WHEN c_custkey % 4 = 0 THEN 'a' || c_custkey || '@x' ELSE '' END AS email FROM customer),
+r AS (
+  SELECT CAST(s_suppkey AS BIGINT) AS id, replace(s_name, 'Supplier', {_WORD.format(k='s_suppkey')}) AS name,
+         CASE WHEN s_suppkey % 8 = 0 THEN 'a' || s_suppkey || '@x' ELSE '' END AS email FROM supplier),
 e AS (SELECT l.id, min(r.id) AS other FROM l JOIN r ON l.email = r.email AND l.email <> '' GROUP BY 1),
-alphabet AS (SELECT unnest(string_split('abcdefghijklmnopqrstuvwxyz0123456789 -''.', '')) AS c),
-lv AS (SELECT id, list(len(n) - len(replace(n, c, '')) ORDER BY c) AS v FROM (SELECT id, strip_accents(lower(name)) AS n FROM l WHERE id NOT IN (SELECT id FROM e)), alphabet GROUP BY 1),
-rv AS (SELECT id, list(len(n) - len(replace(n, c, '')) ORDER BY c) AS v FROM (SELECT id, strip_accents(lower(name)) AS n FROM r WHERE id NOT IN (SELECT other FROM e)), alphabet GROUP BY 1),
-near AS (SELECT lv.id, count(*) AS k, min(rv.id) AS other FROM lv JOIN rv ON list_sum(list_transform(list_zip(lv.v, rv.v), lambda x: abs(x[1] - x[2]))) <= 1 GROUP BY 1),
+apart AS (
+  SELECT a.id, b.id AS other, len(a.v) + len(b.v) - 2 * len(list_intersect(a.v, b.v)) AS distance
+  FROM {_BAG.format(t='l')} a CROSS JOIN {_BAG.format(t='r')} b)"""
+MATCHED = BAGS + """,
+near AS (SELECT id, count(*) AS k, min(other) AS other FROM apart WHERE distance <= 1 AND id NOT IN (SELECT id FROM e) AND other NOT IN (SELECT other FROM e) GROUP BY 1),
 pairs AS (SELECT id, other, 'email' AS "by" FROM e UNION ALL SELECT id, other, 'name' FROM near WHERE k = 1)"""
 _NONE = "CAST([] AS STRUCT(a DOUBLE, b DOUBLE, v VARCHAR)[])"
 
@@ -581,6 +596,10 @@ depth(id, level) AS (
   UNION SELECT l.id, level + 1 FROM depth JOIN links l ON l.boss = depth.id AND l.id NOT IN (SELECT id FROM bad))
 SELECT id, CAST(max(level) AS INTEGER) AS level FROM depth GROUP BY 1 UNION ALL SELECT p.id, -1 FROM persons p WHERE p.id IN (SELECT id FROM bad)""",
     "j14_match_names": MATCHED + " SELECT id, other, \"by\" FROM pairs",
+    "j14_nearest_names": BAGS + """
+SELECT * FROM (
+  SELECT a.id, other, CAST(distance AS INTEGER) AS distance, CAST(row_number() OVER (PARTITION BY a.id ORDER BY distance, r.name, other) AS INTEGER) AS rank
+  FROM apart a JOIN r ON r.id = other WHERE distance <= 2) WHERE rank <= 4""",
     "j15_unmatched": MATCHED + " SELECT id, 'left' AS side FROM l WHERE id NOT IN (SELECT id FROM pairs) UNION ALL SELECT id, 'right' FROM r WHERE id NOT IN (SELECT other FROM pairs)",
     "j16_jobs_by_reference": with_sql(JOBS_SQL, body="""
 , q AS (SELECT cluster_id, job_id, submit_s + CASE WHEN job_db_id % 100 = 0 THEN 1 ELSE 0 END AS submit_s FROM jobs WHERE job_db_id % 10 = 0)
