@@ -1,4 +1,4 @@
-"""Running sums over groups of any size: ranges of the order side by side, then the ranges before."""
+"""Order over groups of any size: running sums and pages by ranges that lie side by side."""
 
 from __future__ import annotations
 
@@ -33,3 +33,28 @@ def with_total(rows: DataFrame, group: list[str], value: str, name: str) -> Data
     for c in group:
         totals = totals.withColumnRenamed(c, f"__{c}")
     return rows.join(totals, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in group]).select(*rows.columns, name)
+
+
+#: Pages that end within so many rows are a top-k; later ones look into the ranges of the order that hold them.
+SHALLOW = 10_000
+
+
+def page_of(rows: DataFrame, order: list[Column], offset: int, limit: int, at: str) -> DataFrame:
+    """The ``limit`` rows behind ``offset`` by ``order`` (without ties), with their place as ``at`` (from 1); checkpointed, so that it is found once.
+
+    A page near the top is a top-k. For a deep one the rows, which should be narrow, are range-partitioned by the order and counted, and only the ranges that hold the page are sorted.
+    """
+    shared_folder(rows.sparkSession)
+    place = F.row_number().over(Window.orderBy(*order))
+    if offset + limit <= SHALLOW:  # a top-k, then its tail: Spark's offset after a sort doesn't keep the order everywhere
+        return rows.orderBy(*order).limit(offset + limit).withColumn(at, place).filter(F.col(at) > offset).checkpoint()
+    dealt = rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()).checkpoint()
+    counts = dict(dealt.groupBy("__range").count().collect())  # a row per range
+    held, before, base = [], 0, 0
+    for k in sorted(counts):
+        if before + counts[k] > offset and before < offset + limit:
+            base = base if held else before
+            held.append(k)
+        before += counts[k]
+    inside = dealt.filter(F.col("__range").isin(held)).drop("__range").orderBy(*order).limit(offset + limit - base)
+    return inside.withColumn(at, place + base).filter(F.col(at) > offset).checkpoint()

@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tallygrid.functions.ranges import SHALLOW, page_of
 from tallygrid.functions.timeaxis import Axis, epoch, overlap_hours, ran_between, seconds, span_to_buckets
 from tallygrid.operators.jobseries import gpu_jobs, nan_to, pivot_statistics, real, valid_metric, with_statistic, with_weights
 
@@ -140,7 +141,7 @@ def jobs_total(jobs: DataFrame, lo: datetime, hi: datetime) -> DataFrame:
 def jobs_table(jobs: DataFrame, stats: DataFrame, weights: DataFrame, lo: datetime, hi: datetime, sort: str = "rgu_hours", descending: bool = True, limit: int = 50, offset: int = 0, metric: str = "gpu_sm_occupancy", clusters: DataFrame | None = None) -> DataFrame:
     """A page of the window's GPU jobs: hours and weighted hours clipped to the window, the whole elapsed time, waste by ``metric``, three statistics; an unknown ``sort`` is rgu_hours, nulls last, ties by id.
 
-    The page is chosen on narrow rows, with the one statistic that the order needs, if any; the shown statistics are joined to the page only.
+    The page is found once (:func:`tallygrid.functions.ranges.page_of`), with the one statistic that the order needs, if any; the shown statistics are joined to the page only. A deep page sorts only the ranges of the order that hold it.
     """
     s = seconds(F.col("start_time"))
     runs = with_weights(_window_jobs(jobs, lo, hi), F.broadcast(weights)).withColumnRenamed("rgu", "gpu_type_rgu")
@@ -155,8 +156,11 @@ def jobs_table(jobs: DataFrame, stats: DataFrame, weights: DataFrame, lo: dateti
     by = F.col("rgu_hours") * (1 - F.col("__stat")) if key == "waste" else F.col("__stat") if name else F.col(key)
     runs = runs.withColumn("__by", by)
     order = [F.col("__by").desc_nulls_last() if descending else F.col("__by").asc_nulls_last(), F.col("job_db_id")]
-    # a top-k of offset + limit rows, then its tail: Spark's offset after a sort doesn't keep the order everywhere
-    page = runs.orderBy(*order).limit(offset + limit).withColumn("__at", F.row_number().over(Window.orderBy(*order))).filter(F.col("__at") > offset)
+    if offset + limit <= SHALLOW:
+        page = page_of(runs, order, offset, limit, "__at")
+    else:  # the place of each row is found on two columns; the page's rows, a bounded number, then meet the others
+        found = page_of(runs.select("job_db_id", "__by"), order, offset, limit, "__at").select("job_db_id", "__at")
+        page = runs.join(F.broadcast(found), "job_db_id")
     ids = page.select(F.col("job_db_id").alias("job_id"))  # limit rows at most
     shown = pivot_statistics(stats.join(F.broadcast(ids), "job_id", "left_semi"), dict.fromkeys((*_SHOWN, metric)), ("mean", "max"))
     both = page.join(shown, "job_db_id", "left")

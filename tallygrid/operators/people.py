@@ -48,17 +48,37 @@ def supervisors_asof(jobs: DataFrame, supervisors: DataFrame) -> DataFrame:
     return jobs.join(lists, (F.col("u") == F.col("user_id")) & _holds(F.col("submit_time")), "left").drop("u", "valid_from", "valid_to")
 
 
+#: Slots that the time of a dated table is cut into, and copies of each slot over which rows are dealt.
+SLOTS, DEALT = 256, 16
+
+
 def asof(rows: DataFrame, at: str, dated: DataFrame, key: str, oldest_before: bool) -> DataFrame:
     """``rows`` with the columns of the latest ``dated`` row (key, since, ...) with since <= at.
 
     A null date takes the newest. Before all: the oldest if ``oldest_before``, else null. Each dated row becomes an interval up to the next one of its key.
+
+    Rows and intervals meet by key and time slot, so few keys do not make few tasks: an interval stands in every slot that it touches. Intervals of a key do not overlap, so that makes
+    (dated rows + keys x ``SLOTS``) x ``DEALT`` rows at most; the copies split a slot that most rows fall into. The span of the dated table is looked up first.
     """
     w = Window.partitionBy(key).orderBy("since")
     spans = dated.withColumn("__to", F.lead("since").over(w)).withColumn("__from", F.when(F.lit(oldest_before) & (F.row_number().over(w) == 1), F.lit(None).cast("timestamp")).otherwise(F.col("since")))
-    d = spans.withColumnRenamed(key, "__k")
+    ends = dated.select(F.min(seconds(F.col("since"))).alias("lo"), F.max(seconds(F.col("since"))).alias("hi")).first()  # one row
+    lo, width = ends["lo"] or 0.0, max(1.0, ((ends["hi"] or 0.0) - (ends["lo"] or 0.0)) / SLOTS)
+
+    def slot(moment: Column) -> Column:
+        inside = F.greatest(F.lit(-1), F.least(F.lit(SLOTS), F.floor((seconds(moment) - lo) / width))).cast("int")
+        return F.when(moment.isNotNull(), inside)  # least and greatest pass nulls over
+
+    undated = SLOTS + 1
+    touched = F.sequence(F.coalesce(slot(F.col("__from")), F.lit(-1)), F.coalesce(slot(F.col("__to")), F.lit(SLOTS)))
+    touched = F.when(F.col("__to").isNull(), F.concat(touched, F.array(F.lit(undated)))).otherwise(touched)
+    copies = F.sequence(F.lit(0), F.lit(DEALT - 1))
+    d = spans.withColumnRenamed(key, "__k").withColumn("__slot", F.explode(touched)).withColumn("__copy", F.explode(copies))
+    plain = [c for c, kind in rows.dtypes if not kind.startswith(("map", "array", "struct", "variant"))]
+    dealt = rows.withColumn("__s", F.coalesce(slot(F.col(at)), F.lit(undated))).withColumn("__c", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(DEALT)).cast("int"))
     inside = (F.col("__from").isNull() | (F.col("__from") <= F.col(at))) & (F.col("__to").isNull() | (F.col(at) < F.col("__to")))
-    hit = (F.col("__k") == F.col(key)) & F.when(F.col(at).isNull(), F.col("__to").isNull()).otherwise(inside)
-    return rows.join(d, hit, "left").drop("__k", "__from", "__to", "since")
+    hit = (F.col("__k") == F.col(key)) & (F.col("__slot") == F.col("__s")) & (F.col("__copy") == F.col("__c")) & F.when(F.col(at).isNull(), F.col("__to").isNull()).otherwise(inside)
+    return dealt.join(d, hit, "left").drop("__k", "__from", "__to", "__slot", "__copy", "__s", "__c", "since")
 
 
 def values_at(keys: DataFrame, dated: DataFrame, key: str, at: str) -> tuple[DataFrame, DataFrame]:
