@@ -13,7 +13,7 @@ from tallygrid.operators import people as p
 from tallygrid.plans import testdata as t
 from tallygrid.plans.testdata import CLUSTERS_SQL, CREDENTIALS_SQL, JOBS_SQL, MEMBERS_SQL, USERS_SQL, WEIGHTS_SQL, with_sql
 from tallygrid.plans.underuses import SQL as _UNDERUSE_SQL
-from tallygrid.sources import records as rec
+from tallygrid.sources import records as rec, users as usr
 from tallygrid.streaming import streams
 from tallygrid.streaming.stores import BucketStore, Marks, replay
 
@@ -306,19 +306,36 @@ def s7_gpu_billing(s, f):
     return rec.gpu_billing(raw, rec.read_node_gpus(raw, "cluster"), 30.0, "cluster")
 
 
-def s8_member_csv(s, f):
+def _members(s, f):
     x = t.table(s, f, "customer")
-    rows = x.selectExpr("c_name AS Name", "concat('e', c_custkey) AS EMAIL", "concat('u', c_custkey) AS Username", "IF(c_custkey % 8 = 0, '', concat('code', c_custkey, '-01')) AS CCRI", "IF(c_custkey % 3 = 0, 'activated', 'expired') AS activation_status", "'2020-01-02' AS member_since")
+    rows = x.selectExpr(
+        "c_name AS Name", "concat('e', c_custkey) AS EMAIL", "concat('u', c_custkey) AS Username", "IF(c_custkey % 8 = 0, '', concat('code', c_custkey, '-01')) AS CCRI",
+        "IF(c_custkey % 3 = 0, 'activated', 'expired') AS activation_status", "IF(c_custkey % 15 = 0, 'soon', '2020-01-02') AS member_since")
     held = x.filter("c_custkey % 2 = 0").selectExpr("concat('u', c_custkey) AS username", "timestamp_seconds(1000000000) AS valid_from")
-    out = rec.read_member_csv(rows, held, datetime(2023, 1, 1), "site")
+    return rows, {"open_accounts": held, "at": datetime(2023, 1, 1), "domain": "site"}
+
+
+def _hr(s, f):
+    rows = t.table(s, f, "customer").selectExpr(
+        "concat('m', c_custkey) AS member_no", "c_name AS name", "IF(c_custkey % 9 = 0, ' ', concat('E', c_custkey, '@x ')) AS email", "IF(c_custkey % 2 = 0, 'staff', 'prof') AS profile",
+        "concat('a', c_custkey % 2) AS affiliation", "'2020-07-01' AS start", "IF(c_custkey % 4 = 0, '2021-07-01', NULL) AS end", "array(concat('m', c_custkey + 1), 'm4', NULL) AS supervisors")
+    return rows, {"member_types": {("staff", "a0"): "staff", ("prof", "a1"): "professor"}, "blocked": ["m4", "m5"]}
+
+
+def s8_member_csv(s, f):
+    rows, options = _members(s, f)
     a = F.try_element_at("accounts", F.lit(1))
+    out = usr.read_member_csv(rows, **options).filter("own_id IS NOT NULL")
     return out.select("own_id", "name", F.size("accounts").cast("long").alias("n"), F.unix_timestamp(a["valid_from"]).alias("from_s"), F.unix_timestamp(a["valid_to"]).alias("to_s"))
 
 
 def s8_hr_rows(s, f):
-    rows = t.table(s, f, "customer").selectExpr("concat('m', c_custkey) AS member_no", "c_name AS name", "IF(c_custkey % 9 = 0, ' ', concat('E', c_custkey, '@x ')) AS email", "IF(c_custkey % 2 = 0, 'staff', 'prof') AS profile", "concat('a', c_custkey % 2) AS affiliation", "'2020-07-01 12:00:00' AS start", "CAST(NULL AS string) AS end", "array('s1', 's2') AS supervisors")
-    out = rec.read_hr_rows(rows, {("staff", "a0"): "staff", ("prof", "a1"): "professor"}, ["m4", "m5"])
-    return out.select("own_id", "email", "member_type", F.unix_timestamp("valid_from").alias("from_s"), F.size("supervisors").cast("long").alias("n_supervisors"))
+    rows, options = _hr(s, f)
+    kind, boss = F.try_element_at("types", F.lit(1)), F.try_element_at("supervisors", F.lit(1))
+    out = usr.read_hr_rows(rows, **options).filter("own_id IS NOT NULL")
+    return out.select(
+        "own_id", "email", kind["value"].alias("member_type"), F.unix_timestamp(kind["valid_from"]).alias("from_s"), F.unix_timestamp(kind["valid_to"]).alias("to_s"),
+        F.array_join(F.transform(boss["supervisors"], lambda x: x["id"]), ",").alias("supervisors"))
 
 
 def _accounts(df):
@@ -344,27 +361,39 @@ def _legacy(s, f):
 
 
 def _manual(s, f):
-    x = t.table(s, f, "customer").filter("c_custkey % 9 = 1")
+    x = t.table(s, f, "customer")
     return x.select(F.format_string('{"m%d": [{"name": "directory", "mid": "u%d@site.org"}, {"name": "members", "mid": "abc%d"}, {"name": "members", "mid": "abc%d"}]}', "c_custkey", "c_custkey", "c_custkey", "c_custkey").alias("text"))
 
 
 def s8_directory(s, f):
     raw, held = _directory(s, f)
-    return _accounts(rec.read_directory(raw, held, datetime(2023, 1, 1), "home"))
+    return _accounts(usr.read_directory(raw, held, datetime(2023, 1, 1), "home"))
 
 
 def s8_legacy_dump(s, f):
-    return _accounts(rec.read_legacy_dump(_legacy(s, f), "home", "far"))
+    return _accounts(usr.read_legacy_dump(_legacy(s, f), "home", "far"))
 
 
 def s8_manual_pairs(s, f):
-    return _accounts(rec.read_manual_pairs(_manual(s, f)))
+    return _accounts(usr.read_manual_pairs(_manual(s, f)))
 
 
-def s8_all_sources(s, f):
+def _sources(s, f):
     raw, held = _directory(s, f)
-    out = rec.read_users([("directory", raw, {"open_accounts": held, "at": datetime(2023, 1, 1), "domain": "home"}), ("legacy", _legacy(s, f), {"home": "home", "partner": "far"}), ("manual", _manual(s, f), {})])
-    return out.select("source", "own_id", "source_rank", F.size("ids").alias("n_ids"), F.size("accounts").alias("n_accounts"))
+    return [
+        ("directory", raw, {"open_accounts": held, "at": datetime(2023, 1, 1), "domain": "home"}), ("legacy", _legacy(s, f), {"home": "home", "partner": "far"}),
+        ("members", *_members(s, f)), ("hr", *_hr(s, f)), ("manual", _manual(s, f), {}),
+    ]
+
+
+def s8_all_sources(s, f):
+    """Five sources in one record."""
+    out = usr.read_users(_sources(s, f))
+    return out.select("source", "own_id", "source_rank", *[F.size(c).alias(f"n_{c}") for c in ("ids", "types", "accounts", "supervisors")])
+
+
+def s8_missing_fields(s, f):
+    return usr.missing_fields(_sources(s, f))
 
 
 def s9_read_since(s, f):
@@ -391,6 +420,18 @@ def s16_partition_drops(s, f):
     return rec.partition_drops(names)
 
 
+def s16_dispatch_drops(s, f):
+    """Nations as raw files of a row each, a few without a date in the name; read back from the day folders with those that were left out."""
+    raw, target = checkpoint_dir(s), checkpoint_dir(s)
+    name = "IF(n_nationkey % 6 = 0, concat('note', n_nationkey), concat('drop-2024-0', 1 + n_regionkey, '-1', n_nationkey % 3, '-', n_nationkey))"
+    t.table(s, f, "nation").selectExpr(f"{name} AS name", "n_name AS value").write.partitionBy("name").text(raw)
+    # Spark names its files itself: here the folder holds the drop's name, so names are taken with their last folder
+    left = rec.dispatch_drops(s, raw, target, r"name=drop-(\d{4})-(\d{2})-(\d{2})", "*.txt", depth=2)
+    placed = s.read.parquet(target).selectExpr("split_part(split_part(name, '/', 1), '=', 2) AS name", "CAST(year AS int) AS year", "CAST(month AS int) AS month", "CAST(day AS int) AS day", "md5(content) AS md5")
+    none = F.lit(None).cast("int")
+    return placed.unionByName(left.select(F.expr("split_part(split_part(name, '/', 1), '=', 2)").alias("name"), *[none.alias(c) for c in ("year", "month", "day")], F.lit(None).cast("string").alias("md5")))
+
+
 def t1_stream_latest(s, f):
     path = checkpoint_dir(s)
     stream = s.readStream.schema(t.table(s, f, "lineitem").schema).parquet(f"{f}/lineite[m].parquet").select("l_orderkey", "l_linenumber", (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("version"))
@@ -547,7 +588,7 @@ SELECT 'legacy' AS source, 'l' || c_custkey || '@x.org' AS own_id, c_name AS nam
        concat_ws(',', CASE WHEN c_custkey % 2 = 0 THEN 'home/h' || c_custkey || '/1625140800/' || e END, CASE WHEN c_custkey % 5 <> 0 THEN 'far/f' || c_custkey || '/1625140800/' || e END) AS accounts
 FROM (SELECT *, CASE WHEN c_custkey % 4 = 0 THEN '-' ELSE '1638363600' END AS e FROM customer)"""
 MANUAL = """
-SELECT 'manual' AS source, 'm' || c_custkey AS own_id, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS email, 'directory:u' || c_custkey || '@site.org,members:abc' || c_custkey AS ids, '' AS accounts FROM customer WHERE c_custkey % 9 = 1"""
+SELECT 'manual' AS source, 'm' || c_custkey AS own_id, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS email, 'directory:u' || c_custkey || '@site.org,members:abc' || c_custkey AS ids, '' AS accounts FROM customer"""
 DIGIT = "CAST(job_db_id % 40 + {i} AS INTEGER)"
 
 SQL = {
@@ -659,19 +700,37 @@ SELECT c AS cluster, g AS gpu, avg(v) AS billing, bool_and(abs(v - f) / f * 100
   SELECT *, first_value(v) OVER (PARTITION BY c, g ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS f FROM (
     SELECT c, CASE WHEN k % 2 = 0 THEN 'a100' ELSE 'v100' END AS g, 3.0::DOUBLE AS v, 1 AS o FROM b UNION ALL SELECT c, 'mig', 3.0, 1 FROM b
     UNION ALL SELECT c, 'a100', 4.0, 2 FROM b UNION ALL SELECT c, 'v100', 2.0, 2 FROM b)) GROUP BY 1, 2""",
-    "s8_member_csv": "SELECT 'code' || c_custkey AS own_id, c_name AS name, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS n, CASE WHEN c_custkey % 3 = 0 THEN 1577923200 WHEN c_custkey % 2 = 0 THEN 1000000000 END::BIGINT AS from_s, CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 2 = 0 THEN 1672531200 END::BIGINT AS to_s FROM customer WHERE c_custkey % 8 <> 0",
-    "s8_hr_rows": "SELECT 'm' || c_custkey AS own_id, 'e' || c_custkey || '@x' AS email, CASE WHEN c_custkey % 2 = 0 THEN 'staff' ELSE 'professor' END AS member_type, CAST(1593619200 AS BIGINT) AS from_s, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 0 END::BIGINT AS n_supervisors FROM customer WHERE c_custkey % 9 <> 0 AND c_custkey NOT IN (4, 5)",
+    "s8_member_csv": """
+SELECT 'code' || c_custkey AS own_id, c_name AS name, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS n,
+       CASE WHEN c_custkey % 15 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN 1577923200 WHEN c_custkey % 2 = 0 THEN 1000000000 END::BIGINT AS from_s,
+       CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 2 = 0 THEN 1672531200 END::BIGINT AS to_s FROM customer WHERE c_custkey % 8 <> 0""",
+    "s8_hr_rows": """
+SELECT 'm' || c_custkey AS own_id, 'e' || c_custkey || '@x' AS email, CASE WHEN c_custkey % 2 = 0 THEN 'staff' ELSE 'professor' END AS member_type, CAST(1593561600 AS BIGINT) AS from_s,
+       CASE WHEN c_custkey % 4 = 0 THEN 1625097600 END::BIGINT AS to_s, CASE WHEN c_custkey % 2 = 0 AND c_custkey <> 4 THEN 'm' || (c_custkey + 1) END AS supervisors
+FROM customer WHERE c_custkey % 9 <> 0 AND c_custkey NOT IN (4, 5)""",
     "s8_directory": DIRECTORY,
     "s8_legacy_dump": LEGACY,
     "s8_manual_pairs": MANUAL,
     "s8_all_sources": f"""
-SELECT source, own_id, CAST(CASE source WHEN 'directory' THEN 0 WHEN 'legacy' THEN 1 ELSE 2 END AS INTEGER) AS source_rank, CAST(CASE WHEN ids = '' THEN 0 ELSE len(string_split(ids, ',')) END AS INTEGER) AS n_ids, CAST(CASE WHEN accounts = '' THEN 0 ELSE len(string_split(accounts, ',')) END AS INTEGER) AS n_accounts
-FROM ({DIRECTORY} UNION ALL {LEGACY} UNION ALL {MANUAL})""",
+SELECT source, own_id, CAST(list_position(['directory', 'legacy', 'members', 'hr', 'manual'], source) - 1 AS INTEGER) AS source_rank, CAST(n_ids AS INTEGER) AS n_ids, CAST(n_types AS INTEGER) AS n_types,
+       CAST(n_accounts AS INTEGER) AS n_accounts, CAST(n_supervisors AS INTEGER) AS n_supervisors
+FROM (
+  SELECT source, own_id, CASE WHEN ids = '' THEN 0 ELSE len(string_split(ids, ',')) END AS n_ids, 0 AS n_types, CASE WHEN accounts = '' THEN 0 ELSE len(string_split(accounts, ',')) END AS n_accounts, 0 AS n_supervisors
+  FROM ({DIRECTORY} UNION ALL {LEGACY} UNION ALL {MANUAL})
+  UNION ALL SELECT 'members', 'code' || c_custkey, 0, 0, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 2 = 0 THEN 1 ELSE 0 END, 0 FROM customer WHERE c_custkey % 8 <> 0
+  UNION ALL SELECT 'hr', 'm' || c_custkey, 1, 1, 0, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END FROM customer WHERE c_custkey % 9 <> 0 AND c_custkey NOT IN (4, 5))""",
+    "s8_missing_fields": """
+SELECT 'members' AS source, CASE WHEN c_custkey % 8 <> 0 THEN 'code' || c_custkey END AS own_id, 'u' || c_custkey AS entry, field FROM customer, (VALUES ('own_id'), ('member_since')) AS x(field)
+WHERE CASE field WHEN 'own_id' THEN c_custkey % 8 = 0 ELSE c_custkey % 15 = 0 END
+UNION ALL SELECT 'hr', NULL, 'm' || c_custkey, 'email' FROM customer WHERE c_custkey % 9 = 0 AND c_custkey NOT IN (4, 5)""",
     "s9_read_since": "SELECT event_id FROM events WHERE date_trunc('millisecond', ts) >= TIMESTAMP '2024-01-20 12:00:00'",
     "s9_replay": "SELECT CAST(user_id AS BIGINT) AS user_id, CAST(epoch(ts) AS BIGINT) // 864000 * 864000 AS drop_s, count(*) AS n FROM events GROUP BY ALL",
     "s10_upsert_jobs": with_sql(JOBS_SQL, body="SELECT cluster_id, job_id, submit_s, CASE WHEN job_id % 3 = 0 THEN 'NEW' ELSE min(job_state) END AS job_state, CASE WHEN job_id % 3 = 0 THEN 2 ELSE 1 END AS scrape FROM jobs GROUP BY cluster_id, job_id, submit_s"),
     "s12_upsert_dimension": with_sql(WEIGHTS_SQL, body="SELECT name, CASE WHEN name IN ('a100', 'h100') THEN 9.0 ELSE rgu END::DOUBLE AS rgu, CASE WHEN name IN ('a100', 'h100') THEN 8.0 ELSE drac_rgu END::DOUBLE AS drac_rgu, CASE WHEN name IN ('a100', 'h100') THEN 2 ELSE 1 END AS v FROM weights"),
     "s16_partition_drops": "SELECT CASE WHEN o_orderkey % 50 = 0 THEN 'notes.txt' ELSE 'drop-' || strftime(o_orderdate, '%Y-%m-%d') || '.json' END AS name, " + ", ".join(f"CASE WHEN o_orderkey % 50 <> 0 THEN strftime(o_orderdate, '%{c}') END AS {n}" for n, c in (("year", "Y"), ("month", "m"), ("day", "d"))) + " FROM orders",
+    "s16_dispatch_drops": """
+SELECT 'drop-2024-0' || (1 + n_regionkey) || '-1' || n_nationkey % 3 || '-' || n_nationkey AS name, 2024 AS year, CAST(1 + n_regionkey AS INTEGER) AS month, CAST(10 + n_nationkey % 3 AS INTEGER) AS day, md5(n_name || chr(10)) AS md5
+FROM nation WHERE n_nationkey % 6 <> 0 UNION ALL SELECT 'note' || n_nationkey, NULL, NULL, NULL, NULL FROM nation WHERE n_nationkey % 6 = 0""",
     "t1_stream_latest": "SELECT l_orderkey, l_linenumber, max(l_partkey * 100000 + l_suppkey) AS version FROM lineitem GROUP BY ALL",
     "t1_stream_job_records": with_sql(JOBS_SQL, body="SELECT 'c' || cluster_id AS cluster, job_db_id AS job_id, submit_s, CASE WHEN cluster_id = 1 THEN 'late' ELSE 'main' END AS partition, CASE WHEN cluster_id = 1 THEN 2 ELSE 1 END AS drop FROM jobs WHERE job_db_id % 19 <> 0"),
     "t2_stream_job_statistics": JOB_STATISTICS_SQL,

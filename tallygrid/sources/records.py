@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
 from datetime import datetime
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -181,81 +179,6 @@ def gpu_billing(raw: DataFrame, node_gpus: DataFrame, threshold: float, *keys: s
     return both.groupBy(*keys, "gpu").agg(F.avg("v").alias("billing"), (F.max(F.abs(F.col("v") - F.col("first")) / F.col("first") * 100) <= threshold).alias("consistent"))
 
 
-def read_member_csv(rows: DataFrame, open_accounts: DataFrame, at: datetime, domain: str) -> DataFrame:
-    """Member rows (any case of name, email, username, ccri, activation_status, member_since) as the common record: person code, dated account.
-
-    Active: an account open from member_since; else an open account known by username ends at ``at``, others give none. The own id is the code without its last three characters.
-    """
-    r = rows.select(*[F.col(c).alias(c.strip().lower()) for c in rows.columns]).filter(F.coalesce(F.trim("ccri"), F.lit("")) != "")
-    held = open_accounts.select(F.col("username").alias("u"), F.col("valid_from").alias("since"))
-    both = r.join(held, F.col("username") == F.col("u"), "left")
-    active = F.lower("activation_status") == "activated"
-    start = F.when(active, F.col("member_since").try_cast("timestamp")).otherwise(F.col("since"))
-    account = F.when(active | F.col("since").isNotNull(), F.struct(F.lit(domain).alias("domain"), F.col("username"), start.alias("valid_from"), F.when(~active, F.lit(at).cast("timestamp")).alias("valid_to")))
-    return both.select(F.expr("substr(ccri, 1, length(ccri) - 3)").alias("own_id"), "name", "email", F.array_compact(F.array(account)).alias("accounts"))
-
-
-def read_hr_rows(rows: DataFrame, member_types: dict[tuple[str, str], str], blocked: list[str], professors: str = "professor") -> DataFrame:
-    """HR rows (member_no, name, email, profile, affiliation, start, end, supervisors) as the common record; rows without email or with a blocked number are skipped, professors have no supervisors."""
-    kinds = F.create_map(*[F.lit(x) for (p, a), t in member_types.items() for x in (f"{p}|{a}", t)])
-    kind = kinds[F.concat_ws("|", "profile", "affiliation")]
-    kept = rows.filter((F.coalesce(F.trim("email"), F.lit("")) != "") & ~F.coalesce(F.col("member_no").isin(blocked), F.lit(False)))
-    boss = F.when(kind == professors, F.array().cast("array<string>")).otherwise(F.col("supervisors"))
-    return kept.select(F.col("member_no").alias("own_id"), "name", F.lower(F.trim("email")).alias("email"), kind.alias("member_type"), F.to_utc_timestamp(F.col("start").cast("timestamp"), "America/Montreal").alias("valid_from"), F.to_utc_timestamp(F.col("end").cast("timestamp"), "America/Montreal").alias("valid_to"), boss.alias("supervisors"))
-
-
-_IDS, _ACCOUNTS = "array<struct<source:string,id:string>>", "array<struct<domain:string,username:string,valid_from:timestamp,valid_to:timestamp>>"
-
-
-def _account(domain: str, username: Column, start: Column, end: Column) -> Column:
-    return F.struct(F.lit(domain).alias("domain"), username.alias("username"), start.cast("timestamp").alias("valid_from"), end.cast("timestamp").alias("valid_to"))
-
-
-def read_directory(raw: DataFrame, open_accounts: DataFrame, at: datetime, domain: str, source: str = "directory") -> DataFrame:
-    """Directory documents (text: a JSON list of entries whose fields are lists) as the common record. An entry that is not suspended has an account from ``at`` on; a suspended one
-    whose account is open (``open_accounts``: username) ends it at ``at``, others are left out. The id is the address in lower case."""
-    fields = "array<struct<displayName:array<string>,mail:array<string>,posixUid:array<string>,suspended:array<string>>>"
-    e = raw.select(F.explode(F.from_json("text", fields)).alias("e")).select(*[F.get(f"e.{c}", F.lit(0)).alias(c) for c in ("displayName", "mail", "posixUid", "suspended")])
-    held = open_accounts.select(F.col("username").alias("__u")).distinct()
-    both = e.join(held, F.col("posixUid") == F.col("__u"), "left")
-    active, now, email = F.coalesce(F.col("suspended"), F.lit("false")) != "true", F.lit(at), F.lower("mail")
-    kept = both.filter(active | F.col("__u").isNotNull())
-    account = _account(domain, F.col("posixUid"), now, F.when(~active, now))
-    return kept.select(F.lit(source).alias("source"), email.alias("own_id"), F.col("displayName").alias("name"), email.alias("email"), F.array().cast(_IDS).alias("ids"), F.array(account).cast(_ACCOUNTS).alias("accounts"))
-
-
-def read_legacy_dump(raw: DataFrame, home: str, partner: str, directory: str = "directory", members: str = "members", source: str = "legacy", zone: str = "America/Montreal") -> DataFrame:
-    """Dump documents (text: a JSON list of persons with an account block each of the ``home`` and the ``partner`` site) as the common record. Times are local in ``zone``; the home account counts if active; the partner's
-    id is its code (``ccri`` of ``<partner>_members`` or ``<partner>_roles``) without the last three characters."""
-    person = f"array<struct<name:string,record_start:string,record_end:string,`{home}`:struct<email:string,username:string,active:boolean>,`{partner}`:struct<username:string>,`{partner}_members`:struct<ccri:string>,`{partner}_roles`:struct<ccri:string>>>"
-    p = raw.select(F.explode(F.from_json("text", person)).alias("p"))
-    start, end = (F.to_utc_timestamp(F.col(f"p.record_{x}").cast("timestamp"), zone) for x in ("start", "end"))
-    mail, code = F.col(f"p.{home}.email"), F.coalesce(F.col(f"p.{partner}_members"), F.col(f"p.{partner}_roles"))["ccri"]
-    known = F.array(F.struct(F.lit(directory).alias("source"), mail.alias("id")), F.when(code != "", F.struct(F.lit(members).alias("source"), F.left(code, F.char_length(code) - 3).alias("id"))))
-    login = F.col(f"p.{partner}.username")
-    accounts = F.array(F.when(F.coalesce(F.col(f"p.{home}.active"), F.lit(False)), _account(home, F.col(f"p.{home}.username"), start, end)), F.when(login != "", _account(partner, login, start, end)))
-    return p.select(F.lit(source).alias("source"), F.lower(mail).alias("own_id"), F.col("p.name").alias("name"), F.lower(mail).alias("email"), F.array_compact(known).cast(_IDS).alias("ids"), F.array_compact(accounts).cast(_ACCOUNTS).alias("accounts"))
-
-
-def read_manual_pairs(raw: DataFrame, source: str = "manual") -> DataFrame:
-    """Documents (text: ``{"name": [{"name": source, "mid": id}, ...]}``) as the common record: ids that belong together, without accounts."""
-    pairs = raw.select(F.explode(F.from_json("text", "map<string,array<struct<name:string,mid:string>>>")).alias("own_id", "x"))
-    ids = F.transform("x", lambda x: F.struct(x["name"].alias("source"), x["mid"].alias("id")))
-    none = F.lit(None).cast("string")
-    return pairs.select(F.lit(source).alias("source"), "own_id", none.alias("name"), none.alias("email"), F.array_distinct(ids).cast(_IDS).alias("ids"), F.array().cast(_ACCOUNTS).alias("accounts"))
-
-
-#: Readers of user sources by name; callers may add their own: a function of a DataFrame and options that returns the common record.
-USER_READERS: dict[str, Callable[..., DataFrame]] = {"directory": read_directory, "legacy": read_legacy_dump, "manual": read_manual_pairs}
-
-
-def read_users(sources: list[tuple[str, DataFrame, dict]], patches: Sequence[Callable[[DataFrame], DataFrame]] = ()) -> DataFrame:
-    """All sources (reader, raw, options) as common records, with the source's rank in the given order: the first that has a value wins (:func:`tallygrid.operators.people.resolve_identities`). ``patches`` change the
-    records one after the other before they are matched."""
-    parts = [USER_READERS[name](raw, **options).withColumn("source_rank", F.lit(rank)) for rank, (name, raw, options) in enumerate(sources)]
-    return reduce(DataFrame.transform, patches, reduce(DataFrame.unionByName, parts))
-
-
 def read_since(spark: SparkSession, path: str, mark: datetime, schema: str) -> DataFrame:
     """JSON-lines drops in day folders (``day=YYYY-MM-DD``) from the mark on, in order of their ts; older folders are not opened."""
     return spark.read.schema(schema).json(path).filter((F.col("day") >= F.lit(mark.date())) & (F.col("ts") >= F.lit(mark))).orderBy("ts")
@@ -278,3 +201,18 @@ def partition_drops(names: DataFrame, pattern: str = r"(\d{4})-(\d{2})-(\d{2})")
     """File names with the year, month and day in them; names without a date have nulls and are to be reported."""
     part = [F.nullif(F.regexp_extract("name", pattern, i), F.lit("")).alias(c) for i, c in ((1, "year"), (2, "month"), (3, "day"))]
     return names.select("name", *part)
+
+
+def dispatch_drops(spark: SparkSession, path: str, target: str, pattern: str = r"(\d{4})-(\d{2})-(\d{2})", glob: str = "*", depth: int = 1) -> DataFrame:
+    """Put the raw files under ``path`` into day folders by the date in their names: ``target`` is a table of (name, content, length, modified) by year, month and day, contents byte for byte. Returns (name, length) of the files without a date.
+    A name has its last ``depth`` parts of the path.
+
+    Files are read and written by the tasks, each whole; a folder of ``target`` that files of this run fall into is replaced, so a run that is repeated leaves the same. A file is one row, so files of up to 2 GB; Spark passes files without a byte over.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    named = files.select(F.array_join(F.slice(F.split("path", "/"), -depth, depth), "/").alias("name"), "content", "length", F.col("modificationTime").alias("modified"))
+    part = [F.nullif(F.regexp_extract("name", pattern, i), F.lit("")).alias(c) for i, c in ((1, "year"), (2, "month"), (3, "day"))]
+    dated = named.select("*", *part)
+    placed = dated.filter("year IS NOT NULL")
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month", "day").parquet(target)
+    return dated.filter("year IS NULL").select("name", "length")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.functions import gpunames as g, ranges
 from tallygrid.operators import people as p, underuse as uu
-from tallygrid.sources import records as rec
+from tallygrid.sources import records as rec, users as usr
 
 T0 = datetime(2024, 1, 1)
 
@@ -110,14 +110,14 @@ def test_labels_win_over_nodes_and_are_harmonized(spark):
 
 def test_directory_entries_without_the_flag_are_active(spark):
     raw = spark.createDataFrame([('[{"displayName": ["A"], "mail": ["A@x"], "posixUid": ["a"]}, {"displayName": ["B"], "mail": ["b@x"], "posixUid": ["b"], "suspended": ["true"]}]',)], "text string")
-    got = rec.read_directory(raw, spark.createDataFrame([("zz",)], "username string"), T0, "home").collect()
+    got = usr.read_directory(raw, spark.createDataFrame([("zz",)], "username string"), T0, "home").collect()
     assert [r["own_id"] for r in got] == ["a@x"] and got[0]["accounts"][0]["valid_to"] is None
 
 
 def test_patches_change_records_in_order(spark):
     raw = spark.createDataFrame([('{"m1": [{"name": "directory", "mid": "u1"}]}',)], "text string")
     first, second = (lambda df: df.withColumn("name", F.lit("one")), lambda df: df.withColumn("name", F.concat("name", F.lit(" two"))))
-    assert [r["name"] for r in rec.read_users([("manual", raw, {})], [first, second]).collect()] == ["one two"]
+    assert [r["name"] for r in usr.read_users([("manual", raw, {})], [first, second]).collect()] == ["one two"]
 
 
 def test_running_sums_of_a_hot_group_and_pages(spark):
@@ -155,3 +155,33 @@ def test_asof_by_slots_is_the_latest_before(spark, oldest_before):
         own = sorted((since, v) for k, since, v in dated if k == key)
         hit = own[-1:] if t is None else [x for x in own if x[0] <= t][-1:] or (own[:1] if oldest_before else [])
         assert got[i] == (hit[0][1] if hit else None), (i, key, t)
+
+
+def test_entries_that_lack_fields_are_reported(spark):
+    raw = spark.createDataFrame([('[{"displayName": ["A"], "posixUid": ["a"], "suspended": ["false"]}, {"mail": ["B@x"], "posixUid": [], "suspended": ["false"]}]',)], "text string")
+    hr = spark.createDataFrame([("m1", "N", "", "p", "a", "2020-01-01", None, ["m2"]), ("m2", "N", "Z@x", "q", "q", "bad", None, None)], "member_no string, name string, email string, profile string, affiliation string, start string, end string, supervisors array<string>")
+    sources = [
+        ("directory", raw, {"open_accounts": spark.createDataFrame([], "username string"), "at": T0, "domain": "home"}), ("hr", hr, {"member_types": {("p", "a"): "phd"}, "blocked": []}),
+        ("manual", spark.createDataFrame([('{"m": [{"name": "hr", "mid": "m2"}]}',)], "text string"), {}),
+    ]
+    got = {(r["source"], r["entry"], r["field"]) for r in usr.missing_fields(sources).collect()}
+    assert got == {("directory", "a", "own_id"), ("directory", "B@x", "username"), ("hr", "m1", "email"), ("hr", "m2", "type"), ("hr", "m2", "start"), ("manual", "m", "ids")}
+    users = usr.read_users(sources)
+    assert {(r["source"], r["own_id"]) for r in users.collect()} == {("directory", "b@x"), ("hr", "m2"), ("manual", "m")}
+    assert [f"{f.name} {f.dataType.simpleString()}" for f in users.schema][:8] == usr.RECORD.split(", missing")[0].split(", ")
+    with pytest.raises(ValueError, match="hr"):
+        usr.register_reader("hr", usr.read_hr_rows)
+
+
+def test_files_reach_their_days_byte_for_byte(spark, tmp_path):
+    rng = random.Random(1)
+    bodies = {f"x-2024-0{m}-{d:02d}-{k}.bin": rng.randbytes(rng.randrange(3000)) for m in (1, 2) for d in (3, 14) for k in range(3)} | {"readme": b"no date", "empty-2024-01-03": b""}
+    for name, body in bodies.items():
+        (tmp_path / "in" / str(len(name) % 2)).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / str(len(name) % 2) / name).write_bytes(body)
+    for _ in range(2):  # a repeated run leaves the same
+        left = rec.dispatch_drops(spark, f"{tmp_path}/in", f"{tmp_path}/out")
+        assert [(r["name"], r["length"]) for r in left.collect()] == [("readme", 7)]
+        rows = spark.read.parquet(f"{tmp_path}/out").collect()
+        assert {r["name"]: bytes(r["content"]) for r in rows} == {k: v for k, v in bodies.items() if k.startswith("x")} and len(rows) == 12
+    assert (tmp_path / "out" / "year=2024" / "month=2" / "day=14").is_dir() or (tmp_path / "out" / "year=2024" / "month=02" / "day=14").is_dir()
