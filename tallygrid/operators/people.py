@@ -228,6 +228,38 @@ def resolve_identities(records: DataFrame) -> DataFrame:
     return out.withColumn("conflict", F.coalesce("conflict", F.lit(False))).withColumn("valid", F.col("name").isNotNull() & F.col("email").isNotNull())
 
 
+def resolve_against(stored: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fresh records (record_id, ids array<struct<source,id>>) against the ids of stored persons (person_id, source, id): (assigned, merged).
+
+    ``assigned``: record_id, person_id, is_new; a record that reaches a stored person gets the least such, others form persons of their own, numbered by their least record_id. ``merged``: old_id, new_id of the
+    stored persons that fresh records show to be one (for :func:`remap_owners`, :func:`merge_ids` and :func:`merge_periods`). Only fresh records and the stored persons that share an id with one are labelled, so the
+    work grows with what is new; the persons are those that a resolution of all records at once would find.
+    """
+    links = records.select("record_id", F.explode("ids").alias("x")).select("record_id", "x.source", "x.id").distinct()
+    node = lambda new, c: F.struct(F.lit(new).alias("new"), F.col(c).cast("long").alias("id"))
+    first = links.groupBy("source", "id").agg(F.min("record_id").alias("least"))
+    among = links.join(first, ["source", "id"]).select(node(True, "record_id").alias("a"), node(True, "least").alias("b"))
+    reached = first.join(stored.select("source", "id", "person_id"), ["source", "id"]).select(node(True, "least").alias("a"), node(False, "person_id").alias("b"))
+    own = records.select(node(True, "record_id").alias("a"), node(True, "record_id").alias("b"))
+    labels = _least_labels(among.unionByName(reached).unionByName(own)).checkpoint()
+    assigned = labels.filter("node.new").select(F.col("node.id").alias("record_id"), F.col("label.id").alias("person_id"), F.col("label.new").alias("is_new"))
+    merged = labels.filter("NOT node.new AND node.id <> label.id").select(F.col("node.id").alias("old_id"), F.col("label.id").alias("new_id"))
+    return assigned, merged
+
+
+def merge_dated(records: DataFrame, persons: DataFrame, values: Column, truncate: bool) -> DataFrame:
+    """Dated values of all records of a person as one set of periods: person_id, value, from_s, to_s, rejected.
+
+    ``records``: record_id, source_rank; ``persons``: record_id, person_id; ``values``: an array of (value, valid_from, valid_to) of the record. Sources come in the order of their rank, records of a source by id: with
+    ``truncate`` (types, supervisors) later ones fill what earlier ones leave open, else (accounts) they are inserts that may be rejected; those come back as rows (:func:`insert_dated`).
+    """
+    each = records.select("record_id", "source_rank", F.posexplode(values).alias("pos", "x")).join(persons.select("record_id", "person_id"), "record_id")
+    order = Window.partitionBy("person_id").orderBy("source_rank", "record_id", "pos")
+    to_s = lambda c: F.unix_micros(F.col(f"x.{c}").cast("timestamp")) / 1e6
+    inserts = each.select("person_id", F.row_number().over(order).cast("long").alias("seq"), F.col("x.value").alias("value"), to_s("valid_from").alias("from_s"), to_s("valid_to").alias("to_s"))
+    return insert_dated(inserts, "person_id", truncate)
+
+
 def update_ids(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """Ids of persons (person_id, source, id): a fresh one takes the place of the stored one of its person and source, which is reported as replaced."""
     f = fresh.select("person_id", "source", F.col("id").alias("new"))

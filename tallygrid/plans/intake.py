@@ -86,6 +86,34 @@ def j11_resolve_identities(s, f):
     return p.resolve_identities(_records(s, f))
 
 
+def j11_against_stored(s, f):
+    """Four records in five are stored as persons; the others come later, with links that make persons one. Each record with the least record of its person."""
+    checkpoint_dir(s)
+    records = _records(s, f).select("record_id", "source_rank", "ids", "name", "email")
+    later = t.table(s, f, "customer").filter("c_custkey % 10 = 0").selectExpr(
+        "CAST(1000000 + c_custkey AS bigint) AS record_id", "transform(array(concat('k', c_custkey), concat('k', c_custkey + 2)), x -> named_struct('source', 'm', 'id', x)) AS ids")
+    old = records.filter("record_id % 5 <> 0")
+    known = p.resolve_identities(old).select("person_id", "record_id").checkpoint()
+    ids = known.join(old, "record_id").select("person_id", F.explode("ids").alias("x")).select("person_id", "x.source", "x.id").distinct()
+    assigned, merged = p.resolve_against(ids, records.filter("record_id % 5 = 0").select("record_id", "ids").unionByName(later))
+    moved = p.remap_owners(known, merged, "person_id").select("record_id", "person_id", F.lit(False).alias("is_new"))
+    everyone = moved.unionByName(assigned.select(*moved.columns))
+    least = everyone.groupBy("person_id", "is_new").agg(F.min("record_id").alias("least"))
+    return everyone.join(least, ["person_id", "is_new"]).select("record_id", "least")
+
+
+def j11_dated_fields(s, f):
+    """Orders as dated values of customers, two of which may be one person."""
+    day = "CAST(o_orderdate AS timestamp)"
+    x = t.table(s, f, "orders").selectExpr(
+        "CAST(o_custkey AS bigint) AS record_id", "CAST(o_orderkey AS bigint) AS k", "concat('v', o_orderkey % 2) AS value", f"IF(o_orderkey % 9 = 0, NULL, {day}) AS valid_from",
+        f"IF(o_orderkey % 4 = 0, NULL, {day} + make_interval(0, 0, 0, 1 + o_orderkey % 200)) AS valid_to")
+    kept = F.array_sort(F.collect_list(F.struct("k", "value", "valid_from", "valid_to")))
+    records = x.filter("k % 3 = 0").groupBy("record_id").agg(kept.alias("types")).withColumn("source_rank", (F.col("record_id") % 3).cast("int"))
+    persons = records.select("record_id", F.expr("IF(record_id % 4 = 1, record_id - 1, record_id)").alias("person_id"))
+    return p.merge_dated(records, persons, F.col("types"), truncate=True)
+
+
 def j11_update_ids(s, f):
     x = t.table(s, f, "customer")
     stored = x.selectExpr("CAST(c_custkey AS bigint) AS person_id", "inline(array(named_struct('source', 'a', 'id', concat('a', c_custkey)), named_struct('source', 'b', 'id', concat('b', c_custkey))))")
@@ -613,6 +641,13 @@ v AS (
                          WHEN 'h100' THEN 'hopper' WHEN 'rtx-8000' THEN 'turing' END AS name FROM e),
 o AS (SELECT job_db_id, CASE WHEN count(DISTINCT name) = 1 THEN max(name) END AS gpu_name FROM v GROUP BY 1)""",
         body="SELECT job_db_id, inferred_gpu_type, gpu_name FROM i LEFT JOIN o USING (job_db_id)"),
+    "j11_against_stored": """
+WITH r AS (SELECT CAST(c_custkey AS BIGINT) AS record_id, CASE WHEN c_custkey % 4 = 1 THEN c_custkey - 1 ELSE c_custkey END AS p FROM customer),
+q AS (SELECT record_id, CASE WHEN p >= 2 AND (p - 2) % 10 = 0 THEN p - 2 ELSE p END AS p FROM r UNION ALL SELECT 1000000 + record_id, record_id FROM r WHERE record_id % 10 = 0)
+SELECT record_id, min(record_id) OVER (PARTITION BY p) AS least FROM q""",
+    "j11_dated_fields": _fold(
+        "SELECT CASE WHEN person % 4 = 1 THEN person - 1 ELSE person END AS k, row_number() OVER (ORDER BY person % 3, person, o_orderkey) AS seq, value, from_s, to_s FROM periods WHERE o_orderkey % 3 = 0",
+        "seq", "person_id", True),
     "j11_update_ids": """
 WITH st AS (SELECT CAST(c_custkey AS BIGINT) AS person_id, unnest(['a', 'b']) AS source, unnest(['a', 'b']) || c_custkey AS id FROM customer),
 fr AS (SELECT CAST(c_custkey AS BIGINT) AS person_id, CASE WHEN c_custkey % 2 = 0 THEN 'a' ELSE 'c' END AS source, 'a' || (c_custkey + c_custkey % 4) AS id FROM customer WHERE c_custkey % 3 = 0)

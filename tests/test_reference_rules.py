@@ -185,3 +185,33 @@ def test_files_reach_their_days_byte_for_byte(spark, tmp_path):
         rows = spark.read.parquet(f"{tmp_path}/out").collect()
         assert {r["name"]: bytes(r["content"]) for r in rows} == {k: v for k, v in bodies.items() if k.startswith("x")} and len(rows) == 12
     assert (tmp_path / "out" / "year=2024" / "month=2" / "day=14").is_dir() or (tmp_path / "out" / "year=2024" / "month=02" / "day=14").is_dir()
+
+
+def test_incremental_identities_equal_a_full_resolution(spark):
+    rng = random.Random(8)
+    every = [(i, [("s", f"k{rng.randrange(90)}") for _ in range(rng.randrange(1, 4))]) for i in range(120)]
+    schema = "record_id long, ids array<struct<source:string,id:string>>"
+    full = spark.createDataFrame([(i, ids, 0, "n", "e") for i, ids in every], f"{schema}, source_rank int, name string, email string")
+    person = {r["record_id"]: r["person_id"] for r in p.resolve_identities(full).collect()}
+    old, new = every[:90], every[90:]
+    first = p.resolve_identities(full.filter("record_id < 90")).select("person_id", "record_id").checkpoint()
+    ids = first.join(full, "record_id").select("person_id", F.explode("ids").alias("x")).select("person_id", "x.source", "x.id").distinct()
+    assigned, merged = p.resolve_against(ids, spark.createDataFrame(new, schema))
+    moved = {r["record_id"]: (False, r["person_id"]) for r in p.remap_owners(first, merged, "person_id").collect()} | {r["record_id"]: (r["is_new"], r["person_id"]) for r in assigned.collect()}
+    assert moved.keys() == person.keys() and merged.count() > 0 and old
+    for a in moved:
+        for b in moved:
+            assert (moved[a] == moved[b]) == (person[a] == person[b]), (a, b)
+    touched = {k for _, x in new for k in x}
+    assert {r["old_id"] for r in merged.collect()} <= {r["person_id"] for r in ids.collect() if (r["source"], r["id"]) in touched}
+
+
+def test_dated_fields_of_a_person_are_one(spark):
+    types = "types array<struct<value:string,valid_from:timestamp,valid_to:timestamp>>"
+    d = lambda n: T0 + timedelta(days=n)
+    records = spark.createDataFrame([(1, 1, [("b", d(0), d(30))]), (2, 0, [("a", d(10), d(20))]), (3, 0, [("c", d(0), d(5)), ("a", d(20), d(25))])], f"record_id long, source_rank int, {types}")
+    persons = spark.createDataFrame([(1, 7), (2, 7), (3, 8)], "record_id long, person_id long")
+    day = lambda s: round((s - d(0).replace(tzinfo=timezone.utc).timestamp()) / 86400)
+    for truncate, want in ((True, {(7, "a", 10, 20, False), (7, "b", 0, 10, False), (7, "b", 20, 30, False)}), (False, {(7, "a", 10, 20, False), (7, "b", 0, 30, True)})):
+        got = {(r["person_id"], r["value"], day(r["from_s"]), day(r["to_s"]), r["rejected"]) for r in p.merge_dated(records, persons, F.col("types"), truncate).collect()}
+        assert got == want | {(8, "c", 0, 5, False), (8, "a", 20, 25, False)}
