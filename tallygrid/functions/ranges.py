@@ -7,24 +7,34 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tallygrid.functions.folders import shared_folder
 
 
-def running_sum(rows: DataFrame, group: list[str], order: list[Column], value: str, name: str) -> DataFrame:
-    """``rows`` with ``name``, the sum of ``value`` over the rows of the group up to and with this one.
-
-    Rows are range-partitioned by group and order, so a group of any size lies in as many tasks as it needs; each range sums on its own, and what lies before it is a sum over ranges, of which there are as many as
-    partitions. ``order`` should leave no ties; null values add nothing. The ranges are checkpointed, since a second look at them must find the same.
-    """
+def _running(rows: DataFrame, group: list[str], order: list[Column], value: str, name: str, how: str, upto: int) -> DataFrame:
     shared_folder(rows.sparkSession)
+    fold, zero = (F.sum, F.lit(0)) if how == "sum" else (F.max, F.lit(None))
     dealt = rows.repartitionByRange(*map(F.col, group), *order).withColumn("__range", F.spark_partition_id()).checkpoint()
     before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0)
-    sums = dealt.groupBy(*group, "__range").agg(F.coalesce(F.sum(value), zero).alias("__n"))
-    bases = sums.withColumn("__base", F.coalesce(F.sum("__n").over(before), zero)).drop("__n")
+    sums = dealt.groupBy(*group, "__range").agg(F.coalesce(fold(value), zero).alias("__n"))
+    bases = sums.withColumn("__base", F.coalesce(fold("__n").over(before), zero)).drop("__n")
     for c in group:
         bases = bases.withColumnRenamed(c, f"__{c}")
     same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in group] + [dealt["__range"] == bases["__range"]]
-    inside = Window.partitionBy(*group, dealt["__range"]).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = fold(value).over(Window.partitionBy(*group, dealt["__range"]).orderBy(*order).rowsBetween(Window.unboundedPreceding, upto))
     both = dealt.join(bases, same)
-    return both.withColumn(name, F.col("__base") + F.coalesce(F.sum(value).over(inside), zero)).select(*rows.columns, name)
+    out = F.col("__base") + F.coalesce(inside, zero) if how == "sum" else F.greatest("__base", inside)
+    return both.withColumn(name, out).select(*rows.columns, name)
+
+
+def running_sum(rows: DataFrame, group: list[str], order: list[Column], value: str, name: str) -> DataFrame:
+    """``rows`` with ``name``, the sum of ``value`` over the rows of the group up to and with this one.
+
+    Rows are range-partitioned by group and order, so a group of any size lies in as many tasks as it needs; each range sums on its own, and what lies before it is a sum over ranges, of which there are as many as
+    partitions. ``order`` should leave no ties; null values add nothing. The ranges are checkpointed, since a second look at them must find the same.
+    """
+    return _running(rows, group, order, value, name, "sum", 0)
+
+
+def running_max(rows: DataFrame, group: list[str], order: list[Column], value: str, name: str, before: bool = False) -> DataFrame:
+    """As :func:`running_sum`, the greatest ``value`` up to and with the row, or (``before``) of the rows before it; null where there is none."""
+    return _running(rows, group, order, value, name, "max", -1 if before else 0)
 
 
 def with_total(rows: DataFrame, group: list[str], value: str, name: str) -> DataFrame:

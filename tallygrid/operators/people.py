@@ -7,6 +7,7 @@ from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallygrid.functions.ranges import running_max
 from tallygrid.functions.timeaxis import epoch, seconds
 
 
@@ -180,16 +181,37 @@ def _after(state: Column, i: Column, truncate: bool) -> Column:
     return _let(end, with_end)
 
 
+#: A key with more inserts is cut into islands that are folded side by side.
+LARGE_KEY = 10_000
+
+
+def _islands(each: DataFrame, key: str) -> DataFrame:
+    """``each`` (key, i: seq, a, b, v) with island: runs of inserts whose periods overlap or touch, one after the other. Rules look at periods that overlap or touch only, so islands can't influence each other; an open end reaches all that follows."""
+    rows = each.select(key, F.col("i.a").alias("__a"), F.col("i.b").alias("__b"), F.col("i.seq").alias("__seq"), "i")
+    order = [F.col("__a"), F.col("__b"), F.col("__seq")]
+    reach = running_max(rows, [key], order, "__b", "__reach", before=True)
+    begun = reach.withColumn("__begin", F.when(F.col("__reach").isNull() | (F.col("__a") > F.col("__reach")), F.col("__a")))
+    return running_max(begun, [key], order, "__begin", "island").select(key, "i", "island")
+
+
 def insert_dated(inserts: DataFrame, key: str, truncate: bool = False) -> DataFrame:
     """Inserts (key, seq, value, from_s, to_s; null = open, equal ends: nothing) taken in order of seq into periods per key: key, value, from_s, to_s, rejected.
 
-    A rejected insert comes back as a row of its own. Whether an insert is rejected depends on all before it, so a key is folded in order, by built-in functions over the array of its inserts.
+    A rejected insert comes back as a row of its own. Whether an insert is rejected depends on those before it whose periods meet, so a key is folded in order, by built-in functions over the array of its inserts.
+    Keys of more than ``LARGE_KEY`` inserts are cut into islands (:func:`_islands`), found by ranges of the key's inserts and folded in as many tasks as there are; one island is folded by one.
     """
     lo, hi = F.coalesce(F.col("from_s").cast("double"), F.lit(-_OPEN)), F.coalesce(F.col("to_s").cast("double"), F.lit(_OPEN))
     each = inserts.select(key, F.struct("seq", lo.alias("a"), hi.alias("b"), F.col("value").cast("string").alias("v")).alias("i")).filter("i.a < i.b")
+    large = each.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > LARGE_KEY).select(F.col(key).alias("__large"))
+    whole = F.lit(0.0).alias("island")
+    if large.isEmpty():
+        dealt = each.select(key, "i", whole)
+    else:
+        is_large = F.col(key).eqNullSafe(F.col("__large"))
+        dealt = each.join(large, is_large, "left_anti").select(key, "i", whole).unionByName(_islands(each.join(large, is_large, "left_semi"), key))
     state = f"struct<held:{_PERIODS},bad:{_PERIODS}>"
     none = F.struct(F.array().cast(_PERIODS).alias("held"), F.array().cast(_PERIODS).alias("bad")).cast(state)
-    done = each.groupBy(key).agg(F.array_sort(F.collect_list("i")).alias("i")).select(key, F.aggregate("i", none, lambda s, i: _after(s, i, truncate).cast(state)).alias("s"))
+    done = dealt.groupBy(key, "island").agg(F.array_sort(F.collect_list("i")).alias("i")).select(key, F.aggregate("i", none, lambda s, i: _after(s, i, truncate).cast(state)).alias("s"))
     shown = lambda rejected: lambda h: F.struct(h["v"].alias("value"), F.nullif(h["a"], F.lit(-_OPEN)).alias("from_s"), F.nullif(h["b"], F.lit(_OPEN)).alias("to_s"), F.lit(rejected).alias("rejected"))
     both = F.concat(F.transform("s.held", shown(False)), F.transform("s.bad", shown(True)))
     return done.select(key, F.inline(both))

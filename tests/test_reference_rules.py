@@ -215,3 +215,21 @@ def test_dated_fields_of_a_person_are_one(spark):
     for truncate, want in ((True, {(7, "a", 10, 20, False), (7, "b", 0, 10, False), (7, "b", 20, 30, False)}), (False, {(7, "a", 10, 20, False), (7, "b", 0, 30, True)})):
         got = {(r["person_id"], r["value"], day(r["from_s"]), day(r["to_s"]), r["rejected"]) for r in p.merge_dated(records, persons, F.col("types"), truncate).collect()}
         assert got == want | {(8, "c", 0, 5, False), (8, "a", 20, 25, False)}
+
+
+@pytest.mark.parametrize("truncate", [False, True])
+def test_islands_of_a_large_key_equal_the_fold(spark, monkeypatch, truncate):
+    rng = random.Random(3)
+    rows = []
+    for seq in range(3000):  # islands of a few days, some touch, a few open ends late in time
+        a = rng.randrange(400) * 10.0 + rng.randrange(6)
+        b = None if a > 3950 and rng.random() < 0.1 else a + rng.randrange(1, 5)
+        rows.append((rng.choice([1, 1, 1, 2, None]), seq, rng.choice("xyz"), a, b))
+    df = spark.createDataFrame(rows, "k long, seq long, value string, from_s double, to_s double").repartition(5)
+    found = []
+    for large in (10_000, 100):
+        monkeypatch.setattr(p, "LARGE_KEY", large)
+        found.append(sorted(map(str, p.insert_dated(df, "k", truncate).collect())))
+    assert found[0] == found[1] and len(found[0]) > 500
+    cut = p._islands(df.select("k", F.struct("seq", F.col("from_s").alias("a"), F.coalesce("to_s", F.lit(1e18)).alias("b"), F.col("value").alias("v")).alias("i")), "k")
+    assert cut.filter("k = 1").select("island").distinct().count() > 200
