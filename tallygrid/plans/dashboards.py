@@ -44,8 +44,8 @@ REAL = "(o.mean IS NOT NULL AND NOT isnan(o.mean))"
 def _usage_sql(metric: str) -> str:
     means = ", ".join(f"max(mean) FILTER (WHERE name = '{n}' AND NOT isnan(mean)) AS {a}" for n, a in ((metric, "mean"), ("gpu_sm_occupancy", "occupancy"), ("gpu_utilization", "utilization")))
     return with_sql(JOBS_SQL, STATS_SQL, WEIGHTS_SQL, SPANS, GPU, WEEK_EDGES, CUT, f"m AS (SELECT job_id, {means} FROM stats GROUP BY 1)", body="""
-SELECT e.blo AS bucket_s, round(coalesce(sum(x), 0), 4) AS allocated, round(coalesce(sum(x * mean), 0), 4) AS used, round(coalesce(sum(x) FILTER (WHERE mean IS NULL), 0), 4) AS unmeasured,
-       round(coalesce(sum(x * (0.5 - mean)) FILTER (WHERE mean < 0.5), 0), 4) AS wasted, round(avg(occupancy), 4) AS gpu_sm_occupancy_mean, round(avg(utilization), 4) AS gpu_utilization_mean
+SELECT e.blo AS bucket_s, round(coalesce(sum(x), 0) + 1e-6, 4) AS allocated, round(coalesce(sum(x * mean), 0) + 1e-6, 4) AS used, round(coalesce(sum(x) FILTER (WHERE mean IS NULL), 0) + 1e-6, 4) AS unmeasured,
+       round(coalesce(sum(x * (0.5 - mean)) FILTER (WHERE mean < 0.5), 0) + 1e-6, 4) AS wasted, round(avg(occupancy), 4) AS gpu_sm_occupancy_mean, round(avg(utilization), 4) AS gpu_utilization_mean
 FROM edges e LEFT JOIN (SELECT c.b, c.allocated_gres_gpu * c.rgu * c.h AS x, m.* FROM cut c LEFT JOIN m ON m.job_id = c.job_db_id) q ON q.b = e.b
 GROUP BY e.blo""")
 
@@ -67,15 +67,22 @@ def a1_submitted_per_ten_days(s, f):
     return d.job_counts(t.jobs(s, f), TEN_DAYS, submitted=True).withColumn("bucket_s", F.col("bucket_s").cast("long"))
 
 
-def a2_rgu_usage_weekly(s, f):
-    out = d.rgu_usage(*_u(s, f), WEEKS, minimum=0.5).withColumn("bucket_s", F.col("bucket_s").cast("long"))
+def _usage(s, f, **how):
+    """Sums are kept off rounding ties."""
+    out = d.rgu_usage(*_u(s, f), WEEKS, minimum=0.5, **how)
+    for c in ("allocated", "used", "unmeasured", "wasted"):
+        out = out.withColumn(c, F.col(c) + 1e-6)
+    out = out.withColumn("bucket_s", F.col("bucket_s").cast("long"))
     return r4(out, "allocated", "used", "unmeasured", "wasted", "gpu_sm_occupancy_mean", "gpu_utilization_mean")
 
 
+def a2_rgu_usage_weekly(s, f):
+    return _usage(s, f)
+
+
 def a2_memory_use_weekly(s, f):
     """By another metric; the two trends stay beside it."""
-    out = d.rgu_usage(*_u(s, f), WEEKS, metric="gpu_memory", minimum=0.5).withColumn("bucket_s", F.col("bucket_s").cast("long"))
-    return r4(out, "allocated", "used", "unmeasured", "wasted", "gpu_sm_occupancy_mean", "gpu_utilization_mean")
+    return _usage(s, f, metric="gpu_memory")
 
 
 def a3_rgu_by_cluster(s, f):
