@@ -253,7 +253,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
     fingerprints, and a link is kept after an exact check of both shingle sets (:func:`overlapping`).
 
     Equal wide fingerprints are one node. All members of a cell meet its ``LEADERS`` first; then, in cells that still hold several
-    components, the members outside the largest meet all others of another one. So pairs within a group of copies are not made, and
+    components, the members outside the largest meet all others of another one, each pair once. So pairs within a group of copies are not made, and
     of pairs that share a cell none is left out. Null and empty texts are one group; odd rows as in :func:`near_duplicates`.
     """
     reach_workers(docs.sparkSession)
@@ -262,9 +262,10 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
     nodes = written(each.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), *[F.min(c).alias(c) for c in (*_WIDE_COLUMNS, *_SAMPLE_COLUMNS)]), "distinct")
     texts = nodes.select("node", "row")
     cells = nodes.select("node", F.inline(F.array(*[F.struct(F.lit(k).alias("sample"), _counts(F.col(c)).alias("cell")) for k, c in enumerate(_SAMPLE_COLUMNS)])))
+    every = [_counts(F.col(c)).alias(f"cell{k}") for k, c in enumerate(_SAMPLE_COLUMNS)]
     keys, turn = ["sample", "cell"], [F.xxhash64("node", F.lit(k)) for k in range(LEADERS)]
     shared = written(cells.groupBy(*keys).agg(F.count("*").alias("n"), *[F.min(x).alias(f"turn{k}") for k, x in enumerate(turn)]).filter("n > 1").drop("n"), "cells")
-    own = nodes.select(F.col("node").alias("__n"), *_WIDE_COLUMNS)
+    own = nodes.select(F.col("node").alias("__n"), *every, *_WIDE_COLUMNS)
     met = cells.join(shared, keys)
     leads = F.array_contains(F.array(*[x == F.col(f"turn{k}") for k, x in enumerate(turn)]), True).alias("leads")
     members = written(met.select("node", *keys, leads).join(own, F.col("node") == F.col("__n")).drop("__n"), "members")
@@ -282,7 +283,12 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
     mixed = written(held.filter("roots > 1").drop("roots"), "mixed")
     rest = written(rooted.join(mixed, keys), "rest")
     a, b = rest.filter("root <> main").alias("a"), rest.alias("b")
-    links = overlapping(a.join(b, near("a", "b") & (F.col("a.root") != F.col("b.root"))).select(*ends), docs, texts, width, similarity)
+    # a pair is made once: in the first of its common cells, all of which are here since its roots differ, and in one order
+    first = F.lit(True)
+    for k in range(SAMPLES):
+        first &= (F.col("a.sample") <= k) | (F.col(f"a.cell{k}") != F.col(f"b.cell{k}"))
+    once = (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
+    links = overlapping(a.join(b, near("a", "b") & once & first).select(*ends), docs, texts, width, similarity)
     for end in ("u", "v"):
         links = links.join(nodes.select(F.col("node").alias("__n"), F.col("root").alias("__r")), F.col(end) == F.col("__n")).withColumn(end, F.col("__r")).drop("__n", "__r")
     return _named(each.select("doc_id", "node"), _merged(nodes, links.distinct()), "node").select("doc_id", "component_id")
