@@ -265,7 +265,7 @@ def test_names_match_as_by_brute_force(spark, threshold):
     rng = random.Random(threshold)
     kind = "id long, name string, email string"
     lists = [[(i, "".join(rng.choices("aé bc#", k=rng.randrange(3, 9))), "") for i in range(n)] + [(n, None, "")] for n in (60, 40)]
-    known = [{i: Counter(c.translate(str.maketrans("é", "e")) for c in name if c != "#") for i, name, _ in x if name is not None} for x in lists]
+    known = [{i: Counter(name.translate(str.maketrans("é", "e"))) for i, name, _ in x if name is not None} for x in lists]
     want = set()
     for i, a in known[0].items():
         near = [o for o, b in known[1].items() if sum(abs(a[c] - b[c]) for c in a.keys() | b.keys()) <= threshold]
