@@ -39,7 +39,9 @@ def hours_by_category(jobs: DataFrame, lo: datetime, hi: datetime) -> DataFrame:
     e = seconds(F.col("end_time"))
     s = e - F.col("elapsed_time")
     inside = F.greatest(F.least(e, F.lit(epoch(hi))) - F.greatest(s, F.lit(epoch(lo))), F.lit(0.0))
-    x = jobs.filter((F.col("allocated_gres_gpu") > 0) & F.col("end_time").isNotNull()).select((inside / HOUR * F.col("allocated_gres_gpu")).alias("h"), F.col("elapsed_time").alias("t"), F.col("allocated_gres_gpu").alias("g"), (F.col("elapsed_time") / HOUR * F.col("allocated_gres_gpu")).alias("gh")).filter("h > 0")
+    x = jobs.filter((F.col("allocated_gres_gpu") > 0) & F.col("end_time").isNotNull()).select(
+        (inside / HOUR * F.col("allocated_gres_gpu")).alias("h"), F.col("elapsed_time").alias("t"), F.col("allocated_gres_gpu").alias("g"), (F.col("elapsed_time") / HOUR * F.col("allocated_gres_gpu")).alias("gh")
+    ).filter("h > 0")
     t, g, gh = F.col("t"), F.col("g"), F.col("gh")
     duration = F.when(t < HOUR, "< 1 h").when(t < DAY, "1-24 h").when(t < 28 * DAY, "1-28 d").otherwise(">= 28 d")
     count = F.when(g == 1, "1").when(g <= 4, "2-4").when(g <= 8, "5-8").when(g <= 32, "9-32").otherwise(">= 33")

@@ -265,13 +265,18 @@ def _documents(s, f):
     j = t.jobs(s, f).withColumn("submit_s", F.unix_timestamp("submit_time"))
     num = "IF(new, concat('{\"set\":true,\"infinite\":false,\"number\":', x, '}'), CAST(x AS string))"
     body = j.selectExpr("*", "cluster_id % 2 = 1 AS new").select("cluster_id", "job_db_id", "new", F.format_string(
-        '{"account":"acc","array":{"job_id":0,"task_id":%s},"cluster":"other","constraints":"","exit_code":{"return_code":%s,"signal":{"signal_id":9}},"flags":["STARTED_ON_SUBMIT","X"],"group":%s,"job_id":%d,"name":"%s","nodes":"%s","partition":"main","priority":%s,"qos":"normal","state":{"current":%s},"time":{"elapsed":%d,"start":%d,"end":0,"submission":%d,"limit":%s},"tres":{"requested":[{"type":"cpu","name":"","count":%d}],"allocated":[{"type":"cpu","name":"","count":1},{"type":"cpu","name":"","count":%d},{"type":"gres","name":"gpu:a100","count":%d}]},"user":"%s","working_directory":"/w"}',
+        '{"account":"acc","array":{"job_id":0,"task_id":%s},"cluster":"other","constraints":"","exit_code":{"return_code":%s,"signal":{"signal_id":9}},"flags":["STARTED_ON_SUBMIT","X"],'
+        '"group":%s,"job_id":%d,"name":"%s","nodes":"%s","partition":"main","priority":%s,"qos":"normal","state":{"current":%s},'
+        '"time":{"elapsed":%d,"start":%d,"end":0,"submission":%d,"limit":%s},"tres":{"requested":[{"type":"cpu","name":"","count":%d}],'
+        '"allocated":[{"type":"cpu","name":"","count":1},{"type":"cpu","name":"","count":%d},{"type":"gres","name":"gpu:a100","count":%d}]},"user":"%s","working_directory":"/w"}',
         *[F.expr(num.replace("x", x)) for x in ("job_db_id % 5", "job_db_id % 3")], F.expr("IF(job_db_id % 19 = 0, 'null', '\"grp\"')"), F.col("job_db_id"), F.col("name"),
         F.expr("IF(job_db_id % 29 = 0, 'None assigned', concat('cn-[', lpad(job_db_id % 40, 3, '0'), '-', lpad(job_db_id % 40 + 2, 3, '0'), '],gpu', job_db_id % 7))"),
         F.expr(num.replace("x", "job_db_id % 1000")), F.expr("IF(new, concat('[\"', job_state, '\"]'), concat('\"', job_state, '\"'))"), F.col("elapsed_time").cast("long"), F.coalesce(F.unix_timestamp("start_time"), F.lit(4294967294)), F.col("submit_s"),
         F.expr(num.replace("x", "coalesce(time_limit div 60, 0)")), F.col("requested_cpu"), F.col("allocated_cpu"), F.coalesce("allocated_gres_gpu", F.lit(0)), F.col("cluster_user")).alias("j"))
     docs = body.groupBy("cluster_id", "new", F.floor(F.col("job_db_id") / 1000).alias("b")).agg(F.array_join(F.collect_list("j"), ",").alias("jobs"))
-    return docs.select(F.concat(F.lit("c"), F.col("cluster_id").cast("string")).alias("cluster"), F.concat(F.when(F.col("b") % 2 == 0, F.lit("Welcome!\n")).otherwise(F.lit("")), F.lit('{"meta":{"Slurm":{"version":{"major":"'), F.when(F.col("new"), "23").otherwise("21"), F.lit('","minor":"11"}}},"jobs":['), F.col("jobs"), F.lit("]}")).alias("text"))
+    banner, major = F.when(F.col("b") % 2 == 0, F.lit("Welcome!\n")).otherwise(F.lit("")), F.when(F.col("new"), "23").otherwise("21")
+    text = F.concat(banner, F.lit('{"meta":{"Slurm":{"version":{"major":"'), major, F.lit('","minor":"11"}}},"jobs":['), F.col("jobs"), F.lit("]}"))
+    return docs.select(F.concat(F.lit("c"), F.col("cluster_id").cast("string")).alias("cluster"), text.alias("text"))
 
 
 def s1_read_job_records(s, f):
@@ -279,7 +284,11 @@ def s1_read_job_records(s, f):
 
 
 def _job_columns(out):
-    return out.select("cluster", "job_id", "task_id", "array_job_id", "exit_code", "job_state", "time_limit", F.unix_timestamp("submit_time").alias("submit_s"), F.unix_timestamp("start_time").alias("start_s"), F.array_join("nodes", ",").alias("nodes"), "priority", "allocated_cpu", "allocated_gres_gpu", "allocated_gpu_type", "STARTED_ON_SUBMIT", "CLEAR_SCHEDULING")
+    times = [F.unix_timestamp(f"{c}_time").alias(f"{c}_s") for c in ("submit", "start")]
+    return out.select(
+        "cluster", "job_id", "task_id", "array_job_id", "exit_code", "job_state", "time_limit", *times, F.array_join("nodes", ",").alias("nodes"), "priority",
+        "allocated_cpu", "allocated_gres_gpu", "allocated_gpu_type", "STARTED_ON_SUBMIT", "CLEAR_SCHEDULING",
+    )
 
 
 def s2_expand_hostlist(s, f):
@@ -300,20 +309,28 @@ def s2_many_brackets(s, f):
 def s3_read_metric_series(s, f):
     x = t.samples(s, f)
     one = x.groupBy("job_id", "metric", F.col("labels")["instance"].alias("i")).agg(F.array_sort(F.collect_list(F.struct("sample_pos", "ts_s", "value"))).alias("v"))
-    series = one.select("job_id", F.struct(F.create_map(F.lit("__name__"), F.col("metric"), F.lit("instance"), F.col("i")).alias("metric"), F.transform("v", lambda r: F.array(F.format_string("%.6f", r["ts_s"]), F.when(F.isnan(r["value"]), "NaN").otherwise(r["value"].cast("string")))).alias("values")).alias("s"))
+    labels = F.create_map(F.lit("__name__"), F.col("metric"), F.lit("instance"), F.col("i"))
+    values = F.transform("v", lambda r: F.array(F.format_string("%.6f", r["ts_s"]), F.when(F.isnan(r["value"]), "NaN").otherwise(r["value"].cast("string"))))
+    series = one.select("job_id", F.struct(labels.alias("metric"), values.alias("values")).alias("s"))
     docs = series.groupBy("job_id").agg(F.collect_list("s").alias("s")).select(F.to_json(F.create_map(F.concat(F.lit("c$"), F.col("job_id").cast("string"), F.lit("$2024-01-01")), F.col("s"))).alias("text"))
     out = rec.read_metric_series(docs)
     return out.filter("value < 1e14").select("job_id", "metric", F.round("ts_s", 3).alias("ts_s"), F.round("value", 6).alias("value"))
 
 
 def s4_read_allocations(s, f):
-    lines = t.table(s, f, "customer").select(F.concat_ws(",", F.lit(" 2022-04-01 "), F.lit("2023-04-01"), F.expr("IF(c_custkey % 6 = 5, 'nowhere', element_at(array('africa', 'america', 'asia', 'europe', 'middle east'), CAST(c_custkey % 5 + 1 AS int)))"), F.lit('"res, one"'), F.expr("IF(c_custkey % 4 = 0, concat(' \"g, ', c_custkey, '\"'), concat('g', c_custkey))"), F.expr("IF(c_custkey % 7 = 0, 'bad', CAST(c_custkey AS string))"), F.lit("  "), F.lit(""), F.lit(""), F.lit(""), F.expr("concat(c_custkey % 50, 'TB')"), F.lit("5e6"), F.lit(""), F.lit("surplus")).alias("value"))
+    cluster = F.expr("IF(c_custkey % 6 = 5, 'nowhere', element_at(array('africa', 'america', 'asia', 'europe', 'middle east'), CAST(c_custkey % 5 + 1 AS int)))")
+    group = F.expr("IF(c_custkey % 4 = 0, concat(' \"g, ', c_custkey, '\"'), concat('g', c_custkey))")
+    cpu, size = F.expr("IF(c_custkey % 7 = 0, 'bad', CAST(c_custkey AS string))"), F.expr("concat(c_custkey % 50, 'TB')")
+    cells = (" 2022-04-01 ", "2023-04-01", cluster, '"res, one"', group, cpu, "  ", "", "", "", size, "5e6", "", "surplus")
+    lines = t.table(s, f, "customer").select(F.concat_ws(",", *[F.lit(x) if isinstance(x, str) else x for x in cells]).alias("value"))
     return rec.read_allocations(lines, t.clusters(s, f)).select("cluster_id", "resource_name", "group_name", "cpu_year", "gpu_year", "project_size", "project_inodes", F.date_format("start", "yyyy-MM-dd").alias("start"))
 
 
 def s5_read_disk_reports(s, f):
     rows = t.table(s, f, "customer").select(F.floor(F.col("c_custkey") / 500).alias("p"), F.format_string("   u%d      %d      %d.50 GiB      On disk", F.col("c_custkey"), F.col("c_custkey") % 1000, F.col("c_custkey") % 13).alias("l"))
-    docs = rows.groupBy("p").agg(F.array_join(F.collect_list("l"), "\n").alias("b")).select((F.col("p") % 4).alias("cluster"), F.concat(F.lit("head 1 2\n\nBreakdown for project p"), F.col("p").cast("string"), F.lit(" (Last update: now)\n User  File count  Size  Location\n-----\n"), F.col("b"), F.lit("\n  Total   5   9.0 GiB   On disk\n\nafter 3 4.0 GiB\n")).alias("text"))
+    head, rule = F.lit("head 1 2\n\nBreakdown for project p"), F.lit(" (Last update: now)\n User  File count  Size  Location\n-----\n")
+    text = F.concat(head, F.col("p").cast("string"), rule, F.col("b"), F.lit("\n  Total   5   9.0 GiB   On disk\n\nafter 3 4.0 GiB\n"))
+    docs = rows.groupBy("p").agg(F.array_join(F.collect_list("l"), "\n").alias("b")).select((F.col("p") % 4).alias("cluster"), text.alias("text"))
     return rec.read_disk_reports(docs, "cluster")
 
 
@@ -322,7 +339,9 @@ def _config(s, f):
     k = F.col("s_suppkey")
     node = F.concat(F.lit("NodeName=n"), k.cast("string"), F.lit("-[1-2] CPUs=4 \\\n   Gres=gpu:"), F.when(k % 2 == 0, "a100").otherwise("v100"), F.lit(":4,gpu:mig:1"))
     docs = t.table(s, f, "supplier").groupBy(F.floor(k / 500).alias("cluster")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, node.alias("n")))), lambda x: x["n"]), "\n").alias("b"), F.min(k).alias("least"))
-    return docs.select("cluster", F.concat(F.lit("# NodeName=x Gres=gpu:z:1\n # old nodes \\\n"), F.col("b"), F.lit("\nPartitionName=one Nodes=n"), F.col("least").cast("string"), F.lit("-[1-2] TRESBillingWeights=CPU=1,GRES/gpu=3.0\nPartitionName=two Nodes=ALL TRESBillingWeights=GRES/gpu:a100=4.0,GRES/gpu:v100=2.0\n")).alias("text"))
+    one, two = "-[1-2] TRESBillingWeights=CPU=1,GRES/gpu=3.0\n", "PartitionName=two Nodes=ALL TRESBillingWeights=GRES/gpu:a100=4.0,GRES/gpu:v100=2.0\n"
+    comments = F.lit("# NodeName=x Gres=gpu:z:1\n # old nodes \\\n")
+    return docs.select("cluster", F.concat(comments, F.col("b"), F.lit("\nPartitionName=one Nodes=n"), F.col("least").cast("string"), F.lit(one + two)).alias("text"))
 
 
 def s6_read_node_gpus(s, f):
@@ -385,7 +404,11 @@ def _directory(s, f):
 
 def _legacy(s, f):
     x = t.table(s, f, "customer")
-    return _in_lists(x.select(F.floor(F.col("c_custkey") / 500).alias("b"), F.format_string('{"name":"%s","record_start":"2021-07-01T08:00:00","record_end":%s,"home":{"email":"L%d@x.org","username":"h%d","active":%s},"far":%s,"far_%s":{"ccri":"abc%d-01"}}', "c_name", F.expr("IF(c_custkey % 4 = 0, 'null', '\"2021-12-01T08:00:00\"')"), "c_custkey", "c_custkey", F.expr("IF(c_custkey % 2 = 0, 'true', 'false')"), F.expr("IF(c_custkey % 5 = 0, 'null', concat('{\"username\":\"f', c_custkey, '\"}'))"), F.expr("IF(c_custkey % 3 = 0, 'members', 'roles')"), "c_custkey").alias("j")))
+    person = F.format_string(
+        '{"name":"%s","record_start":"2021-07-01T08:00:00","record_end":%s,"home":{"email":"L%d@x.org","username":"h%d","active":%s},"far":%s,"far_%s":{"ccri":"abc%d-01"}}',
+        "c_name", F.expr("IF(c_custkey % 4 = 0, 'null', '\"2021-12-01T08:00:00\"')"), "c_custkey", "c_custkey", F.expr("IF(c_custkey % 2 = 0, 'true', 'false')"),
+        F.expr("IF(c_custkey % 5 = 0, 'null', concat('{\"username\":\"f', c_custkey, '\"}'))"), F.expr("IF(c_custkey % 3 = 0, 'members', 'roles')"), "c_custkey")
+    return _in_lists(x.select(F.floor(F.col("c_custkey") / 500).alias("b"), person.alias("j")))
 
 
 def _manual(s, f):

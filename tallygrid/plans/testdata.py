@@ -104,7 +104,8 @@ def member_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = "timestamp_seconds(852076800 + (c_custkey % 700) * 86400)"
     return table(spark, sf_dir, "customer").selectExpr(
         "CAST(c_custkey AS bigint) AS user_id",
-        f"inline(array(named_struct('member_type', concat('type', c_custkey % 3), 'valid_from', CAST(NULL AS timestamp), 'valid_to', {cut}), named_struct('member_type', concat('type', (c_custkey + 1) % 3), 'valid_from', {cut} + make_interval(0, 0, 0, CAST(c_custkey % 5 AS int)), 'valid_to', CAST(NULL AS timestamp))))",
+        f"inline(array(named_struct('member_type', concat('type', c_custkey % 3), 'valid_from', CAST(NULL AS timestamp), 'valid_to', {cut}), "
+        f"named_struct('member_type', concat('type', (c_custkey + 1) % 3), 'valid_from', {cut} + make_interval(0, 0, 0, CAST(c_custkey % 5 AS int)), 'valid_to', CAST(NULL AS timestamp))))",
     )
 
 
@@ -119,7 +120,9 @@ def credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = "timestamp_seconds(883612800)"
     return table(spark, sf_dir, "customer").selectExpr(
         "concat('u', c_custkey) AS username",
-        f"inline(array(named_struct('domain', 'north', 'user_id', CAST(c_custkey AS bigint), 'valid_from', CAST(NULL AS timestamp), 'valid_to', {cut}), named_struct('domain', 'north', 'user_id', CAST(c_custkey + 1000000 AS bigint), 'valid_from', {cut}, 'valid_to', CAST(NULL AS timestamp)), named_struct('domain', IF(c_custkey % 7 = 0, 'west', 'south'), 'user_id', CAST(c_custkey AS bigint), 'valid_from', CAST(NULL AS timestamp), 'valid_to', CAST(NULL AS timestamp))))",
+        f"inline(array(named_struct('domain', 'north', 'user_id', CAST(c_custkey AS bigint), 'valid_from', CAST(NULL AS timestamp), 'valid_to', {cut}), "
+        f"named_struct('domain', 'north', 'user_id', CAST(c_custkey + 1000000 AS bigint), 'valid_from', {cut}, 'valid_to', CAST(NULL AS timestamp)), "
+        f"named_struct('domain', IF(c_custkey % 7 = 0, 'west', 'south'), 'user_id', CAST(c_custkey AS bigint), 'valid_from', CAST(NULL AS timestamp), 'valid_to', CAST(NULL AS timestamp))))",
     )
 
 

@@ -50,7 +50,9 @@ def a10_counter_rates(s, f):
 def job_samples(s, f):
     """(samples, jobs) of the nine job metrics, made from the events."""
     names = F.create_map(*[F.lit(x) for x in ("click", "sm_occupancy", "view", "memory_rss", "purchase", "core_usage_total", "error", "power_usage", "signup", "memory_usage", "login", "gpu_utilization")])
-    x = t.samples(s, f).withColumn("metric", F.coalesce(names[F.col("metric")], F.lit("other"))).withColumn("value", F.when(F.col("metric") == "core_usage_total", F.col("value") * 1e10).when(F.col("metric") == "memory_rss", F.col("value") * 2**20).otherwise(F.col("value"))).withColumnRenamed("job_id", "job_db_id")
+    x = t.samples(s, f).withColumn("metric", F.coalesce(names[F.col("metric")], F.lit("other")))
+    scaled = F.when(F.col("metric") == "core_usage_total", F.col("value") * 1e10).when(F.col("metric") == "memory_rss", F.col("value") * 2**20).otherwise(F.col("value"))
+    x = x.withColumn("value", scaled).withColumnRenamed("job_id", "job_db_id")
     jobs = x.select("job_db_id").distinct().withColumn("allocated_mem", F.when(F.col("job_db_id") % 10 == 3, F.lit(0)).otherwise(F.col("job_db_id") + 1))
     return x, jobs
 
