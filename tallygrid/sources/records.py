@@ -30,20 +30,22 @@ def expand_hostlist(nodes: Column) -> Column:
     def numbers(r: Column) -> Column:
         a, b = F.split_part(r, F.lit("-"), F.lit(1)), F.split_part(r, F.lit("-"), F.lit(2))
         whole = lambda x: F.try_to_number(x, F.lit("9999999999")).cast("bigint")
-        padded = lambda n: F.lpad(n.cast("string"), F.greatest(F.char_length(a), F.char_length(n.cast("string"))), F.lit("0"))
+        padded = lambda n: F.when(F.char_length(n.cast("string")) < F.char_length(a), F.lpad(n.cast("string"), F.char_length(a), F.lit("0"))).otherwise(n.cast("string"))
         return F.when(F.contains(r, F.lit("-")), F.transform(F.sequence(whole(a), whole(b)), padded)).otherwise(F.array(r))
 
     def choices(part: Column) -> Column:
-        body = F.regexp_extract(part, r"^\[([^\]]*)\]$", 1)
-        return F.when(F.startswith(part, F.lit("[")), F.flatten(F.transform(F.split(body, ","), numbers))).otherwise(F.array(part))
+        ranges = F.regexp_extract_all(part, F.lit(r"[\[,]([^,\]]*)"), F.lit(1))  # unlike that of split, this pattern is compiled once
+        found = F.when(F.contains(part, F.lit("[")), F.flatten(F.transform(ranges, numbers))).otherwise(F.array(F.lit("")))
+        return F.struct(F.substring_index(part, "[", 1).alias("head"), found.alias("found"))
 
     def one(name: Column) -> Column:
-        """Each part multiplies the names so far by its choices."""
-        parts = F.regexp_extract_all(name, F.lit(r"\[[^\]]*\]|[^\[\]]+"), F.lit(0))
-        return F.aggregate(parts, F.array(F.lit("")).cast("array<string>"), lambda found, part: F.flatten(F.transform(found, lambda x: F.transform(choices(part), lambda y: F.concat(x, y)))))
+        """Each part (a text and the bracket behind it) multiplies the names so far by its choices, which are made once."""
+        parts = F.transform(F.regexp_extract_all(name, F.lit(r"[^\[\]]*\[[^\]]*\]|[^\[\]]+"), F.lit(0)), choices)
+        product = F.aggregate(parts, F.array(F.lit("")).cast("array<string>"), lambda names, part: F.flatten(F.transform(names, lambda x: F.transform(part["found"], lambda y: F.concat(x, part["head"], y)))))
+        return F.when(F.contains(name, F.lit("[")), product).otherwise(F.array(name))
 
     none = F.array().cast("array<string>")
-    return F.when(nodes.isNull() | nodes.isin("", "None assigned"), none).otherwise(F.array_sort(F.array_distinct(F.flatten(F.transform(names, one)))))
+    return F.when(nodes.isNull() | nodes.isin("", "None assigned"), none).otherwise(F.sort_array(F.array_distinct(F.flatten(F.transform(names, one)))))
 
 
 def _unwrap(x: Column) -> Column:

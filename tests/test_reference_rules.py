@@ -24,6 +24,17 @@ def test_host_lists_with_any_brackets(spark):
     assert {r["k"]: r["n"] for r in got} == {k: sorted(v) for k, v in HOSTS.items()}
 
 
+@pytest.mark.parametrize("text, want", [("a[1,,2]b", ["a1b", "a2b", "ab"]), ("a[[1,x[2]", ["a[1", "ax[2"]), ("a[]b", ["ab"]), ("a[10-8]", ["a08", "a09", "a10"]), ("a[x-y]", None), ("a[+1-2]", None)])
+def test_odd_brackets(spark, text, want):
+    assert spark.createDataFrame([(text,)], "h string").select(rec.expand_hostlist(F.col("h")).alias("n")).first()["n"] == want
+
+
+def test_choices_of_brackets_are_made_before_their_product(spark):
+    plan = spark.range(1).select(rec.expand_hostlist(F.concat(F.lit("n[1-2]"), F.col("id"))))._jdf.queryExecution().analyzed().toString()
+    assert "aggregate(transform(" in plan
+    assert "sort_array(" in plan and "array_sort(" not in plan
+
+
 def test_scheduler_documents_are_parsed_once(spark):
     raw = spark.createDataFrame([("c", '{"jobs": [{"job_id": 1, "group": "g"}]}'), ("c", "no json"), ("c", None)], "cluster string, text string")
     rows = rec.read_job_records(raw)
