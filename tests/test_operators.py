@@ -382,3 +382,26 @@ def test_late_submissions_are_dropped(spark, tmp_path):
     feed(30)
     got = {(y["window_s"] - ta.epoch(LO)) / 3600: y["n_jobs"] for y in spark.read.parquet(out).collect()}
     assert got[0] == 2 and got[10] == 1
+
+
+TIED = [(1, "v1", None, 900.0), (1, "v0", None, 900.0), (1, "v0", 500.0, None), (1, "v1", 700.0, 800.0), (1, "v0", 500.0, 600.0)]
+
+
+@pytest.mark.parametrize("turn", range(len(TIED)))
+def test_tied_periods_do_not_go_by_the_order_of_rows(spark, turn):
+    dated = spark.createDataFrame(TIED[turn:] + TIED[:turn], "user_id long, value string, from_s double, to_s double").coalesce(1)
+    periods = dated.select("user_id", "value", F.timestamp_seconds("from_s").alias("valid_from"), F.timestamp_seconds("to_s").alias("valid_to"))
+    first = [r["value"] for r in p.check_no_overlap(periods, ["user_id"]).filter("valid_from IS NULL").collect()]
+    assert first == ["v1"]
+
+
+def test_merged_periods_with_ties(spark):
+    own = [(0, "v0", None, 806.0), (0, "v1", 816.0, 828.0), (0, "v0", 829.0, 836.0), (0, "v1", 835.0, 840.0)]
+    tied = [(3, "v0", None, None), (3, "v0", None, 888.0), (3, "v1", None, 906.0), (3, "v0", 834.0, None), (3, "v1", 836.0, 842.0), (3, "v0", 936.0, None)]
+    mapping, found = spark.createDataFrame([(3, 0)], "old_id long, new_id long"), set()
+    for rows in (own + tied, own + tied[::-1]):
+        dated = spark.createDataFrame(rows, "user_id long, value string, from_s double, to_s double").coalesce(1)
+        found.add(str(sorted(map(str, p.merge_periods(dated, mapping, truncate=True).collect()))))
+        plan = p.merge_periods(dated, mapping, truncate=True)._jdf.queryExecution().optimizedPlan().toString()
+        assert any("row_number" in line and "to_s" in line.split("windowspecdefinition")[1] for line in plan.splitlines() if "windowspecdefinition" in line)
+    assert len(found) == 1
