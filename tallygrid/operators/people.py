@@ -348,25 +348,31 @@ def letter_distance(a: Column, b: Column) -> Column:
 def near_letters(left: DataFrame, right: DataFrame, threshold: int) -> DataFrame:
     """(c, d, distance) of the letter lists ``left`` (c) and ``right`` (d), each distinct, whose counts differ by ``threshold`` or less in sum.
 
-    Characters are dealt into threshold / 2 + 1 blocks by hash, so no alphabet is fixed. In one of the blocks such lists differ by one character at most: they are equal there, or one of them is the other with a
-    character left out. A grid has a cell per block and letters in it; every list stands in its own cell and in those with one character left out, and lists meet where at most one of them has left any out.
-    The distance is a condition of the join.
+    Characters are dealt into blocks by hash, so no alphabet is fixed: one block for a threshold of 2 or less, else threshold / 2 + 1. In one of the blocks such lists differ by ``apart`` characters at most (the threshold, else one), so
+    they are equal there once each has left out what the other lacks. A grid has a cell per block and letters in it; every list stands in its own cell and in those with up to ``apart`` characters left out, and lists meet
+    where they have left out no more together. With one block only lists within the threshold meet; else the distance is a condition of the join.
     """
-    n = threshold // 2 + 1
+    n = 1 if threshold <= 2 else threshold // 2 + 1
+    apart = threshold // n
+
+    def without(x: Column) -> Column:
+        """``x`` with one character less, each way once."""
+        less = F.transform(F.sequence(F.lit(1), F.size(x)), lambda i: F.concat(F.slice(x, F.lit(1), i - 1), F.slice(x, i + 1, F.size(x))))
+        return F.when(F.size(x) > 0, F.array_distinct(less)).otherwise(F.array().cast("array<array<string>>"))
 
     def cells(x: str) -> Column:
         def of(k: int) -> Column:
-            own = F.filter(x, lambda c: F.pmod(F.xxhash64(c), F.lit(n)) == k)
-            less = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(own)), lambda i: F.array_join(F.concat(F.slice(own, F.lit(1), i - 1), F.slice(own, i + 1, F.size(own))), "")))
-            less = F.when(F.size(own) > 0, less).otherwise(F.array().cast("array<string>"))
-            cell = lambda text, out: F.struct(F.lit(k).alias("block"), text.alias("cell"), F.lit(out).alias("out"))
-            return F.concat(F.array(cell(F.array_join(own, ""), 0)), F.transform(less, lambda text: cell(text, 1)))
+            found = [F.array(F.filter(x, lambda c: F.pmod(F.xxhash64(c), F.lit(n)) == k) if n > 1 else F.col(x))]
+            for _ in range(apart):
+                found.append(F.array_distinct(F.flatten(F.transform(found[-1], without))))
+            cell = lambda out: lambda text: F.struct(F.lit(k).alias("block"), F.array_join(text, "").alias("cell"), F.lit(out).alias("out"))
+            return F.concat(*[F.transform(texts, cell(out)) for out, texts in enumerate(found)])
 
         return F.inline(F.concat(*[of(k) for k in range(n)]))
 
     a, b = left.select("c", cells("c")).alias("a"), right.select("d", cells("d")).alias("b")
-    same = (F.col("a.block") == F.col("b.block")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.out") + F.col("b.out") < 2)
-    met = a.join(b, same & (letter_distance(F.col("c"), F.col("d")) <= threshold))
+    same = (F.col("a.block") == F.col("b.block")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.out") + F.col("b.out") <= apart)
+    met = a.join(b, same if n == 1 else same & (letter_distance(F.col("c"), F.col("d")) <= threshold))
     return met.select("c", "d").distinct().withColumn("distance", letter_distance(F.col("c"), F.col("d")))
 
 

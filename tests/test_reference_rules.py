@@ -244,3 +244,10 @@ def test_islands_of_a_large_key_equal_the_fold(spark, monkeypatch, truncate):
     assert found[0] == found[1] and len(found[0]) > 500
     cut = p._islands(df.select("k", F.struct("seq", F.col("from_s").alias("a"), F.coalesce("to_s", F.lit(1e18)).alias("b"), F.col("value").alias("v")).alias("i")), "k")
     assert cut.filter("k = 1").select("island").distinct().count() > 200
+
+
+def test_only_letters_within_a_small_threshold_meet(spark):
+    a = spark.createDataFrame([(list("aabc"),), (list("abc"),), ([],)], "c array<string>")
+    found = p.near_letters(a, a.withColumnRenamed("c", "d"), 2)
+    assert not any("Join" in line and "array_except" in line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert sorted(("".join(r["c"]), "".join(r["d"]), r["distance"]) for r in found.collect()) == [("", "", 0), ("aabc", "aabc", 0), ("aabc", "abc", 1), ("abc", "aabc", 1), ("abc", "abc", 0)]
