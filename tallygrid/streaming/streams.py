@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallygrid.operators.samples import metric_statistics
@@ -22,19 +23,25 @@ def stream_latest(stream: DataFrame, keys: list[str], order: str, path: str, par
     """
     def step(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        batch = batch.withColumn("part", part)
-        touched = [r["part"] for r in batch.select("part").distinct().collect()]  # partitions, not keys
-        if not touched:
-            return
-        old = stored(spark, path, batch.schema)
-        old = batch.limit(0) if old is None else old.filter(F.col("part").isin(touched))
-        upsert(old, batch, keys, order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+        batch = batch.withColumn("part", part).persist(StorageLevel.DISK_ONLY)  # documents are parsed once, and rows take no memory
+        try:
+            touched = [r["part"] for r in batch.select("part").distinct().collect()]  # partitions, not keys
+            if not touched:
+                return
+            old = stored(spark, path, batch.schema)
+            old = batch.limit(0) if old is None else old.filter(F.col("part").isin(touched))
+            upsert(old, batch, keys, order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+        finally:
+            batch.unpersist()
 
     return _each_batch(stream, step, checkpoint)
 
 
 def stream_job_records(raw: DataFrame, keys: list[str], order: str, path: str, part: Column, checkpoint: str):
-    """Scheduler documents (text, cluster, ``order``) as they are dropped, read into job rows (:func:`tallygrid.sources.records.read_job_records`), the newest of each key kept."""
+    """Scheduler documents (text, cluster, ``order``) as they are dropped, read into job rows (:func:`tallygrid.sources.records.read_job_records`), the newest of each key kept.
+
+    Parquet is read in batches of up to 4096 rows, so drops of large documents should have few in each file (``maxRecordsPerFile``).
+    """
     return stream_latest(read_job_records(raw, order), keys, order, path, part, checkpoint)
 
 

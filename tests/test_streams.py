@@ -155,3 +155,15 @@ def test_replayed_drops_go_by_the_nearest_second_as_the_sql_does(spark, tmp_path
     c = duckdb.connect()
     c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert sorted(map(tuple, intake.s9_replay(spark, str(tmp_path)).collect())) == sorted(c.execute(intake.SQL["s9_replay"]).fetchall())
+
+
+def test_few_large_documents_are_read_at_once(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    from tallygrid.plans import intake
+
+    monkeypatch.setattr(intake, "DOCUMENTS_PER_FILE", 1)
+    monkeypatch.setattr(intake, "checkpoint_dir", lambda _, k=iter("abc"): f"{tmp_path}/{next(k)}")
+    assert intake.t1_stream_job_records(spark, "/root/testdata/sf0.001").count() > 0
+    files = glob.glob(f"{tmp_path}/a/day=*/*.parquet")
+    assert files and all(pq.read_metadata(f).num_rows <= 1 for f in files)
