@@ -18,6 +18,8 @@ SEED = 42
 CHUNK = 1 << 15
 #: Links of one text that are checked in one task, about.
 CHECKED = 500
+#: Differing bits of 64 up to which the grid finds every pair of texts.
+RADIUS = 3
 #: Longs of a wide fingerprint (1024 bits), fingerprints of samples per text, and leaders that every member of a cell meets first.
 WIDE, SAMPLES, LEADERS = 16, 6, 2
 
@@ -35,17 +37,24 @@ def _shingles(text: bytes, width: int) -> Iterator[int]:
     return (digest(s, SEED) for s in map(b" ".join, zip(*(islice(words, k, None) for k in range(width)))))
 
 
-def _fingerprint(text: bytes, width: int) -> int:
-    """64 bits: bit b is 1 if it is set in over half of the shingle hashes (repeats count); 0 without words."""
-    from itertools import islice
-
-    hashes, ones, n = _shingles(text, width), np.zeros(64, np.int64), 0
-    while len(h := np.fromiter(islice(hashes, CHUNK), np.uint64)):
+def _majority(parts: Iterator[np.ndarray]) -> int:
+    """64 bits: bit b is 1 if it is set in over half of the hashes, which come in ``parts``; 0 without any."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in parts:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(h)
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
+def _fingerprint(text: bytes, width: int) -> int:
+    """The majority of the shingle hashes (repeats count)."""
+    from itertools import count, islice, takewhile
+
+    hashes = _shingles(text, width)
+    parts = (np.fromiter(islice(hashes, CHUNK), np.uint64) for _ in count())
+    return _majority(takewhile(len, parts))
+
+
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp long) of whole texts: A-Z lower-cased, shingles of ``width`` words, XXH64 of each. Null text has no words; other columns are ignored."""
 
@@ -75,7 +84,7 @@ def _blocks(radius: int) -> list[range]:
     return [range(32 * k // n, 32 * (k + 1) // n) for k in range(n)]
 
 
-def near_pairs(fps: DataFrame, radius: int = 3) -> DataFrame:
+def near_pairs(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(u, v) of distinct fingerprints ``fps`` (fp; with components so far root) with at most ``radius`` differing bits; each pair at least once.
 
     Bits that differ change the counts of their segments by no more, so Manhattan distance between count vectors is a lower
@@ -83,13 +92,16 @@ def near_pairs(fps: DataFrame, radius: int = 3) -> DataFrame:
     A grid has a cell per block and vector of counts in it; every fingerprint stands in its own cell and asks its own
     cell and those with one count higher (a lower one is the other's higher one). Rows that meet are held against the bound, then
     compared exactly, both in the join's condition: no pair that is not a link leaves it. All links are found; nothing is capped.
-    With a column root, pairs of one root are left out and (u, v) are the roots.
+    With a column root, pairs of one root are left out and (u, v) are the roots; with a column name besides, a fingerprint may
+    stand under several roots, its own rows are pairs too, and (u, v) are the names.
     """
     def masked(counts: Column, block: range) -> Column:
         return counts.bitwiseAND(_long(sum(3 << (2 * s) for s in block)))
 
     root = F.col("root") if "root" in fps.columns else F.col("fp").alias("root")
-    counted = fps.select("fp", _counts(F.col("fp")).alias("c"), root)
+    name = "name" if "name" in fps.columns else "root"
+    carried = list(dict.fromkeys(["root", name]))
+    counted = fps.select("fp", _counts(F.col("fp")).alias("c"), root, *carried[1:])
     own, asks = [], []
     for k, block in enumerate(_blocks(radius)):
         cell = masked(F.col("c"), block)
@@ -99,12 +111,15 @@ def near_pairs(fps: DataFrame, radius: int = 3) -> DataFrame:
             field = F.shiftrightunsigned("c", 2 * s).bitwiseAND(F.lit(3))
             higher = cell.bitwiseXOR(F.when(field == 0, _long(1 << (2 * s))).otherwise(_long(2 << (2 * s))))
             asks.append(F.when(field < 3, F.struct(F.lit(k).alias("block"), higher.alias("cell"), F.lit(1).alias("step"))))
-    b = counted.select(F.col("fp").alias("v"), "c", "root", F.inline(F.array(*own))).alias("b")
-    a = counted.select(F.col("fp").alias("u"), "c", "root", F.explode(F.array_compact(F.array(*asks))).alias("a")).select("u", "c", "root", "a.*").alias("a")
+    b = counted.select(F.col("fp").alias("v"), "c", *carried, F.inline(F.array(*own))).alias("b")
+    a = counted.select(F.col("fp").alias("u"), "c", *carried, F.explode(F.array_compact(F.array(*asks))).alias("a")).select("u", "c", *carried, "a.*").alias("a")
     bound = F.bit_count(F.col("a.c").bitwiseXOR(F.col("b.c"))) <= radius
     near = F.bit_count(F.col("a.u").bitwiseXOR(F.col("b.v"))) <= radius
     once = (F.col("a.step") == 1) | (F.col("a.u") < F.col("b.v"))
-    return a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.cell") == F.col("b.cell")) & once & bound & near & (F.col("a.root") != F.col("b.root"))).select(F.col("a.root").alias("u"), F.col("b.root").alias("v"))
+    if name != "root":
+        once |= (F.col("a.u") == F.col("b.v")) & (F.col(f"a.{name}") < F.col(f"b.{name}"))
+    meet = (F.col("a.block") == F.col("b.block")) & (F.col("a.cell") == F.col("b.cell"))
+    return a.join(b, meet & once & bound & near & (F.col("a.root") != F.col("b.root"))).select(F.col(f"a.{name}").alias("u"), F.col(f"b.{name}").alias("v"))
 
 
 def _merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -120,7 +135,7 @@ def _named(each: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     return each.join(known, F.col(key) == F.col("__k")).drop("__k")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
     """A row per document (doc_id, text): doc_id, fp, component_id, the smallest doc_id that links of at most ``radius`` bits reach.
 
     Equal fingerprints become one node before any join, so groups of copies cost one row; links are found between
@@ -155,10 +170,11 @@ def _factors() -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketch(text: bytes, width: int, wide: np.ndarray, sampling: np.ndarray) -> list[int]:
-    """The wide fingerprint of a text's distinct shingles, and for each sampling that of the three that it ranks first; zeros without words."""
-    h = np.unique(np.fromiter(_shingles(text, width), np.uint64))
+    """The fingerprint of a text (:func:`_fingerprint`), the wide one of its distinct shingles, and for each sampling that of the three that it ranks first; zeros without words."""
+    every = np.fromiter(_shingles(text, width), np.uint64)
+    h = np.unique(every)
     if not len(h):
-        return [0] * (WIDE + SAMPLES)
+        return [0] * (1 + WIDE + SAMPLES)
 
     ones, least, ties = np.zeros(64 * WIDE, np.int64), np.full(WIDE, ~np.uint64(0)), np.zeros(WIDE, np.uint64)
     for at in range(0, len(h), 250):
@@ -172,7 +188,7 @@ def _sketch(text: bytes, width: int, wide: np.ndarray, sampling: np.ndarray) ->
         ties = np.where(new, y[first, (np.arange(WIDE) + 1) % WIDE], ties)
     # where just half of the shingles have a bit, each word of bits goes as another shingle has it, one that ranks first by the word before
     twice = 2 * ones - len(h) - 1 + np.unpackbits(np.roll(ties, 1).view(np.uint8), bitorder="little")
-    out = np.packbits(twice >= 0, bitorder="little").view(np.uint64).tolist()
+    out = [_majority(every[at : at + CHUNK] for at in range(0, len(every), CHUNK)), *np.packbits(twice >= 0, bitorder="little").view(np.uint64).tolist()]
     for factor in sampling:
         rank = (h ^ (h >> np.uint64(29))) * factor
         three = h[np.argpartition(rank, 2)[:3]] if len(h) > 3 else h
@@ -187,8 +203,8 @@ def _row_key() -> Column:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, row, node, w0.., s0..): wide fingerprints and those of samples (:func:`_sketch`); node is a hash of the wide one, row names the text."""
-    names = [*_WIDE_COLUMNS, *_SAMPLE_COLUMNS]
+    """(doc_id, row, node, fp, w0.., s0..): fingerprints, wide ones and those of samples (:func:`_sketch`); node is a hash of the wide one, row names the text."""
+    names = ["fp", *_WIDE_COLUMNS, *_SAMPLE_COLUMNS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide, sampling = _factors()
@@ -244,23 +260,38 @@ def overlapping(pairs: DataFrame, docs: DataFrame, keys: DataFrame, width: int,
     return with_set(with_set(pairs, "v", "u"), "u", "v").select("u", "v", "set_u", "set_v").mapInArrow(run, "u long, v long")
 
 
+def grid_candidates(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(u, v) of all ``nodes`` (node, fp, root) of different roots whose fingerprints differ in at most ``radius`` bits.
+
+    Nodes of one root and fingerprint ask the grid (:func:`near_pairs`) as one row, named by the smallest of them; in what is found each of them stands again, so none is left out.
+    """
+    groups = written(nodes.groupBy("fp", "root").agg(F.min("node").alias("name")), "groups")
+    pairs = written(near_pairs(groups, radius).distinct(), "near")
+    names = groups.select(F.col("fp").alias("__f"), F.col("root").alias("__r"), "name")
+    held = written(nodes.join(names, (F.col("fp") == F.col("__f")) & (F.col("root") == F.col("__r"))).select("name", "node"), "held")
+    for end in ("u", "v"):
+        pairs = pairs.join(held.select(F.col("name").alias("__n"), F.col("node").alias("__k")), F.col(end) == F.col("__n")).withColumn(end, F.col("__k")).drop("__n", "__k")
+    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+
+
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """A row per document (doc_id, text): doc_id, component_id, the smallest doc_id that links reach; texts link if their shingle sets overlap by ``similarity`` or more.
 
-    64 bits cannot tell an overlap of 0.8: such texts differ in 10 of them, as far as no grid can ask. So a text has a wide
+    Candidates are all pairs whose 64-bit fingerprints differ in at most ``RADIUS`` bits: the grid of segment counts with its neighbouring cells, the Manhattan bound and the
+    exact distance (:func:`grid_candidates`). Texts that overlap by just 0.8 differ in 10 of 64 bits, further than a grid can ask, so they are looked for besides: a text has a wide
     fingerprint, which tells candidates (:func:`wide_radius`), and fingerprints of a few samples of its shingles, which texts of that overlap share in one of
     ``SAMPLES`` with probability 0.98. Samples stand in the grid of segment counts at Manhattan distance 0; who meets in a cell is compared by wide
-    fingerprints, and a link is kept after an exact check of both shingle sets (:func:`overlapping`).
+    fingerprints. A link of either kind is kept after an exact check of both shingle sets (:func:`overlapping`).
 
-    Equal wide fingerprints are one node. All members of a cell meet its ``LEADERS`` first; then, in cells that still hold several
-    components, the members outside the largest meet all others of another one, each pair once. So pairs within a group of copies are not made, and
-    of pairs that share a cell none is left out. Null and empty texts are one group; odd rows as in :func:`near_duplicates`.
+    Equal wide fingerprints are one node. All members of a cell of samples meet its ``LEADERS`` first. Between the components that are then left, all pairs within ``RADIUS`` bits
+    are made; and in cells of samples that still hold several components, the members outside the largest meet all others of another one, each pair once.
+    So pairs within a group of copies are not made, and of pairs within ``RADIUS`` bits or that share a cell none is left out. Null and empty texts are one group; odd rows as in :func:`near_duplicates`.
     """
     reach_workers(docs.sparkSession)
     radius = wide_radius(similarity)
     each = written(sketches(docs, width), "sketches")
-    nodes = written(each.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), *[F.min(c).alias(c) for c in (*_WIDE_COLUMNS, *_SAMPLE_COLUMNS)]), "distinct")
-    texts = nodes.select("node", "row")
+    nodes = written(each.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.min_by("fp", "row").alias("fp"), *[F.min(c).alias(c) for c in (*_WIDE_COLUMNS, *_SAMPLE_COLUMNS)]), "distinct")
+    texts, prints = nodes.select("node", "row"), nodes.select(F.col("node").alias("__k"), "fp")
     cells = nodes.select("node", F.inline(F.array(*[F.struct(F.lit(k).alias("sample"), _counts(F.col(c)).alias("cell")) for k, c in enumerate(_SAMPLE_COLUMNS)])))
     every = [_counts(F.col(c)).alias(f"cell{k}") for k, c in enumerate(_SAMPLE_COLUMNS)]
     keys, turn = ["sample", "cell"], [F.xxhash64("node", F.lit(k)) for k in range(LEADERS)]
@@ -288,7 +319,9 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
     for k in range(SAMPLES):
         first &= (F.col("a.sample") <= k) | (F.col(f"a.cell{k}") != F.col(f"b.cell{k}"))
     once = (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
-    links = overlapping(a.join(b, near("a", "b") & once & first).select(*ends), docs, texts, width, similarity)
+    grid = written(grid_candidates(nodes.join(prints, F.col("node") == F.col("__k")).select("node", "fp", "root")), "grid")
+    sampled = written(a.join(b, near("a", "b") & once & first).select(*ends), "sampled")  # a stage of its own
+    links = overlapping(grid.unionByName(sampled), docs, texts, width, similarity)
     for end in ("u", "v"):
         links = links.join(nodes.select(F.col("node").alias("__n"), F.col("root").alias("__r")), F.col(end) == F.col("__n")).withColumn(end, F.col("__r")).drop("__n", "__r")
     return _named(each.select("doc_id", "node"), _merged(nodes, links.distinct()), "node").select("doc_id", "component_id")

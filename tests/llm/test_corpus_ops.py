@@ -560,6 +560,39 @@ def test_similar_documents_below_the_overlap_stay_apart(spark, monkeypatch):
     assert all(0.65 < overlap(sets[i], sets[j]) < 0.8 and group[i] == i and group[j] == j for i, j in pairs)
 
 
+def test_similar_documents_within_three_bits_need_no_common_sample(spark):
+    """Pairs of overlap 0.84 that share no sample; three of the four also have no half of segment counts in common, so only a neighbouring cell finds them."""
+    texts = []
+    for seed in (135, 4792, 4969, 19302):
+        rng = random.Random(seed)
+        word = lambda: "".join(rng.choices("abcdefghij", k=5))  # noqa: E731, B023
+        base = [word() for _ in range(120)]
+        other = list(base)
+        for k in (40, 80):
+            other[k] = word()
+        texts += [" ".join(base), " ".join(other)]
+    sets, fps = [shingle_set(t) for t in texts], [brute_fingerprint(t, 5) for t in texts]
+    assert all(overlap(sets[i], sets[i + 1]) >= 0.8 and 0 < (fps[i] ^ fps[i + 1]).bit_count() <= 3 for i in range(0, 8, 2))
+    group = {r["doc_id"]: r["component_id"] for r in rows(simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    assert group == {i: i - i % 2 for i in range(8)}
+
+
+def test_grid_candidates_leave_out_no_node(spark):
+    """Fingerprints that several nodes and several roots share, against all pairs."""
+    rng = random.Random(13)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    nodes = []
+    for node in range(300):
+        fp = rng.choice(base)
+        for bit in rng.sample(range(64), rng.randrange(4)):
+            fp ^= 1 << bit
+        nodes.append((node, fp, rng.randrange(40)))
+    df = spark.createDataFrame([(n, f - 2**64 if f >> 63 else f, r) for n, f, r in nodes], "node long, fp long, root long")
+    got = Counter((r["u"], r["v"]) for r in rows(simhash.grid_candidates(df, 3)))
+    assert set(got) == {(b[0], a[0]) for a, b in combinations(nodes, 2) if a[2] != b[2] and (a[1] ^ b[1]).bit_count() <= 3}
+    assert any(a[1] == b[1] and a[2] != b[2] for a, b in combinations(nodes, 2)) and any(a[1:] == b[1:] for a, b in combinations(nodes, 2))
+
+
 def test_components_of_a_long_chain(spark):
     from tallygrid.llm.components import components
 
