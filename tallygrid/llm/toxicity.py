@@ -13,6 +13,7 @@ from itertools import islice, takewhile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallygrid.llm.shared import reach_workers, read_table, written
@@ -27,6 +28,8 @@ MIN_COMMON = 2
 BANDS, BAND_MINIMA, COPY_SHARE = 6, 6, 0.7
 #: Tokens that one Python worker remembers.
 REMEMBERED = 200_000
+#: Characters of texts that are counted or searched at once.
+PORTION = 1 << 20
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäãåæçèéêëìíîïñòóôöõøùúûüýÿœß"
 #: Which letters a look-alike may stand for.
@@ -74,21 +77,42 @@ def folded(text: str | None) -> str:
     return text.lower() if text.isascii() else _FOREIGN.sub(lambda m: m[0].translate(_FOLDED), unicodedata.normalize("NFKC", text).lower())
 
 
+def portions(texts: Iterable[str]) -> Iterator[list[str]]:
+    """Texts in order, so many at once that they have ``PORTION`` characters or more, but for the last."""
+    some, size = [], 0
+    for text in texts:
+        some.append(text)
+        size += len(text)
+        if size >= PORTION:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def gram_counts(docs: DataFrame) -> DataFrame:
     """(gram, n): letter trigrams of all whole texts, as numbers in base ``len(LETTERS) + 1``; 0 is anything but a letter."""
+    reach_workers(docs.sparkSession)
     table = np.zeros(0x250, np.int64)
     for c, i in _NUMBER.items():
         table[ord(c)] = i
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(_A**3, np.int64)
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
         for batch in batches:
             for text in batch.column(0):
                 text = text.as_py()
-                for at in range(0, len(text or ""), 1 << 20):
-                    codes = np.frombuffer(f" {text[max(0, at - 2) : at + (1 << 20)].lower()} ".encode("utf-32-le", "replace"), np.uint32)
-                    ids = table[np.where(codes < len(table), codes, 0)]
-                    total += np.bincount(ids[:-2] * _A * _A + ids[1:-1] * _A + ids[2:], minlength=_A**3)
+                for at in range(0, len(text or ""), PORTION):
+                    yield f" {text[max(0, at - 2) : at + PORTION].lower()} "
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_A**3, np.int64)
+        for some in portions(pieces(batches)):
+            codes = np.frombuffer("".join(some).encode("utf-32-le", "replace"), np.uint32)
+            ids = table.take(codes, mode="clip")  # the last place is no letter's
+            grams = ids[:-2] * _A * _A + ids[1:-1] * _A + ids[2:]
+            ends = np.cumsum([len(x) for x in some])[:-1]
+            grams[ends - 1] = grams[ends - 2] = _A**3  # no trigram reaches from one text into the next
+            total += np.bincount(grams, minlength=_A**3 + 1)[:-1]
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["gram", "n"])
 
@@ -287,6 +311,32 @@ def restored_words(text: str | None, decoder: Decoder) -> set[str]:
     return {w for t in set(tokens) for w in decoder(t)}.union(decoder.joined(tokens))
 
 
+def lattice_pattern(beginnings: Iterable[str]) -> str:
+    """A regular expression (RE2) that every folded text matches in which a path through the lattice, over any spaces, begins a word with one of ``beginnings``; others may match as well.
+
+    A word begins a text or follows what is no letter. Each of its letters is written by itself, with a mark or by a look-alike, and between two of them lies nothing but what may be dropped: what is no letter, or the first of them again.
+    """
+    code = lambda chars: "".join(f"\\x{{{ord(c):x}}}" for c in sorted(chars))
+    written_as = {x: {c for c in LETTERS if c == x or c.translate(_PLAIN) == x} for x in LETTERS}
+
+    def tree(words: Iterable[str]) -> str:
+        branches: dict[str, set[str]] = {}
+        for word in words:
+            branches.setdefault(word[0], set()).add(word[1:])
+        out = []
+        for x, rest in sorted(branches.items()):
+            out.append(f"[{code(written_as[x].union(c for c, may in LOOKALIKES.items() if x in may))}]")
+            if "" not in rest:
+                out[-1] += f"[^{code(set(LETTERS) - written_as[x])}]*{tree(rest)}"
+        return f"(?:{'|'.join(out)})"
+
+    return f"(?:^|[^{code(LETTERS)}]){tree(beginnings)}"
+
+
+#: The longest beginnings that texts are searched for, and shorter ones in case that these are too many for a regular expression.
+_SEARCHED = (6, 5, 4, 3)
+
+
 class Scorer:
     """Scores texts from the features that their restored words hit."""
 
@@ -296,6 +346,18 @@ class Scorer:
         self.heads = frozenset(f.removesuffix("$")[:3] for f in precision)
         self.seen: set[str] = set()
         self.hits: dict[str, tuple[str, ...]] = {}
+        self.search = self._search()
+
+    def _search(self) -> str | None:
+        """The pattern without which no word of a text hits a feature; None: any text may."""
+        for n in _SEARCHED:
+            pattern = lattice_pattern({f.removesuffix("$")[:n] for f in self.precision}) if self.precision else r"[^\x{0}-\x{10ffff}]"
+            try:
+                pc.match_substring_regex(pa.array([""]), pattern)
+            except pa.ArrowInvalid:  # too large
+                continue
+            return pattern
+        return None
 
     def _look(self, words: Iterable[str]) -> tuple[str, ...]:
         found = []
@@ -307,8 +369,19 @@ class Scorer:
                 found.append(max(own, key=lambda f: (self.precision[f], len(f))))
         return tuple(found)
 
+    def each(self, texts: Iterable[str | None]) -> Iterator[float]:
+        """The scores of texts in order. Only texts that match the pattern can hit a feature, so the others are not cut into tokens."""
+        for some in portions(map(folded, texts)):
+            found = [True] * len(some) if self.search is None else pc.match_substring_regex(pa.array(some, pa.large_string()), self.search).to_pylist()
+            for text, may_hit in zip(some, found, strict=True):
+                yield self._weighed(self._found(text) if may_hit else ())
+
     def __call__(self, text: str | None) -> float:
-        tokens = folded(text).split()
+        return self._weighed(self._found(folded(text)))
+
+    def _found(self, text: str) -> set[str]:
+        """The features that a folded text hits."""
+        tokens = text.split()
         distinct = set(tokens)
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
@@ -322,6 +395,9 @@ class Scorer:
         self.seen |= distinct
         found = {f for t in distinct.intersection(self.hits) for f in self.hits[t]}
         found.update(self._look(self.decoder.joined(tokens)))
+        return found
+
+    def _weighed(self, found: Iterable[str]) -> float:
         miss = 1.0 - self.base
         for f in sorted(found):
             miss *= 1.0 - self.precision[f]
@@ -461,7 +537,7 @@ def score(docs: DataFrame, scorer: Scorer, column: str = "score") -> DataFrame:
         own = _scorer(name, *model)
         for batch in batches:
             texts = batch.column(kept.index("text"))
-            scores = pa.array([own(t.as_py()) for t in texts], pa.float64())
+            scores = pa.array(own.each(t.as_py() for t in texts), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*kept, column])
 
     schema = docs.select(*kept).withColumn(column, F.lit(0.0)).schema

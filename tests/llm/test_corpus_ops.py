@@ -707,6 +707,42 @@ def test_op7_pruned_search_finds_the_same(spark, scorer, corpus):
         assert scorer(d["text"]) == full(d["text"])
 
 
+def test_op7_texts_that_cannot_hit_are_not_cut(scorer):
+    own = toxicity.Scorer(scorer.precision, scorer.base, scorer.lm, scorer.common)
+    plain = ["rain and wind in May, 12 of them", None, "", "a\nb\nc", "zzz " * 1000]
+    assert list(own.each(plain)) == [scorer("")] * len(plain) and not own.seen and not own.decoder.known
+    hidden = [f"you are {x} now and then" for x in HIDDEN]
+    assert list(own.each([*plain, *hidden])) == [scorer(x) for x in [*plain, *hidden]] and min(own.each(hidden)) > 0.5
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aeilosté01$!*@-. \n№\u200b\u0301ж5E", max_size=25), max_size=8))
+def test_op7_search_loses_no_hit(texts):
+    lm = np.log(np.random.default_rng(8).dirichlet(np.full(toxicity._A, 0.3), (toxicity._A, toxicity._A)) + 1e-9).astype(np.float32)
+    own = toxicity.Scorer({"loti$": 0.9, "tel": 0.8, "séa": 0.8, "ail$": 0.8, "selate$": 0.9}, 0.02, lm, ["sel"])
+    texts += ["".join(t.split()) + " " + x for t, x in zip(texts, ["lo ti", "séa!", "5-3-1-4 te", "aaiill", "tè1"])]
+    assert list(own.each(texts)) == [own(t) for t in texts]
+
+
+def test_op7_too_many_beginnings_for_a_pattern(scorer, monkeypatch):
+    own = toxicity.Scorer(scorer.precision, scorer.base, scorer.lm, scorer.common)
+    own.search = None
+    assert list(own.each(["you are stu pid", "fair"])) == [scorer("you are stu pid"), scorer("fair")]
+    monkeypatch.setattr(toxicity, "_SEARCHED", (1,))
+    assert list(toxicity.Scorer(scorer.precision, scorer.base, scorer.lm, scorer.common).each(["you are stu pid"])) == [scorer("you are stu pid")]
+
+
+def test_op7_trigrams_end_with_their_text(spark):
+    texts = ["ab", "", None, "Ba b", "ß", "x" * (toxicity.PORTION + 3), "éa"]
+    want = Counter()
+    for text in texts:
+        for at in range(0, len(text or ""), toxicity.PORTION):
+            ids = [toxicity._NUMBER.get(c, 0) for c in f" {text[max(0, at - 2) : at + toxicity.PORTION].lower()} "]
+            want.update((a * toxicity._A + b) * toxicity._A + c for a, b, c in zip(ids, ids[1:], ids[2:]))
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert {r["gram"]: r["n"] for r in rows(toxicity.gram_counts(df.coalesce(1)))} == want
+
+
 def test_op7_spaced_letters(scorer):
     assert scorer("you are an i d i o t indeed") > 0.5
 
