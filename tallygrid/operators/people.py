@@ -116,9 +116,9 @@ def find_users(
     return out
 
 
-def check_no_overlap(dated: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose period begins before an earlier one of their key has ended. Equal periods go by the other plain columns, so a repeated run reports the same ones."""
-    others = [F.col(f"`{c}`") for c, kind in dated.dtypes if c not in (*keys, "valid_from", "valid_to") and not kind.startswith(("map", "array", "struct", "variant"))]
+def check_no_overlap(dated: DataFrame, keys: list[str], ties: list[Column] | None = None) -> DataFrame:
+    """Rows whose period begins before an earlier one of their key has ended. Equal periods go by ``ties`` (default: the other plain columns), so a repeated run reports the same ones."""
+    others = ties or [F.col(f"`{c}`") for c, kind in dated.dtypes if c not in (*keys, "valid_from", "valid_to") and not kind.startswith(("map", "array", "struct", "variant"))]
     w = Window.partitionBy(*keys).orderBy(F.col("valid_from").asc_nulls_first(), F.col("valid_to").asc_nulls_last(), *others).rowsBetween(Window.unboundedPreceding, -1)
     ends = F.max(F.coalesce(F.col("valid_to"), F.lit(datetime(9999, 1, 1)).cast("timestamp"))).over(w)
     return dated.withColumn("__end", ends).filter(F.col("__end").isNotNull() & (F.col("valid_from").isNull() | (F.col("valid_from") < F.col("__end")))).drop("__end")

@@ -47,3 +47,19 @@ def test_entry_has_rows(spark):
 
 def test_every_sql_has_a_query():
     assert SQL.keys() <= QUERIES.keys()
+
+
+def with_one_thread(spark, name, sf):
+    """Rows of a query, and those of its SQL as one thread of DuckDB finds them."""
+    c = duckdb.connect()
+    c.execute("SET threads = 1")
+    for t in ("orders", "customer"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    cur = c.execute(SQL[name])
+    names = [d[0] for d in cur.description]
+    return sorted(tuple(plain(r[x]) for x in names) for r in QUERIES[name](spark, sf).collect()), sorted(tuple(map(plain, r)) for r in cur.fetchall())
+
+
+def test_equal_periods_as_duckdb_has_them(spark):
+    ours, theirs = with_one_thread(spark, "d3_check_no_overlap", "/root/testdata/sf0.1")
+    assert ours == theirs
