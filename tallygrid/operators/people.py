@@ -304,10 +304,10 @@ def merge_ids(ids: DataFrame, mapping: DataFrame) -> DataFrame:
     return out.select("user_id", "source", "id", F.array_except("all", F.array("id")).alias("lost"))
 
 
-def merge_periods(dated: DataFrame, mapping: DataFrame, truncate: bool) -> DataFrame:
-    """Dated values (user_id, value, from_s, to_s) after persons were merged: the remaining person's own come first, those of the merged one around them (``truncate``: member types, supervisors) or as inserts that may be rejected (accounts). Own and merged ones go by person, begin, value and end (an open one last), so a repeated run finds the same."""
+def merge_periods(dated: DataFrame, mapping: DataFrame, truncate: bool, ties: list[str] | None = None) -> DataFrame:
+    """Dated values (user_id, value, from_s, to_s) after persons were merged: the remaining person's own come first, those of the merged one around them (``truncate``: member types, supervisors) or as inserts that may be rejected (accounts). Own and merged ones go by person, begin, value, the columns ``ties`` and end (an open one last), so a repeated run finds the same."""
     moved = remap_owners(dated.withColumn("was", F.col("user_id")), mapping, "user_id")
-    order = Window.partitionBy("user_id").orderBy(F.col("was") != F.col("user_id"), "was", F.col("from_s").asc_nulls_first(), "value", F.col("to_s").asc_nulls_last())
+    order = Window.partitionBy("user_id").orderBy(F.col("was") != F.col("user_id"), "was", F.col("from_s").asc_nulls_first(), "value", *(ties or []), F.col("to_s").asc_nulls_last())
     return insert_dated(moved.withColumn("seq", F.row_number().over(order).cast("long")).drop("was"), "user_id", truncate)
 
 

@@ -63,3 +63,8 @@ def with_one_thread(spark, name, sf):
 def test_equal_periods_as_duckdb_has_them(spark):
     ours, theirs = with_one_thread(spark, "d3_check_no_overlap", "/root/testdata/sf0.1")
     assert ours == theirs
+
+
+def test_equal_begins_and_values_as_duckdb_has_them(spark):
+    ours, theirs = with_one_thread(spark, "j12_merge_periods", "/root/testdata/sf0.01")
+    assert ours == theirs
