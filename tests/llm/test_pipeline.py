@@ -54,3 +54,14 @@ def test_odd_documents_with_clashing_columns(spark, n, tmp_path):
         seen = spark.read.parquet(f"{tmp_path}/{k}")
         assert name == "packing" or seen.columns == columns
     assert (seen.count() > 0) == (n > 0)
+
+
+def test_toxicity_stage_cuts_no_more_texts_than_may_hit(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.learn(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    one_by_one, own = (toxicity.Scorer(model.precision, model.base, model.lm, model.common) for _ in range(2))
+    given = rows(docs)
+    scores = [one_by_one(r["text"]) for r in given]
+    assert list(own.each(r["text"] for r in given)) == scores
+    assert {r["doc_id"] for r in rows(corpus_pipeline.toxicity(spark, docs, SF))} == {r["doc_id"] for r, x in zip(given, scores) if x < corpus_pipeline.TOXIC}
+    assert len(own.seen) < 0.5 * len(one_by_one.seen)
